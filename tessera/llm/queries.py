@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sharding, simhash
+from . import bpe, language_model, licenses, mixing, quality, secrets, sharding, simhash, sketches, toxicity
 from .common import WORD, documents, materialize
 
 
@@ -21,6 +22,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies")[0]["finish"].alias("virtual_finish"))
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return bpe.round_trip(documents(spark, sf_dir), codec, public_tokenizers.PATTERN)
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(materialize(sharding.sized(documents(spark, sf_dir))), 8)
     return out.select(
@@ -28,6 +34,11 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return licenses.scan(docs, licenses.document_frequencies(docs)).drop("text")
@@ -37,6 +48,19 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return language_model.score(docs, language_model.train(docs.where(~language_model.held_out(F.col("doc_id"))).select("text")))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_and_compare(documents(spark, sf_dir))
+
+
+def op9_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(quality.measures(documents(spark, sf_dir).select("doc_id", "lang", "source", "text")).drop("text"))
     out = quality.judged(measured, quality.thresholds(measured))
@@ -45,6 +69,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_mix_sources, op3_shard, op5_scan_licenses, op6_simhash_dedup, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_mix_sources,
+        op2_bpe_round_trip,
+        op3_shard,
+        op4_toxicity,
+        op5_scan_licenses,
+        op6_simhash_dedup,
+        op7_lm_score,
+        op8_fingerprint,
+        op9_find_secrets,
+        op10_quality_rules,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
