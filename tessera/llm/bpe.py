@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with higher-order functions.
 
-A word's bytes, as an array of hexadecimal pieces, are folded over its possible merges: each step joins the leftmost of
-the adjacent pieces whose union has the lowest rank. Ranks are looked up in a literal: an array of small maps, found
-by a hash of the piece. Decoding looks each id's piece up in a literal array and concatenates.
+A word's bytes, an array of pieces, are folded over its possible merges: each step joins the adjacent pieces whose union has
+the lowest rank. Ranks are looked up in a literal: an array of small maps, found by a hash of the pair. Decoding
+looks each id's bytes up in a literal array and concatenates.
 
 Distinct words are folded, not occurrences: the most frequent words of the corpus once each, a bounded number that goes to
 the workers as a dictionary, and the other words once for each text that has them. No text is shuffled.
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, most_frequent
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
-HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
+HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
 #: Different words that a task sums up before it hands them on.
 COMBINED = 400_000
 #: Maps among which the ranks are dealt out.
@@ -44,76 +44,77 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
+def merge_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two pieces whose merge makes ``token``: what merging its bytes by lower ranks alone leaves."""
+    pieces, top = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(pieces) > 2:
+        rank, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False)))
+        if rank >= top:
+            raise ValueError(f"no merge of two pieces makes token {top}")
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+    return pieces[0], pieces[1]
+
+
 class Codec:
-    """Columns that encode words and decode ids by ``ranks``."""
+    """Columns that encode words and decode ids by ``ranks``.
+
+    A piece is written as one character, ``FIRST`` code points above its rank, so that an array of pieces is a string,
+    characters sort as ranks do, and the least character that adjacent pieces can become is the next merge.
+    """
+
+    FIRST = 256
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            text = piece.hex()
-            buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-        self._table = json.dumps(buckets, separators=(",", ":"))
-        by_id = sorted(ranks.items(), key=lambda x: x[1])
-        self._pieces = [""] * (by_id[-1][1] + 1 if by_id else 0)
-        for piece, rank in by_id:
-            self._pieces[rank] = piece.hex()
+        if max(ranks.values(), default=0) + self.FIRST >= 0xD800:
+            raise ValueError("more ranks than characters of the basic plane")
+        #: For str.translate: characters that stand for bytes (as in Latin-1) to those that stand for pieces.
+        self.bytes_to_pieces = {b: self.FIRST + ranks[bytes([b])] for b in range(256)}
+        buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                pair = "".join(chr(self.FIRST + ranks[x]) for x in merge_pair(token, ranks))
+                buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = chr(self.FIRST + rank)
+        self._table = json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)
+        self._pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self._pieces[rank] = token.hex()
 
     def table(self) -> Column:
-        """The rank map as a constant that the optimizer folds into a literal."""
-        return F.from_json(F.lit(self._table), "array<map<string,int>>")
-
-    @staticmethod
-    def rank(table: Column, piece: Column) -> Column:
-        found = F.get(table, (F.crc32(piece) % BUCKETS).cast("int")).getItem(piece)
-        return F.coalesce(found, F.lit(NONE))
+        """The map of pairs to what they become, as a constant that the optimizer folds into a literal."""
+        return F.from_json(F.lit(self._table), "array<map<string,string>>")
 
     def fold(self, table: Column, word: Column) -> Column:
-        """The ids, joined by spaces, of ``word``, a column of hexadecimal bytes."""
+        """The ids, joined by spaces, of ``word``, a string of its bytes' pieces."""
 
-        def lookup(piece: Column) -> Column:
-            return self.rank(table, piece)
+        def becomes(a: Column, b: Column) -> Column:
+            return F.get(table, (F.crc32(F.concat(a, b)) % BUCKETS).cast("int"))[F.concat(a, b)]
 
         def step(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
-
-            def merge(at: Column) -> Column:
-                joined = F.concat(F.get(p, at - 1), F.get(p, at))
-                pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
-
-                def with_ranks(q: Column) -> Column:
-                    # Only the ranks on both sides of the joined piece are new; beyond the ends there is none.
-                    left = F.when(at > 1, F.array(lookup(F.concat(F.get(q, at - 2), F.get(q, at - 1))))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(at < F.size(q), F.array(lookup(F.concat(F.get(q, at - 1), F.get(q, at))))).otherwise(F.array().cast("array<int>"))
-                    before = F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0)))
-                    return F.struct(q.alias("p"), F.concat(before, left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
-
-                return let(pieces, with_ranks)
-
-            return let(
-                F.array_min(r),
-                lambda m: F.when(m.isNull() | (m == NONE), state).otherwise(
-                    let(F.array_position(r, m).cast("int"), merge)
-                ),
-            )
+            def merge(p: Column) -> Column:
+                made = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), becomes)  # the last stands alone and gets null
 
-        def run(p: Column) -> Column:
-            ranks = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: lookup(F.concat(a, b)))
-            start = F.struct(p.alias("p"), ranks.alias("r"))
-            return F.aggregate(
-                F.sequence(F.lit(1), F.size(p) - 1),
-                start,
-                step,
-                lambda s: F.array_join(F.transform(s["p"], lambda x: lookup(x).cast("string")), " "),
-            )
+                def join(m: Column, best: Column) -> Column:
+                    # All places of one pair become the same piece, from left to right.
+                    pair = let(F.array_position(m, best).cast("int"), lambda i: F.concat(F.get(p, i - 1), F.get(p, i)))
+                    return F.when(best.isNull(), state).otherwise(F.replace(state, pair, best))
+
+                return let(made, lambda m: let(F.array_min(m), lambda best: join(m, best)))
 
-        pieces = F.regexp_extract_all(word, F.lit(".."), F.lit(0))
-        return let(pieces, lambda p: F.when(F.size(p) == 1, lookup(F.get(p, F.lit(0))).cast("string")).otherwise(run(p)))
+            return let(F.split(state, ""), merge)
+
+        n = F.char_length(word)
+        folded = F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), word, step))
+        return F.array_join(F.transform(F.split(folded, ""), lambda c: (F.ascii(c) - self.FIRST).cast("string")), " ")
 
     def encode_words(self, words: Column) -> Column:
-        """Ids joined by spaces for each of an array of words in hexadecimal."""
+        """Ids joined by spaces for each of an array of words, strings of their bytes' pieces."""
         return let(self.table(), lambda t: F.transform(words, lambda w: self.fold(t, w)))
 
+    def pieces(self, text: Column) -> Column:
+        """A text's UTF-8 bytes as a string of pieces."""
+        source = "".join(map(chr, self.bytes_to_pieces))
+        return F.translate(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), source, "".join(map(chr, self.bytes_to_pieces.values())))
+
     def decode(self, ids: Column) -> Column:
         """The bytes of ids joined by spaces; no ids give no bytes."""
         pieces = F.split(F.lit(",".join(self._pieces)), ",")
@@ -143,7 +144,7 @@ def frequent_words(texts: DataFrame, pattern: str) -> DataFrame:
             yield out()
 
     counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
+    return most_frequent(materialize(counts.where(F.octet_length("word") <= HEAD_BYTES)), HEAD_WORDS)
 
 
 def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -153,10 +154,10 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     each have a row; an empty table gives an empty one. A single match of n bytes takes steps in proportion to n squared.
     """
     spark = docs.sparkSession
-    head = materialize(frequent_words(docs, pattern))
+    head = frequent_words(docs, pattern)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = head.repartition(n).select("word", F.hex(F.encode("word", "utf-8")).alias("h"))
-    coded = spread.select("word", codec.encode_words(F.array(F.lower("h")))[0].alias("ids"))
+    coded = head.repartition(n).select("word", codec.encode_words(F.array(codec.pieces(F.col("word"))))[0].alias("ids"))
+    of_bytes = codec.bytes_to_pieces
     shared = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in coded.collect()})
     schema = docs.select(*keep).schema
     for name, kind in (("known", "array<string>"), ("unknown", "array<int>"), ("rest", "array<string>")):
@@ -178,7 +179,7 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
                 segments.append(" ".join(parts[at:]))
                 known.append(segments)
                 unknown.append(gaps)
-                rest.append([w.encode("utf-8", "surrogatepass").hex() for w in own])
+                rest.append([w.encode("utf-8", "surrogatepass").decode("latin-1").translate(of_bytes) for w in own])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(known, pa.list_(pa.string())), pa.array(unknown, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))],
                 names=schema.names,

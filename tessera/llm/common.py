@@ -32,9 +32,9 @@ def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` uses it.
 
     A higher-order function evaluates a column that its lambda mentions anew for each element;
-    a lambda variable is only read.
+    a lambda variable is only read. Here ``value`` is the result of a fold over nothing, and ``body`` finishes it.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 def scalar(df: DataFrame):
@@ -80,3 +80,19 @@ def piece_of(hashed: Column, pieces: Column | int) -> Column:
     """The hash's place among ``pieces`` equal parts of its range, from 0; monotone in the hash."""
     pieces = pieces if isinstance(pieces, Column) else F.lit(pieces)
     return F.least(F.floor(unit_interval(hashed) * pieces), pieces - 1).cast("int")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows whose ``n`` is above a threshold that ``most`` rows at most pass, found from a histogram of n.
+
+    A sort with a limit would send ``most`` rows of every task to the driver; the histogram has a bounded number of rows.
+    """
+    step = F.floor(F.log2("n") * 32).cast("int")
+    histogram = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, total = None, 0
+    for at, n in histogram:
+        total += n
+        if total > most:
+            break
+        least = at
+    return counts.where(step >= least) if least is not None else counts.limit(0)
