@@ -196,14 +196,15 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     return parts.select(*keep, F.array_join(F.filter(pieces, lambda x: x != ""), " ").alias("ids"))
 
 
-def round_trip(docs: DataFrame, codec: Codec, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs`` (doc_id, text): see ``encode``."""
-    coded = encode(docs, codec, pattern)
+def round_trip(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids_sha256, decoded_sha256, ids for every row of ``docs``, which has ``text`` too: see ``encode``."""
+    coded = encode(docs, codec, pattern, keep)
     ids = F.col("ids")
     spaces = F.char_length(ids) - F.char_length(F.replace(ids, F.lit(" "), F.lit("")))
     return coded.select(
-        "doc_id",
+        *keep,
         F.when(ids == "", F.lit(0)).otherwise(spaces + 1).cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(codec.decode(ids), 256).alias("decoded_sha256"),
+        "ids",
     )

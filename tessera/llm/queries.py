@@ -24,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    return bpe.round_trip(documents(spark, sf_dir), codec, public_tokenizers.PATTERN)
+    return bpe.round_trip(documents(spark, sf_dir), codec, public_tokenizers.PATTERN).drop("ids")
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
