@@ -1,10 +1,609 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries over the driver's tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import identity, specs, text
+from ..operators import atomize, corpus, export, headers, layout, lines, quality, search, toc
+from . import sequences
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that must give its rows."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# SQL fragments for the engine that checks: its regular expressions are RE2, with ASCII classes.
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _fold(x: str) -> str:
+    return rf"lower(regexp_replace({_strip(x)}, '\s+', ' ', 'g'))"
+
+
+CORPUS = f"corpus AS ({corpus.oracle()})"
+_TOC = r"(?i)^\s*.+?[.\s․…⋯·‧]*[.․…⋯·‧][.\s․…⋯·‧]*(\d{1,4}|[ivxlcdm]{1,8})\s*$"
+_CLEAN = _strip(rf"regexp_replace(regexp_replace({_strip('line')}, '^[-•*]+\s*', ''), '^\d+(?:\.\d+)*[.)]\s*', '')")
+_TRIGGER = _q("|".join(specs.TRIGGERS))
+_UNIT = _q(specs.VALUE_UNIT)
+
+
+def _case(token: str, values: dict, other: str) -> str:
+    return f"CASE {token} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+_FACTOR = _case("token", {k: repr(f) for k, (_, f) in specs.CONVERSIONS.items()}, "NULL")
+_NAME = _case("token", {k: f"'{u}'" for k, (u, _) in specs.CONVERSIONS.items()}, "'degC'")
+_HINT = _case("lower(normalized_unit)", {k: f"'{v}'" for k, v in specs.UNIT_CATEGORY.items()}, "NULL")
+_WORDS = "CASE " + " ".join(f"WHEN regexp_matches(lower(spec_text), {_q(specs.keyword_pattern(c))}) THEN '{c}'" for c in specs.KEYWORDS) + " ELSE 'unknown' END"
+ATOMS = f"""{CORPUS},
+cleaned AS (SELECT file_id, section_id, {_CLEAN} AS spec_text FROM corpus),
+found AS (SELECT *, regexp_extract(spec_text, {_UNIT}, 1) AS raw, regexp_extract(spec_text, {_UNIT}, 2) AS unit
+  FROM cleaned WHERE spec_text <> '' AND (regexp_matches(lower(spec_text), {_TRIGGER}) OR regexp_matches(spec_text, {_UNIT}))),
+tokened AS (SELECT *, lower(replace(unit, ' ', '')) AS token, TRY_CAST(raw AS DOUBLE) AS value FROM found),
+valued AS (SELECT *, CASE WHEN unit <> '' THEN concat_ws(' ', raw, trim(unit)) END AS raw_value,
+  CASE WHEN unit = '' THEN NULL WHEN token IN ('°c', 'degc') THEN value WHEN token IN ('°f', 'degf') THEN round((value - 32.0) * 5.0 / 9.0, 4)
+    ELSE round(value * ({_FACTOR}), 4) END AS normalized_value,
+  CASE WHEN unit = '' THEN NULL ELSE {_NAME} END AS normalized_unit FROM tokened),
+grouped AS (SELECT *, coalesce({_HINT}, {_WORDS}) AS category FROM valued),
+atoms AS (SELECT concat('spec-', substr(sha1(concat(file_id, ':', section_id, ':', spec_text)), 1, 12)) AS spec_id, file_id, section_id, spec_text,
+  raw_value, normalized_value, normalized_unit, category,
+  round(least(1.0::DOUBLE, CASE WHEN regexp_matches(lower(spec_text), 'shall|must|required') THEN 0.9::DOUBLE
+    WHEN regexp_matches(lower(spec_text), 'should|ensure|include') THEN 0.75 WHEN regexp_matches(spec_text, {_UNIT}) THEN 0.65 ELSE 0.5 END
+    + (CASE WHEN raw_value IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN category <> 'unknown' THEN 0.05::DOUBLE ELSE 0 END)), 2) AS confidence FROM grouped)"""
+
+
+@query(f"WITH {ATOMS} SELECT * FROM atoms")
+def spec_atomize(spark, sf_dir):
+    return atomize.atomize(corpus.spec_corpus(spark, sf_dir))
+
+
+@query(f"WITH {ATOMS} SELECT category, count(*) AS n, count(DISTINCT spec_id) AS ids, round(avg(confidence), 6) AS mean_confidence FROM atoms GROUP BY category")
+def spec_by_category(spark, sf_dir):
+    return spec_atomize(spark, sf_dir).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("spec_id").alias("ids"), F.round(F.avg("confidence"), 6).alias("mean_confidence")
+    )
+
+
+@query(
+    f"WITH {ATOMS} SELECT normalized_unit, count(*) AS n, min(normalized_value) AS low, max(normalized_value) AS high, round(avg(normalized_value), 4) AS mean "
+    "FROM atoms WHERE normalized_unit IS NOT NULL GROUP BY normalized_unit"
+)
+def spec_unit_summary(spark, sf_dir):
+    v = F.col("normalized_value")
+    return (
+        spec_atomize(spark, sf_dir)
+        .where("normalized_unit is not null")
+        .groupBy("normalized_unit")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 4).alias("mean"))
+    )
+
+
+_RAW = _strip("line")
+_NORMAL = _strip(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_RAW}, '^[-•*]\s+', ''), '^\d+(?:\.\d+)*[.)]\s*', ''), '^\d+(?:\.\d+)*\s+', ''), '[.;:,]+$', '')")
+LEAVES = f"""{CORPUS},
+picked AS (SELECT file_id, section_id, ord, {_NORMAL} AS spec_text FROM corpus WHERE {_RAW} <> '' AND (regexp_matches({_RAW}, {_q(specs.FALLBACK_UNIT)})
+  OR regexp_matches({_RAW}, {_q(specs.FALLBACK_STANDARD)}) OR regexp_matches({_RAW}, {_q(specs.FALLBACK_BULLET)}))),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id, section_id ORDER BY ord) - 1 AS INT) AS spec_index FROM picked WHERE spec_text <> ''),
+leaf AS (SELECT sha1(concat(file_id, '|', section_id, '|', spec_index, '|', spec_text)) AS spec_id, file_id, section_id, ord, spec_index, spec_text
+  FROM numbered WHERE spec_index < 5)"""
+
+
+@query(f"WITH {LEAVES} SELECT * FROM leaf")
+def leaf_fallback_specs(spark, sf_dir):
+    return atomize.fallback_specs(corpus.spec_corpus(spark, sf_dir))
+
+
+_SOURCES = "sources AS (SELECT file_id, section_id, string_agg(concat(file_id, '-txt-', lpad(CAST(ord AS VARCHAR), 6, '0')), ',' ORDER BY ord) AS ids FROM corpus GROUP BY file_id, section_id)"
+
+
+@query(
+    f"WITH {LEAVES}, {_SOURCES} SELECT spec_id, file_id, section_id, spec_text, ids AS source_ids FROM (SELECT l.*, s.ids, row_number() OVER "
+    "(PARTITION BY l.file_id, s.ids, lower(spec_text) ORDER BY ord, spec_index) AS r FROM leaf l JOIN sources s USING (file_id, section_id)) WHERE r = 1"
+)
+def spec_dedup(spark, sf_dir):
+    rows = corpus.spec_corpus(spark, sf_dir)
+    kept = atomize.dedup_specs(atomize.fallback_specs(rows), atomize.section_sources(rows))
+    return kept.select("spec_id", "file_id", "section_id", "spec_text", F.array_join("source_object_ids", ",").alias("source_ids"))
+
+
+DOC_LINES = f"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_index FROM documents),
+doc_lines AS (SELECT doc_id, CAST(line_index AS INT) AS line_index, {_strip('x')} AS line FROM raw WHERE {_strip('x')} <> '')"""
+
+
+@query(f"WITH {DOC_LINES} SELECT doc_id, line_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_index) - 1 AS INT) AS line_no, line FROM doc_lines")
+def doc_lines(spark, sf_dir):
+    return lines.document_lines(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {DOC_LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY line_index) AS text FROM doc_lines GROUP BY doc_id")
+def doc_text_concat(spark, sf_dir):
+    return lines.joined(lines.document_lines(table(spark, sf_dir, "documents")), "doc_id", "line_index", "line")
+
+
+@query(
+    rf"SELECT doc_id, {_fold('text')} AS folded, lower(trim(regexp_replace(text, '[^0-9A-Za-z]+', ' ', 'g'))) AS match_key, "
+    r"regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1-\2', 'g'), '([\p{L}\p{N}_])-\n([a-z])', '\1\2', 'g'), '\s{2,}', ' ', 'g') AS fixed FROM documents"
+)
+def text_normalize(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.fold_spaces(c).alias("folded"), text.match_key(c).alias("match_key"), text.fix_ocr(c).alias("fixed"))
+
+
+@query(
+    f"WITH {DOC_LINES}, per AS (SELECT doc_id, line, count(*) AS n FROM doc_lines GROUP BY doc_id, line), "
+    "sized AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS size FROM per) SELECT doc_id, line, n FROM sized WHERE n > greatest(size // 8, 10)"
+)
+def repeated_line_ban(spark, sf_dir):
+    return lines.repeated_lines(lines.document_lines(table(spark, sf_dir, "documents")), "doc_id")
+
+
+# Contents pages: the corpus with a page for each section.
+def _pages(spark, sf_dir):
+    return corpus.spec_corpus(spark, sf_dir).select("file_id", (F.col("section_no") - 1).alias("page"), "line_idx", "line")
+
+
+PAGES = f"""{CORPUS}, pages0 AS (SELECT file_id, section_no - 1 AS page, line_idx, line, regexp_matches({_strip('line')}, {_q(_TOC)}) AS entry,
+  regexp_matches(line, '(?i)^\\s*(table\\s+of\\s+)?contents\\s*$') AS heading FROM corpus),
+per_page AS (SELECT file_id, page, sum(entry::INT) AS hits, max(heading::INT) AS heading FROM pages0 WHERE page < 10 GROUP BY file_id, page),
+stay AS (SELECT *, page - row_number() OVER (PARTITION BY file_id ORDER BY page) AS run FROM per_page WHERE hits >= 2 OR heading = 1),
+toc_pages AS (SELECT file_id, page FROM (SELECT *, max(CASE WHEN hits >= 3 OR heading = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, run ORDER BY page) AS inside FROM stay) WHERE inside = 1)"""
+
+
+@query(f"WITH {PAGES} SELECT file_id, page, line_idx, line FROM pages0 WHERE entry")
+def toc_lines(spark, sf_dir):
+    return _pages(spark, sf_dir).where(text.is_toc_entry(F.col("line")))
+
+
+@query(f"WITH {PAGES} SELECT * FROM toc_pages")
+def toc_pages(spark, sf_dir):
+    return toc.toc_pages(_pages(spark, sf_dir))
+
+
+@query(f"WITH {PAGES} SELECT file_id, page, line_idx, line FROM pages0 ANTI JOIN toc_pages USING (file_id, page) WHERE NOT entry")
+def real_header_lines(spark, sf_dir):
+    return toc.real_header_lines(_pages(spark, sf_dir))
+
+
+_GLYPHS = r"(?i)([._·•⋅…—–-]{2,}).{0,12}(\d{1,4}|[IVXLCDM]{1,7})\s*$"
+
+
+@query(
+    f"WITH {CORPUS} SELECT DISTINCT line FROM corpus WHERE regexp_matches({_RAW}, {_q(_TOC)}) OR regexp_matches({_RAW}, {_q(_GLYPHS)}) "
+    rf"OR regexp_matches({_RAW}, '(?i)\b[ivxlcdm]{{1,8}}\s*$')"
+)
+def anchor_toc_lines(spark, sf_dir):
+    return corpus.spec_corpus(spark, sf_dir).where(text.is_toc_line(F.col("line"))).select("line").distinct()
+
+
+# Headers by rules and the sections they open.
+_RULE = "CASE " + " ".join(f"WHEN regexp_matches(s, {_q(r)}) THEN trim(regexp_extract(s, {_q(r)}, 1))" for r in headers.RULES) + " END"
+HEADERS = f"""{CORPUS}, titled AS (SELECT file_id, ord, {_RULE} AS title FROM (SELECT *, {_RAW} AS s FROM corpus) WHERE s <> '' AND NOT regexp_matches(s, {_q(headers.TOCY)})),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, lower(title) ORDER BY ord) AS again FROM titled WHERE title IS NOT NULL) WHERE again = 1),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY ord) AS INT) AS position FROM firsts),
+headers AS (SELECT file_id, ord, position, CASE WHEN regexp_matches(title, {_q(text.SECTION_LINE)}) THEN regexp_extract(title, {_q(text.SECTION_LINE)}, 1) ELSE CAST(position AS VARCHAR) END AS section_number,
+  CASE WHEN regexp_matches(title, {_q(text.SECTION_LINE)}) THEN {_strip(f"regexp_extract(title, {_q(text.SECTION_LINE)}, 2)")} ELSE title END AS section_name FROM placed)"""
+
+
+def _headers(spark, sf_dir):
+    return headers.rule_headers(corpus.spec_corpus(spark, sf_dir))
+
+
+@query(f"WITH {HEADERS} SELECT * FROM headers")
+def rule_headers(spark, sf_dir):
+    return _headers(spark, sf_dir)
+
+
+@query(
+    f"WITH {HEADERS} SELECT file_id, concat('#headers#', chr(10), string_agg(trim(concat_ws(' ', section_number, section_name)), chr(10) ORDER BY position), chr(10), '#headers#') AS block FROM headers GROUP BY file_id"
+)
+def header_blocks(spark, sf_dir):
+    return headers.header_block(_headers(spark, sf_dir))
+
+
+@query(
+    f"WITH {HEADERS}, said AS (SELECT file_id, position, trim(concat_ws(' ', section_number, section_name)) AS l FROM headers) SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY position) AS INT) AS at, "
+    f"regexp_extract(l, {_q(text.SECTION_LINE)}, 1) AS section_number, {_strip(f'regexp_extract(l, {_q(text.SECTION_LINE)}, 2)')} AS section_name FROM said WHERE regexp_matches(l, {_q(text.SECTION_LINE)})"
+)
+def parsed_header_blocks(spark, sf_dir):
+    return headers.parse_header_block(headers.header_block(_headers(spark, sf_dir)))
+
+
+def _cut(pattern: str) -> tuple[str, str]:
+    token = f"regexp_extract(t, {_q(pattern)})"
+    rest = f"substr(t, length({token}) + 1)"
+    bare = rf"regexp_replace({rest}, '^[ )\-.]+', '')"
+    return rf"regexp_replace({token}, '[.\-]+$', '')", f"CASE WHEN {bare} <> '' THEN {bare} ELSE trim({rest}) END"
+
+
+_CUTS = [(p, *_cut(p)) for p in (text.NUMBER, text.ROMAN, text.ALPHA)]
+_N = "CASE " + " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN {number}" for p, number, _ in _CUTS) + " ELSE NULL END"
+_T = "CASE " + " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN {title}" for p, _, title in _CUTS) + " ELSE t END"
+NUMBERS = f"""{CORPUS}, texts AS (SELECT DISTINCT line, trim(line) AS t FROM corpus),
+split AS (SELECT line, {_N} AS number, {_T} AS title FROM texts)"""
+_SEGMENTS = r"len(list_filter(string_split(regexp_replace(number, '[.\-]+$', ''), '.'), lambda x: x <> ''))"
+
+
+@query(f"WITH {NUMBERS} SELECT * FROM split")
+def header_number_split(spark, sf_dir):
+    cut = text.split_number(F.col("line"))
+    return corpus.spec_corpus(spark, sf_dir).select("line").distinct().select("line", cut["number"].alias("number"), cut["title"].alias("title"))
+
+
+@query(
+    rf"WITH {NUMBERS} SELECT DISTINCT number, CAST(CASE WHEN regexp_matches(regexp_replace(number, '[.\-]+$', ''), '^\p{{L}}$') THEN 2 WHEN {_SEGMENTS} = 0 THEN 1 "
+    rf"WHEN {_SEGMENTS} > 1 AND regexp_matches(number, '^\p{{L}}\.') THEN {_SEGMENTS} + 1 ELSE {_SEGMENTS} END AS INT) AS segments FROM split WHERE number IS NOT NULL"
+)
+def segment_count(spark, sf_dir):
+    return header_number_split(spark, sf_dir).where("number is not null").select("number").distinct().withColumn("segments", text.segment_count(F.col("number")))
+
+
+_LEVEL = "CAST(least(greatest(len(string_split(section_number, '.')), 1), 6) AS INT)"
+TREE = f"""{HEADERS}, leveled AS (SELECT *, {_LEVEL} AS level FROM headers),
+up AS (SELECT c.file_id, c.position, max(p.position) AS parent FROM leveled c JOIN leveled p ON p.file_id = c.file_id AND p.position < c.position AND p.level < c.level GROUP BY c.file_id, c.position),
+down AS (SELECT c.file_id, c.position, min(p.position) AS follower FROM leveled c JOIN leveled p ON p.file_id = c.file_id AND p.position > c.position AND p.level <= c.level GROUP BY c.file_id, c.position),
+sized AS (SELECT file_id, max(position) AS n FROM headers GROUP BY file_id),
+tree0 AS (SELECT l.*, u.parent, coalesce(d.follower, s.n + 1) - 1 AS last FROM leveled l LEFT JOIN up u USING (file_id, position) LEFT JOIN down d USING (file_id, position) JOIN sized s USING (file_id)),
+paths AS (SELECT file_id, position, trim(concat_ws(' ', section_number, section_name)) AS path FROM tree0 WHERE parent IS NULL
+  UNION ALL SELECT t.file_id, t.position, concat(p.path, ' / ', trim(concat_ws(' ', t.section_number, t.section_name))) FROM tree0 t JOIN paths p ON p.file_id = t.file_id AND p.position = t.parent)"""
+
+
+def _tree(spark, sf_dir):
+    return headers.section_tree(headers.leveled(_headers(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT file_id, position, level, CAST(parent AS INT) AS parent, CAST(last AS INT) AS last FROM tree0")
+def section_tree(spark, sf_dir):
+    return _tree(spark, sf_dir).select("file_id", "position", "level", "parent", "last")
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT file_id, position, path FROM paths")
+def header_paths(spark, sf_dir):
+    return _tree(spark, sf_dir).select("file_id", "position", "path")
+
+
+@query(
+    f"WITH RECURSIVE {TREE}, heads AS (SELECT file_id, position AS h, ord AS a, lead(ord) OVER (PARTITION BY file_id ORDER BY position) AS b, last FROM tree0), "
+    "own AS (SELECT c.file_id, h, c.ord FROM corpus c JOIN heads ON heads.file_id = c.file_id AND c.ord > a AND (b IS NULL OR c.ord < b) WHERE last = h) "
+    "SELECT t.file_id, t.position, count(*) AS n_objects, string_agg(CAST(o.ord AS VARCHAR), ',' ORDER BY o.ord) AS objects FROM tree0 t JOIN own o ON o.file_id = t.file_id AND o.h BETWEEN t.position AND t.last GROUP BY t.file_id, t.position"
+)
+def section_chunks(spark, sf_dir):
+    return headers.section_chunks(_tree(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
+
+
+LOCATED = f"""{HEADERS}, met AS (SELECT h.file_id, h.position, c.ord, CASE WHEN starts_with(l, {_fold("concat_ws(' ', section_number, section_name)")}) THEN 1
+    WHEN starts_with(l, {_fold('section_number')}) AND contains(l, {_fold('section_name')}) THEN 2 WHEN contains(l, {_fold('section_name')}) THEN 3 END AS rule
+  FROM headers h JOIN (SELECT file_id, ord, {_fold('line')} AS l FROM corpus) c ON c.file_id = h.file_id),
+located AS (SELECT file_id, position, arg_min(ord, rule * 100000 + ord) AS start FROM met WHERE rule IS NOT NULL GROUP BY file_id, position),
+sizes AS (SELECT file_id, max(ord) + 1 AS n FROM corpus GROUP BY file_id),
+bounds AS (SELECT a.file_id, a.position, a.start, coalesce((SELECT min(b.start) FROM located b WHERE b.file_id = a.file_id AND b.position > a.position AND b.start > a.start), s.n) AS stop FROM located a JOIN sizes s USING (file_id))"""
+
+
+def _bounds(spark, sf_dir):
+    rows = corpus.spec_corpus(spark, sf_dir)
+    sizes = rows.groupBy("file_id").agg((F.max("ord") + 1).alias("n"))
+    return headers.bounded(headers.located(_headers(spark, sf_dir), rows), sizes)
+
+
+@query(f"WITH {LOCATED} SELECT * FROM bounds")
+def section_bounds(spark, sf_dir):
+    return _bounds(spark, sf_dir).select("file_id", "position", "start", "stop")
+
+
+@query(
+    f"WITH {LOCATED} SELECT b.file_id, b.position, string_agg(c.line, chr(10) ORDER BY c.ord) AS section_text FROM bounds b JOIN corpus c ON c.file_id = b.file_id AND c.ord >= b.start AND c.ord < b.stop GROUP BY b.file_id, b.position"
+)
+def section_text(spark, sf_dir):
+    return headers.section_texts(_bounds(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
+
+
+# Search: benchmark passages ask, documents answer.
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_%°.]+')"
+BM25 = f"""d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS doc_len FROM d), g AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+lexical AS (SELECT query_id, tf.doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avg_len))) AS bm25
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN g GROUP BY query_id, tf.doc_id)"""
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN g")
+def bm25_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.term_stats(search.postings(docs), docs).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    f"WITH {BM25} SELECT query_id, doc_id, round(bm25, 6) AS bm25, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM lexical) WHERE r <= 10"
+)
+def bm25_search(spark, sf_dir):
+    found = search.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+    return search.top(found, "bm25", "doc_id", 10).select("query_id", "doc_id", "bm25", "rank")
+
+
+def _hashed(source: str, key: str) -> str:
+    byte = "(strpos('0123456789abcdef', h[i]) - 1) * 16 + strpos('0123456789abcdef', h[i + 1]) - 1"
+    return (
+        f"(SELECT {key}, list_transform(c, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS v FROM (SELECT {key}, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM "
+        f"(SELECT {key}, list_transform(b, lambda x: x - list_sum(b) / 32.0) AS c FROM (SELECT {key}, list_transform(range(1, 65, 2), lambda i: ({byte})::DOUBLE) AS b FROM "
+        f"(SELECT {key}, sha256(text) AS h FROM {source})))))"
+    )
+
+
+@query(f"SELECT doc_id, 384 AS n_values, round(v[1] / sqrt(12), 6) AS first, round(v[32] / sqrt(12), 6) AS last, round(list_sum(v), 6) + 0.0 AS total FROM {_hashed('documents', 'doc_id')}")
+def hash_embedding(spark, sf_dir):
+    v = F.col("v")
+    rows = table(spark, sf_dir, "documents").select("doc_id", search.embedding(F.col("text")).alias("v"))
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size(v).alias("n_values"), F.round(v[0], 6).alias("first"), F.round(v[383], 6).alias("last"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+_DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))"
+
+
+@query(
+    f"WITH {BM25}, dv AS {_hashed('documents', 'doc_id')}, qv AS {_hashed('benchmark', 'item_id')}, "
+    f"near AS (SELECT b.item_id AS query_id, a.doc_id, round({_DOT}, 6) AS cosine FROM dv a CROSS JOIN qv b), "
+    "dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS r FROM near) WHERE r <= 10), "
+    "fused AS (SELECT query_id, doc_id, round(coalesce(bm25, 0), 6) AS bm25, coalesce(cosine, 0) AS cosine FROM lexical FULL JOIN dense USING (query_id, doc_id)), "
+    "ranked AS (SELECT *, round(0.5 * bm25 + 0.5 * cosine, 6) AS score FROM fused) "
+    "SELECT query_id, doc_id, bm25, cosine, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM ranked) WHERE r <= 5"
+)
+def hybrid_search(spark, sf_dir):
+    return search.hybrid(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 5)
+
+
+@query(
+    "WITH u AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS v FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))), "
+    f"near AS (SELECT b.vec_id AS query_id, a.vec_id AS item_id, round({_DOT}, 6) AS cosine FROM u a JOIN u b ON b.vec_id % 20 = 0) "
+    "SELECT query_id, item_id, cosine, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS r FROM near) WHERE r <= 10"
+)
+def cosine_topk(spark, sf_dir):
+    """The stated queries, vectors with an id divisible by 20, against all vectors."""
+    unit = search.normalized(F.transform("embedding", lambda x: x.cast("double")))
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), unit.alias("v"))
+    asked = items.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return search.dense_top(items, asked, 10)
+
+
+# Layout: the corpus drawn on pages, a page for each section.
+LAYOUT = """SELECT file_id, section_no - 1 AS page_no, ord AS line_idx, line AS text, CAST(60 + 9 * (ord % 4) AS DOUBLE) AS x0, CAST(200 + 31 * (ord % 5) AS DOUBLE) AS x1,
+  CAST(30 + 230 * line_idx AS DOUBLE) AS y0, CAST(792 AS DOUBLE) AS page_height, CAST(10 + 3 * ((ord * 7 + section_no) % 3) AS DOUBLE) AS font_size, ord % 3 = 0 AS is_bold, upper(line) = line AS is_caps FROM {corpus}"""
+
+
+def _layout(spark, sf_dir):
+    return spark.sql(LAYOUT, corpus=corpus.spec_corpus(spark, sf_dir))
+
+
+TEXT_LINES = f"{CORPUS}, text_lines AS ({LAYOUT.format(corpus='corpus')})"
+STATS = f"{TEXT_LINES}, stats AS (SELECT file_id, page_no, median(font_size) AS median_size, CASE WHEN stddev_pop(font_size) > 0 THEN stddev_pop(font_size) ELSE 1.0 END AS stdev, median(x0) AS indent_median FROM text_lines GROUP BY file_id, page_no)"
+
+
+@query(f"WITH {STATS} SELECT file_id, page_no, median_size, round(stdev, 6) AS stdev, indent_median FROM stats")
+def page_size_stats(spark, sf_dir):
+    return layout.page_stats(_layout(spark, sf_dir)).withColumn("stdev", F.round("stdev", 6))
+
+
+RUNNING = f"""{STATS}, span AS (SELECT file_id, max(page_no) + 1 AS pages FROM text_lines GROUP BY file_id),
+short AS (SELECT *, lower(trim(text)) AS key FROM text_lines WHERE trim(text) <> '' AND length(trim(text)) <= 80 AND NOT (y0 / page_height > 0.1 AND y0 / page_height < 0.9)),
+running AS (SELECT file_id, key, CAST(trunc(round(avg(y0), 1)) AS INT) AS y_at, count(DISTINCT page_no) AS seen FROM short GROUP BY file_id, key),
+run AS (SELECT r.file_id, key, y_at FROM running r JOIN span s USING (file_id) WHERE seen / greatest(pages, 1) >= 0.6)"""
+
+
+@query(f"WITH {RUNNING} SELECT * FROM run")
+def running_lines(spark, sf_dir):
+    return layout.running_lines(_layout(spark, sf_dir))
+
+
+_LOW = "lower(trim(text))"
+_SEG = rf"CASE WHEN regexp_matches(regexp_replace(number, '[.\-]+$', ''), '^\p{{L}}$') THEN 2 WHEN {_SEGMENTS} = 0 THEN 1 WHEN {_SEGMENTS} > 1 AND regexp_matches(number, '^\p{{L}}\.') THEN {_SEGMENTS} + 1 ELSE {_SEGMENTS} END"
+SCORED = rf"""{RUNNING}, contents AS (SELECT file_id, page_no FROM (SELECT file_id, page_no, sum(CASE WHEN regexp_matches({_LOW}, '\.{{3,}}\s*\d+$') THEN 2 ELSE 0 END + CASE WHEN regexp_matches({_LOW}, 'contents|toc') THEN 4 ELSE 0 END) AS s FROM text_lines GROUP BY ALL) WHERE s >= 4),
+body AS (SELECT *, trim(text) AS t FROM text_lines l WHERE NOT EXISTS (SELECT 1 FROM contents c WHERE c.file_id = l.file_id AND c.page_no = l.page_no)
+  AND NOT EXISTS (SELECT 1 FROM run r WHERE r.file_id = l.file_id AND r.key = {_LOW} AND r.y_at = CAST(trunc(round(y0, 1)) AS INT))
+  AND trim(text) <> '' AND NOT (starts_with(lower(text), 'table ') OR starts_with(lower(text), 'figure ')
+    OR (length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) > length(regexp_replace(text, '\P{{L}}', '', 'g')) AND length(regexp_replace(text, '\P{{L}}', '', 'g')) >= 1))),
+parts AS (SELECT *, {_N} AS number, {_T} AS title FROM body),
+parted AS (SELECT p.*, s.median_size, s.stdev, s.indent_median - x0 AS delta, coalesce(number, '') <> '' AS has FROM parts p JOIN stats s USING (file_id, page_no)),
+scored AS (SELECT file_id, page_no, line_idx, number, title, font_size, greatest(0.0, round(0.45 * greatest(0.0, (font_size - median_size) / greatest(stdev, 1.0)) + CASE WHEN is_bold THEN 0.25 ELSE 0.0 END + CASE WHEN is_caps THEN 0.09 ELSE 0.0 END
+  + 0.25 * CASE WHEN has THEN 0.9 + 0.1 * greatest({_SEG} - 1, 0) ELSE 0.0 END
+  + 0.15 * CASE WHEN delta > 12 THEN 0.6 WHEN delta > 6 THEN 0.3 WHEN delta > 2 THEN 0.1 WHEN has AND delta < -12 THEN 0.2 WHEN has AND delta < -6 THEN 0.1 ELSE 0.0 END
+  - CASE WHEN length(text) > 120 THEN 0.4 WHEN length(text) > 80 THEN 0.2 ELSE 0.0 END, 6)) AS score FROM parted)"""
+
+
+@query(f"WITH {SCORED} SELECT file_id, page_no, line_idx, number, title, CAST(score AS DOUBLE) AS score FROM scored")
+def header_score(spark, sf_dir):
+    return layout.scored(_layout(spark, sf_dir)).select("file_id", "page_no", "line_idx", "number", "title", "score")
+
+
+@query()
+def layout_headers(spark, sf_dir):
+    """Detected headers with levels and ids, as a tree."""
+    found = layout.with_levels(layout.detected(_layout(spark, sf_dir)))
+    placed = found.withColumn("position", F.row_number().over(W.partitionBy("file_id").orderBy("page_no", "line_idx")))
+    named = placed.select("file_id", "page_no", "line_idx", "position", "level", F.coalesce("number", F.lit("")).alias("section_number"), F.col("title").alias("section_name"), "score")
+    return headers.section_tree(named).withColumn("id", identity.header_id(F.col("page_no"), F.col("line_idx"), F.col("section_name")))
+
+
+@query(
+    f"WITH {TEXT_LINES}, x AS (SELECT file_id, page_no, list(x0 ORDER BY x0) AS x FROM text_lines GROUP BY ALL), g AS (SELECT *, x[len(x) // 2 + 1] - x[len(x) // 2] AS gap0 FROM x) "
+    "SELECT file_id, page_no, CASE WHEN len(x) < 4 THEN 1 WHEN gap0 > 70 THEN 2 ELSE 1 END AS columns, CASE WHEN len(x) < 4 THEN 0.0::DOUBLE ELSE round(gap0, 2) END AS gap FROM g"
+)
+def column_gap(spark, sf_dir):
+    return layout.columns_by_gap(_layout(spark, sf_dir))
+
+
+@query()
+def column_kmeans(spark, sf_dir):
+    return layout.assigned_columns(_layout(spark, sf_dir))
+
+
+# Reports and exports.
+_QA = f"""{ATOMS}, leaves AS (SELECT DISTINCT file_id, section_id FROM corpus), objs AS (SELECT file_id, count(*) AS parsed_object_count FROM corpus GROUP BY file_id),
+made AS (SELECT file_id, count(*) AS specs_count FROM atoms GROUP BY file_id), withs AS (SELECT l.file_id, count(*) AS leaf_section_count, count(a.section_id) AS n FROM leaves l LEFT JOIN (SELECT DISTINCT file_id, section_id FROM atoms) a USING (file_id, section_id) GROUP BY l.file_id)"""
+
+
+@query(f"WITH {_QA} SELECT o.file_id, parsed_object_count, leaf_section_count, coalesce(specs_count, 0) AS specs_count, round(n / leaf_section_count, 6) AS leaf_spec_ratio FROM objs o JOIN withs USING (file_id) LEFT JOIN made USING (file_id)")
+def qa_coverage(spark, sf_dir):
+    rows = corpus.spec_corpus(spark, sf_dir)
+    return quality.coverage(rows, rows.select("file_id", "section_id").distinct(), atomize.atomize(rows))
+
+
+@query(
+    f"WITH {ATOMS}, twice AS (SELECT file_id, spec_id FROM atoms GROUP BY ALL HAVING count(*) > 1), dup AS (SELECT file_id, count(*) AS n, string_agg(spec_id, ', ' ORDER BY spec_id) AS ids FROM twice GROUP BY file_id), "
+    "bad AS (SELECT file_id, string_agg(spec_id, ', ' ORDER BY spec_id) AS ids, count(*) AS n FROM atoms WHERE section_id = 'sec-1' GROUP BY file_id), files AS (SELECT DISTINCT file_id FROM atoms) "
+    "SELECT f.file_id, CAST(coalesce(b.n, 0) AS INT) AS mismatched, CAST(coalesce(d.n, 0) AS INT) AS duplicates, concat_ws(chr(10), 'Source-object mismatch for spec_ids: ' || b.ids, 'Duplicate spec_ids detected: ' || d.ids) AS warnings "
+    "FROM files f LEFT JOIN bad b USING (file_id) LEFT JOIN dup d USING (file_id)"
+)
+def qa_consistency(spark, sf_dir):
+    """Specs whose sources are their section's objects, except that those of first sections have lost them."""
+    rows = corpus.spec_corpus(spark, sf_dir)
+    chunks = atomize.section_sources(rows).withColumnRenamed("source_object_ids", "object_ids")
+    made = atomize.atomize(rows).join(chunks, ["file_id", "section_id"]).withColumn(
+        "source_object_ids", F.when(F.col("section_id") != "sec-1", F.col("object_ids"))
+    )
+    return quality.consistency(made.drop("object_ids"), chunks)
+
+
+def _specs(spark, sf_dir):
+    rows = corpus.spec_corpus(spark, sf_dir)
+    return atomize.atomize(rows).join(atomize.section_sources(rows), ["file_id", "section_id"]).withColumns(
+        {"section_number": F.regexp_extract("section_id", r"\d+", 0), "section_title": F.concat(F.lit("Section "), F.regexp_extract("section_id", r"\d+", 0))}
+    )
+
+
+def _export(ids: str, confidence: str) -> str:
+    return (
+        f"WITH {ATOMS}, {_SOURCES} SELECT spec_id, file_id, section_id, regexp_extract(section_id, '\\d+') AS section_number, concat('Section ', regexp_extract(section_id, '\\d+')) AS section_title, "
+        f"spec_text, {confidence} AS confidence, {ids} AS source_object_ids FROM atoms JOIN sources USING (file_id, section_id)"
+    )
+
+
+@query(_export("'[\"' || replace(ids, ',', '\",\"') || '\"]'", "CAST(confidence AS VARCHAR)"))
+def export_csv_a(spark, sf_dir):
+    return export.csv_rows(_specs(spark, sf_dir))
+
+
+@query(_export("ids", "CAST(confidence AS VARCHAR)"))
+def export_csv_b(spark, sf_dir):
+    return export.csv_rows(_specs(spark, sf_dir), ",")
+
+
+@query()
+def export_json(spark, sf_dir):
+    return export.json_payloads(_specs(spark, sf_dir))
+
+
+@query()
+def qa_determinism(spark, sf_dir):
+    return quality.fingerprints(_specs(spark, sf_dir), "spec_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100")
+def paginate(spark, sf_dir):
+    """The third page of fifty: the limit is the feature."""
+    return lines.paginated(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 3, 50)
+
+
+@query(
+    f"WITH {CORPUS}, l AS (SELECT DISTINCT line FROM corpus), k AS (SELECT line, list_aggregate(list_transform(regexp_extract_all(line, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE lower(x) END), 'string_agg', '') AS key FROM l) "
+    "SELECT line, CAST(row_number() OVER (ORDER BY key, line) AS INT) AS place FROM k"
+)
+def natural_sort(spark, sf_dir):
+    """Lines in natural order, with their places: ranks by range partitions, not in one task."""
+    return sequences.placed(corpus.spec_corpus(spark, sf_dir).select("line").distinct().withColumn("key", text.natural_key(F.col("line"))), ["key", "line"]).select("line", "place")
+
+
+@query(f"WITH {ATOMS} SELECT * FROM atoms WHERE contains(lower(concat_ws(' ', section_id, spec_text, category, normalized_unit)), 'vdc')")
+def row_filter(spark, sf_dir):
+    return lines.filtered(spec_atomize(spark, sf_dir), "VDC", ["section_id", "spec_text", "category", "normalized_unit"])
+
+
+OBJECTS = """SELECT file_id, concat(file_id, '-txt-', lpad(CAST(ord AS STRING), 6, '0')) AS object_id, CAST(section_no - 1 AS INT) AS page_index, 3 * line_idx + 5 AS order_index,
+  CASE WHEN ord % 11 = 0 THEN 'figure' WHEN ord % 13 = 0 THEN 'table' WHEN ord % 2 = 0 THEN 'line' ELSE 'para' END AS kind, CASE WHEN ord % 11 <> 0 THEN line END AS text FROM {corpus}"""
+OBJS = f"{CORPUS}, objects AS ({OBJECTS.format(corpus='corpus')})"
+
+
+def _objects(spark, sf_dir):
+    return spark.sql(OBJECTS, corpus=corpus.spec_corpus(spark, sf_dir))
+
+
+@query(
+    f"WITH {OBJS}, s AS (SELECT file_id, sum(CASE WHEN kind IN ('line', 'para') THEN length(coalesce(text, '')) ELSE 0 END)::BIGINT AS text_chars, bool_or(kind = 'figure') AS has_images, bool_or(kind = 'table') AS has_tables FROM objects GROUP BY file_id) "
+    "SELECT *, CASE WHEN (text_chars < 200 AND has_images) OR (NOT has_tables AND has_images) THEN 'layout' ELSE 'native' END AS engine FROM s"
+)
+def engine_choice(spark, sf_dir):
+    return quality.engine_choice(_objects(spark, sf_dir))
+
+
+@query(f"WITH {OBJS} SELECT object_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY coalesce(page_index, 0), order_index, object_id) - 1 AS INT) AS order_index FROM objects")
+def objects_renumber(spark, sf_dir):
+    return lines.renumbered(_objects(spark, sf_dir)).select("object_id", "order_index")
+
+
+@query(f"WITH {OBJS} SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY coalesce(page_index, 0), order_index) - 1 AS INT) AS line_no, text AS entry FROM objects WHERE kind <> 'figure'")
+def object_lines(spark, sf_dir):
+    made = _objects(spark, sf_dir).withColumn("line_index", F.lit(None).cast("int"))
+    return lines.object_lines(made).select("file_id", "line_no", "entry")
+
+
+# Events as progress.
+_STATE = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END"
+
+
+@query(f"SELECT user_id, max({_STATE}) AS stage, bool_or(event_type = 'error') AS failed, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def progress_state(spark, sf_dir):
+    from ..streaming import progress
+
+    return progress.states(table(spark, sf_dir, "events"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from ..streaming import progress
+
+    return progress.windowed(table(spark, sf_dir, "events"), "1 hour")
+
+
+@query()
+def anchor_monotone(spark, sf_dir):
+    """Titles of rule headers anchored in document order."""
+    return sequences.anchored(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
+
+
+@query()
+def nested_list_parse(spark, sf_dir):
+    return sequences.nested(headers.header_block(_headers(spark, sf_dir)))
+
+
+@query()
+def fuzzy_match(spark, sf_dir):
+    """Each header's closest line by matching blocks."""
+    return sequences.closest(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
