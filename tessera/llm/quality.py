@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words
+from .common import WORD, let, materialize, words
 
 SYMBOLS = "#*$%&|<>"
+#: Documents of a language and source from which its own quartiles count.
+LEAST_ROWS = 100
 #: Accuracy of the quantile summaries: ranks are right to one in so many.
 ACCURACY = 2_000
 
@@ -98,24 +100,34 @@ def _ratios() -> dict[str, Column]:
 
 
 #: For each measure the least distance of a threshold from the upper quartile: differences below it are no fault.
-SLACK = {"symbols": 0.1, "word_length": 3.0, "duplicate_lines": 0.3, "repeats": 0.2, "capitals": 0.2, "shouts": 0.15}
+SLACK = {"symbols": 0.1, "word_length": 3.0, "duplicate_lines": 0.6, "repeats": 0.35, "capitals": 0.2, "shouts": 0.15}
 #: Interquartile ranges from the quartile to the threshold.
 SPREAD = 4.0
 
 
+def _limits(measured: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, n and ``top``: each measure's limit for each group of the keys' values."""
+    cuts = {k: F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.75)), ACCURACY) for k, v in _ratios().items()}
+    q = measured.where(~base_failed()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in cuts.items()))
+    limits = (
+        (F.get(F.col(k), F.lit(1)) + F.greatest(SPREAD * (F.get(F.col(k), F.lit(1)) - F.get(F.col(k), F.lit(0))), F.lit(SLACK[k]))).alias(k)
+        for k in cuts
+    )
+    return q.select(*keys, "n", F.struct(*limits).alias("top"))
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """A row for each lang and source (null is a value like others) with ``top``: each measure's upper limit.
 
     A limit is the upper quartile plus ``SPREAD`` times the distance between median and upper quartile, or plus the
-    measure's slack if that is more. Only documents that the base rules accept count.
+    measure's slack if that is more. Only documents that the base rules accept count. Quartiles of fewer than
+    ``LEAST_ROWS`` documents tell little: such a source takes its language's limits.
     """
-    cuts = {k: F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.75)), ACCURACY) for k, v in _ratios().items()}
-    q = measured.where(~base_failed()).groupBy("lang", "source").agg(*(c.alias(k) for k, c in cuts.items()))
-    limits = (
-        (F.get(F.col(k), F.lit(1)) + F.greatest(SPREAD * (F.get(F.col(k), F.lit(1)) - F.get(F.col(k), F.lit(0))), F.lit(SLACK[k]))).alias(k)
-        for k in cuts
+    own = _limits(measured, "lang", "source")
+    of_lang = _limits(measured, "lang").select(F.col("lang").alias("_of"), F.col("top").alias("_top"))
+    return own.join(of_lang, F.col("lang").eqNullSafe(F.col("_of"))).select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(F.col("n") < LEAST_ROWS, F.col("_top")).otherwise(F.col("top")).alias("top")
     )
-    return q.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*limits).alias("top"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -143,4 +155,5 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     repeated rows share a verdict; an empty table stays empty.
     """
     row = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
-    return judged(measures(row), thresholds(measures(docs.select("text", "lang", "source")))).where("kept").select("_row.*")
+    narrow = materialize(measures(docs.select("text", "lang", "source")).drop("text"))
+    return judged(measures(row), thresholds(narrow)).where("kept").select("_row.*")
