@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identity, specs, text
-from ..operators import atomize, corpus, export, headers, layout, lines, quality, search, toc
+from ..operators import atomize, corpus, export, headers, layout, lines, matching, quality, search, toc
 from . import sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,3 +607,59 @@ def nested_list_parse(spark, sf_dir):
 def fuzzy_match(spark, sf_dir):
     """Each header's closest line by matching blocks."""
     return sequences.closest(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
+
+
+@query()
+def marker_expansion(spark, sf_dir):
+    return matching.line_variants(corpus.spec_corpus(spark, sf_dir)).select("line", F.array_join("variants", " | ").alias("variants"))
+
+
+@query()
+def verified_headers(spark, sf_dir):
+    """Headers held against their documents, with evidence; multi-word titles by whole lines too."""
+    rows = corpus.spec_corpus(spark, sf_dir)
+    return matching.verified(_headers(spark, sf_dir), lines.joined(rows, "file_id", "ord", "line"), strict=False)
+
+
+@query()
+def clean_documents(spark, sf_dir):
+    return matching.cleaned(lines.joined(corpus.spec_corpus(spark, sf_dir), "file_id", "ord", "line"))
+
+
+@query()
+def outline_tree(spark, sf_dir):
+    return matching.outline(nested_list_parse(spark, sf_dir))
+
+
+@query(
+    f"WITH {HEADERS} SELECT file_id, position, section_number, CASE WHEN contains(section_number, '.') THEN regexp_replace(section_number, '\\.[^.]*$', '') END AS parent_number FROM headers"
+)
+def dotted_tree(spark, sf_dir):
+    return matching.by_dotted_number(_headers(spark, sf_dir)).select("file_id", "position", "section_number", "parent_number")
+
+
+@query(
+    f"WITH {LOCATED}, numbered AS (SELECT l.*, h.section_number FROM located l JOIN headers h USING (file_id, position)) SELECT a.file_id, a.position, a.start, "
+    "coalesce((SELECT min(b.start) FROM numbered b WHERE b.file_id = a.file_id AND b.section_number <> a.section_number AND b.start > a.start), s.n) AS stop FROM numbered a JOIN sizes s USING (file_id)"
+)
+def sections_closed_by_others(spark, sf_dir):
+    rows = corpus.spec_corpus(spark, sf_dir)
+    sizes = rows.groupBy("file_id").agg((F.max("ord") + 1).alias("n"))
+    found = headers.located(_headers(spark, sf_dir), rows)
+    return matching.closed_by_others(found, sizes).select("file_id", "position", "start", "stop")
+
+
+@query(
+    f"WITH {LOCATED} SELECT l.file_id, l.position, c.section_no AS page_number, CAST(c.line_idx + 1 AS INT) AS line_number FROM located l JOIN corpus c ON c.file_id = l.file_id AND c.ord = l.start"
+)
+def header_locations(spark, sf_dir):
+    rows = corpus.spec_corpus(spark, sf_dir).withColumn("page", F.col("section_no") - 1)
+    found = headers.located(_headers(spark, sf_dir), rows)
+    return matching.with_locations(found, rows).select("file_id", "position", "page_number", F.col("line_number").cast("int").alias("line_number"))
+
+
+@query()
+def leaf_fallback_ranges(spark, sf_dir):
+    """Leaves of the section tree; those at even positions have lost their chunks."""
+    leaves = _tree(spark, sf_dir).where("last = position").select("file_id", "position", "section_name", F.when(F.col("position") % 2 == 1, F.col("ord")).alias("start"))
+    return matching.fallback_ranges(leaves, corpus.spec_corpus(spark, sf_dir))

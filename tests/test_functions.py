@@ -139,3 +139,53 @@ def test_adapters(spark):
     assert values(spark, lambda x: adapters.generated(x, lambda p: p.upper()), "a", "b") == ["A", "B"]
     lined = spark.createDataFrame([("f", 0, "x" * 30), ("f", 1, "y" * 30)], "file_id string, ord int, line string")
     assert "y" not in adapters.outline_prompt(lined, 40).first().prompt.split("\n\n")[1]
+
+
+def test_marker_variants():
+    from tessera.operators import matching
+
+    out = []
+    for line in ("1) Scope Summary", "1 Scope Summary", "Section 1.1 Background"):
+        out += [v for v in matching.variants(line) if v not in out]
+    assert out == ["scope summary", "1 scope summary", "summary", "1 1 background", "section 1 1 background", "background"]
+
+
+def test_verification(spark):
+    from tessera.operators import matching
+
+    doc = "Contents\nScope .... 2\n\nScope\nbody of it\nLong Title\nmore"
+    assert matching.position(doc, "Scope") == (doc.index("\nScope\n") + 1, None)
+    assert matching.position(doc, "Long Title")[0] is None and matching.position(doc, "Long Title", strict=False)[0] == doc.index("Long Title")
+    heads = spark.createDataFrame([("f", 1, "1", "Scope"), ("f", 2, "2", "scope"), ("f", 3, "3", "Nowhere to be found"), ("f", 4, "4", "x" * 130)], "file_id string, position int, section_number string, section_name string")
+    found = {r.position: r for r in matching.verified(heads, spark.createDataFrame([("f", doc)], "file_id string, text string")).collect()}
+    assert [found[k].verified for k in sorted(found)] == [True, False, False, False] and "body of it" in found[1].evidence
+
+
+def test_clean_documents(spark):
+    from tessera.operators import matching
+
+    toc = "iv\nContents\nA ..... 1\nB ..... 2\nC ..... 3\n1 Scope\ntext-\nual body\n" + "footer\nline %d\n" * 0
+    docs = spark.createDataFrame([("f", toc), ("g", "xii")], "file_id string, text string")
+    assert {r.file_id: r.text for r in matching.cleaned(docs).collect()} == {"f": "1 Scope\ntext-ual body", "g": "xii"}
+
+
+def test_outline_and_ranges(spark):
+    from tessera.operators import matching
+
+    items = spark.createDataFrame([("f", 0, 0, "1", "A"), ("f", 1, 3, "1.1.1", "B"), ("f", 2, 1, "2", "C")], "file_id string, at int, depth int, number string, title string")
+    assert [(r.section_id, r.depth) for r in matching.outline(items).orderBy("at").collect()] == [("f-sec-0001", 0), ("f-sec-0002", 1), ("f-sec-0003", 1)]
+    leaves = spark.createDataFrame([("f", 1, "One", 0), ("f", 2, "Two", None), ("f", 3, "Three", 4)], "file_id string, position int, section_name string, start int")
+    body = spark.createDataFrame([("f", i, x) for i, x in enumerate(["One", "a", "2. Two:", "b", "Three", "c"])], "file_id string, ord int, line string")
+    assert [tuple(r) for r in matching.fallback_ranges(leaves, body).collect()] == [("f", 2, 2, 3)]
+
+
+def test_cli(spark, tmp_path, capsys):
+    from tessera import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("1 Power\nSupply voltage must be 24 VDC\n2 Frame\nWidth shall be 5 cm\n")
+    cli.main(["specs", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
+    rows = spark.read.json(str(tmp_path / "out")).collect()
+    assert {(r.normalized_value, r.section_id[-4:]) for r in rows} == {(24.0, "0001"), (50.0, "0002")}
+    cli.main(["search", str(tmp_path / "in"), "24 VDC supply", "--top", "1"])
+    assert "24 VDC" in capsys.readouterr().out
