@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import string
 import tempfile
@@ -53,22 +54,41 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Tables that this process wrote and hasn't deleted.
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it: cuts the lineage, survives lost executors."""
+    """Writes ``df`` as Parquet to the shared folder and reads it: cuts the lineage, survives lost executors.
+
+    The files go when the process ends, or by ``discard``: results are lazy and read them until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tessera-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+            for known in [k for k in _written if k.rpartition("/")[2] == path.rpartition("/")[2]]:
+                del _written[known]
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in _written.items():
+        with contextlib.suppress(Exception):  # the session may be over
+            _delete(spark, path)
 
 
 def unit_interval(hashed: Column) -> Column:
@@ -82,6 +102,16 @@ def piece_of(hashed: Column, pieces: Column | int) -> Column:
     return F.least(F.floor(unit_interval(hashed) * pieces), pieces - 1).cast("int")
 
 
+def packed(df: DataFrame) -> bytes:
+    """A table of bounded size as Arrow bytes, to be broadcast: rows as Python objects would take the driver ten times as much."""
+    import pyarrow as pa
+
+    table, sink = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows whose ``n`` is above a threshold that ``most`` rows at most pass, found from a histogram of n.
 
