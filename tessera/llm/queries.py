@@ -17,9 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", "text").alias("shuffle_key"),
     )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = mixing.schedule(materialize(rows))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"])
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies")[0]["finish"].alias("virtual_finish"))
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies")[0]["finish"].alias("virtual_finish")).repartitionByRange(n, "virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
