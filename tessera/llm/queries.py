@@ -83,4 +83,66 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+def _op10_sql() -> str:
+    """The same rows by SQL. Its quantiles are exact, as the summaries are up to ``quality.ACCURACY`` rows of a group."""
+    ratio = {
+        "symbols": "n_symbols / greatest(n_words, 1)::DOUBLE",
+        "word_length": "word_chars / greatest(n_words, 1)::DOUBLE",
+        "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)::DOUBLE",
+        "repeats": "n_repeat_words / greatest(n_words, 1)::DOUBLE",
+        "capitals": "n_upper / greatest(word_chars, 1)::DOUBLE",
+        "shouts": "n_shouts / greatest(n_words, 1)::DOUBLE",
+    }
+    limits = ", ".join(
+        f"quantile_disc({k}, 0.75) + greatest({quality.SPREAD!r}::DOUBLE * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.5)), {quality.SLACK[k]!r}::DOUBLE) AS {k}"
+        for k in ratio
+    )
+    fits = " AND ".join(f"m.{k} <= CASE WHEN s.n < {quality.LEAST_ROWS} THEN l.{k} ELSE s.{k} END" for k in ratio)
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+windows AS (SELECT r, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n FROM again CROSS JOIN (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
+base AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  len(lines) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper, length(text) - length(translate(text, '!?', '')) AS n_shouts
+  FROM w LEFT JOIN covered c USING (r)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in ratio.items())} FROM base),
+s AS (SELECT lang, source, count(*) AS n, {limits} FROM m WHERE NOT base_failed GROUP BY lang, source),
+l AS (SELECT lang, {limits} FROM m WHERE NOT base_failed GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({fits}, true) AS kept
+FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang"""
+
+
+def _op5_sql() -> str:
+    """The same rows by SQL: every place of every mandatory phrase by comparison, without an index."""
+    templates = [(t, f"b{i}", 1.0) for i, t in enumerate(licenses.BASE)] + [(t, f"m{i}", 0.5) for i, t in enumerate(licenses.NOTICES)]
+    upper = "".join(map(chr, range(65, 91)))
+
+    def places(t: licenses.Template, need: float) -> str:
+        tokens, at = t.words(), t.phrase_at()
+        phrase = " AND ".join(f"w[p + {k + 1}] = '{x}'" for k, x in enumerate(t.phrase.split()))
+        share = " + ".join(f"CASE WHEN p + {k - at} >= 0 AND w[p + {k - at + 1}] = '{x}' THEN 1 ELSE 0 END" for k, x in enumerate(tokens))
+        found = f"list_transform(list_filter(range(0, len(w)), lambda p: p >= {at} AND {phrase}), lambda p: {{'start': p, 'share': ({share}) / {float(len(tokens))!r}::DOUBLE}})"
+        return f"list_filter({found}, lambda x: x.share >= {need})"
+
+    columns = ", ".join(f"{places(t, need)} AS {name}" for t, name, need in templates)
+    base = [name for _, name, _ in templates if name[0] == "b"]
+    starts = "list_sort(list_transform(" + " || ".join(base) + ", lambda x: x.start))"
+    shares = "list_max(list_transform(" + " || ".join(name for _, name, _ in templates if name[0] == "m") + ", lambda x: x.share))"
+
+    def labels(prefixes: str) -> str:
+        said = ", ".join(f"CASE WHEN len({name}) > 0 THEN '{t.label}' END" for t, name, _ in templates if name[0] in prefixes)
+        return f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{said}], lambda x: x IS NOT NULL))), ','), '')"
+
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{licenses.LICENSE_WORD}') AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n_words, {columns} FROM t), g AS (SELECT *, {starts} AS starts, coalesce({shares}, 0.0::DOUBLE) AS best FROM f)
+SELECT doc_id, n_words, len(starts) AS n_base, starts[1] AS first_word, starts[-1] AS last_word, {labels("b")} AS base_labels, {labels("bm")} AS labels,
+  CASE WHEN len(starts) > 0 THEN greatest(best, 0.5::DOUBLE) ELSE best END AS score FROM g"""
+
+
+#: The other queries rest on hashes, samples or models that SQL hasn't: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_scan_licenses": _op5_sql(), "op10_quality_rules": _op10_sql()}

@@ -303,3 +303,14 @@ def test_quality(spark, sf_dir, rows):
     same(found, expected, list(expected[0]))
     assert not any(r["kept"] and r["base_failed"] for r in found)
     assert any(r["kept"] for r in found)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet/*.parquet'")
+    found = con.sql(queries.ORACLE_SQL[name])
+    expected = [dict(zip(found.columns, r, strict=True)) for r in found.fetchall()]
+    same(run(spark, sf_dir, name), expected, found.columns)
