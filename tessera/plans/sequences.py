@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from ..functions import text as T
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``place``, from 1, in the global order: ranks in ranges, and how many rows the ranges before hold.
 
-    The ranges are those of a sort whose boundaries are sampled once for both uses: the plan has one exchange.
+    The ranges' boundaries are sampled: the ranged rows are persisted, so that both uses see the same ones. A lost part is made
+    again by the same exchange, with the same boundaries.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
     local = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn("place", (F.col("_local") + F.col("_before")).cast("int")).drop("_part", "_local", "_before", "_n")
