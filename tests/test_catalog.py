@@ -9,7 +9,7 @@ from tessera.plans import catalog
 
 SOURCE = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings benchmark lineitem part".split()
-SIZES = {"lineitem": "WHERE l_orderkey < 90", "documents": "WHERE doc_id < 60", "benchmark": "WHERE item_id < 8", "events": "WHERE event_id < 400"}
+SIZES = {"lineitem": "WHERE l_orderkey < 90", "benchmark": "WHERE item_id < 8", "events": "WHERE event_id < 400"}
 
 
 @pytest.fixture(scope="module")
