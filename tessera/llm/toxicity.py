@@ -8,6 +8,7 @@ blame down to sentences, and the sentences with the highest probabilities locate
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -70,10 +71,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, rate: float = 0.
     rate_of_1 = (y.sum() + 0.5) / (len(y) + 1.0)
     if not len(y) or y.min() == y.max():
         return Model({}, float(np.log(rate_of_1 / (1 - rate_of_1))) if len(y) else -3.0)
-    bags = [[set(_TOKEN.findall(m[0].lower())) for m in _SENTENCE.finditer(t)] for t in texts]
     inside: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, label in zip(bags, labels, strict=True):
-        inside[label].update(set().union(*bag) if bag else ())
+    for text, label in zip(texts, labels, strict=True):
+        inside[label].update(set(_TOKEN.findall(text.lower())))
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = {}
     for w in inside[0].keys() | inside[1].keys():
@@ -85,18 +85,23 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, rate: float = 0.
                 odds[w] = (value, abs(value) / error)
     vocabulary = sorted(odds, key=lambda w: (-odds[w][1], w))[:MAX_WORDS]
     index = {w: i for i, w in enumerate(vocabulary)}
-    # Sentences with words of the model, one after another; the rest of a document are counted.
-    rows, columns, owner, plain = [], [], [], np.zeros(len(bags))
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hit = [index[t] for t in s if t in index]
+    # Sentences with words of the model, one after another; the rest of a document are counted. Texts are read again:
+    # their words as sets would take many times their size.
+    inside[0].clear()
+    inside[1].clear()
+    rows, columns, owner, plain = array("l"), array("l"), array("l"), np.zeros(len(texts))
+    for d, text in enumerate(texts):
+        sentences = 0
+        for m in _SENTENCE.finditer(text):
+            sentences += 1
+            hit = {index[t] for t in _TOKEN.findall(m[0].lower()) if t in index}
             if hit:
-                rows += [len(owner)] * len(hit)
-                columns += hit
+                rows.extend([len(owner)] * len(hit))
+                columns.extend(sorted(hit))
                 owner.append(d)
             else:
                 plain[d] += 1
-        plain[d] = max(plain[d], 0 if bag else 1)
+        plain[d] = max(plain[d], 0 if sentences else 1)
     rows, columns, owner = (np.array(x, dtype=np.int64) for x in (rows, columns, owner))
     w, b = np.array([odds[x][0] for x in vocabulary]), -6.0
     start = w.copy()
