@@ -2,7 +2,7 @@
 
 A word's bytes, an array of pieces, are folded over its possible merges: each step joins the adjacent pieces whose union has
 the lowest rank. Ranks are looked up in a literal: an array of small maps, found by a hash of the pair. Decoding
-looks each id's bytes up in a literal array and concatenates.
+concatenates the bytes of each id.
 
 Distinct words are folded, not occurrences: the most frequent words of the corpus once each, a bounded number that goes to
 the workers as a dictionary, and the other words once for each text that has them. No text is shuffled.
@@ -11,21 +11,25 @@ the workers as a dictionary, and the other words once for each text that has the
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import let, materialize, most_frequent
+from .common import let, materialize, most_frequent, packed, small_batches
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
-#: Different words that a task sums up before it hands them on.
-COMBINED = 400_000
+#: Rows whose words are looked up at once.
+SLICE = 500
 #: Maps among which the ranks are dealt out.
 BUCKETS = 1 << 15
 #: Stands for no rank.
@@ -38,12 +42,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _pattern(pattern: str):
-    import regex
-
-    return regex.compile(pattern)
-
-
 def merge_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     """The two pieces whose merge makes ``token``: what merging its bytes by lower ranks alone leaves."""
     pieces, top = [token[i : i + 1] for i in range(len(token))], ranks[token]
@@ -75,9 +73,7 @@ class Codec:
                 pair = "".join(chr(self.FIRST + ranks[x]) for x in merge_pair(token, ranks))
                 buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = chr(self.FIRST + rank)
         self._table = json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)
-        self._pieces = [""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self._pieces[rank] = token.hex()
+        self.ranks = ranks
 
     def table(self) -> Column:
         """The map of pairs to what they become, as a constant that the optimizer folds into a literal."""
@@ -115,40 +111,31 @@ class Codec:
         source = "".join(map(chr, self.bytes_to_pieces))
         return F.translate(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), source, "".join(map(chr, self.bytes_to_pieces.values())))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids joined by spaces; no ids give no bytes."""
-        pieces = F.split(F.lit(",".join(self._pieces)), ",")
-        each = F.when(ids == "", F.array().cast("array<string>")).otherwise(F.split(ids, " "))
-        return F.unhex(
-            let(pieces, lambda table: F.array_join(F.transform(each, lambda i: F.get(table, i.cast("int"))), ""))
-        )
+    def decoder(self) -> dict[str, bytes]:
+        """Each id, in decimal, to its bytes."""
+        return {str(rank): token for token, rank in self.ranks.items()}
+
+
+def split(text: Column, pattern: str) -> Column:
+    """The words of the whole text. With the flag, white space is Unicode's, as in the libraries that the patterns are for."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
 def frequent_words(texts: DataFrame, pattern: str) -> DataFrame:
-    """word, n of the ``HEAD_WORDS`` most frequent words that have ``HEAD_BYTES`` bytes at most, over all whole texts."""
+    """word, n of at most ``HEAD_WORDS`` words, the most frequent that have ``HEAD_BYTES`` bytes at most, over all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, found = _pattern(pattern).findall, Counter()
+        for batch in batches:  # a batch's different words are counted by Arrow
+            counts = batch.column("words").flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "n"])
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return batch
-
-        for batch in batches:
-            for t in batch.column("text"):
-                found.update(find(t.as_py() or ""))
-                if len(found) >= COMBINED:
-                    yield out()
-        if found:
-            yield out()
-
-    counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.select(split(F.col("text"), pattern).alias("words")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return most_frequent(materialize(counts.where(F.octet_length("word") <= HEAD_BYTES)), HEAD_WORDS)
 
 
 def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``ids`` (decimal, joined by spaces) for every row of ``docs``, which has ``text`` too.
+    """The columns ``keep``, ``ids`` and ``rest`` for every row of ``docs``, which has ``text`` too: ids in decimal, joined by spaces,
+    with ``~k`` for a word whose ids are element k of ``rest``.
 
     Each match of ``pattern`` is encoded by itself; special tokens are ordinary text. A null or empty text has no ids; repeated rows
     each have a row; an empty table gives an empty one. A single match of n bytes takes steps in proportion to n squared.
@@ -158,53 +145,67 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = head.repartition(n).select("word", codec.encode_words(F.array(codec.pieces(F.col("word"))))[0].alias("ids"))
     of_bytes = codec.bytes_to_pieces
-    shared = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in coded.collect()})
-    schema = docs.select(*keep).schema
-    for name, kind in (("known", "array<string>"), ("unknown", "array<int>"), ("rest", "array<string>")):
-        schema = schema.add(name, spark.range(0).selectExpr(f"cast(null as {kind}) x").schema["x"].dataType)
+    shared = spark.sparkContext.broadcast(packed(coded))
+    schema = docs.select(*keep).schema.add("ids", "string").add("rest", T.ArrayType(T.StringType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # it gives back what is free
+        with pa.ipc.open_stream(shared.value) as source:
+            head = source.read_all().combine_chunks()
+        head_words, head_ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in head.columns)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):  # bounded memory, whatever the session's batches are
+                batch = whole.slice(start, SLICE)
+                words = batch.column("words")
+                coded = words.flatten().dictionary_encode()
+                own = coded.dictionary
+                found = np.array([*head_ids.take(pc.index_in(own, value_set=head_words)).to_pylist(), None], dtype=object)
+                missing = np.array([x is None for x in found])
+                at = coded.indices.to_numpy(zero_copy_only=False)
+                ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+                ids, rest = [], []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    row = at[a:b]
+                    parts = found[row].tolist()
+                    places: dict[int, int] = {}
+                    for i in np.nonzero(missing[row])[0].tolist():
+                        parts[i] = f"~{places.setdefault(row[i], len(places))}"
+                    ids.append(" ".join(parts))
+                    rest.append([own[int(w)].as_py().encode("utf-8", "surrogatepass").decode("latin-1").translate(of_bytes) for w in places])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in keep), pa.array(ids, pa.string()), pa.array(rest, pa.list_(pa.string()))], names=schema.names
+                )
+
+    parts = docs.select(*keep, split(F.col("text"), pattern).alias("words")).mapInArrow(run, schema)
+    return parts.withColumn("rest", codec.encode_words(F.col("rest")))
+
+
+def round_trip(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``: see ``encode``.
+
+    With ``with_ids`` also ids (decimal, joined by spaces). The result is a written table.
+    """
+    pieces = docs.sparkSession.sparkContext.broadcast(codec.decoder())  # as large as the vocabulary
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("ids", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids = _pattern(pattern).findall, shared.value
+        of_id, place = pieces.value.__getitem__, re.compile(r"~(\d+)")
         for batch in batches:
-            known, unknown, rest = [], [], []
-            for t in batch.column("text"):
-                words = find(t.as_py() or "")
-                parts = list(map(ids.get, words))
-                own: dict[str, int] = {}
-                segments, gaps, at = [], [], 0
-                for i in [i for i, p in enumerate(parts) if p is None]:
-                    segments.append(" ".join(parts[at:i]))
-                    gaps.append(own.setdefault(words[i], len(own)))
-                    at = i + 1
-                segments.append(" ".join(parts[at:]))
-                known.append(segments)
-                unknown.append(gaps)
-                rest.append([w.encode("utf-8", "surrogatepass").decode("latin-1").translate(of_bytes) for w in own])
+            counts, coded, decoded, out = [], [], [], []
+            for line, rest in zip(batch.column("ids"), batch.column("rest"), strict=True):
+                ids = line.as_py()
+                if "~" in ids:
+                    own = rest.as_py()
+                    ids = place.sub(lambda m, own=own: own[int(m[1])], ids)
+                tokens = ids.split()
+                counts.append(len(tokens))
+                coded.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(of_id, tokens))).hexdigest())
+                out.append(ids)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(known, pa.list_(pa.string())), pa.array(unknown, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))],
-                names=schema.names,
+                [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (coded, decoded, out))], names=schema.names
             )
 
-    parts = docs.select(*keep, "text").mapInArrow(run, schema)
-    folded = codec.encode_words(F.col("rest"))
-    pieces = let(
-        folded,
-        lambda ids: F.zip_with(
-            "known", "unknown", lambda k, u: F.concat_ws(" ", F.when(k != "", k), F.when(u.isNotNull(), F.get(ids, u)))
-        ),
-    )
-    return parts.select(*keep, F.array_join(F.filter(pieces, lambda x: x != ""), " ").alias("ids"))
-
-
-def round_trip(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, n_tokens, ids_sha256, decoded_sha256, ids for every row of ``docs``, which has ``text`` too: see ``encode``."""
-    coded = encode(docs, codec, pattern, keep)
-    ids = F.col("ids")
-    spaces = F.char_length(ids) - F.char_length(F.replace(ids, F.lit(" "), F.lit("")))
-    return coded.select(
-        *keep,
-        F.when(ids == "", F.lit(0)).otherwise(spaces + 1).cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(codec.decode(ids), 256).alias("decoded_sha256"),
-        "ids",
-    )
+    made = encode(docs, codec, pattern, keep).mapInArrow(run, schema)
+    with small_batches(docs.sparkSession, SLICE):
+        return materialize(made if with_ids else made.drop("ids"))

@@ -102,6 +102,21 @@ def piece_of(hashed: Column, pieces: Column | int) -> Column:
     return F.least(F.floor(unit_interval(hashed) * pieces), pieces - 1).cast("int")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """While it is open, batches to and from Python have so many rows at most: less memory where rows are long.
+
+    Only actions inside it are concerned, so what needs it is materialized inside.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def packed(df: DataFrame) -> bytes:
     """A table of bounded size as Arrow bytes, to be broadcast: rows as Python objects would take the driver ten times as much."""
     import pyarrow as pa
