@@ -1,8 +1,9 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts of all words and of all pairs of neighbouring words of the training texts are gathered by partial sums. A count is
-quantised to a power of two; an n-gram of level q is put into the filter q times, once for each level. The filter, a bit array of
-bounded size, is broadcast; a worker finds a count by probing level 1, 2, ... until one is missing.
+quantised to a power of two; an n-gram of level q is put into the filter q times, once for each level. The filter is made of
+segments of fixed size, and each n-gram has its segment; their number grows with the entries, so that none is left out. All are
+broadcast; a worker finds a count by probing level 1, 2, ... until one is missing.
 
 Probabilities: a pair seen twice or more gives (count - D) / count(context); what that leaves of the context's mass goes by the
 unigram. What is left is itself found in the filter, under a key of the context. Words that the filter lacks share the
@@ -15,7 +16,6 @@ the other words of each document meet their counts in a join.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,14 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, most_frequent, packed, scalar
 
-#: The filter's largest size, and bits for each entry while that allows it.
-MAX_BITS, BITS_PER_ENTRY, PROBES = 1 << 28, 12, 3
+#: The filter's bits for each entry, and its probes.
+BITS_PER_ENTRY, PROBES = 12, 3
 #: Words whose exact counts are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
 #: Texts that are scored at once.
@@ -44,13 +43,11 @@ DISCOUNT = 0.75
 #: The token after the last word. No word is empty.
 END = b""
 #: Bits of a filter segment: a power of two.
-SEGMENT = 1 << 20
-#: Groups in which the tasks' parts of a segment are joined first.
-SALTS = 64
+SEGMENT = 1 << 18
 #: Most levels that a count can have.
 LEVELS = 62
 
-_WORD, _MASS = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
+_WORD, _MASS, _SEGMENT = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -99,11 +96,16 @@ def pairs(ids: np.ndarray) -> np.ndarray:
     return (ids[:-1] << np.uint64(32)) | ids[1:]
 
 
-def probes(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """Bit positions of a level of the keys, an array for each probe: parts of one hash."""
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment in which all levels of a key are."""
+    return (mix(keys ^ _SEGMENT) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+
+
+def probes(keys: np.ndarray, level: int) -> list[np.ndarray]:
+    """Bit positions of a level of the keys in their segments, an array for each probe: parts of one hash."""
     with np.errstate(over="ignore"):
         a = mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-        return [x & np.uint64(bits - 1) for x in (a, (a >> np.uint64(17)) ^ (a << np.uint64(11)), (a >> np.uint64(34)) ^ (a << np.uint64(22)))]
+        return [x & np.uint64(SEGMENT - 1) for x in (a, (a >> np.uint64(17)) ^ (a << np.uint64(11)), (a >> np.uint64(34)) ^ (a << np.uint64(22)))]
 
 
 @dataclass(frozen=True)
@@ -115,8 +117,9 @@ class Filter:
         """For each key how many levels in a row are in the filter."""
         out = np.zeros(len(keys), dtype=np.int64)
         at = np.arange(len(keys))
+        first = segment_of(keys, self.bits // SEGMENT) * np.uint64(SEGMENT)
         for q in range(1, LEVELS + 1):
-            hashed = probes(keys[at], q, self.bits)
+            hashed = [first[at] + p for p in probes(keys[at], q)]
             for k in range(PROBES):  # most keys miss by the first probe: the next ones look up what is left
                 p = hashed[k]
                 hit = (self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -183,46 +186,35 @@ def _level(n: Column) -> Column:
     return F.length(F.bin(n.cast("long")))
 
 
-def build_filter(entries: DataFrame) -> tuple[bytes, int, int]:
-    """The filter's bytes, its size in bits and the least level it holds, from ``entries`` (kind, id, level).
+def build_filter(entries: DataFrame) -> tuple[bytes, int]:
+    """The filter's bytes and its size in bits from ``entries`` (kind, id, level): every entry once for each of its levels.
 
-    Every entry goes in once for each of its levels. If the largest filter is too small for all, the least level rises until
-    it fits; that bounds the broadcast by ``MAX_BITS`` at any size of corpus.
+    A segment is built by one task from its own entries, whatever the size of the whole.
     """
-    counts = {r["level"]: r["count"] for r in entries.groupBy("level").count().collect()}  # LEVELS rows at most
-    least = 1
-    while (size := sum(q * n for q, n in counts.items() if q >= least)) * BITS_PER_ENTRY / 2 > MAX_BITS:
-        least += 1
-    bits = max(SEGMENT, min(MAX_BITS, 1 << max(1, math.ceil(math.log2(size * BITS_PER_ENTRY + 1)))))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, salt = np.zeros(bits // 8, dtype=np.uint8), TaskContext.get().partitionId() % SALTS
+    size = scalar(entries.agg(F.coalesce(F.sum("level"), F.lit(0))))[0]
+    segments = max(1, math.ceil(size * BITS_PER_ENTRY / SEGMENT))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, ids, level = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            kind, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
             ids = ids.astype(np.int64).view(np.uint64)
             keys = np.where(kind == 0, word_key(ids), np.where(kind == 1, mass_key(ids), mix(ids)))
-            for q in range(1, int(level.max(initial=0)) + 1):
-                for p in probes(keys[level >= q], q, bits):
-                    np.bitwise_or.at(own, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-        for k, piece in enumerate(own.reshape(-1, SEGMENT // 8)):
-            if piece.any():
-                data = zlib.compress(piece.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([data], pa.binary())], names=["segment", "salt", "data"])
-
-    def union(rows: pa.Table) -> pa.Table:
+            own = segment_of(keys, segments).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(keys.view(np.int64)), batch.column("level")], names=["segment", "key", "level"])
+
+    def filled(rows: pa.Table) -> pa.Table:
         out = np.zeros(SEGMENT // 8, dtype=np.uint8)
-        for data in rows.column("data"):
-            out |= np.frombuffer(zlib.decompress(data.as_py()), dtype=np.uint8)
-        return pa.table({"segment": rows.column("segment")[:1], "salt": rows.column("salt")[:1], "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+        keys, level = rows.column("key").to_numpy().view(np.uint64), rows.column("level").to_numpy()
+        for q in range(1, int(level.max(initial=0)) + 1):
+            for p in probes(keys[level >= q], q):
+                np.bitwise_or.at(out, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        return pa.table({"segment": rows.column("segment")[:1], "data": pa.array([out.tobytes()], pa.binary())})
 
-    # A task's own filter is a filter already; a segment's parts meet in SALTS groups before they meet in one.
-    rows = "segment int, salt int, data binary"
-    parts = entries.where(F.col("level") >= least).select("kind", "id", "level").mapInArrow(part, rows)
-    segments = parts.groupBy("segment", "salt").applyInArrow(union, rows).groupBy("segment").applyInArrow(union, rows)
-    data = bytearray(bits // 8)
-    for r in segments.toLocalIterator():
-        data[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = zlib.decompress(r["data"])
-    return bytes(data), bits, least
+    rows = entries.select("kind", "id", "level").mapInArrow(keyed, "segment int, key long, level int")
+    data = bytearray(segments * SEGMENT // 8)
+    for r in rows.groupBy("segment").applyInArrow(filled, "segment int, data binary").toLocalIterator():
+        data[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["data"]
+    return bytes(data), segments * SEGMENT
 
 
 @dataclass(frozen=True)
@@ -233,7 +225,6 @@ class Numbers:
     words: int
     once: int
     normaliser: float
-    least: int
 
 
 def log10_probabilities(words: np.ndarray, at: np.ndarray, own: Filter, numbers: Numbers) -> np.ndarray:
@@ -286,8 +277,8 @@ def train(texts: DataFrame) -> Trained:
         .select(F.lit(1).alias("kind"), "id", _level(F.greatest(F.floor("mass"), F.lit(1))).alias("level"))
     )
     double = repeated.select(F.lit(2).alias("kind"), F.col("pair").alias("id"), level.alias("level"))
-    data, bits, least = build_filter(single.unionByName(mass).unionByName(double))
-    return Trained(vocabulary, (data, bits), Numbers(total["n"] or 0, total["words"] or 0, total["once"] or 0, total["about"] or 0.0, least))
+    data, bits = build_filter(single.unionByName(mass).unionByName(double))
+    return Trained(vocabulary, (data, bits), Numbers(total["n"] or 0, total["words"] or 0, total["once"] or 0, total["about"] or 0.0))
 
 
 def score(docs: DataFrame, model: Trained) -> DataFrame:
