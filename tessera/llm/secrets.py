@@ -22,14 +22,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 BASE_KINDS = ("assign", "access", "hex")
+#: A private key: up to its END line, else as far as its lines of base64 go. The body alone names the key.
+PEM = re.compile(
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?P<body>(?:(?!-----BEGIN )[\s\S])*?)-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?P<rest>(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:\s|\\[nr]|[\"'>|#*,])*+(?:[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+|[A-Za-z0-9+/]++(?=\s*\Z)))*+))"
+)
 #: Further kinds, with a text that a match contains.
 MORE = {
-    "github": ("gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{20,255}")),
+    "github": ("gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{20,}")),
     "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}")),
-    "pem": ("PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
-    "slack": ("xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,255}")),
-    "service": ("k_", re.compile(r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,255}")),
-    "url": ("://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{6,80}@")),
+    "pem": ("PRIVATE KEY", PEM),
+    "slack": ("xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}")),
+    "service": ("k_", re.compile(r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
+    "url": ("://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{6,}@")),
 }
 KINDS = (*BASE_KINDS, *MORE)
 #: A candidate that so many distinct owners share is an example.
@@ -39,6 +45,13 @@ _HEX_RUN = re.compile(r"[0-9a-f]{24}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
+def _value(m: re.Match) -> str:
+    """What names the candidate: the whole match, of a private key its body however its lines are broken."""
+    if m.re is not PEM:
+        return m[0]
+    return re.sub(r"""\s|\\[nr]|["'>|#*,]""", "", m["body"] or m["rest"] or "") or m[0]
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str, int]]:
     """(start, kind's number, end, value, value's start) of all candidates in the text, by start, then kind.
 
@@ -55,7 +68,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str, int]]:
         found += [(m.start(), 2, m.end(), m[0], m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     for k, (part, pattern) in enumerate(MORE.values(), len(BASE_KINDS)):
         if part in text:
-            found += [(m.start(), k, m.end(), m[0], m.start()) for m in pattern.finditer(text)]
+            found += [(m.start(), k, m.end(), _value(m), m.start()) for m in pattern.finditer(text)]
     return sorted(found)
 
 
