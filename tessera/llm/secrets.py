@@ -38,8 +38,8 @@ MORE = {
     "url": ("://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{6,}@")),
 }
 KINDS = (*BASE_KINDS, *MORE)
-#: A candidate that so many distinct owners share is an example.
-EXAMPLE_OWNERS = 3
+#: A candidate that so many distinct owners share, in so many distinct repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 3
 
 _HEX_RUN = re.compile(r"[0-9a-f]{24}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -118,14 +118,14 @@ def classified(rows: DataFrame, owner: str, repository: str) -> DataFrame:
     each = rows.where(F.size("found") > 0).select(
         "place", F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.inline("found")
     )
-    copied = ownership(each.select("hash", "owner", "repository")).where(F.col("owners") >= EXAMPLE_OWNERS)
+    copied = ownership(each.select("hash", "owner", "repository")).where((F.col("owners") >= EXAMPLE_OWNERS) & (F.col("repositories") >= EXAMPLE_REPOSITORIES))
     return each.join(copied.select("hash", F.lit(True).alias("example")), "hash", "left").withColumn(
         "example", F.coalesce("example", F.lit(False))
     )
 
 
 def reported() -> F.Column:
-    """Base candidates always; of the others those that aren't examples."""
+    """What ``find_secrets`` names: base candidates always; of the others those that aren't examples."""
     return (F.col("kind") < len(BASE_KINDS)) | ~F.col("example")
 
 
@@ -161,15 +161,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with the value of each reported secret replaced by ``[kind]``, and n_chars brought up to date.
+    """``docs`` with the value of each secret that is no example replaced by ``[kind]``, and n_chars brought up to date.
 
-    ``docs`` must be a table read from files, so that it has the same rows in the same order each time it is read.
-    Texts without a reported secret stay as they are, nulls included.
+    Examples stay, whatever their kind. ``docs`` must be a table read from files, so that it has the same rows in the same
+    order each time it is read. Texts without such a secret stay as they are, nulls included.
     """
     rows = materialize(scanned(docs.select("doc_id", "source", "text"), ("doc_id", "source")))
     cuts = (
         classified(rows, "source", "doc_id")
-        .where(reported())
+        .where(~F.col("example"))
         .groupBy("place")
         .agg(F.array_sort(F.collect_list(F.struct("at", "end", "kind"))).alias("cuts"))
     )

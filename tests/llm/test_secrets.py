@@ -38,3 +38,20 @@ def test_private_keys_whole():
 def test_long_secrets_whole():
     for kind, text in (("github", "ghp_" + "a1" * 300), ("slack", "xoxb-" + "a1" * 300), ("service", "sk_live_" + "a1" * 300), ("url", "ftp://" + "u" * 100 + ":" + "p" * 300 + "@")):
         assert [x[:2] for x in spans(f"x {text}", kind)] == [(2, 2 + len(text))]
+
+
+def test_pipeline_keeps_examples_of_all_kinds(spark, tmp_path):
+    example, own, twice = (f"{k}" * 20 for k in ("a0", "b1", "c2"))
+    rows = [(k, f"sum {example} end", f"src{k}") for k in range(3)]
+    rows += [(10 + k, f"password={own[:12]} and {own} end", "src0") for k in range(5)]
+    rows += [(20, f"sum {twice} end", f"src{k}") for k in range(3)]  # one document under three sources
+    rows += [(30 + k, f"{BEGIN}\n{key(k)}\n{END}", f"src{k}") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = {(r.doc_id, r.source): r.text for r in secrets.redacted(docs).collect()}
+    assert all(out[k, f"src{k}"] == f"sum {example} end" for k in range(3))
+    assert all(out[10 + k, "src0"] == "password=[assign] and [hex] end" for k in range(5))
+    assert all(out[20, f"src{k}"] == "sum [hex] end" for k in range(3))
+    assert all(out[30 + k, f"src{k}"] == "[pem]" for k in range(3))
+    named = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert all(named[k] == "hex:4:44" for k in range(3))
