@@ -1,39 +1,44 @@
 """Byte-level BPE encoding and decoding with higher-order functions.
 
 A word's bytes, an array of pieces, are folded over its possible merges: each step joins the adjacent pieces whose union has
-the lowest rank. Ranks are looked up in a literal: an array of small maps, found by a hash of the pair. Decoding
-concatenates the bytes of each id.
+the lowest rank. Ranks are looked up in a literal: an array of small maps, most of them null, found by a hash of the pair. Decoding
+concatenates the bytes of each id, in Arrow batches: as a higher-order function it took twice the CPU time of all the rest.
 
 Distinct words are folded, not occurrences: the most frequent words of the corpus once each, a bounded number that goes to
-the workers as a dictionary, and the other words once for each text that has them. No text is shuffled.
+the workers as a dictionary, and the other words once for each text that has them. No text is shuffled. A fold takes steps
+in proportion to the square of a word's length, so words over ``FOLD_BYTES`` bytes are merged by a priority queue instead.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, materialize, most_frequent, packed, small_batches
+from .common import let, materialize, most_frequent, packed, slices, small_batches, tidy
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
-#: Rows whose words are looked up at once.
-SLICE = 500
-#: Maps among which the ranks are dealt out.
-BUCKETS = 1 << 15
+#: The longest word in bytes that is folded.
+FOLD_BYTES = 256
+#: Rows, and words in all, that are looked up at once.
+SLICE, SLICE_WORDS = 500, 200_000
+#: Places among which the ranks are dealt out, and what a pair's first piece counts there: a prime near 2^31 / 2^16.
+BUCKETS, SPREAD = 1 << 17, 30_011
 #: Stands for no rank.
 NONE = 1 << 30
+#: Ends a word's pieces when no merge is left: below all pieces.
+DONE = "\x01"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +58,32 @@ def merge_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return pieces[0], pieces[1]
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word of any length: the lowest rank first, the leftmost of equal ones, by a queue over a linked list."""
+    n = len(word)
+    after, before, ends = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
+    alive = bytearray(b"\1") * n
+
+    def rank(i: int) -> int | None:
+        j = after[i]
+        return ranks.get(word[i : ends[j]]) if j < n else None
+
+    queue = [(r, i, ends[after[i]]) for i in range(n - 1) if (r := rank(i)) is not None]
+    heapq.heapify(queue)
+    while queue:
+        _, i, end = heapq.heappop(queue)
+        j = after[i] if alive[i] else n
+        if j >= n or ends[j] != end:
+            continue  # one of the two was merged meanwhile
+        alive[j], ends[i], after[i] = 0, end, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := rank(k)) is not None:
+                heapq.heappush(queue, (r, k, ends[after[k]]))
+    return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
+
+
 class Codec:
     """Columns that encode words and decode ids by ``ranks``.
 
@@ -67,11 +98,12 @@ class Codec:
             raise ValueError("more ranks than characters of the basic plane")
         #: For str.translate: characters that stand for bytes (as in Latin-1) to those that stand for pieces.
         self.bytes_to_pieces = {b: self.FIRST + ranks[bytes([b])] for b in range(256)}
-        buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        buckets: list[dict[str, str] | None] = [None] * BUCKETS
         for token, rank in ranks.items():
             if len(token) > 1:
-                pair = "".join(chr(self.FIRST + ranks[x]) for x in merge_pair(token, ranks))
-                buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = chr(self.FIRST + rank)
+                a, b = (self.FIRST + ranks[x] for x in merge_pair(token, ranks))
+                at = (a * SPREAD + b) % BUCKETS
+                buckets[at] = (buckets[at] or {}) | {chr(a) + chr(b): chr(self.FIRST + rank)}
         self._table = json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)
         self.ranks = ranks
 
@@ -83,7 +115,7 @@ class Codec:
         """The ids, joined by spaces, of ``word``, a string of its bytes' pieces."""
 
         def becomes(a: Column, b: Column) -> Column:
-            return F.get(table, (F.crc32(F.concat(a, b)) % BUCKETS).cast("int"))[F.concat(a, b)]
+            return F.get(table, (F.ascii(a) * SPREAD + F.ascii(b)) % BUCKETS)[F.concat(a, b)]
 
         def step(state: Column, _: Column) -> Column:
             def merge(p: Column) -> Column:
@@ -92,14 +124,14 @@ class Codec:
                 def join(m: Column, best: Column) -> Column:
                     # All places of one pair become the same piece, from left to right.
                     pair = let(F.array_position(m, best).cast("int"), lambda i: F.concat(F.get(p, i - 1), F.get(p, i)))
-                    return F.when(best.isNull(), state).otherwise(F.replace(state, pair, best))
+                    return F.when(best.isNull(), F.concat(state, F.lit(DONE))).otherwise(F.replace(state, pair, best))
 
                 return let(made, lambda m: let(F.array_min(m), lambda best: join(m, best)))
 
-            return let(F.split(state, ""), merge)
+            return F.when(F.endswith(state, F.lit(DONE)), state).otherwise(let(F.split(state, ""), merge))
 
         n = F.char_length(word)
-        folded = F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), word, step))
+        folded = F.when(n < 2, word).otherwise(F.rtrim(F.aggregate(F.sequence(F.lit(2), n), word, step), F.lit(DONE)))
         return F.array_join(F.transform(F.split(folded, ""), lambda c: (F.ascii(c) - self.FIRST).cast("string")), " ")
 
     def encode_words(self, words: Column) -> Column:
@@ -129,8 +161,39 @@ def frequent_words(texts: DataFrame, pattern: str) -> DataFrame:
             counts = batch.column("words").flatten().value_counts()
             yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "n"])
 
-    counts = texts.select(split(F.col("text"), pattern).alias("words")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return most_frequent(materialize(counts.where(F.octet_length("word") <= HEAD_BYTES)), HEAD_WORDS)
+    counts = texts.select(split(F.col("text"), pattern).alias("words")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    with small_batches(texts.sparkSession, 10_000, 16 << 20):
+        return most_frequent(materialize(counts.where(F.octet_length("word") <= HEAD_BYTES)), HEAD_WORDS)
+
+
+class Head:
+    """The frequent words and their ids, found by binary search over hashes: a worker holds three flat arrays."""
+
+    def __init__(self, data: bytes):
+        with pa.ipc.open_stream(data) as source:
+            table = source.read_all()
+        self.hashes, self.words, self.ids = (table.column(c).combine_chunks() for c in ("hash", "word", "ids"))
+        self.hashes = self.hashes.to_numpy()
+
+    @staticmethod
+    def packed(coded: DataFrame) -> bytes:
+        with pa.ipc.open_stream(packed(coded)) as source:
+            table = source.read_all().combine_chunks()
+        table = table.append_column("hash", pa.array([xxhash.xxh64_intdigest(w.as_py()) for w in table.column("word")], pa.uint64()))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table.sort_by("hash"))
+        return sink.getvalue().to_pybytes()
+
+    def find(self, words: list[str]) -> list[str | None]:
+        """The ids of each word, or none. Of words with equal hashes the dictionary finds the first: the others are folded."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = self.hashes[at] == hashes
+        places = pa.array(at, mask=~hit)
+        return [i if w == v else None for w, v, i in zip(words, self.words.take(places).to_pylist(), self.ids.take(places).to_pylist(), strict=True)]
 
 
 def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -138,45 +201,47 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     with ``~k`` for a word whose ids are element k of ``rest``.
 
     Each match of ``pattern`` is encoded by itself; special tokens are ordinary text. A null or empty text has no ids; repeated rows
-    each have a row; an empty table gives an empty one. A single match of n bytes takes steps in proportion to n squared.
+    each have a row; an empty table gives an empty one. A match of n bytes takes n squared steps up to ``FOLD_BYTES`` bytes and
+    n log n beyond.
     """
     spark = docs.sparkSession
     head = frequent_words(docs, pattern)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = head.repartition(n).select("word", codec.encode_words(F.array(codec.pieces(F.col("word"))))[0].alias("ids"))
     of_bytes = codec.bytes_to_pieces
-    shared = spark.sparkContext.broadcast(packed(coded))
+    shared = spark.sparkContext.broadcast(Head.packed(coded))
+    ranks = spark.sparkContext.broadcast(codec.ranks)  # as large as the vocabulary
     schema = docs.select(*keep).schema.add("ids", "string").add("rest", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # it gives back what is free
-        with pa.ipc.open_stream(shared.value) as source:
-            head = source.read_all().combine_chunks()
-        head_words, head_ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in head.columns)
+        head = Head(shared.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):  # bounded memory, whatever the session's batches are
-                batch = whole.slice(start, SLICE)
-                words = batch.column("words")
-                coded = words.flatten().dictionary_encode()
-                own = coded.dictionary
-                found = np.array([*head_ids.take(pc.index_in(own, value_set=head_words)).to_pylist(), None], dtype=object)
-                missing = np.array([x is None for x in found])
-                at = coded.indices.to_numpy(zero_copy_only=False)
-                ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+            lists = whole.column("words")
+            for start, end in slices(lists.value_lengths().to_numpy(), SLICE, SLICE_WORDS):  # bounded memory
+                batch, words = whole.slice(start, end - start), lists.slice(start, end - start)
+                of_rows = words.flatten().dictionary_encode()
+                own = of_rows.dictionary.to_pylist()
+                found = np.array([*head.find(own), None], dtype=object)[:-1]
+                missing = np.array([x is None for x in found], dtype=bool)
+                for i in np.nonzero(missing)[0].tolist():
+                    if len(own[i]) > FOLD_BYTES // 4 and len(word := own[i].encode("utf-8", "surrogatepass")) > FOLD_BYTES:
+                        found[i], missing[i] = " ".join(map(str, merged(word, ranks.value))), False
+                at = of_rows.indices.to_numpy(zero_copy_only=False)
+                ends = np.cumsum(words.value_lengths().to_numpy())
                 ids, rest = [], []
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     row = at[a:b]
                     parts = found[row].tolist()
                     places: dict[int, int] = {}
                     for i in np.nonzero(missing[row])[0].tolist():
-                        parts[i] = f"~{places.setdefault(row[i], len(places))}"
+                        parts[i] = f"~{places.setdefault(int(row[i]), len(places))}"
                     ids.append(" ".join(parts))
-                    rest.append([own[int(w)].as_py().encode("utf-8", "surrogatepass").decode("latin-1").translate(of_bytes) for w in places])
+                    rest.append([own[w].encode("utf-8", "surrogatepass").decode("latin-1").translate(of_bytes) for w in places])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in keep), pa.array(ids, pa.string()), pa.array(rest, pa.list_(pa.string()))], names=schema.names
                 )
 
-    parts = docs.select(*keep, split(F.col("text"), pattern).alias("words")).mapInArrow(run, schema)
+    parts = docs.select(*keep, split(F.col("text"), pattern).alias("words")).mapInArrow(tidy(run), schema)
     return parts.withColumn("rest", codec.encode_words(F.col("rest")))
 
 
@@ -201,11 +266,11 @@ def round_trip(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...
                 counts.append(len(tokens))
                 coded.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(of_id, tokens))).hexdigest())
-                out.append(ids)
+                out.append(ids if with_ids else None)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (coded, decoded, out))], names=schema.names
             )
 
-    made = encode(docs, codec, pattern, keep).mapInArrow(run, schema)
+    made = encode(docs, codec, pattern, keep).mapInArrow(tidy(run), schema)
     with small_batches(docs.sparkSession, SLICE):
         return materialize(made if with_ids else made.drop("ids"))

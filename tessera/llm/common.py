@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
+import gc
 import shutil
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +50,13 @@ def scalar(df: DataFrame):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, as in tests, a local session gets a
+    folder of its own; on a cluster that is an error, as no executor could read what another wrote to its own disk.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, place, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", place)
@@ -103,24 +113,60 @@ def piece_of(hashed: Column, pieces: Column | int) -> Column:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000):
-    """While it is open, batches to and from Python have so many rows at most: less memory where rows are long.
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20):
+    """While it is open, batches to and from Python have so many rows and bytes at most: less memory where rows are long.
 
     Only actions inside it are concerned, so what needs it is materialized inside.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name, None) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` (over a task's batches) in a worker that gives its memory back: workers outlive tasks, and what they keep is lost to others."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # larger blocks are mapped, and unmapped when free
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def slices(lengths: np.ndarray, rows: int, total: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive runs of rows: ``rows`` rows at most, and ``total`` of ``lengths`` unless one row alone has more."""
+    ends, start = np.cumsum(lengths), 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, min(start + rows, int(np.searchsorted(ends, done + total, side="right"))))
+        yield start, end
+        start = end
+
+
+def text_lengths(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, null as none."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
 
 def packed(df: DataFrame) -> bytes:
     """A table of bounded size as Arrow bytes, to be broadcast: rows as Python objects would take the driver ten times as much."""
-    import pyarrow as pa
-
     table, sink = df.toArrow(), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
