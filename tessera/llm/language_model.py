@@ -1,13 +1,17 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts of all words and of all pairs of neighbouring words of the training texts are gathered by partial sums. A count is
-quantised to a power of two; an n-gram of level q is put into the filter q times, once for each level. The filter is made of
-segments of fixed size, and each n-gram has its segment; their number grows with the entries, so that none is left out. All are
-broadcast; a worker finds a count by probing level 1, 2, ... until one is missing.
-
-Probabilities: a pair seen twice or more gives (count - D) / count(context); what that leaves of the context's mass goes by the
-unigram. What is left is itself found in the filter, under a key of the context. Words that the filter lacks share the
-mass of the words seen once.
+quantised to a power of two; an n-gram of level q is put into the filter q times, once for each level, and a reader finds
+its level by probing level 1, 2, ... until one is missing. Each entry lies in one segment of fixed size, and the number of
+segments grows with the entries, so that no count is left out. The filter is broadcast up to ``BROADCAST_BYTES``; beyond, it
+stays a table, and blocks of documents ask its segments by a join.
+
+Probabilities: P(w|c) = (q(c,w) + m(c) P(w)) / (Z(c) + m(c)), where q is what the filter says of a pair, Z(c) the sum of
+what it says of all pairs that c begins, and P(w) = (q(w) + 0.1) / (sum of all q + 0.1 (V + 1)). They sum to one over the vocabulary
+and one unseen word, whatever quantising and false hits do to m, because both sums are taken from the filter itself, by
+the tasks that build its segments. Z(c) is a whole number, kept as its binary digits. What could add to a sum is a pair that is found
+without having been put in; pairs have as many probes as keep a context's expected number of those below 2^-``SPARE``.
+Pairs seen once go by P(w), at every size.
 
 The exact base score needs exact counts of all words. The most frequent words' counts, a bounded number, go to the workers;
 the other words of each document meet their counts in a join.
@@ -28,30 +32,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, packed, scalar
-
-#: The filter's bits for each entry, and its probes.
-BITS_PER_ENTRY, PROBES = 12, 3
-#: Words whose exact counts are broadcast, and the longest of them in bytes.
-HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
-#: Texts that are scored at once.
-SLICE = 500
+from .common import materialize, most_frequent, packed, scalar, slices, small_batches, text_lengths, tidy
+
+#: Probes of a word's first level, of any entry's further levels; a pair's first level has log2 of the vocabulary and ``SPARE`` more.
+WORD_PROBES, LEVEL_PROBES, SPARE = 10, 3, 8
+#: The largest filter that is broadcast.
+BROADCAST_BYTES = 256 << 20
+#: Documents that ask a filter's table together.
+BLOCK = 256
+#: Words whose exact counts are broadcast. Words of more bytes than ``LONG`` go by a 128-bit hash.
+HEAD_WORDS, LONG = 1 << 18, 64
+#: Texts, and bytes of text, that are scored at once.
+SLICE, SLICE_BYTES = 500, 4 << 20
 #: Different words, and neighbours, that a task sums up before it hands them on.
-COMBINED_WORDS, COMBINED_PAIRS = 400_000, 1 << 21
-#: Taken off the count of each pair that was seen twice or more.
-DISCOUNT = 0.75
+COMBINED_WORDS, COMBINED_PAIRS = 300_000, 1 << 21
+#: What the unigram counts for in any context.
+BETA = 2.0
 #: The token after the last word. No word is empty.
 END = b""
-#: Bits of a filter segment: a power of two.
-SEGMENT = 1 << 18
-#: Most levels that a count can have.
+#: Bits of a filter segment: 2 to this power.
+SEGMENT_LOG = 18
+SEGMENT = 1 << SEGMENT_LOG
+#: Most levels that a count can have, and digits that a sum can have.
 LEVELS = 62
+#: Kinds of entries.
+OF_WORD, OF_PAIR, OF_CONTEXT = 0, 1, 2
 
-_WORD, _MASS, _SEGMENT = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0xFF51AFD7ED558CCD)
+_SALT = {OF_WORD: np.uint64(0x9AE16A3B2F90404F), OF_PAIR: np.uint64(0xD6E8FEB86659FD93), OF_CONTEXT: np.uint64(0xC949D7C7509E6557)}
+_SEGMENT, _GOLDEN = np.uint64(0xFF51AFD7ED558CCD), 0x9E3779B97F4A7C15
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return [*(w if len(w) <= LONG else b" " + xxhash.xxh3_128_digest(w) for w in words), END]
 
 
 def remainder(doc_id: Column) -> Column:
@@ -70,30 +83,31 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_id(word: bytes) -> int:
+    """48 bits of a hash, so that a pair fits into a long and an int."""
+    return xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF
+
+
 class Ids(dict):
-    """32-bit hashes of words, at most ``COMBINED_WORDS`` of them kept."""
+    """Words' ids, at most ``COMBINED_WORDS`` of them kept."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= COMBINED_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh32_intdigest(word)
+        self[word] = h = word_id(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def word_key(ids: np.ndarray) -> np.ndarray:
-    return mix(ids ^ _WORD)
-
-
-def mass_key(ids: np.ndarray) -> np.ndarray:
-    return mix(ids ^ _MASS)
+def key_of(kind: int, ids: np.ndarray) -> np.ndarray:
+    return mix(ids ^ _SALT[kind])
 
 
-def pairs(ids: np.ndarray) -> np.ndarray:
-    """Keys of neighbours: the first word's hash above the second's."""
-    return (ids[:-1] << np.uint64(32)) | ids[1:]
+def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((mix(first ^ _SALT[OF_PAIR]) + second) * np.uint64(_GOLDEN))
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -101,42 +115,74 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (mix(keys ^ _SEGMENT) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
 
 
-def probes(keys: np.ndarray, level: int) -> list[np.ndarray]:
-    """Bit positions of a level of the keys in their segments, an array for each probe: parts of one hash."""
-    with np.errstate(over="ignore"):
-        a = mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-        return [x & np.uint64(SEGMENT - 1) for x in (a, (a >> np.uint64(17)) ^ (a << np.uint64(11)), (a >> np.uint64(34)) ^ (a << np.uint64(22)))]
+def value(level: np.ndarray) -> np.ndarray:
+    """What a level's counts 2^(q-1) to 2^q - 1 count for, a whole number: near their mean where frequencies fall as Zipf's."""
+    return np.floor(1.375 * 2.0 ** (np.asarray(level) - 1)).astype(np.int64)
+
+
+def hashes(keys: np.ndarray, level: int, probes: int) -> Iterator[tuple[np.ndarray, int]]:
+    """For each three probes a constant to add to the keys, and how many of them count."""
+    for g in range(0, probes, 3):
+        yield np.uint64((level * 64 + g + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF), min(3, probes - g)
+
+
+def places(keys: np.ndarray, level: int, probes: int) -> Iterator[np.ndarray]:
+    """Bit places of a level of the keys in their segments, an array for each probe."""
+    for add, n in hashes(keys, level, probes):
+        with np.errstate(over="ignore"):
+            h = mix(keys + add)
+        for k in range(n):
+            yield (h >> np.uint64(SEGMENT_LOG * k)) & np.uint64(SEGMENT - 1)
 
 
 @dataclass(frozen=True)
 class Filter:
+    """Segments ``first``, ``first`` + 1, ... of ``segments`` in all, as bytes."""
+
     data: np.ndarray
-    bits: int
+    segments: int
+    first: int = 0
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """For each key how many levels in a row are in the filter."""
-        out = np.zeros(len(keys), dtype=np.int64)
+    def has(self, keys: np.ndarray, base: np.ndarray, level: int, probes: int) -> np.ndarray:
+        """Which of the keys have the level: most that haven't miss by the first probes, and the next ones look up what is left."""
         at = np.arange(len(keys))
-        first = segment_of(keys, self.bits // SEGMENT) * np.uint64(SEGMENT)
-        for q in range(1, LEVELS + 1):
-            hashed = [first[at] + p for p in probes(keys[at], q)]
-            for k in range(PROBES):  # most keys miss by the first probe: the next ones look up what is left
-                p = hashed[k]
+        for add, n in hashes(keys, level, probes):
+            with np.errstate(over="ignore"):
+                h = mix(keys[at] + add)
+            for k in range(n):
+                p = base[at] + ((h >> np.uint64(SEGMENT_LOG * k)) & np.uint64(SEGMENT - 1))
                 hit = (self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, hashed = at[hit], [x[hit] if j > k else x for j, x in enumerate(hashed)]
+                at, h = at[hit], h[hit]
             if not len(at):
                 break
-            out[at] = q
+        out = np.zeros(len(keys), dtype=bool)
+        out[at] = True
         return out
 
+    def base(self, keys: np.ndarray) -> np.ndarray:
+        return (segment_of(keys, self.segments) - np.uint64(self.first)) * np.uint64(SEGMENT)
+
+    def levels(self, keys: np.ndarray, probes: int) -> np.ndarray:
+        """For each key how many levels in a row are in the filter."""
+        out, base, at = np.zeros(len(keys), dtype=np.int64), self.base(keys), np.arange(len(keys))
+        for q in range(1, LEVELS + 1):
+            at = at[self.has(keys[at], base[at], q, probes if q == 1 else LEVEL_PROBES)]
+            if not len(at):
+                break
+            out[at] = q
+        return out
 
-def about(level):
-    """The middle of a level's counts 2^(q-1) to 2^q - 1; of level 0 none."""
-    return np.where(level > 0, 0.75 * 2.0 ** np.asarray(level), 0.0) * np.where(level == 1, 2 / 3, 1.0)
+    def number(self, keys: np.ndarray, probes: int, digits: np.ndarray) -> np.ndarray:
+        """For each key the whole number of at most so many binary digits."""
+        out, base = np.zeros(len(keys), dtype=np.int64), self.base(keys)
+        for d in range(int(digits.max(initial=0))):
+            at = np.nonzero(digits > d)[0]
+            out[at[self.has(keys[at], base[at], d + 1, probes)]] += 1 << d
+        return out
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (binary; the end is empty), n: over all rows' whole texts, by partial sums of bounded size."""
+    """word (binary; the end is empty, see ``tokens`` for long ones), n: over all rows' whole texts, by partial sums of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -154,23 +200,29 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if found:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """pair (key of two neighbouring tokens), n: over all rows' whole texts, the text's start counting as an end."""
+    """a, b, n of neighbouring tokens: ``a`` has the first one's id above 16 bits of the second's, ``b`` the rest of that.
+
+    Over all rows' whole texts, the text's start counting as an end. In a partial sum pairs are told apart by 64 bits of a hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = Ids(), [], 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            first, second = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["pair", "n"])
+            _, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
+            a = (first[at] << np.uint64(16)) | (second[at] >> np.uint64(32))
+            b = (second[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
             for t in batch.column("text"):
-                held.append(pairs(ids.of([END, *tokens(t.as_py())])))
+                held.append(ids.of([END, *tokens(t.as_py())]))
                 size += len(held[-1])
                 if size >= COMBINED_PAIRS:
                     yield out()
@@ -178,7 +230,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), "a long, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _level(n: Column) -> Column:
@@ -186,127 +238,203 @@ def _level(n: Column) -> Column:
     return F.length(F.bin(n.cast("long")))
 
 
-def build_filter(entries: DataFrame) -> tuple[bytes, int]:
-    """The filter's bytes and its size in bits from ``entries`` (kind, id, level): every entry once for each of its levels.
+def build(entries: DataFrame, bits: float, pair_probes: int) -> tuple[DataFrame, int]:
+    """The segments of a filter for ``entries`` (kind, key, id, level; of contexts the number) and how many there are.
 
-    A segment is built by one task from its own entries, whatever the size of the whole.
+    A row is either (segment, data) or (segment, id, q): the sum of what the filter says of a segment's pairs that the word ``id``
+    begins, or, with id -1, of its words. A segment is built by one task from its own entries, whatever the size of the whole.
     """
-    size = scalar(entries.agg(F.coalesce(F.sum("level"), F.lit(0))))[0]
-    segments = max(1, math.ceil(size * BITS_PER_ENTRY / SEGMENT))
+    segments = max(1, math.ceil(bits / SEGMENT))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            ids = ids.astype(np.int64).view(np.uint64)
-            keys = np.where(kind == 0, word_key(ids), np.where(kind == 1, mass_key(ids), mix(ids)))
-            own = segment_of(keys, segments).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(keys.view(np.int64)), batch.column("level")], names=["segment", "key", "level"])
+            own = segment_of(batch.column("key").to_numpy().view(np.uint64), segments).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], names=["segment", *batch.schema.names])
 
     def filled(rows: pa.Table) -> pa.Table:
-        out = np.zeros(SEGMENT // 8, dtype=np.uint8)
-        keys, level = rows.column("key").to_numpy().view(np.uint64), rows.column("level").to_numpy()
-        for q in range(1, int(level.max(initial=0)) + 1):
-            for p in probes(keys[level >= q], q):
-                np.bitwise_or.at(out, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-        return pa.table({"segment": rows.column("segment")[:1], "data": pa.array([out.tobytes()], pa.binary())})
-
-    rows = entries.select("kind", "id", "level").mapInArrow(keyed, "segment int, key long, level int")
-    data = bytearray(segments * SEGMENT // 8)
-    for r in rows.groupBy("segment").applyInArrow(filled, "segment int, data binary").toLocalIterator():
-        data[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["data"]
-    return bytes(data), segments * SEGMENT
+        data = np.zeros(SEGMENT // 8, dtype=np.uint8)
+        segment = rows.column("segment")[0].as_py()
+        kind, keys, ids, level = (rows.column(c).to_numpy() for c in ("kind", "key", "id", "level"))
+        keys = keys.view(np.uint64)
+
+        def put(chosen: np.ndarray, q: int, probes: int) -> None:
+            for p in places(keys[chosen], q, probes):
+                np.bitwise_or.at(data, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+
+        of_context, names, sums = kind == OF_CONTEXT, [], []
+        for q in range(1, LEVELS + 1):
+            put(of_context & (level >> (q - 1) & 1 == 1), q, pair_probes)
+            for k, first in ((OF_WORD, WORD_PROBES), (OF_PAIR, pair_probes)):
+                put((kind == k) & (level >= q), q, first if q == 1 else LEVEL_PROBES)
+        own = Filter(data, segments, segment)
+        if (kind == OF_WORD).any():
+            names, sums = [-1], [int(value(own.levels(keys[kind == OF_WORD], WORD_PROBES)).sum())]
+        if (kind == OF_PAIR).any():
+            chosen = kind == OF_PAIR
+            first, at = np.unique(ids[chosen], return_inverse=True)
+            said = np.zeros(len(first), dtype=np.int64)
+            np.add.at(said, at, value(own.levels(keys[chosen], pair_probes) + 1))
+            names, sums = [*names, *first.tolist()], [*sums, *said.tolist()]
+        n = len(names)
+        return pa.table({
+            "segment": pa.array([segment] * (n + 1), pa.int32()),
+            "data": pa.array([data.tobytes(), *[None] * n], pa.binary()),
+            "id": pa.array([None, *names], pa.int64()),
+            "q": pa.array([None, *sums], pa.int64()),
+        })
+
+    rows = entries.select("kind", "key", "id", "level").mapInArrow(tidy(dealt), "segment int, kind int, key long, id long, level long")
+    return materialize(rows.groupBy("segment").applyInArrow(filled, "segment int, data binary, id long, q long")), segments
 
 
 @dataclass(frozen=True)
 class Numbers:
-    """What the smoothing needs besides the filter: counts of training tokens and the unigram's normaliser."""
+    """What the probabilities need besides the filter: training tokens, different words, the sum of what the filter says of them."""
 
     tokens: int
     words: int
-    once: int
-    normaliser: float
-
-
-def log10_probabilities(words: np.ndarray, at: np.ndarray, own: Filter, numbers: Numbers) -> np.ndarray:
-    """log10 P(token | token before it) for tokens END, word, ..., END: ``words`` are the batch's different words' hashes, ``at`` their places."""
-    c = about(own.level(word_key(words)))
-    unseen = (numbers.once + 1) / (numbers.tokens + 1)
-    single = np.where(c > 0, (1 - unseen) * c / max(numbers.normaliser, 1.0), unseen / (numbers.words + 1))
-    held = np.minimum(about(own.level(mass_key(words))), 0.9 * c) / np.maximum(c, 1.0)
-    ids = words[at]
-    c, single, held = c[at], single[at], held[at[:-1]]
-    # A pair can't be more frequent than its words; quantised counts and false hits can say so.
-    top = np.minimum(c[:-1], c[1:])
-    pair = np.zeros(len(top))
-    likely = np.nonzero((top >= 2) & (held > 0))[0]
-    pair[likely] = np.minimum(about(own.level(mix(pairs(ids)[likely]))), top[likely])
-    direct = np.where(pair >= 2, (pair - DISCOUNT) / np.maximum(c[:-1], 1.0), 0.0)
-    return np.log10(np.minimum(direct, 0.9 * held) + (1 - held) * single[1:])
+    said: int
+    pair_probes: int
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """What the filter says, of ids: by its own data, a filter of words and pairs and one of contexts."""
+
+    counts: Filter
+    contexts: Filter
+    probes: int
+
+    def words(self, ids: np.ndarray) -> np.ndarray:
+        level = self.counts.levels(key_of(OF_WORD, ids), WORD_PROBES)
+        return np.where(level > 0, value(np.maximum(level, 1)), 0)
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        level = self.counts.levels(pair_key(first, second), self.probes)
+        return np.where(level > 0, value(level + 1), 0)
+
+    def sums(self, ids: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """``said``: of ``words``. A sum has at most two digits more than it."""
+        digits = np.where(said > 1, np.ceil(np.log2(np.maximum(said, 1) + 1)) + 2, 0).astype(np.int64)
+        return self.contexts.number(key_of(OF_CONTEXT, ids), self.probes, digits)
+
+
+@dataclass(frozen=True)
+class Answers:
+    """The same from answers to what a block of documents has asked: keys and numbers by kind, keys ascending."""
+
+    given: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def _find(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        known, numbers = self.given[kind]
+        if not len(known):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, numbers[at], 0)
+
+    def words(self, ids: np.ndarray) -> np.ndarray:
+        return self._find(OF_WORD, key_of(OF_WORD, ids))
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self._find(OF_PAIR, pair_key(first, second))
+
+    def sums(self, ids: np.ndarray, said: np.ndarray) -> np.ndarray:
+        return np.where(said > 1, self._find(OF_CONTEXT, key_of(OF_CONTEXT, ids)), 0)
+
+
+def log10_probabilities(words: np.ndarray, at: np.ndarray, lookup: Lookup | Answers, numbers: Numbers) -> np.ndarray:
+    """log10 P(token | token before it) for tokens END, word, ..., END: ``words`` are different words' ids, ``at`` their places."""
+    said = lookup.words(words)
+    single = (said + 0.1) / (numbers.said + 0.1 * (numbers.words + 1))
+    total = lookup.sums(words, said)
+    free = BETA + np.maximum(said - total, 0)
+    first, second = at[:-1], at[1:]
+    pair = np.zeros(len(first), dtype=np.int64)
+    # A pair that was put in has a context with a sum, and two words of two or more.
+    likely = np.nonzero((total[first] > 0) & (said[second] > 1))[0]
+    different, back = np.unique(first[likely] * np.int64(len(words)) + second[likely], return_inverse=True)
+    pair[likely] = lookup.pairs(words[different // len(words)], words[different % len(words)])[back]
+    return np.log10((pair + free[first] * single[second]) / (total[first] + free[first]))
 
 
 @dataclass(frozen=True)
 class Trained:
     vocabulary: DataFrame
-    filter: tuple[bytes, int]
+    counts: tuple[DataFrame, int]
+    contexts: tuple[DataFrame, int]
     numbers: Numbers
 
 
 def train(texts: DataFrame) -> Trained:
-    """Counts, filter and vocabulary (word, n) from all rows of ``texts`` (text; null is empty)."""
-    vocabulary = materialize(word_counts(texts))
-    repeated = materialize(pair_counts(texts).where("n > 1"))
-    level = _level(F.col("n"))
-    total = scalar(
-        vocabulary.agg(
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("words"),
-            F.sum((F.col("n") == 1).cast("long")).alias("once"),
-            F.sum(F.when(level == 1, 1.0).otherwise(0.75 * F.pow(F.lit(2.0), level))).alias("about"),
-        )
-    )
+    """Counts, filter and vocabulary (word, n) from all rows of ``texts`` (text; null is empty). An empty table gives an empty filter."""
+    with small_batches(texts.sparkSession, 2_000):
+        vocabulary = materialize(word_counts(texts))
+        repeated = materialize(pair_counts(texts).where("n > 1"))
+    level = _level(F.col("n")).cast("long")
+    of_words = scalar(vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum(WORD_PROBES + LEVEL_PROBES * (level - 1)).alias("bits")))
+    probes = max(1, of_words["words"] or 0).bit_length() + SPARE
+    of_pairs = scalar(repeated.agg(F.sum(probes + LEVEL_PROBES * (level - 2)).alias("bits")))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.fromiter((word_id(w.as_py()) for w in batch.column("word")), dtype=np.uint64, count=batch.num_rows)
+            yield entry(OF_WORD, key_of(OF_WORD, ids), ids, batch.column("level"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [xxhash.xxh32_intdigest(w.as_py()) for w in batch.column("word")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("level")], names=["id", "level"])
-
-    single = vocabulary.select("word", level.alias("level")).mapInArrow(hashed, "id long, level int").select(F.lit(0).alias("kind"), "id", "level")
-    mass = (
-        repeated.groupBy(F.shiftrightunsigned("pair", 32).alias("id"))
-        .agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-        .select(F.lit(1).alias("kind"), "id", _level(F.greatest(F.floor("mass"), F.lit(1))).alias("level"))
-    )
-    double = repeated.select(F.lit(2).alias("kind"), F.col("pair").alias("id"), level.alias("level"))
-    data, bits = build_filter(single.unionByName(mass).unionByName(double))
-    return Trained(vocabulary, (data, bits), Numbers(total["n"] or 0, total["words"] or 0, total["once"] or 0, total["about"] or 0.0))
+            a, b = batch.column("a").to_numpy().view(np.uint64), batch.column("b").to_numpy().view(np.uint32).astype(np.uint64)
+            first, second = a >> np.uint64(16), ((a & np.uint64(0xFFFF)) << np.uint64(32)) | b
+            yield entry(OF_PAIR, pair_key(first, second), first, batch.column("level"))
 
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy().view(np.uint64)
+            yield entry(OF_CONTEXT, key_of(OF_CONTEXT, ids), ids, batch.column("level"))
+
+    def entry(kind: int, keys: np.ndarray, ids: np.ndarray, level: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), level], names=["kind", "key", "id", "level"])
+
+    schema = "kind int, key long, id long, level long"
+    single = vocabulary.select("word", level.alias("level")).mapInArrow(tidy(words), schema)
+    double = repeated.select("a", "b", (level - 1).alias("level")).mapInArrow(tidy(pairs), schema)
+    # Half of a filter's bits are set where it has 1 / ln 2 bits for each probe.
+    counts = build(single.unionByName(double), ((of_words["bits"] or 0) + (of_pairs["bits"] or 0)) / math.log(2), probes)
+    sums = counts[0].where("id is not null").groupBy("id").agg(F.sum("q").alias("level"))
+    said = scalar(sums.where("id = -1").agg(F.sum("level")))[0] or 0
+    totals = materialize(sums.where("id <> -1"))
+    digits = scalar(totals.agg(F.sum(F.bit_count("level"))))[0] or 0
+    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), schema), digits * probes / math.log(2), probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes))
+
+
+def whole_filter(table: DataFrame, segments: int) -> bytes:
+    """A filter's bytes on the driver: ``BROADCAST_BYTES`` at most, by the caller's check."""
+    data = bytearray(segments * SEGMENT // 8)
+    for r in table.where("data is not null").select("segment", "data").toLocalIterator():
+        data[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["data"]
+    return bytes(data)
 
-def score(docs: DataFrame, model: Trained) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
-    A null or empty text is one end token; repeated rows each have a row; without training rows all counts are 0.
-    """
-    spark = docs.sparkSession
-    head = most_frequent(model.vocabulary.where(F.octet_length("word") <= HEAD_BYTES), HEAD_WORDS)
-    shared = spark.sparkContext.broadcast((packed(head.select("word", "n")), *model.filter))
-    numbers = model.numbers
-    schema = docs.select("doc_id").schema
-    for name, kind in (("place", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("logs", "double"), ("score", "double"), ("rest", "array<struct<word:binary,tf:long>>")):
-        schema = schema.add(name, spark.range(0).selectExpr(f"cast(null as {kind}) x").schema["x"].dataType)
+_RESULT = "place long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,tf:long>>"
+
+
+class Head:
+    """Exact counts of the most frequent words, as logarithms for the base score."""
 
-    def scored(texts: pa.Array, head: pa.Table, logs: np.ndarray, own: Filter) -> list[pa.Array]:
+    def __init__(self, data: bytes):
+        with pa.ipc.open_stream(data) as source:
+            table = source.read_all()
+        self.words = pa.chunked_array(table.column("word").chunks, pa.binary()).combine_chunks()
+        self.logs = np.log10(np.append(table.column("n").to_numpy(), 0) + 0.1)
+
+    def scored(self, texts: pa.Array, lookup: Lookup | Answers, numbers: Numbers) -> list[pa.Array]:
         """n_tokens, n_known, logs, score, rest of some texts: their different words are looked up once."""
-        each = [tokens(t.as_py()) for t in texts]
-        n = np.array([len(x) for x in each])
-        ends = np.cumsum(n)
+        n, ends, words, at = coded(texts)
         starts = ends - n
-        coded = pa.array(chain.from_iterable(each), pa.binary()).dictionary_encode()
-        words, at = coded.dictionary, coded.indices.to_numpy()
-        place = pc.fill_null(pc.index_in(words, value_set=head.column("word").chunk(0)), -1).to_numpy()
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         known = place >= 0
-        of_word = np.where(known, logs[place], 0.0)
-        hashes = np.fromiter((xxhash.xxh32_intdigest(w.as_py()) for w in words), dtype=np.uint64, count=len(words))
-        p = log10_probabilities(hashes, np.insert(at, starts, at[-1]), own, numbers)  # the last token is an end
+        of_word = np.where(known, self.logs[place], 0.0)
+        ids = np.fromiter((word_id(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+        p = log10_probabilities(ids, np.insert(at, starts, at[-1]), lookup, numbers)  # the last token is an end
         total = np.concatenate([[0.0], np.cumsum(p)])
         first = starts + np.arange(len(n))  # each text has one place more; the step to the next text's start is left out
         rare = ~known[at]
@@ -321,22 +449,117 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
             pa.ListArray.from_arrays(pa.array(offsets), structs),
         ]
 
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of some texts: numbers of tokens, their running sums, the different tokens, and each token's place among these."""
+    each = [tokens(t) for t in texts.to_pylist()]
+    n = np.array([len(x) for x in each])
+    found = pa.array(chain.from_iterable(each), pa.binary()).dictionary_encode()
+    return n, np.cumsum(n), found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+
+def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
+    """doc_id and the columns of ``_RESULT`` with the whole filter in every worker."""
+    numbers = model.numbers
+    shared = placed.sparkSession.sparkContext.broadcast((head, whole_filter(*model.counts), whole_filter(*model.contexts)))
+    schema = _schema(placed)
+    sizes = model.counts[1], model.contexts[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, data, bits = shared.value
-        with pa.ipc.open_stream(counts) as source:
-            head = source.read_all().combine_chunks()
-        if not head.num_rows:
-            head = pa.table({"word": pa.chunked_array([pa.array([], pa.binary())]), "n": pa.chunked_array([pa.array([], pa.int64())])})
-        logs = np.log10(np.append(head.column("n").to_numpy(), 0) + 0.1)
-        own = Filter(np.frombuffer(data, dtype=np.uint8), bits)
+        head, *data = shared.value
+        own = Head(head)
+        lookup = Lookup(*(Filter(np.frombuffer(d, dtype=np.uint8), n) for d, n in zip(data, sizes, strict=True)), numbers.pair_probes)
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):  # bounded memory
-                batch = whole.slice(start, SLICE)
-                kept = [batch.column(c) for c in ("doc_id", "place", "held_out")]
-                yield pa.RecordBatch.from_arrays([*kept, *scored(batch.column("text"), head, logs, own)], names=schema.names)
+            for start, end in slices(text_lengths(whole.column("text")), SLICE, SLICE_BYTES):  # bounded memory
+                batch = whole.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "place", "held_out")), *own.scored(batch.column("text"), lookup, numbers)], names=schema.names)
+
+    return placed.mapInArrow(tidy(run), schema)
+
+
+def _parts_by_block(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
+    """The same where the filter stays a table: each block of documents asks for its different words and pairs, once each."""
+    numbers = model.numbers
+    shared = placed.sparkSession.sparkContext.broadcast(head)
+    schema = _schema(placed)
+    sizes = {OF_WORD: model.counts[1], OF_PAIR: model.counts[1], OF_CONTEXT: model.contexts[1]}
+    shift = model.counts[1]  # contexts' segments come after those of the counts
+    blocks = placed.withColumn("block", F.floor(F.col("place") / BLOCK))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_rows = batch.column("block").to_numpy()
+            for block in np.unique(of_rows):
+                texts = batch.column("text").filter(pa.array(of_rows == block))
+                n, ends, words, at = coded(texts)
+                ids = np.fromiter((word_id(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+                at = np.insert(at, ends - n, at[-1])
+                pairs_ = np.unique(at[:-1] * np.int64(len(words)) + at[1:])
+                asked = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs_ // len(words)], ids[pairs_ % len(words)])}
+                for kind, keys in asked.items():
+                    segment = segment_of(keys, sizes[kind]).astype(np.int64) + (shift if kind == OF_CONTEXT else 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(segment)], names=["block", "kind", "key", "segment"]
+                    )
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        kind, keys = asked.column("kind").to_numpy(), asked.column("key").to_numpy().view(np.uint64)
+        out = np.zeros(len(keys), dtype=np.int64)
+        if segment.num_rows:
+            data, at = np.frombuffer(segment.column("data")[0].as_py(), dtype=np.uint8), segment.column("segment")[0].as_py()
+            if at < shift:
+                own = Filter(data, sizes[OF_PAIR], at)
+                for k, probes, more in ((OF_WORD, WORD_PROBES, 0), (OF_PAIR, numbers.pair_probes, 1)):
+                    level = own.levels(keys[kind == k], probes)
+                    out[kind == k] = np.where(level > 0, value(np.maximum(level + more, 1)), 0)
+            else:
+                out = Filter(data, sizes[OF_CONTEXT], at - shift).number(keys, numbers.pair_probes, np.full(len(keys), LEVELS))
+        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "key": asked.column("key"), "q": pa.array(out)})
+
+    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return schema_arrow(docs.schema.field("doc_id").type).empty_table()
+        kind, keys, q = (answers.column(c).to_numpy() for c in ("kind", "key", "q"))
+        given = {}
+        for k in (OF_WORD, OF_PAIR, OF_CONTEXT):
+            own = keys[kind == k].view(np.uint64)
+            order = np.argsort(own)
+            given[k] = own[order], q[kind == k][order]
+        columns = Head(shared.value).scored(docs.column("text").combine_chunks(), Answers(given), numbers)
+        return pa.table([*(docs.column(c) for c in ("doc_id", "place", "held_out")), *columns], names=schema.names)
+
+    def schema_arrow(of_id: pa.DataType) -> pa.Schema:
+        rest = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
+        return pa.schema(list(zip(schema.names, [of_id, pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest], strict=True)))
+
+    table = model.counts[0].where("data is not null").select(F.col("segment").cast("long").alias("segment"), "data").unionByName(
+        model.contexts[0].where("data is not null").select((F.col("segment") + shift).cast("long").alias("segment"), "data")
+    )
+    answers = blocks.select("block", "text").mapInArrow(tidy(ask), "block long, kind int, key long, segment long").distinct().groupBy("segment").cogroup(table.groupBy("segment")).applyInArrow(answer, "block long, kind int, key long, q long")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+
+
+def _schema(placed: DataFrame):
+    schema = placed.select("doc_id").schema
+    for field in placed.sparkSession.createDataFrame([], _RESULT).schema:
+        schema = schema.add(field)
+    return schema
+
 
+def score(docs: DataFrame, model: Trained) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
+
+    A null or empty text is one end token; repeated rows each have a row; without training rows all counts are 0. An unseen
+    word has the probability of one symbol, ``P`` of a count of 0.
+    """
+    head = packed(most_frequent(model.vocabulary, HEAD_WORDS).select("word", "n"))
     placed = docs.select("doc_id", F.monotonically_increasing_id().alias("place"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    part = materialize(placed.mapInArrow(run, schema))
+    size = (model.counts[1] + model.contexts[1]) * SEGMENT // 8
+    if size > BROADCAST_BYTES:
+        placed = materialize(placed)  # it is read twice, and its places must be the same
+    with small_batches(docs.sparkSession, 1_000):
+        part = materialize((_parts if size <= BROADCAST_BYTES else _parts_by_block)(placed, model, head))
+    numbers = model.numbers
     rare = part.select("place", F.inline("rest")).join(model.vocabulary, "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     exact = rare.groupBy("place").agg(

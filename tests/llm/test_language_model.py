@@ -1,18 +1,92 @@
-"""The filter of op7 holds all its entries at any size."""
+"""op7's filter holds all its entries at any size, and its scores are probabilities."""
+
+import math
+import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera.llm import language_model as lm
 
 
-def test_no_level_is_dropped(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MAX_BITS", 1 << 16, raising=False)
-    rows = [(kind, i * 7919 + kind, 1 + i % 5) for kind in (0, 1, 2) for i in range(30_000)]
-    data, bits, *_ = lm.build_filter(spark.createDataFrame(rows, "kind int, id long, level int").repartition(3))
-    own = lm.Filter(np.frombuffer(data, dtype=np.uint8), bits)
-    for kind, key in ((0, lm.word_key), (1, lm.mass_key), (2, lm.mix)):
-        ids, level = (np.array([r[k] for r in rows if r[0] == kind]) for k in (1, 2))
-        found = own.level(key(ids.astype(np.uint64)))
-        assert (found >= level).all() and (found == level).mean() > 0.97
-    assert (own.level(lm.word_key(np.arange(10**9, 10**9 + 20_000, dtype=np.uint64))) == 0).mean() > 0.97
-    assert bits >= lm.BITS_PER_ENTRY * sum(r[2] for r in rows)
+def test_no_level_is_dropped(spark):
+    rng = random.Random(2)
+    rows = [(kind, rng.getrandbits(63), i % 97, 1 + i % 5) for kind in (lm.OF_WORD, lm.OF_PAIR) for i in range(30_000)]
+    probes, bits = 25, sum((lm.WORD_PROBES if r[0] == lm.OF_WORD else 25) + lm.LEVEL_PROBES * (r[3] - 1) for r in rows) / math.log(2)
+    table, segments = lm.build(spark.createDataFrame(rows, "kind int, key long, id long, level long").repartition(3), bits, probes)
+    own = lm.Filter(np.frombuffer(lm.whole_filter(table, segments), dtype=np.uint8), segments)
+    said = Counter()
+    for kind, first in ((lm.OF_WORD, lm.WORD_PROBES), (lm.OF_PAIR, probes)):
+        mine = [r for r in rows if r[0] == kind]
+        keys, level = (np.array([r[k] for r in mine]) for k in (1, 3))
+        found = own.levels(keys.view(np.uint64), first)
+        assert (found >= level).all() and (found == level).mean() > 0.85
+        for r, q in zip(mine, lm.value(found + (kind == lm.OF_PAIR)).tolist(), strict=True):
+            said[-1 if kind == lm.OF_WORD else r[2]] += q
+    assert {r["id"]: r["q"] for r in table.where("id is not null").groupBy("id").sum("q").toDF("id", "q").collect()} == said
+    others = np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64)
+    assert (own.levels(others, lm.WORD_PROBES) == 0).mean() > 0.99 and (own.levels(others, probes) == 0).all()
+
+
+def model(spark, texts):
+    return lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+
+
+TEXTS = ["the cat sat on the mat", "the cat sat on the hat the end", "a dog and the cat sat", "the dog sat on a mat", None, "", "x" * 90 + " the cat " + "x" * 90 + " the"] * 3
+
+
+@pytest.mark.parametrize("context", [b"the", b"cat", b"on", b"", b"x" * 90, b"never"])
+def test_probabilities_sum_to_one(spark, context):
+    m = model(spark, TEXTS)
+    lookup = lm.Lookup(*(lm.Filter(np.frombuffer(lm.whole_filter(*x), dtype=np.uint8), x[1]) for x in (m.counts, m.contexts)), m.numbers.pair_probes)
+    vocabulary = sorted({w for t in TEXTS for w in lm.tokens(t)})
+    context = lm.tokens(context.decode())[0]
+    words = [*vocabulary, b"unseen", context]
+    ids = np.array([lm.word_id(w) for w in words], dtype=np.uint64)
+    n = len(vocabulary)
+    at = np.array([x for k in range(n + 1) for x in (n + 1, k)])
+    total = (10 ** lm.log10_probabilities(ids, at, lookup, m.numbers)[::2]).sum()
+    assert abs(total - 1) < 1e-6
+
+
+def brute(texts, held):
+    """The formula by plain counts, quantised."""
+    quantised = lambda n: math.floor(1.375 * 2 ** (n.bit_length() - 1))
+    one, two = Counter(), Counter()
+    for t in texts:
+        w = lm.tokens(t)
+        one.update(w)
+        two.update(zip([lm.END, *w], w, strict=False))
+    pairs = {k: quantised(n) for k, n in two.items() if n > 1}
+    sums = Counter()
+    for (c, _), q in pairs.items():
+        sums[c] += q
+    said = {w: quantised(n) for w, n in one.items()}
+    whole = sum(said.values()) + 0.1 * (len(said) + 1)
+    out = []
+    for t in held:
+        w, score = lm.tokens(t), 0.0
+        for c, x in zip([lm.END, *w], w, strict=False):
+            free = lm.BETA + max(said.get(c, 0) - sums[c], 0)
+            score += math.log10((pairs.get((c, x), 0) + free * (said.get(x, 0) + 0.1) / whole) / (sums[c] + free))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("bound", [lm.BROADCAST_BYTES, 0])
+def test_scores(spark, monkeypatch, bound):
+    """Against the formula, with the filter broadcast and as a table."""
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(lm, "LEVEL_PROBES", 24)  # levels without false hits
+    monkeypatch.setattr(lm, "SPARE", 20)
+    monkeypatch.setattr(lm, "BLOCK", 4)
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(6000)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 6000, 60)] + TEXTS
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    train = [t for i, t in enumerate(texts) if i % 2]
+    m = model(spark, train)
+    found = {r.doc_id: r.score for r in lm.score(docs, m).collect()}
+    expected = brute(train, texts)
+    assert len(found) == len(texts) and all(math.isclose(found[i], x, rel_tol=1e-9) for i, x in enumerate(expected))
