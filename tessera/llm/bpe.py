@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
 #: The longest word in bytes that is folded.
 FOLD_BYTES = 256
 #: Rows, and words in all, that are looked up at once.
-SLICE, SLICE_WORDS = 500, 200_000
+SLICE, SLICE_WORDS = 2_000, 1 << 20
 #: Places among which the ranks are dealt out, and what a pair's first piece counts there: a prime near 2^31 / 2^16.
 BUCKETS, SPREAD = 1 << 17, 30_011
 #: Stands for no rank.
@@ -143,9 +144,12 @@ class Codec:
         source = "".join(map(chr, self.bytes_to_pieces))
         return F.translate(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), source, "".join(map(chr, self.bytes_to_pieces.values())))
 
-    def decoder(self) -> dict[str, bytes]:
-        """Each id, in decimal, to its bytes."""
-        return {str(rank): token for token, rank in self.ranks.items()}
+    def decoder(self) -> list[bytes]:
+        """The bytes of each id, by id."""
+        pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            pieces[rank] = token
+        return pieces
 
 
 def split(text: Column, pattern: str) -> Column:
@@ -185,15 +189,15 @@ class Head:
             out.write_table(table.sort_by("hash"))
         return sink.getvalue().to_pybytes()
 
-    def find(self, words: list[str]) -> list[str | None]:
+    def find(self, words: pa.Array, plain: list[str]) -> list[str | None]:
         """The ids of each word, or none. Of words with equal hashes the dictionary finds the first: the others are folded."""
         if not len(self.hashes):
-            return [None] * len(words)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+            return [None] * len(plain)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, plain), dtype=np.uint64, count=len(plain))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        places = pa.array(at, mask=~hit)
-        return [i if w == v else None for w, v, i in zip(words, self.words.take(places).to_pylist(), self.ids.take(places).to_pylist(), strict=True)]
+        places = pa.array(at, mask=self.hashes[at] != hashes)
+        same = pc.equal(self.words.take(places), words)
+        return pc.if_else(same, self.ids.take(places), None).to_pylist()
 
 
 def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -221,7 +225,7 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
                 batch, words = whole.slice(start, end - start), lists.slice(start, end - start)
                 of_rows = words.flatten().dictionary_encode()
                 own = of_rows.dictionary.to_pylist()
-                found = np.array([*head.find(own), None], dtype=object)[:-1]
+                found = np.array([*head.find(of_rows.dictionary, own), None], dtype=object)[:-1]
                 missing = np.array([x is None for x in found], dtype=bool)
                 for i in np.nonzero(missing)[0].tolist():
                     if len(own[i]) > FOLD_BYTES // 4 and len(word := own[i].encode("utf-8", "surrogatepass")) > FOLD_BYTES:
@@ -254,23 +258,28 @@ def round_trip(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("ids", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_id, place = pieces.value.__getitem__, re.compile(r"~(\d+)")
+        of_id, place = pa.array(pieces.value, pa.large_binary()), re.compile(r"~(\d+)")
         for batch in batches:
-            counts, coded, decoded, out = [], [], [], []
-            for line, rest in zip(batch.column("ids"), batch.column("rest"), strict=True):
-                ids = line.as_py()
-                if "~" in ids:
+            full = []
+            for line, rest in zip(batch.column("ids").to_pylist(), batch.column("rest"), strict=True):
+                if "~" in line:
                     own = rest.as_py()
-                    ids = place.sub(lambda m, own=own: own[int(m[1])], ids)
-                tokens = ids.split()
-                counts.append(len(tokens))
-                coded.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(of_id, tokens))).hexdigest())
-                out.append(ids if with_ids else None)
+                    line = place.sub(lambda m, own=own: own[int(m[1])], line)
+                full.append(line)
+            tokens = pc.split_pattern(pa.array([x or None for x in full], pa.large_string()), " ")
+            # The pieces of all ids lie one after another in the buffer of what is taken.
+            bytes_ = of_id.take(tokens.flatten().cast(pa.int32()))
+            counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            at = np.frombuffer(bytes_.buffers()[1], dtype=np.int64)[ends] if len(bytes_) else np.zeros(len(ends), dtype=np.int64)
+            data = memoryview(bytes_.buffers()[2] or b"")
+            decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            coded = [hashlib.sha256(x.encode()).hexdigest() for x in full]
+            out = pa.array(full, pa.string()) if with_ids else pa.nulls(len(full), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (coded, decoded, out))], names=schema.names
+                [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string()), out], names=schema.names
             )
 
     made = encode(docs, codec, pattern, keep).mapInArrow(tidy(run), schema)
-    with small_batches(docs.sparkSession, SLICE):
+    with small_batches(docs.sparkSession, SLICE, 8 << 20):
         return materialize(made if with_ids else made.drop("ids"))
