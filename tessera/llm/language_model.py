@@ -10,7 +10,8 @@ Probabilities: P(w|c) = (q(c,w) + m(c) P(w)) / (Z(c) + m(c)), where q is what th
 what it says of all pairs that c begins, and P(w) = (q(w) + 0.1) / (sum of all q + 0.1 (V + 1)). They sum to one over the vocabulary
 and one unseen word, whatever quantising and false hits do to m, because both sums are taken from the filter itself, by
 the tasks that build its segments. Z(c) is a whole number, kept as its binary digits. What could add to a sum is a pair that is found
-without having been put in; pairs have as many probes as keep a context's expected number of those below 2^-``SPARE``.
+without having been put in; pairs have as many probes as keep a context's expected number of those below about 2^-``SPARE``.
+Three probes at a time are bits of one 64-bit word.
 Pairs seen once go by P(w), at every size.
 
 The exact base score needs exact counts of all words. The most frequent words' counts, a bounded number, go to the workers;
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, most_frequent, packed, scalar, slices, small_batches, text_lengths, tidy
 
-#: Probes of a word's first level, of any entry's further levels; a pair's first level has log2 of the vocabulary and ``SPARE`` more.
-WORD_PROBES, LEVEL_PROBES, SPARE = 10, 3, 8
+#: Probes, in threes, of a word's first level and of any entry's further levels; a pair's first level has as many as follow from the
+#: logarithm of the words that can follow, and ``SPARE`` more.
+WORD_PROBES, LEVEL_PROBES, SPARE = 3, 1, 7
 #: The largest filter that is broadcast.
 BROADCAST_BYTES = 256 << 20
 #: Documents that ask a filter's table together.
@@ -43,16 +45,19 @@ BLOCK = 256
 #: Words whose exact counts are broadcast. Words of more bytes than ``LONG`` go by a 128-bit hash.
 HEAD_WORDS, LONG = 1 << 18, 64
 #: Texts, and bytes of text, that are scored at once.
-SLICE, SLICE_BYTES = 500, 4 << 20
+SLICE, SLICE_BYTES = 1_000, 4 << 20
 #: Different words, and neighbours, that a task sums up before it hands them on.
 COMBINED_WORDS, COMBINED_PAIRS = 300_000, 1 << 21
+#: Pairs that a task adds up at once, on the average at most.
+PART = 1 << 20
 #: What the unigram counts for in any context.
-BETA = 2.0
+BETA = 32.0
 #: The token after the last word. No word is empty.
 END = b""
-#: Bits of a filter segment: 2 to this power.
-SEGMENT_LOG = 18
-SEGMENT = 1 << SEGMENT_LOG
+#: Words of 64 bits in a filter segment.
+SEGMENT = 1 << 12
+#: Bits of a filter for each bit that an entry sets: so half of them are set.
+ROOM = 1 / math.log(2)
 #: Most levels that a count can have, and digits that a sum can have.
 LEVELS = 62
 #: Kinds of entries.
@@ -64,7 +69,10 @@ _SEGMENT, _GOLDEN = np.uint64(0xFF51AFD7ED558CCD), 0x9E3779B97F4A7C15
 
 def tokens(text: str | None) -> list[bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return [*(w if len(w) <= LONG else b" " + xxhash.xxh3_128_digest(w) for w in words), END]
+    if max(map(len, words), default=0) > LONG:
+        words = [w if len(w) <= LONG else b" " + xxhash.xxh3_128_digest(w) for w in words]
+    words.append(END)
+    return words
 
 
 def remainder(doc_id: Column) -> Column:
@@ -88,17 +96,18 @@ def word_id(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF
 
 
-class Ids(dict):
-    """Words' ids, at most ``COMBINED_WORDS`` of them kept."""
+class Codes(dict):
+    """Words' numbers in the order of their appearance."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= COMBINED_WORDS:
-            self.clear()
-        self[word] = h = word_id(word)
-        return h
+        self[word] = n = len(self)
+        return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def ids(self) -> np.ndarray:
+        return np.fromiter(map(word_id, self), dtype=np.uint64, count=len(self))
 
 
 def key_of(kind: int, ids: np.ndarray) -> np.ndarray:
@@ -120,44 +129,36 @@ def value(level: np.ndarray) -> np.ndarray:
     return np.floor(1.375 * 2.0 ** (np.asarray(level) - 1)).astype(np.int64)
 
 
-def hashes(keys: np.ndarray, level: int, probes: int) -> Iterator[tuple[np.ndarray, int]]:
-    """For each three probes a constant to add to the keys, and how many of them count."""
-    for g in range(0, probes, 3):
-        yield np.uint64((level * 64 + g + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF), min(3, probes - g)
-
-
-def places(keys: np.ndarray, level: int, probes: int) -> Iterator[np.ndarray]:
-    """Bit places of a level of the keys in their segments, an array for each probe."""
-    for add, n in hashes(keys, level, probes):
-        with np.errstate(over="ignore"):
-            h = mix(keys + add)
-        for k in range(n):
-            yield (h >> np.uint64(SEGMENT_LOG * k)) & np.uint64(SEGMENT - 1)
+def places(keys: np.ndarray, level: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two times three probes of a level of the keys, from the number ``first``: words in their segments and masks."""
+    with np.errstate(over="ignore"):
+        h = mix(keys + np.uint64((level * 64 + first + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF))
+    one, six = np.uint64(1), np.uint64(63)
+    for _ in range(2):
+        yield h & np.uint64(SEGMENT - 1), one << (h >> np.uint64(12) & six) | one << (h >> np.uint64(18) & six) | one << (h >> np.uint64(24) & six)
+        h = h >> np.uint64(32)
 
 
 @dataclass(frozen=True)
 class Filter:
-    """Segments ``first``, ``first`` + 1, ... of ``segments`` in all, as bytes."""
+    """Segments ``first``, ``first`` + 1, ... of ``segments`` in all, as 64-bit words."""
 
     data: np.ndarray
     segments: int
     first: int = 0
 
     def has(self, keys: np.ndarray, base: np.ndarray, level: int, probes: int) -> np.ndarray:
-        """Which of the keys have the level: most that haven't miss by the first probes, and the next ones look up what is left."""
+        """The places of the keys that have the level: what misses by a probe isn't looked up again."""
         at = np.arange(len(keys))
-        for add, n in hashes(keys, level, probes):
-            with np.errstate(over="ignore"):
-                h = mix(keys[at] + add)
-            for k in range(n):
-                p = base[at] + ((h >> np.uint64(SEGMENT_LOG * k)) & np.uint64(SEGMENT - 1))
-                hit = (self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, h = at[hit], h[hit]
-            if not len(at):
-                break
-        out = np.zeros(len(keys), dtype=bool)
-        out[at] = True
-        return out
+        for first in range(0, probes, 2):
+            for n, (word, mask) in enumerate(places(keys, level, first)):
+                if first + n < probes:
+                    if n:
+                        word, mask = word[kept], mask[kept]
+                    kept = np.nonzero(self.data[base + word] & mask == mask)[0]
+                    if len(kept) < len(base):
+                        at, base, keys = at[kept], base[kept], keys[kept]
+        return at
 
     def base(self, keys: np.ndarray) -> np.ndarray:
         return (segment_of(keys, self.segments) - np.uint64(self.first)) * np.uint64(SEGMENT)
@@ -203,34 +204,58 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """a, b, n of neighbouring tokens: ``a`` has the first one's id above 16 bits of the second's, ``b`` the rest of that.
+def repeated_pairs(texts: DataFrame, size: int) -> DataFrame:
+    """first, second (ids of neighbouring tokens), n of all pairs that stand twice or more in the ``size`` tokens of all rows' whole texts.
 
-    Over all rows' whole texts, the text's start counting as an end. In a partial sum pairs are told apart by 64 bits of a hash.
+    A text's start counts as an end. Partial sums are cut into parts by the pairs' keys, and a part's sums travel as one packed
+    row: a task adds up those of one part, about ``PART`` pairs.
     """
+    parts = max(1, math.ceil(size / PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = Ids(), [], 0
+        codes, held, size = Codes(), [], 0
 
         def out() -> pa.RecordBatch:
-            first, second = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            ids = codes.ids()
             held.clear()
-            _, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
-            a = (first[at] << np.uint64(16)) | (second[at] >> np.uint64(32))
-            b = (second[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(n, pa.int64())], names=["a", "b", "n"])
+            codes.clear()
+            first, second = ids[found >> 32], ids[found & 0xFFFFFFFF]
+            own = segment_of(pair_key(first, second), parts)
+            order = np.argsort(own)
+            own, first, second, n = own[order], first[order], second[order], np.minimum(n[order], 0xFFFFFFFF)
+            # 48 bits of each id: 12 bytes a pair, and 4 of its number.
+            packed = np.stack([first & np.uint64(0xFFFFFFFF), (first >> np.uint64(32)) | (second >> np.uint64(32) << np.uint64(16)), second & np.uint64(0xFFFFFFFF), n.astype(np.uint64)], axis=1).astype("<u4")
+            starts = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+            data = memoryview(packed.tobytes())
+            rows = [data[16 * a : 16 * b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "data"])
 
         for batch in batches:
             for t in batch.column("text"):
-                held.append(ids.of([END, *tokens(t.as_py())]))
-                size += len(held[-1])
-                if size >= COMBINED_PAIRS:
+                own = codes.of([END, *tokens(t.as_py())])
+                held.append(own[:-1] << 32 | own[1:])
+                size += len(own)
+                if size >= COMBINED_PAIRS or len(codes) >= COMBINED_WORDS:
                     yield out()
                     size = 0
         if held:
             yield out()
 
-    return texts.select("text").mapInArrow(tidy(run), "a long, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def added(rows: pa.Table) -> pa.Table:
+        packed = np.frombuffer(b"".join(x.as_py() for x in rows.column("data")), dtype="<u4").reshape(-1, 4).astype(np.uint64)
+        first = packed[:, 0] | (packed[:, 1] & np.uint64(0xFFFF)) << np.uint64(32)
+        second = packed[:, 2] | packed[:, 1] >> np.uint64(16) << np.uint64(32)
+        keys = pair_key(first, second)
+        order = np.argsort(keys)
+        starts = np.nonzero(np.concatenate([[True], (k := keys[order])[1:] != k[:-1]]))[0]
+        n = np.add.reduceat(packed[order, 3], starts)
+        again = n > 1
+        at = order[starts[again]]
+        return pa.table({"first": first[at].view(np.int64), "second": second[at].view(np.int64), "n": n[again].view(np.int64)})
+
+    packed = texts.select("text").mapInArrow(tidy(run), "part long, data binary")
+    return packed.groupBy("part").applyInArrow(added, "first long, second long, n long")
 
 
 def _level(n: Column) -> Column:
@@ -244,7 +269,7 @@ def build(entries: DataFrame, bits: float, pair_probes: int) -> tuple[DataFrame,
     A row is either (segment, data) or (segment, id, q): the sum of what the filter says of a segment's pairs that the word ``id``
     begins, or, with id -1, of its words. A segment is built by one task from its own entries, whatever the size of the whole.
     """
-    segments = max(1, math.ceil(bits / SEGMENT))
+    segments = max(1, math.ceil(bits * ROOM / (64 * SEGMENT)))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,14 +277,17 @@ def build(entries: DataFrame, bits: float, pair_probes: int) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], names=["segment", *batch.schema.names])
 
     def filled(rows: pa.Table) -> pa.Table:
-        data = np.zeros(SEGMENT // 8, dtype=np.uint8)
+        data = np.zeros(SEGMENT, dtype=np.uint64)
         segment = rows.column("segment")[0].as_py()
         kind, keys, ids, level = (rows.column(c).to_numpy() for c in ("kind", "key", "id", "level"))
         keys = keys.view(np.uint64)
 
         def put(chosen: np.ndarray, q: int, probes: int) -> None:
-            for p in places(keys[chosen], q, probes):
-                np.bitwise_or.at(data, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            own = keys[chosen]
+            for first in range(0, probes if len(own) else 0, 2):
+                for n, (word, mask) in enumerate(places(own, q, first)):
+                    if first + n < probes:
+                        np.bitwise_or.at(data, word, mask)
 
         of_context, names, sums = kind == OF_CONTEXT, [], []
         for q in range(1, LEVELS + 1):
@@ -369,11 +397,12 @@ def train(texts: DataFrame) -> Trained:
     """Counts, filter and vocabulary (word, n) from all rows of ``texts`` (text; null is empty). An empty table gives an empty filter."""
     with small_batches(texts.sparkSession, 2_000):
         vocabulary = materialize(word_counts(texts))
-        repeated = materialize(pair_counts(texts).where("n > 1"))
+        size = scalar(vocabulary.agg(F.sum("n")))[0] or 0
+        repeated = materialize(repeated_pairs(texts, size))
     level = _level(F.col("n")).cast("long")
-    of_words = scalar(vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum(WORD_PROBES + LEVEL_PROBES * (level - 1)).alias("bits")))
-    probes = max(1, of_words["words"] or 0).bit_length() + SPARE
-    of_pairs = scalar(repeated.agg(F.sum(probes + LEVEL_PROBES * (level - 2)).alias("bits")))
+    of_words = scalar(vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum(F.when(level > 1, 1).otherwise(0)).alias("repeated"), F.sum(3 * (WORD_PROBES + LEVEL_PROBES * (level - 1))).alias("bits")))
+    probes = math.ceil((max(1, of_words["repeated"] or 0).bit_length() + SPARE) / 3)
+    of_pairs = scalar(repeated.agg(F.sum(3 * (probes + LEVEL_PROBES * (level - 2))).alias("bits")))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,8 +411,7 @@ def train(texts: DataFrame) -> Trained:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_numpy().view(np.uint64), batch.column("b").to_numpy().view(np.uint32).astype(np.uint64)
-            first, second = a >> np.uint64(16), ((a & np.uint64(0xFFFF)) << np.uint64(32)) | b
+            first, second = (batch.column(c).to_numpy().view(np.uint64) for c in ("first", "second"))
             yield entry(OF_PAIR, pair_key(first, second), first, batch.column("level"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,21 +424,20 @@ def train(texts: DataFrame) -> Trained:
 
     schema = "kind int, key long, id long, level long"
     single = vocabulary.select("word", level.alias("level")).mapInArrow(tidy(words), schema)
-    double = repeated.select("a", "b", (level - 1).alias("level")).mapInArrow(tidy(pairs), schema)
-    # Half of a filter's bits are set where it has 1 / ln 2 bits for each probe.
-    counts = build(single.unionByName(double), ((of_words["bits"] or 0) + (of_pairs["bits"] or 0)) / math.log(2), probes)
+    double = repeated.select("first", "second", (level - 1).alias("level")).mapInArrow(tidy(pairs), schema)
+    counts = build(single.unionByName(double), (of_words["bits"] or 0) + (of_pairs["bits"] or 0), probes)
     sums = counts[0].where("id is not null").groupBy("id").agg(F.sum("q").alias("level"))
     said = scalar(sums.where("id = -1").agg(F.sum("level")))[0] or 0
     totals = materialize(sums.where("id <> -1"))
     digits = scalar(totals.agg(F.sum(F.bit_count("level"))))[0] or 0
-    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), schema), digits * probes / math.log(2), probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes))
+    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), schema), digits * probes * 3, probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes))
 
 
 def whole_filter(table: DataFrame, segments: int) -> bytes:
     """A filter's bytes on the driver: ``BROADCAST_BYTES`` at most, by the caller's check."""
-    data = bytearray(segments * SEGMENT // 8)
+    data = bytearray(segments * SEGMENT * 8)
     for r in table.where("data is not null").select("segment", "data").toLocalIterator():
-        data[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["data"]
+        data[r["segment"] * SEGMENT * 8 : (r["segment"] + 1) * SEGMENT * 8] = r["data"]
     return bytes(data)
 
 
@@ -418,27 +445,45 @@ _RESULT = "place long, held_out boolean, n_tokens long, n_known long, logs doubl
 
 
 class Head:
-    """Exact counts of the most frequent words, as logarithms for the base score."""
+    """Exact counts of the most frequent words, found by binary search over their ids, as logarithms for the base score."""
 
     def __init__(self, data: bytes):
         with pa.ipc.open_stream(data) as source:
             table = source.read_all()
-        self.words = pa.chunked_array(table.column("word").chunks, pa.binary()).combine_chunks()
+        self.ids, self.words = table.column("id").to_numpy().astype(np.uint64), table.column("word").combine_chunks()
         self.logs = np.log10(np.append(table.column("n").to_numpy(), 0) + 0.1)
 
+    @staticmethod
+    def packed(vocabulary: DataFrame) -> bytes:
+        with pa.ipc.open_stream(packed(most_frequent(vocabulary, HEAD_WORDS).select("word", "n"))) as source:
+            table = source.read_all()
+        ids = pa.array([word_id(w.as_py()) for w in table.column("word")], pa.uint64())
+        sink, table = pa.BufferOutputStream(), table.append_column("id", ids).sort_by("id").combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def places(self, ids: np.ndarray, words: pa.Array) -> np.ndarray:
+        """Each word's place, or -1. Of words with equal ids the first is found: the others' counts meet them in the join."""
+        if not len(self.ids):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        hit = self.ids[at] == ids
+        hit[hit] = pc.equal(self.words.take(pa.array(at[hit])), words.filter(pa.array(hit))).to_numpy(zero_copy_only=False)
+        return np.where(hit, at, -1)
+
     def scored(self, texts: pa.Array, lookup: Lookup | Answers, numbers: Numbers) -> list[pa.Array]:
         """n_tokens, n_known, logs, score, rest of some texts: their different words are looked up once."""
-        n, ends, words, at = coded(texts)
-        starts = ends - n
-        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        n, ends, codes, at = coded(texts)
+        starts, words, ids = ends - n, pa.array(codes, pa.binary()), codes.ids()
+        place = self.places(ids, words)
         known = place >= 0
         of_word = np.where(known, self.logs[place], 0.0)
-        ids = np.fromiter((word_id(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
         p = log10_probabilities(ids, np.insert(at, starts, at[-1]), lookup, numbers)  # the last token is an end
         total = np.concatenate([[0.0], np.cumsum(p)])
         first = starts + np.arange(len(n))  # each text has one place more; the step to the next text's start is left out
-        rare = ~known[at]
-        pairs_, tf = np.unique(np.repeat(np.arange(len(n)), n)[rare] * len(words) + at[rare], return_counts=True)
+        rare = np.nonzero(~known[at])[0]
+        pairs_, tf = np.unique(np.searchsorted(ends, rare, side="right") * len(words) + at[rare], return_counts=True)
         offsets = np.searchsorted(pairs_, np.arange(len(n) + 1) * len(words)).astype(np.int32)
         structs = pa.StructArray.from_arrays([words.take(pa.array(pairs_ % len(words))), pa.array(tf, pa.int64())], names=["word", "tf"])
         return [
@@ -450,12 +495,12 @@ class Head:
         ]
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Codes, np.ndarray]:
     """Of some texts: numbers of tokens, their running sums, the different tokens, and each token's place among these."""
-    each = [tokens(t) for t in texts.to_pylist()]
+    codes = Codes()
+    each = [codes.of(tokens(t)) for t in texts.to_pylist()]
     n = np.array([len(x) for x in each])
-    found = pa.array(chain.from_iterable(each), pa.binary()).dictionary_encode()
-    return n, np.cumsum(n), found.dictionary, found.indices.to_numpy().astype(np.int64)
+    return n, np.cumsum(n), codes, np.concatenate(each)
 
 
 def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
@@ -468,7 +513,7 @@ def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, *data = shared.value
         own = Head(head)
-        lookup = Lookup(*(Filter(np.frombuffer(d, dtype=np.uint8), n) for d, n in zip(data, sizes, strict=True)), numbers.pair_probes)
+        lookup = Lookup(*(Filter(np.frombuffer(d, dtype=np.uint64), n) for d, n in zip(data, sizes, strict=True)), numbers.pair_probes)
         for whole in batches:
             for start, end in slices(text_lengths(whole.column("text")), SLICE, SLICE_BYTES):  # bounded memory
                 batch = whole.slice(start, end - start)
@@ -492,7 +537,7 @@ def _parts_by_block(placed: DataFrame, model: Trained, head: bytes) -> DataFrame
             for block in np.unique(of_rows):
                 texts = batch.column("text").filter(pa.array(of_rows == block))
                 n, ends, words, at = coded(texts)
-                ids = np.fromiter((word_id(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+                ids = words.ids()
                 at = np.insert(at, ends - n, at[-1])
                 pairs_ = np.unique(at[:-1] * np.int64(len(words)) + at[1:])
                 asked = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs_ // len(words)], ids[pairs_ % len(words)])}
@@ -506,7 +551,7 @@ def _parts_by_block(placed: DataFrame, model: Trained, head: bytes) -> DataFrame
         kind, keys = asked.column("kind").to_numpy(), asked.column("key").to_numpy().view(np.uint64)
         out = np.zeros(len(keys), dtype=np.int64)
         if segment.num_rows:
-            data, at = np.frombuffer(segment.column("data")[0].as_py(), dtype=np.uint8), segment.column("segment")[0].as_py()
+            data, at = np.frombuffer(segment.column("data")[0].as_py(), dtype=np.uint64), segment.column("segment")[0].as_py()
             if at < shift:
                 own = Filter(data, sizes[OF_PAIR], at)
                 for k, probes, more in ((OF_WORD, WORD_PROBES, 0), (OF_PAIR, numbers.pair_probes, 1)):
@@ -552,9 +597,9 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
     A null or empty text is one end token; repeated rows each have a row; without training rows all counts are 0. An unseen
     word has the probability of one symbol, ``P`` of a count of 0.
     """
-    head = packed(most_frequent(model.vocabulary, HEAD_WORDS).select("word", "n"))
+    head = Head.packed(model.vocabulary)
     placed = docs.select("doc_id", F.monotonically_increasing_id().alias("place"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    size = (model.counts[1] + model.contexts[1]) * SEGMENT // 8
+    size = (model.counts[1] + model.contexts[1]) * SEGMENT * 8
     if size > BROADCAST_BYTES:
         placed = materialize(placed)  # it is read twice, and its places must be the same
     with small_batches(docs.sparkSession, 1_000):

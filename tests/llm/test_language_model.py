@@ -13,9 +13,10 @@ from tessera.llm import language_model as lm
 def test_no_level_is_dropped(spark):
     rng = random.Random(2)
     rows = [(kind, rng.getrandbits(63), i % 97, 1 + i % 5) for kind in (lm.OF_WORD, lm.OF_PAIR) for i in range(30_000)]
-    probes, bits = 25, sum((lm.WORD_PROBES if r[0] == lm.OF_WORD else 25) + lm.LEVEL_PROBES * (r[3] - 1) for r in rows) / math.log(2)
+    probes = 9
+    bits = sum(3 * ((lm.WORD_PROBES if r[0] == lm.OF_WORD else probes) + lm.LEVEL_PROBES * (r[3] - 1)) for r in rows)
     table, segments = lm.build(spark.createDataFrame(rows, "kind int, key long, id long, level long").repartition(3), bits, probes)
-    own = lm.Filter(np.frombuffer(lm.whole_filter(table, segments), dtype=np.uint8), segments)
+    own = lm.Filter(np.frombuffer(lm.whole_filter(table, segments), dtype=np.uint64), segments)
     said = Counter()
     for kind, first in ((lm.OF_WORD, lm.WORD_PROBES), (lm.OF_PAIR, probes)):
         mine = [r for r in rows if r[0] == kind]
@@ -39,7 +40,7 @@ TEXTS = ["the cat sat on the mat", "the cat sat on the hat the end", "a dog and
 @pytest.mark.parametrize("context", [b"the", b"cat", b"on", b"", b"x" * 90, b"never"])
 def test_probabilities_sum_to_one(spark, context):
     m = model(spark, TEXTS)
-    lookup = lm.Lookup(*(lm.Filter(np.frombuffer(lm.whole_filter(*x), dtype=np.uint8), x[1]) for x in (m.counts, m.contexts)), m.numbers.pair_probes)
+    lookup = lm.Lookup(*(lm.Filter(np.frombuffer(lm.whole_filter(*x), dtype=np.uint64), x[1]) for x in (m.counts, m.contexts)), m.numbers.pair_probes)
     vocabulary = sorted({w for t in TEXTS for w in lm.tokens(t)})
     context = lm.tokens(context.decode())[0]
     words = [*vocabulary, b"unseen", context]
@@ -78,7 +79,7 @@ def brute(texts, held):
 def test_scores(spark, monkeypatch, bound):
     """Against the formula, with the filter broadcast and as a table."""
     monkeypatch.setattr(lm, "BROADCAST_BYTES", bound)
-    monkeypatch.setattr(lm, "LEVEL_PROBES", 24)  # levels without false hits
+    monkeypatch.setattr(lm, "LEVEL_PROBES", 8)  # levels without false hits
     monkeypatch.setattr(lm, "SPARE", 20)
     monkeypatch.setattr(lm, "BLOCK", 4)
     rng = random.Random(4)
