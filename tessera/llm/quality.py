@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import WORD, let, materialize, words
 
 SYMBOLS = "#*$%&|<>"
-#: Documents of a language and source from which its own quartiles count.
-LEAST_ROWS = 100
+#: A language's quantiles weigh as much as so many documents of the source beside the source's own.
+PRIOR_ROWS = 100
 #: Accuracy of the quantile summaries: ranks are right to one in so many.
 ACCURACY = 2_000
 
@@ -56,7 +56,10 @@ def repeat_words(w: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Adds the column ``m``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_shouts."""
+    """Adds the column ``m``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_shouts.
+
+    Over the whole text, however long; null is empty and has zeros throughout. A column ``m`` of ``docs`` is replaced.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     m = let(
@@ -105,33 +108,33 @@ SLACK = {"symbols": 0.1, "word_length": 3.0, "duplicate_lines": 0.6, "repeats":
 SPREAD = 4.0
 
 
-def _limits(measured: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, n and ``top``: each measure's limit for each group of the keys' values."""
-    cuts = {k: F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.75)), ACCURACY) for k, v in _ratios().items()}
-    q = measured.where(~base_failed()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in cuts.items()))
-    limits = (
-        (F.get(F.col(k), F.lit(1)) + F.greatest(SPREAD * (F.get(F.col(k), F.lit(1)) - F.get(F.col(k), F.lit(0))), F.lit(SLACK[k]))).alias(k)
-        for k in cuts
-    )
-    return q.select(*keys, "n", F.struct(*limits).alias("top"))
+def _quantiles(measured: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, n and ``q``: each measure's median and upper quartile for each group of the keys' values."""
+    cuts = [F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.75)), ACCURACY).alias(k) for k, v in _ratios().items()]
+    q = measured.where(~base_failed()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *cuts)
+    return q.select(*keys, "n", F.struct(*_ratios()).alias("q"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """A row for each lang and source (null is a value like others) with ``top``: each measure's upper limit.
 
-    A limit is the upper quartile plus ``SPREAD`` times the distance between median and upper quartile, or plus the
-    measure's slack if that is more. Only documents that the base rules accept count. Quartiles of fewer than
-    ``LEAST_ROWS`` documents tell little: such a source takes its language's limits.
+    ``measured``: lang, source, m. A limit is the upper quartile plus ``SPREAD`` times the distance between median and upper quartile,
+    or plus the measure's slack if that is more. Only documents that the base rules accept count. A source's quantiles are drawn
+    towards its language's by n / (n + ``PRIOR_ROWS``), at every size: one document says little, many say all.
     """
-    own = _limits(measured, "lang", "source")
-    of_lang = _limits(measured, "lang").select(F.col("lang").alias("_of"), F.col("top").alias("_top"))
-    return own.join(of_lang, F.col("lang").eqNullSafe(F.col("_of"))).select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(F.col("n") < LEAST_ROWS, F.col("_top")).otherwise(F.col("top")).alias("top")
-    )
+    own = _quantiles(measured, "lang", "source")
+    of_lang = _quantiles(measured, "lang").select(F.col("lang").alias("_of"), F.col("q").alias("_q"))
+    n = F.col("n").cast("double")
+
+    def drawn(k: str, i: int) -> Column:
+        return (n * F.get(F.col("q")[k], F.lit(i)) + F.lit(float(PRIOR_ROWS)) * F.get(F.col("_q")[k], F.lit(i))) / (n + F.lit(float(PRIOR_ROWS)))
+
+    limits = ((drawn(k, 1) + F.greatest(SPREAD * (drawn(k, 1) - drawn(k, 0)), F.lit(SLACK[k]))).alias(k) for k in _ratios())
+    return own.join(of_lang, F.col("lang").eqNullSafe(F.col("_of"))).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*limits).alias("top"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` to rows with the column ``m``.
+    """Adds ``base_failed`` and ``kept`` to rows with the columns lang, source and ``m``; nulls in lang or source are values like others.
 
     The table of limits has a row for each language and source; the optimizer broadcasts it if it is small by its
     measured size and else shuffles.
@@ -151,9 +154,8 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules accept, with their own columns only.
 
-    ``docs``: text, lang, source and any others. A null text is empty and fails, as does any text under 50 words;
-    repeated rows share a verdict; an empty table stays empty.
+    ``docs``: text, lang, source and any others, of any names. A null text is empty and fails, as does any text under 50 words;
+    repeated rows share a verdict; an empty table stays empty. Each text is measured once: rows are written with their measures.
     """
-    row = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
-    narrow = materialize(measures(docs.select("text", "lang", "source")).drop("text"))
-    return judged(measures(row), thresholds(narrow)).where("kept").select("_row.*")
+    measured = materialize(measures(docs.select(F.struct("*").alias("_row"), "text", "lang", "source")).drop("text"))
+    return judged(measured, thresholds(measured.select("lang", "source", "m"))).where("kept").select("_row.*")
