@@ -3,7 +3,8 @@
 Each source is a queue of its documents in shuffled order, served again from its start when it is through. A
 document's virtual finish time is the source's cumulative tokens up to its end, divided by the source's target. The
 queues are served together until the total budget is spent, at virtual time 1; documents being served at that
-moment are cut there. Sorted by virtual finish time, the copies form the mix.
+moment are cut there. The copies are sorted by virtual finish time over ranges, and prefix sums over the ranges truncate the mix
+at the total budget.
 """
 
 from __future__ import annotations
@@ -114,21 +115,33 @@ def schedule(
     )
 
 
-def mixture(scheduled: DataFrame) -> DataFrame:
-    """The mix itself: a row for each copy of which at least half is taken, in the order of virtual finish times.
+def running(copies: DataFrame, amount: str) -> DataFrame:
+    """``copies`` sorted by virtual finish time over all of them, with ``upto``: the sum of ``amount`` up to and with each.
 
-    Rows of size 0 come once, if their queue reaches them in time.
+    Ranges of the order are as many as shuffle partitions; their sums, a row for each, give what lies before a range.
+    """
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["virtual_finish", "shuffle_key", "pass"]
+    ranged = materialize(copies.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.withColumn("_in", F.sum(amount).over(inside)).join(F.broadcast(before), "_part").withColumn("upto", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
+def mixture(scheduled: DataFrame, whole: bool = False) -> DataFrame:
+    """A row for each copy, in the order of virtual finish times: pass, virtual_finish, ``taken`` and ``upto``, in place of ``copies``.
+
+    ``taken`` is what the copy got by virtual time 1, cut where the sum over the order passes the total budget; ``upto`` is that sum.
+    With ``whole`` a copy is taken whole or not at all: the order's first ones whose sizes sum up to the budget at most; rows of
+    size 0 come once, in their place. Rows of a table that ``schedule`` made from a written one.
     """
-    n = int(scheduled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = F.col("copy")
-    whole = ((c["taken"] > 0) & (2 * c["taken"] >= F.col("size"))) | (
-        (F.col("size") == 0) & (c["pass"] == 0) & (c["finish"] <= BUDGET_TIME)
-    )
-    return (
-        scheduled.withColumn("copy", F.explode("copies"))
-        .where(whole)
-        .withColumns({"taken": c["taken"], "pass": c["pass"], "virtual_finish": c["finish"]})
-        .drop("copies", "copy")
-        .repartitionByRange(n, "virtual_finish", "shuffle_key")
-        .sortWithinPartitions("virtual_finish", "shuffle_key")
-    )
+    budget = F.lit(float(scalar(scheduled.groupBy("source").agg(F.max("target").alias("target")).agg(F.sum("target")))[0] or 0.0))
+    copies = scheduled.withColumn("copy", F.explode("copies")).withColumns({"pass": c["pass"], "virtual_finish": c["finish"], "taken": c["taken"]}).drop("copies", "copy")
+    if whole:
+        sorted_ = running(copies.where((F.col("size") > 0) | (F.col("pass") == 0)).drop("taken"), "size")
+        return sorted_.where(F.col("upto") <= budget).withColumn("taken", F.col("size"))
+    sorted_ = running(copies, "taken")
+    room = F.ceil(budget) - (F.col("upto") - F.col("taken"))
+    return sorted_.withColumn("taken", F.greatest(F.least(F.col("taken"), room), F.lit(0)).cast("long"))

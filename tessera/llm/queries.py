@@ -11,15 +11,16 @@ from .common import WORD, documents, materialize
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sorted, truncated mix takes of each document. Null texts and texts without words take nothing; a null source is one."""
     rows = documents(spark, sf_dir).select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", "text").alias("shuffle_key"),
+        F.monotonically_increasing_id().alias("row_id"),
     )
-    out = mixing.schedule(materialize(rows))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"])
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies")[0]["finish"].alias("virtual_finish"))
+    out = mixing.mixture(mixing.schedule(materialize(rows)))
+    return out.groupBy("row_id", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.min("virtual_finish").alias("virtual_finish")).drop("row_id")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +94,15 @@ def _op10_sql() -> str:
         "capitals": "n_upper / greatest(word_chars, 1)::DOUBLE",
         "shouts": "n_shouts / greatest(n_words, 1)::DOUBLE",
     }
-    limits = ", ".join(
-        f"quantile_disc({k}, 0.75) + greatest({quality.SPREAD!r}::DOUBLE * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.5)), {quality.SLACK[k]!r}::DOUBLE) AS {k}"
-        for k in ratio
+    quantiles = ", ".join(f"quantile_disc({k}, {q}) AS {k}_{name}" for k in ratio for name, q in (("h", 0.5), ("u", 0.75)))
+
+    def drawn(k: str, name: str) -> str:
+        prior = f"{float(quality.PRIOR_ROWS)!r}::DOUBLE"
+        return f"((s.n::DOUBLE * s.{k}_{name} + {prior} * l.{k}_{name}) / (s.n::DOUBLE + {prior}))"
+
+    fits = " AND ".join(
+        f"m.{k} <= {drawn(k, 'u')} + greatest({quality.SPREAD!r}::DOUBLE * ({drawn(k, 'u')} - {drawn(k, 'h')}), {quality.SLACK[k]!r}::DOUBLE)" for k in ratio
     )
-    fits = " AND ".join(f"m.{k} <= CASE WHEN s.n < {quality.LEAST_ROWS} THEN l.{k} ELSE s.{k} END" for k in ratio)
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -109,8 +114,8 @@ base AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t
   len(lines) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper, length(text) - length(translate(text, '!?', '')) AS n_shouts
   FROM w LEFT JOIN covered c USING (r)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in ratio.items())} FROM base),
-s AS (SELECT lang, source, count(*) AS n, {limits} FROM m WHERE NOT base_failed GROUP BY lang, source),
-l AS (SELECT lang, {limits} FROM m WHERE NOT base_failed GROUP BY lang)
+s AS (SELECT lang, source, count(*) AS n, {quantiles} FROM m WHERE NOT base_failed GROUP BY lang, source),
+l AS (SELECT lang, {quantiles} FROM m WHERE NOT base_failed GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({fits}, true) AS kept
 FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang"""
 
