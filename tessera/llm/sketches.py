@@ -1,7 +1,7 @@
 """Document fingerprints: threshold-scaled sketches.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, and the ``LEAST`` smallest hashes in any case,
-so that short texts have one too. Its own threshold follows from what it holds: the fixed one, or its largest hash where
+so that texts of a few words have one too. Its own threshold follows from what it holds: the fixed one, or its largest hash where
 that lies above. Two sketches are compared below the smaller of their thresholds, so that containment can be estimated between a
 sentence and a book; merging is the union, cut to the same rule.
 """
@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import piece_of, tidy
 from .sharding import range_of
 
-WIDTH, FRACTION, LEAST = 5, 16, 16
+WIDTH, FRACTION, LEAST = 5, 4, 8
 #: Hashes below this are kept: one in ``FRACTION``.
 THRESHOLD = 2**64 // FRACTION
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -80,7 +80,8 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(hashes: np.ndarray) -> str:
-    return hashes.astype(">u8").tobytes().hex()
+    """The upper halves of the hashes, eight hex digits each, ascending."""
+    return (hashes >> np.uint64(32)).astype(">u4").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -95,8 +96,8 @@ def fingerprint_and_compare(docs: DataFrame, ranges: int | None = None) -> DataF
     ``docs``: doc_id (a number), text. The next document is that of the next smaller doc_id, nulls last; rows of equal doc_id
     follow by their texts' hashes; after the last comes the first, and a lone document follows itself. Null texts are empty.
 
-    The texts move once, into ranges of doc_id by quantiles; what follows the last row of a range is the first row of the
-    next one, found beforehand: a row for each of the bounded number of ranges.
+    The texts move once, into ranges of doc_id by quantiles; a range of one id alone (or of nulls) that holds more than twice its share is
+    cut further by the order of the hashes. The first row of each range goes to the range before it too, as what follows its last.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -104,55 +105,57 @@ def fingerprint_and_compare(docs: DataFrame, ranges: int | None = None) -> DataF
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 20 * ranges)).first()[0] if ranges > 1 else []
     bounds = sorted(set(cuts or []))
-    ranged = docs.withColumn("r", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), bounds)))
-    tops = ranged.groupBy("r").agg(F.max("doc_id").alias("top"))
+    bounds = sorted({*bounds, *(b + 1 for b in bounds)}) if bounds and isinstance(bounds[0], int) else bounds  # an id in many rows is alone
+    r = F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), bounds))
+    found = docs.groupBy(r.alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).collect()  # a row for each range
+    fair = max(1, sum(x["n"] for x in found) // ranges)
+    pieces = {x["r"]: -(-x["n"] // fair) for x in found if x["one"] and x["n"] > 2 * fair}
+    cut = F.lit(1)
+    for k, n in pieces.items():
+        cut = F.when(F.col("r") == k, n).otherwise(cut)
+    ranged = docs.withColumn("r", r).withColumn("piece", piece_of(F.xxhash64("text"), cut) if pieces else F.lit(0))
+    tops = ranged.groupBy("r", "piece").agg(F.max("doc_id").alias("top"))
+    order = sorted(((x["r"], x["piece"]) for x in tops.select("r", "piece").collect()), key=lambda x: (-x[0], x[1]))
+    before = spark.createDataFrame([(*x, *order[i - 1]) for i, x in enumerate(order)] or [(0, 0, 0, 0)], "_r int, _piece int, _to int, _at int")
     first = (
-        ranged.join(F.broadcast(tops.withColumnRenamed("r", "_r")), (F.col("r") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-        .groupBy("r")
+        ranged.join(F.broadcast(tops.withColumnsRenamed({"r": "_r", "piece": "_piece"})), (F.col("r") == F.col("_r")) & (F.col("piece") == F.col("_piece")) & F.col("doc_id").eqNullSafe(F.col("top")))
+        .groupBy("r", "piece")
         .agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+        .join(F.broadcast(before), (F.col("r") == F.col("_r")) & (F.col("piece") == F.col("_piece")))
+        .select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("first.text").alias("text"), F.col("_to").alias("r"), F.col("_at").alias("piece"), F.lit(True).alias("follows"))
     )
-    heads = {x["r"]: x["first"]["text"] for x in first.collect()}
-    order = sorted(heads, reverse=True)
-    after = {r: heads[order[(i + 1) % len(order)]] for i, r in enumerate(order)}
     schema = docs.select("doc_id").schema
     for name, kind in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        id_type, held, rows = None, None, []
+        held, rows = None, []
 
         def done(following: str, its: np.ndarray) -> None:
-            _, doc_id, text, own = held
+            doc_id, text, own = held
             new = edited(text, following)
             other = sketch(new, cache)
             rows.append((doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written(own), written(other), containment(own, other), containment(own, its)))
 
-        def out() -> pa.RecordBatch:
-            kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
-            rows.clear()
-            return batch
-
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for r, doc_id, text in zip(*(batch.column(c) for c in ("r", "doc_id", "text")), strict=True):
-                now = (r.as_py(), doc_id.as_py(), text.as_py(), sketch(text.as_py(), cache))
+            for doc_id, text, follows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "follows")), strict=True):
+                own = sketch(text, cache)
                 if held:
-                    if held[0] == now[0]:
-                        done(now[2], now[3])
-                    else:
-                        done(after[held[0]], sketch(after[held[0]], cache))
-                held = now
+                    done(text, own)
+                held = None if follows else (doc_id, text, own)  # what follows is the last row of its range
             if rows:
-                yield out()
-        if held:
-            done(after[held[0]], sketch(after[held[0]], cache))
-            yield out()
+                kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+                rows.clear()
 
     return (
-        ranged.repartition(tasks, "r")
-        .sortWithinPartitions(F.col("r").desc(), F.col("doc_id").desc(), F.xxhash64("text"))
-        .select("r", "doc_id", "text")
-        .mapInArrow(run, schema)
+        ranged.withColumn("follows", F.lit(False))
+        .select("doc_id", "text", "r", "piece", "follows")
+        .unionByName(first)
+        .repartition(tasks, "r", "piece")
+        .sortWithinPartitions(F.col("r").desc(), "piece", "follows", F.col("doc_id").desc(), F.xxhash64("text"))
+        .select("doc_id", "text", "follows")
+        .mapInArrow(tidy(run), schema)
     )
