@@ -48,7 +48,7 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def shard(rows: DataFrame, shards: int = 8, tolerance: float = 0.02) -> DataFrame:
+def shard(rows: DataFrame, shards: int = 8, tolerance: float = 0.005) -> DataFrame:
     """Adds ``shard`` (from 0, sizes near equal) and ``slot`` (gapless from 0 in the shard) to ``rows``.
 
     ``rows``: ``size`` (long, above 0), ``text_key`` and ``row_key`` (64-bit hashes of the text and of the row) and any

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scalar, unit_interval
+from .common import scalar, tidy, unit_interval
 
 #: Bounds of the sample that the model is fitted on: labelled documents and UTF-8 bytes of their text.
 MAX_DOCUMENTS, MAX_BYTES = 10_000, 48_000_000
@@ -152,15 +152,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 
 
+def model_spans(model: Model, text: str) -> list[tuple[int, int, float]]:
+    """The sentences that ``Model.offending`` finds, else the one of the highest probability."""
+    return model.offending(text) or sorted(model.offending(text, 0.0), key=lambda x: -x[2])[:1]
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted, worst_start, worst_end for every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, score, predicted, offending for every row of ``docs`` (doc_id, text).
 
-    The last two are the place of the sentence with the highest probability if the document is predicted. A null or
+    The last has the places, in code points, of the sentences that offend if the document is predicted, else none. A null or
     empty text gets the score of an empty sentence; a null doc_id isn't held out; repeated rows each have a row.
     """
     schema = docs.select("doc_id").schema
-    for name, kind in (("held_out", "boolean"), ("score", "double"), ("predicted", "integer"), ("worst_start", "integer"), ("worst_end", "integer")):
-        schema = schema.add(name, kind)
+    for name, kind in (("held_out", "boolean"), ("score", "double"), ("predicted", "integer"), ("offending", "array<struct<start:int,end:int,probability:double>>")):
+        schema = schema.add(name, docs.sparkSession.range(0).selectExpr(f"cast(null as {kind}) x").schema["x"].dataType)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # MAX_WORDS words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +176,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             for t in batch.column("text"):
                 text = t.as_py() or ""
                 scores.append(own.score(text))
-                worst = max(own.offending(text, 0.0), key=lambda x: x[2], default=(None, None, 0)) if scores[-1] >= threshold else (None, None, 0)
-                at.append(worst)
+                # Sentences that offend by themselves; where none does, the one that says most.
+                spans = model_spans(own, text) if scores[-1] >= threshold else []
+                at.append([{"start": a, "end": b, "probability": p} for a, b, p in spans])
             predicted = pa.array([int(s >= threshold) for s in scores], pa.int32())
-            places = [pa.array([x[k] for x in at], pa.int32()) for k in (0, 1)]
+            places = [pa.array(at, kind)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted, *places], names=schema.names)
 
     held = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(tidy(run), schema)
