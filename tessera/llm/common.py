@@ -80,6 +80,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``_row``, a struct of the columns of ``docs``, whatever their names, and ``_place``, a number of its own, as a written table.
+
+    A number made anew by each read would depend on how that read is cut into tasks.
+    """
+    return materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_place")))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

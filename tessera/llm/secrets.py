@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, placed, small_batches, tidy
 
 #: The base kinds, in their order; a match counts if the part named has so many characters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,8 +38,9 @@ MORE = {
     "url": ("://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{6,}@")),
 }
 KINDS = (*BASE_KINDS, *MORE)
-#: A candidate that so many distinct owners share, in so many distinct repositories, is an example.
-EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 3
+#: (owners, repositories): a candidate that so many distinct owners share, in so many distinct repositories, is an example.
+#: The fewer owners, the more repositories it takes; what one owner alone has is live in however many.
+EXAMPLES = ((3, 3), (2, 8))
 
 _HEX_RUN = re.compile(r"[0-9a-f]{24}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -80,7 +81,7 @@ _FOUND = "array<struct<start:int,kind:int,end:int,at:int,hash:string>>"
 
 
 def scanned(docs: DataFrame, extra: tuple[str, ...]) -> DataFrame:
-    """``extra`` columns of ``docs`` and ``place`` with counts, base_sha256 and ``found``, the candidates."""
+    """``extra`` columns of ``docs`` and its ``place`` with counts, base_sha256 and ``found``, the candidates in the whole text; null is empty."""
     schema = docs.select(*extra).schema
     for c in ("n_assign", "n_access", "n_hex"):
         schema = schema.add(c, "long")
@@ -101,7 +102,7 @@ def scanned(docs: DataFrame, extra: tuple[str, ...]) -> DataFrame:
             columns = [*(batch.column(c) for c in extra), *(pa.array(c, pa.int64()) for c in counts), batch.column("place"), pa.array(digests, pa.string()), pa.array(lists, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*extra, "text", F.monotonically_increasing_id().alias("place")).mapInArrow(run, schema)
+    return docs.select(*extra, "text", "place").mapInArrow(tidy(run), schema)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -118,7 +119,10 @@ def classified(rows: DataFrame, owner: str, repository: str) -> DataFrame:
     each = rows.where(F.size("found") > 0).select(
         "place", F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.inline("found")
     )
-    copied = ownership(each.select("hash", "owner", "repository")).where((F.col("owners") >= EXAMPLE_OWNERS) & (F.col("repositories") >= EXAMPLE_REPOSITORIES))
+    shared = F.lit(False)
+    for owners, repositories in EXAMPLES:
+        shared = shared | ((F.col("owners") >= owners) & (F.col("repositories") >= repositories))
+    copied = ownership(each.select("hash", "owner", "repository")).where(shared)
     return each.join(copied.select("hash", F.lit(True).alias("example")), "hash", "left").withColumn(
         "example", F.coalesce("example", F.lit(False))
     )
@@ -135,7 +139,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ``docs``: doc_id, text, source. Null or empty texts have no spans; repeated rows each have a row; null sources own
     nothing; an empty table gives an empty one.
     """
-    rows = materialize(scanned(docs.select("doc_id", "source", "text"), ("doc_id", "source")))
+    with small_batches(docs.sparkSession):
+        rows = materialize(scanned(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("place")), ("doc_id", "source")))
     names = F.array(*map(F.lit, KINDS))
     span = F.struct("start", "kind", F.concat_ws(":", F.get(names, F.col("kind")), "start", "end").alias("said"))
     spans = (
@@ -163,18 +168,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the value of each secret that is no example replaced by ``[kind]``, and n_chars brought up to date.
 
-    Examples stay, whatever their kind. ``docs`` must be a table read from files, so that it has the same rows in the same
-    order each time it is read. Texts without such a secret stay as they are, nulls included.
+    Examples stay, whatever their kind. ``docs``: doc_id, source, text and any others, of any names; null sources own nothing.
+    Texts without such a secret stay as they are, nulls included; repeated rows are each cut; an empty table stays empty.
     """
-    rows = materialize(scanned(docs.select("doc_id", "source", "text"), ("doc_id", "source")))
+    all_ = placed(docs)
+    with small_batches(docs.sparkSession):
+        rows = materialize(scanned(all_.select("_row.doc_id", "_row.source", "_row.text", F.col("_place").alias("place")), ("doc_id", "source")))
     cuts = (
         classified(rows, "source", "doc_id")
         .where(~F.col("example"))
         .groupBy("place")
         .agg(F.array_sort(F.collect_list(F.struct("at", "end", "kind"))).alias("cuts"))
     )
-    place = F.monotonically_increasing_id()
-    whole = docs.select(F.struct("*").alias("_row"), place.alias("place")).join(cuts, "place", "left")
+    whole = all_.withColumnRenamed("_place", "place").join(cuts, "place", "left")
     names = F.array(*map(F.lit, KINDS))
     text = F.col("_row.text")
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, placed, tidy
 from .components import components
 
 #: First bit and width of each block.
@@ -43,7 +43,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``docs`` with ``fp`` (the fingerprint's 64 bits as a signed long) in place of ``text``."""
+    """``docs`` with ``fp`` (the fingerprint's 64 bits as a signed long) in place of ``text``: of the whole text, 0 for null and for no words."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fps)], names=[*kept, "fp"])
 
     schema = docs.select(*kept).schema.add("fp", "long")
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*kept, "text").mapInArrow(tidy(run), schema)
 
 
 def _keys(fp: Column) -> Column:
@@ -138,7 +138,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
             yield emit(*rest)
 
     return (
-        met.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long")
+        met.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(run), "u long, v long")
     )
 
 
@@ -167,11 +167,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 def deduplicated(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest doc_id, then the first as read.
 
-    ``docs`` must be a table read from files, so that it has the same rows in the same order each time it is read.
+    ``docs``: doc_id, text and any others, of any names. Null and empty texts are alike, a null doc_id comes after all others; an
+    empty table stays empty.
     """
-    place = F.monotonically_increasing_id()
-    row = docs.select(F.struct("*").alias("_row"), place.alias("_place"))
-    printed = materialize(fingerprints(docs.select("doc_id", "text", place.alias("place")), width))
+    whole = placed(docs)
+    printed = materialize(fingerprints(whole.select("_row.doc_id", "_row.text", F.col("_place").alias("place")), width))
     by_fp = printed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("first"))
     best = by_fp.join(classes(printed, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return row.join(best.select(F.col("first.place").alias("_place")), "_place", "left_semi").select("_row.*")
+    return whole.join(best.select(F.col("first.place").alias("_place")), "_place", "left_semi").select("_row.*")
