@@ -121,29 +121,33 @@ FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DIS
 
 
 def _op5_sql() -> str:
-    """The same rows by SQL: every place of every mandatory phrase by comparison, without an index."""
-    templates = [(t, f"b{i}", 1.0) for i, t in enumerate(licenses.BASE)] + [(t, f"m{i}", 0.5) for i, t in enumerate(licenses.NOTICES)]
+    """The same rows by SQL: every place of every key phrase by comparison, without an index."""
+    templates = [(t, f"b{i}") for i, t in enumerate(licenses.BASE)] + [(t, f"m{i}") for i, t in enumerate(licenses.NOTICES)]
     upper = "".join(map(chr, range(65, 91)))
+    number = {x: i for i, x in enumerate(sorted({x for t, _ in templates for x in t.words()}))}
+    weights = ", ".join(f"ln((count(*) + 1)::DOUBLE / (count(*) FILTER (list_contains(w, '{x}')) + 1)::DOUBLE) AS i{i}" for x, i in number.items())
 
-    def places(t: licenses.Template, need: float) -> str:
+    def places(t: licenses.Template) -> str:
         tokens, at = t.words(), t.phrase_at()
         phrase = " AND ".join(f"w[p + {k + 1}] = '{x}'" for k, x in enumerate(t.phrase.split()))
-        share = " + ".join(f"CASE WHEN p + {k - at} >= 0 AND w[p + {k - at + 1}] = '{x}' THEN 1 ELSE 0 END" for k, x in enumerate(tokens))
-        found = f"list_transform(list_filter(range(0, len(w)), lambda p: p >= {at} AND {phrase}), lambda p: {{'start': p, 'share': ({share}) / {float(len(tokens))!r}::DOUBLE}})"
-        return f"list_filter({found}, lambda x: x.share >= {need})"
+        found = " + ".join(["0.0::DOUBLE", *(f"CASE WHEN p + {k - at} >= 0 AND w[p + {k - at + 1}] = '{x}' THEN i{number[x]} ELSE 0.0::DOUBLE END" for k, x in enumerate(tokens))])
+        whole = " + ".join(["0.0::DOUBLE", *(f"i{number[x]}" for x in tokens)])
+        score = f"CASE WHEN {whole} = 0 THEN 1.0::DOUBLE ELSE round(({found}) / ({whole}), {licenses.DIGITS}) END"
+        return f"list_transform(list_filter(range(0, len(w)), lambda p: p >= {at} AND {phrase}), lambda p: {{'start': p, 'score': {score}}})"
 
-    columns = ", ".join(f"{places(t, need)} AS {name}" for t, name, need in templates)
-    base = [name for _, name, _ in templates if name[0] == "b"]
+    columns = ", ".join(f"{places(t)} AS {name}" for t, name in templates)
+    base = [name for _, name in templates if name[0] == "b"]
     starts = "list_sort(list_transform(" + " || ".join(base) + ", lambda x: x.start))"
-    shares = "list_max(list_transform(" + " || ".join(name for _, name, _ in templates if name[0] == "m") + ", lambda x: x.share))"
+    scores = "list_max(list_transform(" + " || ".join(name for _, name in templates if name[0] == "m") + ", lambda x: x.score))"
 
     def labels(prefixes: str) -> str:
-        said = ", ".join(f"CASE WHEN len({name}) > 0 THEN '{t.label}' END" for t, name, _ in templates if name[0] in prefixes)
+        said = ", ".join(f"CASE WHEN len({name}) > 0 THEN '{t.label}' END" for t, name in templates if name[0] in prefixes)
         return f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{said}], lambda x: x IS NOT NULL))), ','), '')"
 
     return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{licenses.LICENSE_WORD}') AS w FROM documents),
-f AS (SELECT doc_id, len(w) AS n_words, {columns} FROM t), g AS (SELECT *, {starts} AS starts, coalesce({shares}, 0.0::DOUBLE) AS best FROM f)
+i AS (SELECT {weights} FROM t),
+f AS (SELECT doc_id, len(w) AS n_words, {columns} FROM t CROSS JOIN i), g AS (SELECT *, {starts} AS starts, coalesce({scores}, 0.0::DOUBLE) AS best FROM f)
 SELECT doc_id, n_words, len(starts) AS n_base, starts[1] AS first_word, starts[-1] AS last_word, {labels("b")} AS base_labels, {labels("bm")} AS labels,
   CASE WHEN len(starts) > 0 THEN greatest(best, 0.5::DOUBLE) ELSE best END AS score FROM g"""
 
