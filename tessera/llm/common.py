@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import pickle
 import shutil
 import string
 import tempfile
@@ -146,10 +147,14 @@ def tidy(run: Callable) -> Callable:
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, 1 << 20)  # larger blocks are mapped, and unmapped when free
         pa.set_memory_pool(pa.system_memory_pool())
+        pa.set_cpu_count(1)  # a task has one core, and threads have heaps of their own
+        pa.set_io_thread_count(1)
         try:
             yield from run(batches)
         finally:
             gc.collect()
+            for pool in pa.supported_memory_backends():  # Arrow's functions use its own pool, whatever is set here
+                getattr(pa, f"{pool}_memory_pool")().release_unused()
             if hasattr(libc, "malloc_trim"):
                 libc.malloc_trim(0)
 
@@ -173,6 +178,30 @@ def text_lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
 
+#: Bytes before a large bytes object in a pickled file.
+_HEADER = pickle.dumps(b"\xff" * (1 << 17), pickle.HIGHEST_PROTOCOL).index(b"\xff" * 9)
+
+
+class Mapped:
+    """Broadcast 64-bit words that an executor's workers map from the one file that its broadcast is in, instead of a copy each.
+
+    Where that file isn't found as expected (it may be encrypted, or another version's), a worker takes the broadcast's value.
+    """
+
+    def __init__(self, spark: SparkSession, data: bytes):
+        self._pad, self._size = -_HEADER % 8, len(data)
+        self._shared = spark.sparkContext.broadcast(bytes(self._pad) + data)
+
+    def words(self) -> np.ndarray:
+        path, size = getattr(self._shared, "_path", None), self._pad + self._size
+        if path and 1 << 17 <= size < 1 << 32:
+            with open(path, "rb") as f:
+                begin = f.read(_HEADER)
+            if begin[-5:] == b"B" + size.to_bytes(4, "little"):
+                return np.memmap(path, dtype=np.uint64, mode="r", offset=_HEADER + self._pad, shape=(self._size // 8,))
+        return np.frombuffer(self._shared.value, dtype=np.uint64, offset=self._pad)
+
+
 def packed(df: DataFrame) -> bytes:
     """A table of bounded size as Arrow bytes, to be broadcast: rows as Python objects would take the driver ten times as much."""
     table, sink = df.toArrow(), pa.BufferOutputStream()

@@ -21,10 +21,8 @@ the other words of each document meet their counts in a join.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, packed, scalar, slices, small_batches, text_lengths, tidy
+from .common import Mapped, materialize, most_frequent, packed, scalar, slices, small_batches, text_lengths, tidy
 
 #: Probes, in threes, of a word's first level and of any entry's further levels; a pair's first level has as many as follow from the
 #: logarithm of the words that can follow, and ``SPARE`` more.
@@ -45,11 +43,13 @@ BLOCK = 256
 #: Words whose exact counts are broadcast. Words of more bytes than ``LONG`` go by a 128-bit hash.
 HEAD_WORDS, LONG = 1 << 18, 64
 #: Texts, and bytes of text, that are scored at once.
-SLICE, SLICE_BYTES = 1_000, 4 << 20
-#: Different words, and neighbours, that a task sums up before it hands them on.
-COMBINED_WORDS, COMBINED_PAIRS = 300_000, 1 << 21
+SLICE, SLICE_BYTES = 500, 2 << 20
+#: Texts, and bytes of text, whose neighbours are counted at once, and rows of word counts that a task adds up before it hands them on.
+COUNTED, COUNTED_BYTES, COMBINED_WORDS = 1_500, 5 << 20, 400_000
+#: Keys that are looked up at once: their arrays stay in a processor's cache.
+CHUNK = 1 << 14
 #: Pairs that a task adds up at once, on the average at most.
-PART = 1 << 20
+PART = 1 << 18
 #: What the unigram counts for in any context.
 BETA = 32.0
 #: The token after the last word. No word is empty.
@@ -67,12 +67,44 @@ _SALT = {OF_WORD: np.uint64(0x9AE16A3B2F90404F), OF_PAIR: np.uint64(0xD6E8FEB866
 _SEGMENT, _GOLDEN = np.uint64(0xFF51AFD7ED558CCD), 0x9E3779B97F4A7C15
 
 
-def tokens(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if max(map(len, words), default=0) > LONG:
-        words = [w if len(w) <= LONG else b" " + xxhash.xxh3_128_digest(w) for w in words]
-    words.append(END)
-    return words
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of words of the whole texts, null as empty, and all words one after another: ASCII only, for case and white space."""
+    pool = pa.system_memory_pool()  # Arrow's own keeps what is free
+    low = pc.ascii_lower(pc.fill_null(texts, "") if texts.null_count else texts, memory_pool=pool)
+    lists = pc.ascii_split_whitespace(low, memory_pool=pool)
+    n, words = lists.value_lengths().to_numpy(), lists.flatten()
+    full = pc.not_equal(words, "", memory_pool=pool)
+    if pc.all(full, min_count=0).as_py():
+        return n, words
+    sums = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])  # white space at an end makes an empty word
+    ends = np.cumsum(n)
+    return sums[ends] - sums[ends - n], pc.filter(words, full, memory_pool=pool)
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of some texts: where the tokens of each end, the names of the different tokens, the end last, and each token's place among these."""
+    n, words = split(texts)
+    found = pc.dictionary_encode(words, memory_pool=pa.system_memory_pool())
+    names = named(found.dictionary)
+    ends = np.cumsum(n + 1)
+    at = np.full(int(ends[-1]) if len(ends) else 0, len(names) - 1)
+    inside = np.ones(len(at), dtype=bool)
+    inside[ends - 1] = False
+    at[inside] = found.indices.to_numpy()
+    return ends, names, at
+
+
+def named(words: pa.Array) -> pa.Array:
+    """Words' names, and the end."""
+    names = words.cast(pa.binary())
+    if pc.any(pc.greater(pc.binary_length(names), LONG)).as_py():
+        names = pa.array([name(w) for w in names.to_pylist()], pa.binary())
+    return pa.concat_arrays([names, pa.array([END], pa.binary())])
+
+
+def name(word: bytes) -> bytes:
+    """What stands for a word in tables: no word begins with a space."""
+    return word if len(word) <= LONG else b" " + xxhash.xxh3_128_digest(word)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -92,22 +124,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_id(word: bytes) -> int:
-    """48 bits of a hash, so that a pair fits into a long and an int."""
+    """48 bits of a hash of a word's name, so that a pair takes 12 bytes."""
     return xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF
 
 
-class Codes(dict):
-    """Words' numbers in the order of their appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def ids(self) -> np.ndarray:
-        return np.fromiter(map(word_id, self), dtype=np.uint64, count=len(self))
+def word_ids(names: pa.Array) -> np.ndarray:
+    return np.fromiter(map(word_id, names.to_pylist()), dtype=np.uint64, count=len(names))
 
 
 def key_of(kind: int, ids: np.ndarray) -> np.ndarray:
@@ -165,6 +187,9 @@ class Filter:
 
     def levels(self, keys: np.ndarray, probes: int) -> np.ndarray:
         """For each key how many levels in a row are in the filter."""
+        return _by_chunks(self._levels, keys, probes)
+
+    def _levels(self, keys: np.ndarray, probes: int) -> np.ndarray:
         out, base, at = np.zeros(len(keys), dtype=np.int64), self.base(keys), np.arange(len(keys))
         for q in range(1, LEVELS + 1):
             at = at[self.has(keys[at], base[at], q, probes if q == 1 else LEVEL_PROBES)]
@@ -175,6 +200,9 @@ class Filter:
 
     def number(self, keys: np.ndarray, probes: int, digits: np.ndarray) -> np.ndarray:
         """For each key the whole number of at most so many binary digits."""
+        return _by_chunks(lambda k, d: self._number(k, probes, d), keys, digits)
+
+    def _number(self, keys: np.ndarray, probes: int, digits: np.ndarray) -> np.ndarray:
         out, base = np.zeros(len(keys), dtype=np.int64), self.base(keys)
         for d in range(int(digits.max(initial=0))):
             at = np.nonzero(digits > d)[0]
@@ -182,23 +210,33 @@ class Filter:
         return out
 
 
+def _by_chunks(f, keys: np.ndarray, more) -> np.ndarray:
+    out = np.zeros(len(keys), dtype=np.int64)
+    for i in range(0, len(keys), CHUNK):
+        out[i : i + CHUNK] = f(keys[i : i + CHUNK], more[i : i + CHUNK] if isinstance(more, np.ndarray) else more)
+    return out
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (binary; the end is empty, see ``tokens`` for long ones), n: over all rows' whole texts, by partial sums of bounded size."""
+    """word (binary: its ``name``; the end is empty), n: over all rows' whole texts, by partial sums of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held, rows = [], 0
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return batch
+            sums = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+            held.clear()
+            return pa.RecordBatch.from_arrays([sums.column("word").combine_chunks(), sums.column("n_sum").combine_chunks()], names=["word", "n"])
 
         for batch in batches:
-            for t in batch.column("text"):
-                found.update(tokens(t.as_py()))
-                if len(found) >= COMBINED_WORDS:
-                    yield out()
-        if found:
+            n, words = split(batch.column("text"))
+            counts = pc.value_counts(words, memory_pool=pa.system_memory_pool())
+            held.append(pa.table({"word": named(counts.field("values")), "n": pa.concat_arrays([counts.field("counts"), pa.array([len(n)], pa.int64())])}))
+            rows += held[-1].num_rows
+            if rows >= COMBINED_WORDS:
+                yield out()
+                rows = 0
+        if held:
             yield out()
 
     return texts.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -213,34 +251,26 @@ def repeated_pairs(texts: DataFrame, size: int) -> DataFrame:
     parts = max(1, math.ceil(size / PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, size = Codes(), [], 0
-
-        def out() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            ids = codes.ids()
-            held.clear()
-            codes.clear()
-            first, second = ids[found >> 32], ids[found & 0xFFFFFFFF]
-            own = segment_of(pair_key(first, second), parts)
-            order = np.argsort(own)
-            own, first, second, n = own[order], first[order], second[order], np.minimum(n[order], 0xFFFFFFFF)
-            # 48 bits of each id: 12 bytes a pair, and 4 of its number.
-            packed = np.stack([first & np.uint64(0xFFFFFFFF), (first >> np.uint64(32)) | (second >> np.uint64(32) << np.uint64(16)), second & np.uint64(0xFFFFFFFF), n.astype(np.uint64)], axis=1).astype("<u4")
-            starts = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
-            data = memoryview(packed.tobytes())
-            rows = [data[16 * a : 16 * b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "data"])
-
-        for batch in batches:
-            for t in batch.column("text"):
-                own = codes.of([END, *tokens(t.as_py())])
-                held.append(own[:-1] << 32 | own[1:])
-                size += len(own)
-                if size >= COMBINED_PAIRS or len(codes) >= COMBINED_WORDS:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
+        for whole in batches:
+            for a, b in slices(text_lengths(whole.column("text")), COUNTED, COUNTED_BYTES):
+                yield counted(whole.column("text").slice(a, b - a))
+
+    def counted(texts: pa.Array) -> pa.RecordBatch:
+        _, names, at = coded(texts)
+        found, n = np.unique(np.concatenate([[len(names) - 1], at[:-1]]) * np.int64(len(names)) + at, return_counts=True)
+        ids = word_ids(names)
+        first, second = ids[found // len(names)], ids[found % len(names)]
+        own = segment_of(pair_key(first, second), parts)
+        order = np.argsort(own)
+        own, first, second, n = own[order], first[order], second[order], n[order]
+        # 48 bits of each id: 12 bytes a pair, and 4 of its number.
+        packed = np.empty((len(own), 4), dtype="<u4")
+        packed[:, 0], packed[:, 2], packed[:, 3] = first & np.uint64(0xFFFFFFFF), second & np.uint64(0xFFFFFFFF), np.minimum(n, 0xFFFFFFFF)
+        packed[:, 1] = (first >> np.uint64(32)) | (second >> np.uint64(32) << np.uint64(16))
+        starts = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+        data = memoryview(packed).cast("B")
+        rows = [data[16 * a : 16 * b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "data"])
 
     def added(rows: pa.Table) -> pa.Table:
         packed = np.frombuffer(b"".join(x.as_py() for x in rows.column("data")), dtype="<u4").reshape(-1, 4).astype(np.uint64)
@@ -263,18 +293,26 @@ def _level(n: Column) -> Column:
     return F.length(F.bin(n.cast("long")))
 
 
-def build(entries: DataFrame, bits: float, pair_probes: int) -> tuple[DataFrame, int]:
-    """The segments of a filter for ``entries`` (kind, key, id, level; of contexts the number) and how many there are.
+def segments_for(bits: int) -> int:
+    return max(1, math.ceil(bits * ROOM / (64 * SEGMENT)))
+
+
+def entry(kind: int, keys: np.ndarray, ids: np.ndarray, level: pa.Array, segments: int) -> pa.RecordBatch:
+    own = segment_of(keys, segments).astype(np.int32)
+    columns = [pa.array(own), pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), level]
+    return pa.RecordBatch.from_arrays(columns, names=["segment", "kind", "key", "id", "level"])
+
+
+#: What a filter is built from; ``level`` is a context's number.
+ENTRY = "segment int, kind int, key long, id long, level long"
+
+
+def build(entries: DataFrame, segments: int, pair_probes: int) -> tuple[DataFrame, int]:
+    """The segments of a filter for ``entries`` and how many there are.
 
     A row is either (segment, data) or (segment, id, q): the sum of what the filter says of a segment's pairs that the word ``id``
     begins, or, with id -1, of its words. A segment is built by one task from its own entries, whatever the size of the whole.
     """
-    segments = max(1, math.ceil(bits * ROOM / (64 * SEGMENT)))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = segment_of(batch.column("key").to_numpy().view(np.uint64), segments).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], names=["segment", *batch.schema.names])
 
     def filled(rows: pa.Table) -> pa.Table:
         data = np.zeros(SEGMENT, dtype=np.uint64)
@@ -311,8 +349,7 @@ def build(entries: DataFrame, bits: float, pair_probes: int) -> tuple[DataFrame,
             "q": pa.array([None, *sums], pa.int64()),
         })
 
-    rows = entries.select("kind", "key", "id", "level").mapInArrow(tidy(dealt), "segment int, kind int, key long, id long, level long")
-    return materialize(rows.groupBy("segment").applyInArrow(filled, "segment int, data binary, id long, q long")), segments
+    return materialize(entries.groupBy("segment").applyInArrow(filled, "segment int, data binary, id long, q long")), segments
 
 
 @dataclass(frozen=True)
@@ -371,12 +408,12 @@ class Answers:
 
 
 def log10_probabilities(words: np.ndarray, at: np.ndarray, lookup: Lookup | Answers, numbers: Numbers) -> np.ndarray:
-    """log10 P(token | token before it) for tokens END, word, ..., END: ``words`` are different words' ids, ``at`` their places."""
+    """log10 P(token | token before it) for tokens of whole texts: ``words`` are different words' ids, the end's last, ``at`` their places."""
     said = lookup.words(words)
     single = (said + 0.1) / (numbers.said + 0.1 * (numbers.words + 1))
     total = lookup.sums(words, said)
     free = BETA + np.maximum(said - total, 0)
-    first, second = at[:-1], at[1:]
+    first, second = np.concatenate([[len(words) - 1], at[:-1]]), at
     pair = np.zeros(len(first), dtype=np.int64)
     # A pair that was put in has a context with a sum, and two words of two or more.
     likely = np.nonzero((total[first] > 0) & (said[second] > 1))[0]
@@ -395,7 +432,7 @@ class Trained:
 
 def train(texts: DataFrame) -> Trained:
     """Counts, filter and vocabulary (word, n) from all rows of ``texts`` (text; null is empty). An empty table gives an empty filter."""
-    with small_batches(texts.sparkSession, 2_000):
+    with small_batches(texts.sparkSession, COUNTED, COUNTED_BYTES):
         vocabulary = materialize(word_counts(texts))
         size = scalar(vocabulary.agg(F.sum("n")))[0] or 0
         repeated = materialize(repeated_pairs(texts, size))
@@ -404,33 +441,32 @@ def train(texts: DataFrame) -> Trained:
     probes = math.ceil((max(1, of_words["repeated"] or 0).bit_length() + SPARE) / 3)
     of_pairs = scalar(repeated.agg(F.sum(3 * (probes + LEVEL_PROBES * (level - 2))).alias("bits")))
 
+    segments = segments_for((of_words["bits"] or 0) + (of_pairs["bits"] or 0))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.fromiter((word_id(w.as_py()) for w in batch.column("word")), dtype=np.uint64, count=batch.num_rows)
-            yield entry(OF_WORD, key_of(OF_WORD, ids), ids, batch.column("level"))
+            ids = np.fromiter((word_id(w) for w in batch.column("word").to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            yield entry(OF_WORD, key_of(OF_WORD, ids), ids, batch.column("level"), segments)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second = (batch.column(c).to_numpy().view(np.uint64) for c in ("first", "second"))
-            yield entry(OF_PAIR, pair_key(first, second), first, batch.column("level"))
+            yield entry(OF_PAIR, pair_key(first, second), first, batch.column("level"), segments)
+
+    single = vocabulary.select("word", level.alias("level")).mapInArrow(tidy(words), ENTRY)
+    double = repeated.select("first", "second", (level - 1).alias("level")).mapInArrow(tidy(pairs), ENTRY)
+    counts = build(single.unionByName(double), segments, probes)
+    sums = counts[0].where("id is not null").groupBy("id").agg(F.sum("q").alias("level"))
+    said = scalar(sums.where("id = -1").agg(F.sum("level")))[0] or 0
+    totals = materialize(sums.where("id <> -1"))
+    own = segments_for(3 * probes * (scalar(totals.agg(F.sum(F.bit_count("level"))))[0] or 0))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy().view(np.uint64)
-            yield entry(OF_CONTEXT, key_of(OF_CONTEXT, ids), ids, batch.column("level"))
-
-    def entry(kind: int, keys: np.ndarray, ids: np.ndarray, level: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), level], names=["kind", "key", "id", "level"])
+            yield entry(OF_CONTEXT, key_of(OF_CONTEXT, ids), ids, batch.column("level"), own)
 
-    schema = "kind int, key long, id long, level long"
-    single = vocabulary.select("word", level.alias("level")).mapInArrow(tidy(words), schema)
-    double = repeated.select("first", "second", (level - 1).alias("level")).mapInArrow(tidy(pairs), schema)
-    counts = build(single.unionByName(double), (of_words["bits"] or 0) + (of_pairs["bits"] or 0), probes)
-    sums = counts[0].where("id is not null").groupBy("id").agg(F.sum("q").alias("level"))
-    said = scalar(sums.where("id = -1").agg(F.sum("level")))[0] or 0
-    totals = materialize(sums.where("id <> -1"))
-    digits = scalar(totals.agg(F.sum(F.bit_count("level"))))[0] or 0
-    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), schema), digits * probes * 3, probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes))
+    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), ENTRY), own, probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes))
 
 
 def whole_filter(table: DataFrame, segments: int) -> bytes:
@@ -474,14 +510,13 @@ class Head:
 
     def scored(self, texts: pa.Array, lookup: Lookup | Answers, numbers: Numbers) -> list[pa.Array]:
         """n_tokens, n_known, logs, score, rest of some texts: their different words are looked up once."""
-        n, ends, codes, at = coded(texts)
-        starts, words, ids = ends - n, pa.array(codes, pa.binary()), codes.ids()
+        ends, words, at = coded(texts)
+        n = np.diff(ends, prepend=0)
+        starts, ids = ends - n, word_ids(words)
         place = self.places(ids, words)
         known = place >= 0
         of_word = np.where(known, self.logs[place], 0.0)
-        p = log10_probabilities(ids, np.insert(at, starts, at[-1]), lookup, numbers)  # the last token is an end
-        total = np.concatenate([[0.0], np.cumsum(p)])
-        first = starts + np.arange(len(n))  # each text has one place more; the step to the next text's start is left out
+        p = log10_probabilities(ids, at, lookup, numbers)
         rare = np.nonzero(~known[at])[0]
         pairs_, tf = np.unique(np.searchsorted(ends, rare, side="right") * len(words) + at[rare], return_counts=True)
         offsets = np.searchsorted(pairs_, np.arange(len(n) + 1) * len(words)).astype(np.int32)
@@ -490,30 +525,22 @@ class Head:
             pa.array(n, pa.int64()),
             pa.array(np.add.reduceat(known[at].astype(np.int64), starts)),
             pa.array(np.add.reduceat(of_word[at], starts)),
-            pa.array(total[first + n] - total[first]),
+            pa.array(np.add.reduceat(p, starts)),
             pa.ListArray.from_arrays(pa.array(offsets), structs),
         ]
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Codes, np.ndarray]:
-    """Of some texts: numbers of tokens, their running sums, the different tokens, and each token's place among these."""
-    codes = Codes()
-    each = [codes.of(tokens(t)) for t in texts.to_pylist()]
-    n = np.array([len(x) for x in each])
-    return n, np.cumsum(n), codes, np.concatenate(each)
-
-
 def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
     """doc_id and the columns of ``_RESULT`` with the whole filter in every worker."""
     numbers = model.numbers
-    shared = placed.sparkSession.sparkContext.broadcast((head, whole_filter(*model.counts), whole_filter(*model.contexts)))
+    spark = placed.sparkSession
+    shared = spark.sparkContext.broadcast(head)
+    filters = [(Mapped(spark, whole_filter(*x)), x[1]) for x in (model.counts, model.contexts)]
     schema = _schema(placed)
-    sizes = model.counts[1], model.contexts[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, *data = shared.value
-        own = Head(head)
-        lookup = Lookup(*(Filter(np.frombuffer(d, dtype=np.uint64), n) for d, n in zip(data, sizes, strict=True)), numbers.pair_probes)
+        own = Head(shared.value)
+        lookup = Lookup(*(Filter(data.words(), n) for data, n in filters), numbers.pair_probes)
         for whole in batches:
             for start, end in slices(text_lengths(whole.column("text")), SLICE, SLICE_BYTES):  # bounded memory
                 batch = whole.slice(start, end - start)
@@ -536,10 +563,9 @@ def _parts_by_block(placed: DataFrame, model: Trained, head: bytes) -> DataFrame
             of_rows = batch.column("block").to_numpy()
             for block in np.unique(of_rows):
                 texts = batch.column("text").filter(pa.array(of_rows == block))
-                n, ends, words, at = coded(texts)
-                ids = words.ids()
-                at = np.insert(at, ends - n, at[-1])
-                pairs_ = np.unique(at[:-1] * np.int64(len(words)) + at[1:])
+                _, words, at = coded(texts)
+                ids = word_ids(words)
+                pairs_ = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(words)) + at)
                 asked = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs_ // len(words)], ids[pairs_ % len(words)])}
                 for kind, keys in asked.items():
                     segment = segment_of(keys, sizes[kind]).astype(np.int64) + (shift if kind == OF_CONTEXT else 0)
@@ -602,7 +628,7 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
     size = (model.counts[1] + model.contexts[1]) * SEGMENT * 8
     if size > BROADCAST_BYTES:
         placed = materialize(placed)  # it is read twice, and its places must be the same
-    with small_batches(docs.sparkSession, 1_000):
+    with small_batches(docs.sparkSession, SLICE, SLICE_BYTES):
         part = materialize((_parts if size <= BROADCAST_BYTES else _parts_by_block)(placed, model, head))
     numbers = model.numbers
     rare = part.select("place", F.inline("rest")).join(model.vocabulary, "word", "left")

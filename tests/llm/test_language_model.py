@@ -15,7 +15,9 @@ def test_no_level_is_dropped(spark):
     rows = [(kind, rng.getrandbits(63), i % 97, 1 + i % 5) for kind in (lm.OF_WORD, lm.OF_PAIR) for i in range(30_000)]
     probes = 9
     bits = sum(3 * ((lm.WORD_PROBES if r[0] == lm.OF_WORD else probes) + lm.LEVEL_PROBES * (r[3] - 1)) for r in rows)
-    table, segments = lm.build(spark.createDataFrame(rows, "kind int, key long, id long, level long").repartition(3), bits, probes)
+    segments = lm.segments_for(bits)
+    dealt = [(int(x), *r) for x, r in zip(lm.segment_of(np.array([r[1] for r in rows], dtype=np.uint64), segments), rows, strict=True)]
+    table, _ = lm.build(spark.createDataFrame(dealt, lm.ENTRY).repartition(3), segments, probes)
     own = lm.Filter(np.frombuffer(lm.whole_filter(table, segments), dtype=np.uint64), segments)
     said = Counter()
     for kind, first in ((lm.OF_WORD, lm.WORD_PROBES), (lm.OF_PAIR, probes)):
@@ -41,22 +43,26 @@ TEXTS = ["the cat sat on the mat", "the cat sat on the hat the end", "a dog and
 def test_probabilities_sum_to_one(spark, context):
     m = model(spark, TEXTS)
     lookup = lm.Lookup(*(lm.Filter(np.frombuffer(lm.whole_filter(*x), dtype=np.uint64), x[1]) for x in (m.counts, m.contexts)), m.numbers.pair_probes)
-    vocabulary = sorted({w for t in TEXTS for w in lm.tokens(t)})
-    context = lm.tokens(context.decode())[0]
+    vocabulary = sorted({lm.name(w) for t in TEXTS for w in tokens(t)})
+    context = lm.name(context)
     words = [*vocabulary, b"unseen", context]
     ids = np.array([lm.word_id(w) for w in words], dtype=np.uint64)
     n = len(vocabulary)
     at = np.array([x for k in range(n + 1) for x in (n + 1, k)])
-    total = (10 ** lm.log10_probabilities(ids, at, lookup, m.numbers)[::2]).sum()
+    total = (10 ** lm.log10_probabilities(ids, at, lookup, m.numbers)[1::2]).sum()
     assert abs(total - 1) < 1e-6
 
 
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
 def brute(texts, held):
     """The formula by plain counts, quantised."""
     quantised = lambda n: math.floor(1.375 * 2 ** (n.bit_length() - 1))
     one, two = Counter(), Counter()
     for t in texts:
-        w = lm.tokens(t)
+        w = tokens(t)
         one.update(w)
         two.update(zip([lm.END, *w], w, strict=False))
     pairs = {k: quantised(n) for k, n in two.items() if n > 1}
@@ -67,7 +73,7 @@ def brute(texts, held):
     whole = sum(said.values()) + 0.1 * (len(said) + 1)
     out = []
     for t in held:
-        w, score = lm.tokens(t), 0.0
+        w, score = tokens(t), 0.0
         for c, x in zip([lm.END, *w], w, strict=False):
             free = lm.BETA + max(said.get(c, 0) - sums[c], 0)
             score += math.log10((pairs.get((c, x), 0) + free * (said.get(x, 0) + 0.1) / whole) / (sums[c] + free))
