@@ -69,6 +69,29 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
+#: Lists that are told of new tables.
+_collecting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collected(made: list[str]):
+    """While it is open, ``made`` gets the tables that are written."""
+    _collecting.append(made)
+    try:
+        yield
+    finally:
+        _collecting.remove(made)
+
+
+def sweep(made: list[str], docs: DataFrame) -> None:
+    """Deletes those tables of ``made`` that ``docs`` doesn't read."""
+    read = " ".join(docs.inputFiles())
+    for path in [p for p in made if p.rpartition("/")[2] not in read]:
+        _delete(docs.sparkSession, path)
+        _written.pop(path, None)
+        made.remove(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it: cuts the lineage, survives lost executors.
 
@@ -78,6 +101,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
+    for made in _collecting:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
