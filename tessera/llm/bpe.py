@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, materialize, most_frequent, packed, slices, small_batches, tidy
+from .common import give_back, let, materialize, most_frequent, packed, slices, small_batches, tidy
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
@@ -187,7 +187,10 @@ class Head:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table.sort_by("hash"))
-        return sink.getvalue().to_pybytes()
+        data = sink.getvalue().to_pybytes()
+        del table, sink
+        give_back()
+        return data
 
     def find(self, words: pa.Array, plain: list[str]) -> list[str | None]:
         """The ids of each word, or none. Of words with equal hashes the dictionary finds the first: the others are folded."""

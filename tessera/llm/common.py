@@ -85,6 +85,7 @@ def collected(made: list[str]):
 
 def sweep(made: list[str], docs: DataFrame) -> None:
     """Deletes those tables of ``made`` that ``docs`` doesn't read."""
+    give_back()
     read = " ".join(docs.inputFiles())
     for path in [p for p in made if p.rpartition("/")[2] not in read]:
         _delete(docs.sparkSession, path)
@@ -163,6 +164,16 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def give_back() -> None:
+    """Returns what this process holds but doesn't use."""
+    gc.collect()
+    for pool in pa.supported_memory_backends():  # Arrow's functions use its own pool, whatever is set
+        getattr(pa, f"{pool}_memory_pool")().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` (over a task's batches) in a worker that gives its memory back: workers outlive tasks, and what they keep is lost to others."""
 
@@ -177,11 +188,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            for pool in pa.supported_memory_backends():  # Arrow's functions use its own pool, whatever is set here
-                getattr(pa, f"{pool}_memory_pool")().release_unused()
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return wrapped
 
