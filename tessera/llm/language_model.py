@@ -268,9 +268,10 @@ def repeated_pairs(texts: DataFrame, size: int) -> DataFrame:
         packed[:, 0], packed[:, 2], packed[:, 3] = first & np.uint64(0xFFFFFFFF), second & np.uint64(0xFFFFFFFF), np.minimum(n, 0xFFFFFFFF)
         packed[:, 1] = (first >> np.uint64(32)) | (second >> np.uint64(32) << np.uint64(16))
         starts = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
-        data = memoryview(packed).cast("B")
-        rows = [data[16 * a : 16 * b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "data"])
+        # An array of memoryviews would keep ``packed`` for good: pyarrow never releases their buffer.
+        ends = pa.array(16 * np.append(starts, len(own)), pa.int32())
+        rows = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(packed)])
+        return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int64)), rows], names=["part", "data"])
 
     def added(rows: pa.Table) -> pa.Table:
         packed = np.frombuffer(b"".join(x.as_py() for x in rows.column("data")), dtype="<u4").reshape(-1, 4).astype(np.uint64)
