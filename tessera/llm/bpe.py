@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, let, materialize, most_frequent, packed, slices, small_batches, tidy
+from .common import Mapped, give_back, let, materialize, most_frequent, slices, small_batches, tidy
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
@@ -36,6 +37,8 @@ FOLD_BYTES = 256
 SLICE, SLICE_WORDS = 2_000, 1 << 20
 #: Places among which the ranks are dealt out, and what a pair's first piece counts there: a prime near 2^31 / 2^16.
 BUCKETS, SPREAD = 1 << 17, 30_011
+#: Seed of the hashes by which frequent words are found, that of Spark's own function.
+SEED = 42
 #: Stands for no rank.
 NONE = 1 << 30
 #: Ends a word's pieces when no merge is left: below all pieces.
@@ -171,32 +174,36 @@ def frequent_words(texts: DataFrame, pattern: str) -> DataFrame:
 
 
 class Head:
-    """The frequent words and their ids, found by binary search over hashes: a worker holds three flat arrays."""
+    """The frequent words and their ids, found by binary search over hashes: three flat arrays in a file that workers map."""
 
-    def __init__(self, data: bytes):
-        with pa.ipc.open_stream(data) as source:
+    def __init__(self, data: Mapped):
+        with pa.ipc.open_stream(pa.py_buffer(data.words())) as source:
             table = source.read_all()
-        self.hashes, self.words, self.ids = (table.column(c).combine_chunks() for c in ("hash", "word", "ids"))
-        self.hashes = self.hashes.to_numpy()
+        columns = [table.column(c) for c in ("hash", "word", "ids")]
+        hashes, self.words, self.ids = (c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in columns)  # of one chunk no copy
+        self.hashes = hashes.to_numpy().view(np.uint64)
 
     @staticmethod
-    def packed(coded: DataFrame) -> bytes:
-        with pa.ipc.open_stream(packed(coded)) as source:
-            table = source.read_all().combine_chunks()
-        table = table.append_column("hash", pa.array([xxhash.xxh64_intdigest(w.as_py()) for w in table.column("word")], pa.uint64()))
+    def shared(coded: DataFrame) -> Mapped:
+        """(word, ids) as a file that the workers map. The hashes are Spark's, of seed ``SEED``."""
+        table = coded.select("word", "ids", F.xxhash64("word").alias("hash")).toArrow().combine_chunks()
+        order = np.argsort(table.column("hash").to_numpy().view(np.uint64))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table.sort_by("hash"))
+            out.write_table(table.take(pa.array(order)).combine_chunks())
+        del table, order
         data = sink.getvalue().to_pybytes()
-        del table, sink
+        del sink
+        made = Mapped(coded.sparkSession, data)
+        del data
         give_back()
-        return data
+        return made
 
     def find(self, words: pa.Array, plain: list[str]) -> list[str | None]:
         """The ids of each word, or none. Of words with equal hashes the dictionary finds the first: the others are folded."""
         if not len(self.hashes):
             return [None] * len(plain)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, plain), dtype=np.uint64, count=len(plain))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, plain, repeat(SEED)), dtype=np.uint64, count=len(plain))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         places = pa.array(at, mask=self.hashes[at] != hashes)
         same = pc.equal(self.words.take(places), words)
@@ -216,12 +223,12 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = head.repartition(n).select("word", codec.encode_words(F.array(codec.pieces(F.col("word"))))[0].alias("ids"))
     of_bytes = codec.bytes_to_pieces
-    shared = spark.sparkContext.broadcast(Head.packed(coded))
+    shared = Head.shared(coded)
     ranks = spark.sparkContext.broadcast(codec.ranks)  # as large as the vocabulary
     schema = docs.select(*keep).schema.add("ids", "string").add("rest", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = Head(shared.value)
+        head = Head(shared)
         for whole in batches:
             lists = whole.column("words")
             for start, end in slices(lists.value_lengths().to_numpy(), SLICE, SLICE_WORDS):  # bounded memory
