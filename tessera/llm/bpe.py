@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Mapped, give_back, let, materialize, most_frequent, slices, small_batches, tidy
+from .common import Mapped, give_back_driver, let, materialize, most_frequent, slices, small_batches, tidy
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
@@ -196,7 +196,7 @@ class Head:
         del sink
         made = Mapped(coded.sparkSession, data)
         del data
-        give_back()
+        give_back_driver(coded.sparkSession)
         return made
 
     def find(self, words: pa.Array, plain: list[str]) -> list[str | None]:
@@ -220,6 +220,7 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     """
     spark = docs.sparkSession
     head = frequent_words(docs, pattern)
+    give_back_driver(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = head.repartition(n).select("word", codec.encode_words(F.array(codec.pieces(F.col("word"))))[0].alias("ids"))
     of_bytes = codec.bytes_to_pieces

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def collected(made: list[str]):
 
 def sweep(made: list[str], docs: DataFrame) -> None:
     """Deletes those tables of ``made`` that ``docs`` doesn't read."""
-    give_back()
+    give_back_driver(docs.sparkSession)
     read = " ".join(docs.inputFiles())
     for path in [p for p in made if p.rpartition("/")[2] not in read]:
         _delete(docs.sparkSession, path)
@@ -174,6 +175,25 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """The same in the driver, its JVM included: what compilers of plans and code have freed stays in the C library's arenas else.
+
+    A JVM without that command (before 17.0.9, or not on Linux) keeps it.
+    """
+    give_back()
+    context = spark.sparkContext
+    jvm, array = context._jvm, context._gateway.new_array
+    find, command = jvm.java.lang.Class.forName, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    types, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[i] = find(name)
+    for i, value in enumerate((command, "systemTrimNativeHeap", array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0))):
+        values[i] = value
+    with contextlib.suppress(Py4JJavaError):  # by the interface, as the server's own class isn't public
+        invoke = find("javax.management.MBeanServer").getMethod("invoke", types)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` (over a task's batches) in a worker that gives its memory back: workers outlive tasks, and what they keep is lost to others."""
 
