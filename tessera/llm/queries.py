@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, licenses, mixing, quality, secrets, sharding, simhash, sketches, toxicity
+from . import bpe, language_model, licenses, mixing, quality, repeats, secrets, sharding, simhash, sketches, toxicity
 from .common import WORD, documents, materialize
 
 
@@ -69,6 +69,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col("m")[k].alias(k) for k in m), "base_failed", "kept")
 
 
+def op11_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, bytes removed, spans and the digest of what is left. Null and empty texts have none; rows of equal doc_id go by their text's hash."""
+    out = repeats.without_repeats(documents(spark, sf_dir))
+    n = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")
+    return out.select(
+        "row.doc_id",
+        n.alias("n_bytes"),
+        (n - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources,
@@ -81,6 +94,7 @@ QUERIES = {
         op8_fingerprint,
         op9_find_secrets,
         op10_quality_rules,
+        op11_remove_repeats,
     )
 }
 
