@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, licenses, mixing, quality, repeats, secrets, sharding, simhash, sketches, toxicity
+from . import bpe, conversations, language_model, licenses, mixing, prefix_trie, quality, repeats, secrets, sharding, simhash, sketches, toxicity
 from .common import WORD, documents, materialize
 
 
@@ -82,6 +82,17 @@ def op11_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repair of the damaged conversations found and did; a conversation that lost all rows has zeros. Nulls are one space."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.summaries(conversations.damaged(rows), rows)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations. Rows of a null conv_id are left out; no conversation, no node."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources,
@@ -95,6 +106,8 @@ QUERIES = {
         op9_find_secrets,
         op10_quality_rules,
         op11_remove_repeats,
+        op12_repair_conversations,
+        op13_prefix_trie,
     )
 }
 

@@ -35,6 +35,30 @@ def make_rows(seed=3, n=160):
     return [(d, t, lang, s, len(t or "")) for d, t, lang, s in rows]
 
 
+TURNS = "conv_id long, turn long, role string, text string, fault string, key int"
+
+
+def make_turns(seed=4, n=150):
+    """Conversations of 0 to 9 turns, some alike, with gaps, ties, nulls, odd roles and repeated rows, and columns named as results are."""
+    rng = random.Random(seed)
+    said = ["Yes.", "No", "Why?", " ", "", "Well, yes!  ", "é\x1c", "no.\n", "One two three."]
+    rows = []
+    for c in range(n):
+        turns = range(rng.randint(1, 9))
+        plain = rng.random() < 0.5
+        for t in turns:
+            role = ("system", "user")[t == 0 or rng.random() < 0.8] if t == 0 else ("assistant", "user")[t % 2 == 0]
+            if not plain and rng.random() < 0.3:
+                role = rng.choice(["user", "assistant", "system", "tool", "", None, "umpire"])
+            text = f"{rng.choice(said)}" if rng.random() < 0.5 else f"turn {t} of {rng.randint(0, 2)}."
+            if not plain and rng.random() < 0.1:
+                text = None
+            number = None if not plain and rng.random() < 0.1 else t + (rng.random() < 0.1)
+            rows.append((c * 2 - 4 if c % 3 else c, number, role, text, "f", 1))
+    rows += [(9000, 1, "user", "Hi.", "f", 1)] * 3 + [(None, 1, "user", "Hi.", "f", 1), (None, None, None, None, None, None), (9001, 5, "system", "x" * 5000, "f", 1)]
+    return rows
+
+
 @pytest.fixture(scope="session")
 def rows():
     return make_rows()
@@ -49,6 +73,7 @@ def sf_dir(spark, rows, tmp_path_factory):
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{place}/documents.parquet")
     labels = [(r[0], 1, int("idiot" in (r[1] or "") or "scum" in (r[1] or ""))) for r in rows[:150]] + [(None, 1, 1), (3, 1, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    spark.createDataFrame(make_turns(), TURNS).repartition(3).write.parquet(f"{place}/conversations.parquet")
     return place
 
 
@@ -57,4 +82,5 @@ def empty_dir(spark, tmp_path_factory):
     place = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{place}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    spark.createDataFrame([], TURNS).write.parquet(f"{place}/conversations.parquet")
     return place
