@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import sweeps
+from . import likeness
 
 # A contents line, and the header rules in their order.
 TOCY = r"(?i)\.{2,}\s*(\d{1,4}|[ivxlcdm]{1,8})\s*$"
@@ -19,6 +21,8 @@ RULES = (
 )
 #: Levels that a tree tells apart.
 LEVELS = 6
+#: Lines of a document that are matched in one pass; a longer one is read in blocks.
+BLOCK = 1 << 20
 
 
 def rule_headers(lines: DataFrame) -> DataFrame:
@@ -69,42 +73,56 @@ def parse_header_block(blocks: DataFrame) -> DataFrame:
 
 
 def located(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """``headers`` with ``start``, the ord of the first line that fits: by number and name in front, by number in front and the
-    name anywhere, by the name anywhere, in this order; null if none does.
+    """``headers`` with ``start``, the ord of the first line that fits, and ``n``, the document's lines up to its last ord.
+
+    A line fits by number and name in front, by number in front and the name anywhere, or by the name anywhere, in this order; start is null if none
+    does, n if the document has no lines.
     """
-    key = T.fold_spaces(F.concat_ws(" ", "section_number", "section_name"))
-    number, name, line = T.fold_spaces(F.col("section_number")), T.fold_spaces(F.col("section_name")), F.col("_line")
-    rule = (
-        F.when(line.startswith(key), 1)
-        .when((number != "") & line.startswith(number) & line.contains(name), 2)
-        .when((name != "") & line.contains(name), 3)
-    )
-    body = lines.select("file_id", F.col("ord").alias("_ord"), T.fold_spaces(F.col("line")).alias("_line"))
-    met = headers.join(body, "file_id").withColumn("_rule", rule).where("_rule is not null")
-    best = met.groupBy("file_id", "position").agg(F.min(F.struct("_rule", "_ord")).alias("best"))
-    return headers.join(best.select("file_id", "position", F.col("best._ord").alias("start")), ["file_id", "position"], "left")
-
-
-def bounded(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds ``stop``: the least start of later headers that is beyond the own start, else the document's size (file_id, n)."""
-    later = found.select("file_id", F.col("position").alias("p"), F.col("start").alias("s"))
-    nxt = (
-        found.join(later, "file_id")
-        .where((F.col("p") > F.col("position")) & (F.col("s") > F.col("start")))
-        .groupBy("file_id", "position")
-        .agg(F.min("s").alias("next"))
-    )
-    return (
-        found.join(nxt, ["file_id", "position"], "left").join(sizes, "file_id").withColumn("stop", F.coalesce("next", "n")).drop("next", "n")
-    )
+    key, number, name = (T.fold_spaces(F.coalesce(c, F.lit(""))) for c in (F.concat_ws(" ", "section_number", "section_name"), F.col("section_number"), F.col("section_name")))
+    heads = headers.select("file_id", "position", key.alias("key"), number.alias("number"), name.alias("name"))
+    body = lines.select("file_id", "ord", T.fold_spaces(F.col("line")).alias("line"))
+    met = sweeps.first_fits(heads, body, BLOCK)
+    best = met.groupBy("file_id", "position").agg(F.min(F.when(F.col("rule").isNotNull(), F.struct("rule", "ord"))).alias("best"), F.max("n").alias("n"))
+    kind = lines.schema["ord"].dataType
+    placed = best.select("file_id", F.col("position").cast(headers.schema["position"].dataType).alias("position"), F.col("best.ord").cast(kind).alias("start"), F.col("n").cast(kind).alias("n"))
+    return headers.join(placed, ["file_id", "position"], "left")
+
+
+def located_by_likeness(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """``located`` headers; those without a start begin at the line most alike their name."""
+    bare = found.where("start is null").select("file_id", "position", F.col("section_name").alias("name"))
+    alike = likeness.closest(bare, lines).select("file_id", "position", F.col("ord").alias("_alike"))
+    return found.join(alike, ["file_id", "position"], "left").withColumn("start", F.coalesce("start", "_alike")).drop("_alike")
+
+
+def sized(found: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """``located`` headers with the documents' sizes (file_id, n), where others are given."""
+    return found if sizes is None else found.drop("n").join(sizes, "file_id")
+
+
+def bounded(found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """``located`` headers with ``stop``: the least start of later headers that is beyond the own start, else the document's size."""
+    found = sized(found, sizes)
+    return sweeps.next_start_of_later(found, "_next").withColumn("stop", F.coalesce("_next", "n")).drop("_next", "n")
 
 
 def section_texts(bounds: DataFrame, lines: DataFrame) -> DataFrame:
-    """file_id, position, section_text: the lines from start up to stop."""
-    body = lines.select("file_id", "ord", "line")
-    met = bounds.select("file_id", "position", "start", "stop").join(body, "file_id").where("ord >= start and ord < stop")
-    rows = F.array_sort(F.collect_list(F.struct("ord", "line")))
-    return met.groupBy("file_id", "position").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("section_text"))
+    """file_id, position, section_text: the lines from start up to stop, which may overlap those of other sections.
+
+    All starts and stops cut a document into stretches; each line belongs to the last cut before it, and a section is a row of stretches.
+    """
+    spans = bounds.where("start is not null").select("file_id", "position", "start", "stop")
+    cuts = spans.select("file_id", F.col("start").alias("ord")).unionByName(spans.select("file_id", F.col("stop").alias("ord"))).distinct()
+    both = cuts.withColumns({"kind": F.lit(0), "line": F.lit(None).cast("string")}).unionByName(lines.select("file_id", "ord", F.lit(1).alias("kind"), "line"))
+    order = W.partitionBy("file_id").orderBy("ord", "kind").rowsBetween(W.unboundedPreceding, 0)
+    marked = both.withColumn("stretch", F.sum(1 - F.col("kind")).over(order))
+    at = marked.where("kind = 0").select("file_id", "ord", "stretch")
+    first, last = (at.select("file_id", F.col("ord").alias(c), F.col("stretch").alias(f"_{c}")) for c in ("start", "stop"))
+    each = spans.join(first, ["file_id", "start"]).join(last, ["file_id", "stop"]).where("_start < _stop")
+    rows = each.select("file_id", "position", F.explode(F.sequence("_start", F.col("_stop") - 1)).alias("stretch"))
+    texts = marked.where("kind = 1 and stretch > 0").groupBy("file_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("rows"))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "rows"))), lambda x: x["rows"]))
+    return rows.join(texts, ["file_id", "stretch"]).groupBy("file_id", "position").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("section_text"))
 
 
 def leveled(headers: DataFrame) -> DataFrame:
@@ -112,8 +130,9 @@ def leveled(headers: DataFrame) -> DataFrame:
     return headers.withColumn("level", F.least(F.greatest(T.segment_count(F.col("section_number")), F.lit(1)), F.lit(LEVELS)))
 
 
-def section_tree(headers: DataFrame) -> DataFrame:
-    """Adds parent (position of the nearest header before it of a lower level), path, and last, the position that ends it.
+def section_tree(headers: DataFrame, ancestors: bool = False) -> DataFrame:
+    """Adds parent (position of the nearest header before it of a lower level), path, and last, the position that ends it; on demand ``ancestors``,
+    the positions above it.
 
     Three facts of a stack, told by windows over one ordering of the document: the parent is the latest of the lower levels' last headers; a
     level's last header is on the stack if it comes after those of all levels above; a section ends in front
@@ -135,31 +154,38 @@ def section_tree(headers: DataFrame) -> DataFrame:
         return F.coalesce(F.col(f"_l{k}.position"), F.lit(0))
 
     parent = F.greatest(*(F.when(F.col("level") > k, position(k)).otherwise(0) for k in range(1, LEVELS)), F.lit(0))
-    on_stack = []
+    on_stack, above_it = [], []
     for k in range(1, LEVELS):
         above = F.greatest(F.lit(0), F.lit(0), *(position(m) for m in range(1, k)))
-        on_stack.append(F.when((F.col("level") > k) & (position(k) > above), F.col(f"_l{k}.name")))
+        stacked = (F.col("level") > k) & (position(k) > above)
+        on_stack.append(F.when(stacked, F.col(f"_l{k}.name")))
+        above_it.append(F.when(stacked, position(k)))
     follower = F.least(*(F.when(F.col("level") >= k, F.col(f"_n{k}")) for k in range(1, LEVELS + 1)), F.col("_end") + 1)
     return wide.select(
         *headers.columns,
         F.nullif(parent, F.lit(0)).alias("parent"),
         F.array_join(F.array_compact(F.array(*on_stack, name)), " / ").alias("path"),
         (follower - 1).alias("last"),
+        *([F.array_compact(F.array(*above_it)).alias("ancestors")] if ancestors else []),
     )
 
 
 def section_chunks(tree: DataFrame, lines: DataFrame) -> DataFrame:
     """file_id, position, n_objects, objects: the lines of each section and all sections below it, headings left out, in order.
 
-    A leaf's lines run from its header to the next one; those of a parent are its leaves', as a range of positions.
+    A line belongs to the last header before it, which tells it by a running value; lines of a leaf, the next header being no
+    deeper, are gathered once and then go to the sections above it.
     """
-    heads = tree.select("file_id", F.col("position").alias("h"), F.col("ord").alias("from"))
-    nxt = F.lead("from").over(W.partitionBy("file_id").orderBy("h"))
-    spans = heads.withColumn("to", nxt)
-    body = lines.select("file_id", "ord").join(spans, "file_id").where("ord > from and (to is null or ord < to)").select("file_id", "h", "ord")
-    leaf = tree.where("last = position").select("file_id", F.col("position").alias("h"))
-    own = body.join(leaf, ["file_id", "h"])
-    met = tree.select("file_id", "position", "last").join(own, "file_id").where("h >= position and h <= last")
-    return met.groupBy("file_id", "position").agg(
-        F.count(F.lit(1)).alias("n_objects"), F.array_join(F.transform(F.array_sort(F.collect_set("ord")), lambda x: x.cast("string")), ",").alias("objects")
-    )
+    if "ancestors" not in tree.columns:
+        tree = section_tree(tree.drop("parent", "path", "last"), ancestors=True)
+    heads = tree.select("file_id", "ord", F.lit(0).alias("kind"), F.struct("position", (F.col("last") == F.col("position")).alias("leaf"), "ancestors").alias("head"))
+    both = heads.unionByName(lines.select("file_id", "ord", F.lit(1).alias("kind"), F.lit(None).cast(heads.schema["head"].dataType).alias("head")))
+    document = W.partitionBy("file_id")
+    order = document.orderBy("ord", "kind").rowsBetween(W.unboundedPreceding, 0)
+    # A heading is itself a line: it is told by the header row in front of it.
+    marked = both.withColumns({"own": F.last("head", ignorenulls=True).over(order), "heading": F.max(F.when(F.col("kind") == 0, F.col("ord"))).over(order)})
+    leaves = marked.where("kind = 1 and own.leaf and ord > heading").groupBy("file_id", "own.position").agg(F.collect_set("ord").alias("ords"), F.first("own.ancestors").alias("ancestors"))
+    each = leaves.select("file_id", F.explode(F.array_append("ancestors", F.col("position"))).alias("position"), "ords")
+    objects = F.array_sort(F.flatten(F.collect_list("ords")))
+    made = each.groupBy("file_id", "position").agg(objects.alias("ords"))
+    return made.select("file_id", "position", F.size("ords").cast("long").alias("n_objects"), F.array_join(F.transform("ords", lambda x: x.cast("string")), ",").alias("objects"))

@@ -293,7 +293,8 @@ def header_paths(spark, sf_dir):
     "SELECT t.file_id, t.position, count(*) AS n_objects, string_agg(CAST(o.ord AS VARCHAR), ',' ORDER BY o.ord) AS objects FROM tree0 t JOIN own o ON o.file_id = t.file_id AND o.h BETWEEN t.position AND t.last GROUP BY t.file_id, t.position"
 )
 def section_chunks(spark, sf_dir):
-    return headers.section_chunks(_tree(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
+    tree = headers.section_tree(headers.leveled(_headers(spark, sf_dir)), ancestors=True)
+    return headers.section_chunks(tree, corpus.spec_corpus(spark, sf_dir))
 
 
 LOCATED = f"""{HEADERS}, met AS (SELECT h.file_id, h.position, c.ord, CASE WHEN starts_with(l, {_fold("concat_ws(' ', section_number, section_name)")}) THEN 1
@@ -305,9 +306,7 @@ bounds AS (SELECT a.file_id, a.position, a.start, coalesce((SELECT min(b.start)
 
 
 def _bounds(spark, sf_dir):
-    rows = corpus.spec_corpus(spark, sf_dir)
-    sizes = rows.groupBy("file_id").agg((F.max("ord") + 1).alias("n"))
-    return headers.bounded(headers.located(_headers(spark, sf_dir), rows), sizes)
+    return headers.bounded(headers.located(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir)))
 
 
 @query(f"WITH {LOCATED} SELECT * FROM bounds")
@@ -609,6 +608,20 @@ def fuzzy_match(spark, sf_dir):
     return sequences.closest(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
 
 
+def misread(c):
+    """Text as a bad reading has it: other vowels, a letter dropped."""
+    return F.regexp_replace(F.translate(c, "eEoO", "cC0Q"), "[rR]([a-zA-Z])", "$1")
+
+
+@query()
+def section_bounds_by_likeness(spark, sf_dir):
+    """Bounds of headers that were misread at every other position: those that no line has begin at the line most alike."""
+    rows = corpus.spec_corpus(spark, sf_dir)
+    read = _headers(spark, sf_dir).withColumn("section_name", F.when(F.col("position") % 2 == 0, misread(F.col("section_name"))).otherwise(F.col("section_name")))
+    found = headers.located_by_likeness(headers.located(read, rows), rows)
+    return headers.bounded(found).select("file_id", "position", "start", "stop")
+
+
 @query()
 def marker_expansion(spark, sf_dir):
     return matching.line_variants(corpus.spec_corpus(spark, sf_dir)).select("line", F.array_join("variants", " | ").alias("variants"))
@@ -643,10 +656,8 @@ def dotted_tree(spark, sf_dir):
     "coalesce((SELECT min(b.start) FROM numbered b WHERE b.file_id = a.file_id AND b.section_number <> a.section_number AND b.start > a.start), s.n) AS stop FROM numbered a JOIN sizes s USING (file_id)"
 )
 def sections_closed_by_others(spark, sf_dir):
-    rows = corpus.spec_corpus(spark, sf_dir)
-    sizes = rows.groupBy("file_id").agg((F.max("ord") + 1).alias("n"))
-    found = headers.located(_headers(spark, sf_dir), rows)
-    return matching.closed_by_others(found, sizes).select("file_id", "position", "start", "stop")
+    found = headers.located(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
+    return matching.closed_by_others(found).select("file_id", "position", "start", "stop")
 
 
 @query(

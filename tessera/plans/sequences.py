@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import likeness
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -74,23 +73,6 @@ def nested(blocks: DataFrame) -> DataFrame:
 
 
 def closest(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """file_id, position, ord, ratio: the line of the document most alike the header's name, the first of equals."""
-    body = lines.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("lines"))
-    heads = headers.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("position", "section_name"))).alias("heads"))
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for f, hs, ls in zip(pdf["file_id"], pdf["heads"], pdf["lines"], strict=True):
-                for h in hs:
-                    m = difflib.SequenceMatcher()
-                    m.set_seq2(h["section_name"])
-                    best = (-1.0, 0)
-                    for x in ls:
-                        m.set_seq1(x["line"])
-                        if m.real_quick_ratio() > best[0] and m.quick_ratio() > best[0] and (r := m.ratio()) > best[0]:
-                            best = (r, x["ord"])
-                    rows.append((f, h["position"], best[1], round(best[0], 6)))
-            yield pd.DataFrame(rows, columns=["file_id", "position", "ord", "ratio"])
-
-    return heads.join(body, "file_id").mapInPandas(run, "file_id string, position int, ord int, ratio double")
+    """file_id, position, ord, ratio: the line of the document most alike the header's name, the greatest of equals, at its first place."""
+    names = headers.select("file_id", "position", F.col("section_name").alias("name"))
+    return likeness.closest(names, lines).select("file_id", "position", "ord", F.round("ratio", 6).alias("ratio"))
