@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 TOKEN = r"[\p{L}\p{N}_%°.]+"
 K1, B, ALPHA = 1.5, 0.75, 0.5
 #: Dense candidates of a query at least.
 DENSE = 10
-#: Numbers of a query side that may be broadcast: its documented bound.
-MAX_QUERIES = 10_000
+#: Items and queries of a cell, whose products are computed at once; a table of fewer items than tasks could share is cut finer.
+CELL_ITEMS, CELL_QUERIES, LEAST_ITEMS = 1 << 14, 1 << 10, 1 << 9
+#: Cosines closer than this may be equal when rounded.
+SLACK = 2e-6
+#: Partitions of a written index: a query reads those of its terms.
+BUCKETS = 256
 
 
 def tokens(c: Column) -> Column:
@@ -32,30 +39,60 @@ def term_stats(post: DataFrame, docs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n")
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf of ``queries`` (query_id, text)."""
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _scores(hits: DataFrame, terms: DataFrame, n: Column, avg_len: Column) -> DataFrame:
+    """query_id, doc_id, bm25 from the postings of the asked terms."""
+    idf = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighed = terms.join(idf, "term")
+    s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
+    return hits.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(s * F.col("qtf")).alias("bm25"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, bm25 of every pair that shares a term; a query's repeated terms count repeatedly.
 
-    ``queries`` (query_id, text) is a bounded set: its terms are broadcast, so that only their postings are counted. Document frequencies of the
-    query terms come from the same counts.
+    Documents are tokenised once: only postings of asked terms are counted, and of an empty term that each document has, which tells the number of
+    documents and their mean length. Neither side is bounded: joins on terms are broadcast where a side's measured size allows.
     """
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = terms.select("term").distinct()
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("doc_len"), "t")
-    whole = docs.select(F.size(tokens(F.col("text"))).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("avg_len"))
-    hits = (
-        sized.select("doc_id", "doc_len", F.explode("t").alias("term"))
-        .join(F.broadcast(wanted), "term")
-        .groupBy("doc_id", "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    idf = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(whole))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = (
-        hits.join(F.broadcast(idf.select("term", weight.alias("idf"), "avg_len")), "term")
-        .withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))))
-        .join(F.broadcast(terms), "term")
+    terms = asked_terms(queries)
+    wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("doc_len"), F.array_append("t", F.lit("")).alias("t"))
+    counted = (
+        sized.select("doc_id", "doc_len", F.explode("t").alias("term")).join(wanted, "term").groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("s") * F.col("qtf")).alias("bm25"))
+    every = counted.where("term = ''")
+    n, avg_len = every.select(F.count(F.lit(1))).scalar(), every.select(F.avg("doc_len")).scalar()
+    return _scores(counted.where("term <> ''"), terms, n, avg_len)
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """An inverted index of ``docs`` (doc_id, text): postings by buckets of terms, sorted by term, and the corpus's size.
+
+    A bucket is written by several tasks where its terms are frequent: rows are dealt out by bucket and document.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = postings(docs).withColumn("bucket", bucket(F.col("term"), buckets))
+    spread = made.repartition(n, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // buckets)))).sortWithinPartitions("bucket", "term")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    sizes = docs.select(F.size(tokens(F.col("text"))).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("avg_len"))
+    sizes.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def indexed_bm25(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """``bm25`` over a written index, of which it reads the buckets that have an asked term; their list is as long as the buckets are many at most."""
+    sizes = spark.read.parquet(f"{path}/sizes").first()
+    terms = asked_terms(queries)
+    buckets = [r["b"] for r in terms.select(bucket(F.col("term"), sizes["buckets"]).alias("b")).distinct().collect()]
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets)).join(terms.select("term").distinct(), "term", "left_semi")
+    return _scores(hits.select("doc_id", "term", "tf", "doc_len"), terms, F.lit(sizes["n"]), F.lit(sizes["avg_len"]))
 
 
 def hash_bytes(c: Column) -> Column:
@@ -92,13 +129,41 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _cell_top(k: int):
+    """Each query's most similar items of a cell: k, and those that rounding may make equal to the last of them."""
+
+    def matrix(v: pa.ChunkedArray, n: int) -> np.ndarray:
+        return v.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def run(items: pa.Table, queries: pa.Table) -> pa.Table:
+        found = {"query_id": [], "item_id": [], "cosine": []}
+        if len(items) and len(queries):
+            cosines = matrix(queries["q"], len(queries)) @ matrix(items["v"], len(items)).T
+            least = np.partition(cosines, -k, axis=1)[:, -k] if len(items) > k else np.full(len(queries), -np.inf)
+            i, j = np.nonzero(cosines >= (least - SLACK)[:, None])
+            found = {"query_id": queries["query_id"].take(pa.array(i)), "item_id": items["item_id"].take(pa.array(j)), "cosine": cosines[i, j]}
+        return pa.table(found, schema=pa.schema([queries.schema.field("query_id"), items.schema.field("item_id"), ("cosine", pa.float64())]))
+
+    return run
+
+
 def dense_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, item_id, cosine of each query's k most similar items; ties by item_id.
+    """query_id, item_id, cosine, rank of each query's k most similar items; ties by item_id.
 
-    ``items`` (item_id, v) and ``queries`` (query_id, v) have unit vectors. The queries are a bounded set, broadcast; ranks are cut in each task first.
+    ``items`` (item_id, v) and ``queries`` (query_id, v) have unit vectors of one length; null vectors are none. Both sides may be large: items are dealt
+    into rows and queries into columns of a grid, and each cell multiplies its two blocks and keeps k items for each query, which then meet.
     """
-    met = items.join(F.broadcast(queries.withColumnRenamed("v", "q"))).select("query_id", "item_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("cosine"))
-    return top(met, "cosine", "item_id", k)
+    spark = items.sparkSession
+    items, asked = items.where("v is not null"), queries.where("v is not null").withColumnRenamed("v", "q")
+    n_items, n_queries = items.count(), asked.count()
+    rows = max(1, -(-n_items // CELL_ITEMS), min(spark.sparkContext.defaultParallelism, n_items // LEAST_ITEMS))
+    columns = max(1, -(-n_queries // CELL_QUERIES))
+    row, column = F.pmod(F.xxhash64("item_id"), F.lit(rows)).alias("_r"), F.pmod(F.xxhash64("query_id"), F.lit(columns)).alias("_c")
+    here = items.select(row, F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<long>")).alias("_c"), "item_id", "v")
+    there = asked.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>")).alias("_r"), column, "query_id", "q")
+    schema = T.StructType([asked.schema["query_id"], items.schema["item_id"], T.StructField("cosine", T.DoubleType())])
+    met = here.groupBy("_r", "_c").cogroup(there.groupBy("_r", "_c")).applyInArrow(_cell_top(k), schema)
+    return top(met.withColumn("cosine", F.round("cosine", 6)), "cosine", "item_id", k)
 
 
 def top(scored: DataFrame, score: str, item: str, k: int) -> DataFrame:
