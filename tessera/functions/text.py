@@ -13,6 +13,7 @@ SPACES = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Glyphs that lead from a title to a page number.
 LEADERS = r".\u2024\u2026\u22ef\u00b7\u2027"
 
+# What a contents line, a number in front of a title and a section's line look like.
 TOC_DOT_LEADER = rf"(?iu)^\s*.+?(?=[\s{LEADERS}]*[{LEADERS}])[\s{LEADERS}]+(\d{{1,4}}|[ivxlcdm]{{1,8}})\s*$"
 TOC_HEADING = r"(?i)^\s*(table\s+of\s+)?contents\s*$"
 TOC_ROMAN_END = r"(?i)\b[ivxlcdm]{1,8}\s*$"
@@ -24,9 +25,13 @@ ALPHA = r"^[A-Z](?:\.[A-Za-z0-9]+){0,4}\b"
 SECTION_LINE = r"^(\d+(?:\.\d+)*)[\s\-\.]+(.+)$"
 
 
+#: The same characters, one by one.
+SPACE_CHARACTERS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at both ends, of any kind."""
-    return F.regexp_replace(c, rf"^[{SPACES}]+|[{SPACES}]+$", "")
+    """Without white space at both ends, of any kind. No pattern: it is asked of every line, often more than once."""
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def lines(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,12 +30,12 @@ def rule_headers(lines: DataFrame) -> DataFrame:
     header is numbered by its position.
     """
     s = T.strip(F.col("line"))
-    title = reduce(lambda out, r: out.when(s.rlike(r), F.trim(F.regexp_extract(s, r, 1))), RULES, F.when(F.lit(False), ""))
+    titles = F.filter(F.array(*(F.trim(F.regexp_extract(s, r, 1)) for r in RULES)), lambda x: x != "")
     first = W.partitionBy("file_id", F.lower("title")).orderBy("ord")
+    # Exploded, each rule is asked once of a line; a filter on the title would ask again.
     named = (
         lines.where((s != "") & ~s.rlike(TOCY))
-        .withColumn("title", title)
-        .where("title is not null")
+        .select("file_id", "ord", F.explode(F.slice(titles, 1, 1)).alias("title"))
         .withColumn("again", F.row_number().over(first))
         .where("again = 1")
         .withColumn("position", F.row_number().over(W.partitionBy("file_id").orderBy("ord")))
