@@ -187,3 +187,17 @@ def section_chunks(tree: DataFrame, lines: DataFrame) -> DataFrame:
     objects = F.array_sort(F.flatten(F.collect_list("ords")))
     made = each.groupBy("file_id", "position").agg(objects.alias("ords"))
     return made.select("file_id", "position", F.size("ords").cast("long").alias("n_objects"), F.array_join(F.transform("ords", lambda x: x.cast("string")), ",").alias("objects"))
+
+
+def section_nodes(nodes: DataFrame) -> DataFrame:
+    """section_id, depth and parent_section of header nodes (file_id, position, parent, level, number, title): a tree below each document's root.
+
+    Positions go down the tree, first children first. A node is one below its parent at least, and as deep as its level.
+    """
+    placed = nodes.withColumn("place", F.row_number().over(W.partitionBy("file_id").orderBy("position")))
+    named = sweeps.depths_below(placed, "depth").withColumn("section_id", F.format_string("%s-sec-%04d", "file_id", "place"))
+    above = named.select("file_id", F.col("position").alias("parent"), F.col("section_id").alias("parent_section"))
+    root = F.concat("file_id", F.lit("-root"))
+    return named.join(above, ["file_id", "parent"], "left").select(
+        "file_id", "section_id", F.coalesce("parent_section", root).alias("parent_section"), "position", "depth", "number", "title"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identity, specs, text
-from ..operators import atomize, corpus, export, headers, layout, lines, matching, quality, search, toc
+from ..operators import atomize, corpus, export, headers, layout, lines, matching, page_lines, quality, search, toc
 from . import sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,6 +464,45 @@ def column_kmeans(spark, sf_dir):
     return layout.assigned_columns(_layout(spark, sf_dir))
 
 
+# Pages as a parser nests them: each corpus line is a block of two spans, every seventh block is of another kind.
+NESTED = """SELECT file_id, CAST(section_no - 1 AS INT) AS page_no, CAST(612 AS DOUBLE) AS width, CAST(792 AS DOUBLE) AS height, transform(array_sort(collect_list(struct(ord, line_idx, line))),
+  x -> named_struct('type', CASE WHEN x.ord % 7 = 6 THEN 2 ELSE CAST(x.ord % 2 AS INT) END, 'bbox', CAST(NULL AS ARRAY<DOUBLE>), 'lines', array(
+    named_struct('bbox', array(CAST(60 + 9 * (x.ord % 4) AS DOUBLE), CAST(730 - 230 * x.line_idx AS DOUBLE), CAST(200 AS DOUBLE), CAST(740 AS DOUBLE)), 'spans', array(
+      named_struct('text', concat(' ', substring(x.line, 1, 6)), 'font', CASE WHEN x.ord % 3 > 0 THEN 'Serif' END, 'size', CAST(10 + x.ord % 3 AS DOUBLE), 'flags', CAST(x.ord % 4 AS INT)),
+      named_struct('text', concat(substring(x.line, 7), ' '), 'font', CASE WHEN x.ord % 5 = 0 THEN 'Serif-Bold' ELSE 'Sans' END, 'size', CAST(12 AS DOUBLE), 'flags', 4)))))) AS blocks
+FROM {corpus} GROUP BY file_id, section_no"""
+
+
+@query(
+    f"""WITH {CORPUS}, kept AS (SELECT *, {_RAW} AS text FROM corpus WHERE ord % 7 <> 6 AND {_RAW} <> '')
+SELECT file_id, text, CAST(60 + 9 * (ord % 4) AS DOUBLE) AS x0, CASE WHEN ord % 3 > 0 THEN 'Serif' WHEN ord % 5 = 0 THEN 'Serif-Bold' ELSE 'Sans' END AS font_family, (22 + ord % 3) / 2.0::DOUBLE AS font_size,
+  ord % 4 >= 2 OR ord % 5 = 0 AS is_bold, regexp_matches(text, '\\p{{L}}') AND NOT regexp_matches(text, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') AS is_caps, CAST(section_no - 1 AS INT) AS page_no,
+  CAST(row_number() OVER (PARTITION BY file_id ORDER BY section_no, line_idx DESC) - 1 AS INT) AS line_idx, CASE WHEN ord % 3 > 0 THEN 2 ELSE 1 END AS n_fonts, CAST((ord % 4) | 4 AS INT) AS flags FROM kept"""
+)
+def page_text_lines(spark, sf_dir):
+    """Lines from nested pages, in reading order, with the fonts that their spans tell."""
+    pages = spark.sql(NESTED, corpus=corpus.spec_corpus(spark, sf_dir))
+    return page_lines.text_lines(pages, multi_column=False).select(
+        "file_id", "text", F.col("bbox")[0].alias("x0"), "font_family", "font_size", "is_bold", "is_caps", "page_no", "line_idx", F.size("span_fonts").alias("n_fonts"), "flags"
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {TREE}, l AS (SELECT *, 1 + (ord * 3 + position) % 5 AS said FROM tree0),
+deep AS (SELECT file_id, position, parent, greatest(1, said) AS depth FROM l WHERE parent IS NULL
+  UNION ALL SELECT l.file_id, l.position, l.parent, greatest(d.depth + 1, l.said) FROM l JOIN deep d ON d.file_id = l.file_id AND d.position = l.parent),
+ids AS (SELECT file_id, position, concat(file_id, '-sec-', CASE WHEN position < 10000 THEN lpad(CAST(position AS VARCHAR), 4, '0') ELSE CAST(position AS VARCHAR) END) AS id FROM l)
+SELECT d.file_id, i.id AS section_id, coalesce(p.id, concat(d.file_id, '-root')) AS parent_section, d.position, CAST(d.depth AS INT) AS depth
+FROM deep d JOIN ids i USING (file_id, position) LEFT JOIN ids p ON p.file_id = d.file_id AND p.position = d.parent"""
+)
+def section_nodes(spark, sf_dir):
+    """The section tree of header nodes whose levels skip and repeat: each is one below its parent at least."""
+    nodes = _tree(spark, sf_dir).select(
+        "file_id", "position", "parent", (1 + (F.col("ord") * 3 + F.col("position")) % 5).cast("int").alias("level"), F.col("section_number").alias("number"), F.col("section_name").alias("title")
+    )
+    return headers.section_nodes(nodes).select("file_id", "section_id", "parent_section", "position", "depth")
+
+
 # Reports and exports.
 _QA = f"""{ATOMS}, leaves AS (SELECT DISTINCT file_id, section_id FROM corpus), objs AS (SELECT file_id, count(*) AS parsed_object_count FROM corpus GROUP BY file_id),
 made AS (SELECT file_id, count(*) AS specs_count FROM atoms GROUP BY file_id), withs AS (SELECT l.file_id, count(*) AS leaf_section_count, count(a.section_id) AS n FROM leaves l LEFT JOIN (SELECT DISTINCT file_id, section_id FROM atoms) a USING (file_id, section_id) GROUP BY l.file_id)"""

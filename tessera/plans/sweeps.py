@@ -124,3 +124,22 @@ def first_fits(heads: DataFrame, lines: DataFrame, block: int) -> DataFrame:
             yield (key[0], place, *(fit or (None, None)), end)
 
     return streamed(both, ["file_id", "block"], ["kind", "at"], fold, schema)
+
+
+def depths_below(nodes: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, a node's depth: its level, but at least one below its parent's depth.
+
+    ``nodes``: file_id, position (in front of all below it), parent (a position or null), level. The path to a node is a stack. A parent that isn't on it
+    counts as none, a null level as 1.
+    """
+    ordered, schema = _with(nodes, ["file_id", "position", "parent", "level"], name, T.IntegerType())
+
+    def fold(_: tuple, group: Iterable[tuple]) -> Iterator[tuple]:
+        path: list[tuple] = []  # (position, depth)
+        for row in group:
+            while path and path[-1][0] != row[2]:
+                path.pop()
+            path.append((row[1], max(path[-1][1] + 1 if path else 1, row[3] if row[3] is not None else 1)))
+            yield (*row, path[-1][1])
+
+    return streamed(ordered, ["file_id"], ["position"], fold, schema).select(*nodes.columns, name)
