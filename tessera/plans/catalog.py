@@ -630,6 +630,50 @@ def event_windows(spark, sf_dir):
     return progress.windowed(table(spark, sf_dir, "events"), "1 hour")
 
 
+# A model's answers for each section: its lines as a fenced list, now and then NONE, or no list at all.
+def _answers(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    said = F.array_join(F.transform(rows, lambda x: F.concat(F.lit("- "), x["line"])), "\n")
+    turn = F.col("section_no") + F.substring("file_id", 7, 20).cast("int")
+    return corpus.spec_corpus(spark, sf_dir).groupBy("file_id", "section_no").agg(said.alias("said")).select(
+        "file_id", F.col("section_no").alias("position"), F.col("section_no").cast("string").alias("section_number"), F.concat(F.lit("Section "), "section_no").alias("section_name"),
+        F.when(turn % 13 == 0, "No list.").when(turn % 7 == 0, "#specs#\nnone\n#specs#").otherwise(F.concat(F.lit("So:\n#specs#\n"), "said", F.lit("\n#SPECS# done"))).alias("response"),
+    )
+
+
+ANSWERS = f"""{CORPUS}, answers AS (SELECT file_id, section_no AS position, (section_no + CAST(substr(file_id, 7) AS INT)) % 13 <> 0 AS good,
+  CASE WHEN (section_no + CAST(substr(file_id, 7) AS INT)) % 7 <> 0 THEN list(line ORDER BY ord) ELSE [] END AS specs FROM (SELECT file_id, section_no, ord, {_RAW} AS line FROM corpus) GROUP BY file_id, section_no),
+ended AS (SELECT *, min(CASE WHEN NOT good THEN position END) OVER (PARTITION BY file_id) AS failed FROM answers),
+told AS (SELECT * FROM ended WHERE failed IS NULL OR position <= failed),
+answer_events AS (SELECT file_id, (position * 3 + step)::BIGINT AS seq, CASE step WHEN 0 THEN 'request' WHEN 1 THEN 'response' ELSE CASE WHEN good THEN 'processed' ELSE 'error' END END AS event,
+    CASE WHEN step < 2 OR good THEN CAST(position AS VARCHAR) END AS section_number, CASE WHEN step = 2 AND good THEN specs END AS specs,
+    CASE WHEN step = 2 AND NOT good THEN concat('LLM returned unexpected format for section ', position) END AS message FROM told CROSS JOIN (SELECT unnest([0, 1, 2]) AS step)
+  UNION ALL SELECT file_id, ((max(position) + 1) * 3)::BIGINT, 'complete', NULL, flatten(list(specs ORDER BY position)), NULL FROM told WHERE failed IS NULL GROUP BY file_id)"""
+
+
+@query(f"WITH {ANSWERS} SELECT file_id, seq, event, section_number, len(specs)::INT AS n_specs, array_to_string(specs, '|') AS specs, message FROM answer_events")
+def answer_events(spark, sf_dir):
+    """The events of a model's answers; the first answer without a list ends its document."""
+    from ..streaming import answers
+
+    texts = F.array_join(F.transform("specs", lambda x: x["spec_text"]), "|")
+    found = answers.events_of(_answers(spark, sf_dir))
+    return found.select("file_id", "seq", "event", "section_number", F.when(F.col("specs").isNotNull(), F.size("specs")).alias("n_specs"), texts.alias("specs"), "message")
+
+
+@query(
+    f"""WITH {ANSWERS}, ends AS (SELECT file_id, event, specs FROM answer_events WHERE event IN ('complete', 'error')),
+counts AS (SELECT file_id, count(*) * 2 AS n_events, count(*) FILTER (event = 'request') AS requested, count(*) FILTER (event = 'processed') AS processed, flatten(list(specs ORDER BY seq) FILTER (event = 'processed')) AS gathered, any_value(message) AS message FROM answer_events GROUP BY file_id)
+SELECT file_id, CASE event WHEN 'complete' THEN 'complete' ELSE 'failed' END AS state, message, requested, processed, n_events, array_to_string(coalesce(specs, gathered, []), '|') AS specs FROM counts JOIN ends USING (file_id)"""
+)
+def answers_known(spark, sf_dir):
+    """What a reader of the events, each told twice, knows of every document."""
+    from ..streaming import answers
+
+    events = answers.events_of(_answers(spark, sf_dir))
+    return answers.known(events.unionByName(events)).select("file_id", "state", "message", "requested", "processed", "n_events", F.array_join("specs", "|").alias("specs"))
+
+
 @query()
 def anchor_monotone(spark, sf_dir):
     """Titles of rule headers anchored in document order."""
