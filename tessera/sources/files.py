@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import text as T
+from . import tolerant
 
 OBJECT = "object_id string, file_id string, kind string, text string, page_index int, order_index int, line_index int, is_blank boolean, bbox array<double>, metadata map<string,string>"
 EXTENSIONS = ("pdf", "docx", "txt")
@@ -45,7 +47,8 @@ def binary(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> DataFrame:
 
 
 def _objects(rows: DataFrame, kind: str) -> DataFrame:
-    heading = F.create_map(F.lit("heading"), F.col("_heading").cast("string")) if "_heading" in rows.columns else F.create_map().cast("map<string,string>")
+    more = [x for c in ("heading", "encoding") if f"_{c}" in rows.columns for x in (F.lit(c), F.col(f"_{c}").cast("string"))]
+    heading = F.create_map(*more).cast("map<string,string>")
     return rows.select(
         identity.numbered(F.col("file_id"), kind, F.col("order_index")).alias("object_id"),
         "file_id",
@@ -61,9 +64,12 @@ def _objects(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def text_objects(files: DataFrame, keep_blank: bool = True) -> DataFrame:
-    """A line object for each line; without ``keep_blank`` blank lines go and order_index stays dense."""
-    body = F.decode("content", "utf-8")
-    rows = files.select("file_id", F.posexplode(T.lines(F.regexp_replace(body, r"^\ufeff", ""))).alias("line_index", "line"))
+    """A line object for each line; without ``keep_blank`` blank lines go and order_index stays dense.
+
+    Bytes that aren't UTF-8 are windows-1252; a file that is no text has no objects.
+    """
+    read = files.select("file_id", tolerant.decoded(F.col("content")).alias("d")).where("d.problem is null")
+    rows = read.select("file_id", F.col("d.encoding").alias("_encoding"), F.posexplode(T.lines(F.col("d.text"))).alias("line_index", "line"))
     if keep_blank:
         return _objects(rows.withColumn("order_index", F.col("line_index")), "txt")
     order = W.partitionBy("file_id").orderBy("line_index")
@@ -97,13 +103,25 @@ def _docx(content: bytes, joined: bool) -> list[tuple[str, str, dict]]:
 
 
 def docx_objects(files: DataFrame, joined: bool = True) -> DataFrame:
-    """Paragraphs, then tables: cells joined by tabs, or (not ``joined``) those that aren't empty by commas."""
+    """Paragraphs, then tables: cells joined by tabs, or (not ``joined``) those that aren't empty by commas. A file that can't be read has none."""
+    return _docx_rows(files, joined).where("kind <> 'problem'")
+
+
+def docx_problems(files: DataFrame) -> DataFrame:
+    """file_id, problem of files that aren't such archives."""
+    return _docx_rows(files, True).where("kind = 'problem'").select("file_id", F.col("text").alias("problem"))
+
 
+def _docx_rows(files: DataFrame, joined: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for file_id, content in zip(pdf["file_id"], pdf["content"], strict=True):
-                for i, (kind, text, meta) in enumerate(_docx(bytes(content), joined)):
+                try:
+                    found = _docx(bytes(content), joined)
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, NotImplementedError, EOFError) as e:
+                    found = [("problem", f"{type(e).__name__}: {e}", {})]
+                for i, (kind, text, meta) in enumerate(found):
                     name = "docx-table" if kind == "table" else "docx-text"
                     rows.append((f"{file_id}-{name}-{i:06d}", file_id, kind, text, None, i, None, False, None, meta))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OBJECT.split(", ")])
@@ -113,7 +131,7 @@ def docx_objects(files: DataFrame, joined: bool = True) -> DataFrame:
 
 def markdown_objects(files: DataFrame) -> DataFrame:
     """Headings from lines that begin with #, paragraphs from the other lines that aren't blank."""
-    rows = files.select("file_id", F.posexplode(T.lines(F.decode("content", "utf-8"))).alias("line_index", "raw")).where(T.strip(F.col("raw")) != "")
+    rows = files.select("file_id", F.posexplode(T.lines(tolerant.decoded(F.col("content"))["text"])).alias("line_index", "raw")).where(T.strip(F.col("raw")) != "")
     heading = F.col("raw").startswith("#")
     order = W.partitionBy("file_id").orderBy("line_index")
     made = rows.withColumn("line", F.when(heading, F.regexp_replace("raw", "^[# ]+|[# ]+$", "")).otherwise(T.strip(F.col("raw")))).withColumn("order_index", F.row_number().over(order) - 1)
