@@ -24,3 +24,14 @@ def json_payloads(specs: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("section_title", "spec_id", F.struct(*COLUMNS).alias("row"))))
     body = F.transform(rows, lambda x: x["row"])
     return specs.groupBy("file_id").agg(F.to_json(F.struct(F.first("file_id").alias("file_id"), body.alias("specs"))).alias("payload"))
+
+
+def whole_payloads(specs: DataFrame, sections: DataFrame) -> DataFrame:
+    """file_id, payload: a document's sections (file_id, position, ...) in their order and its specs, as one JSON; a document may have either only."""
+    rows = F.array_sort(F.collect_list(F.struct("position", F.struct("*").alias("row"))))
+    parts = sections.groupBy("file_id").agg(F.transform(rows, lambda x: x["row"]).alias("sections"))
+    items = F.array_sort(F.collect_list(F.struct("section_title", "spec_id", F.struct(*COLUMNS).alias("row"))))
+    made = specs.groupBy("file_id").agg(F.transform(items, lambda x: x["row"]).alias("specs"))
+    both = parts.join(made, "file_id", "full_outer")
+    empty = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("sections", "specs")]
+    return both.select("file_id", F.to_json(F.struct("file_id", *empty), {"ignoreNullFields": "false"}).alias("payload"))

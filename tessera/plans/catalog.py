@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identity, specs, text
-from ..operators import atomize, corpus, export, headers, layout, lines, matching, page_lines, quality, search, toc
+from ..operators import atomize, corpus, documents, export, headers, layout, lines, matching, page_lines, quality, search, toc
 from . import sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -757,3 +757,89 @@ def leaf_fallback_ranges(spark, sf_dir):
     """Leaves of the section tree; those at even positions have lost their chunks."""
     leaves = _tree(spark, sf_dir).where("last = position").select("file_id", "position", "section_name", F.when(F.col("position") % 2 == 1, F.col("ord")).alias("start"))
     return matching.fallback_ranges(leaves, corpus.spec_corpus(spark, sf_dir))
+
+
+# Documents put together again.
+@query(f"WITH {CORPUS} SELECT file_id, section_id, count(*) AS n_objects, string_agg(line, chr(10) ORDER BY ord DESC) AS text FROM corpus WHERE ord % 9 <> 4 GROUP BY file_id, section_id")
+def chunk_texts(spark, sf_dir):
+    """Chunks with their objects' texts, in the chunks' own order, here from the last on; objects that are missing are skipped."""
+    rows = corpus.spec_corpus(spark, sf_dir)
+    name = identity.numbered(F.col("file_id"), "txt", F.col("ord"))
+    chunks = atomize.section_sources(rows).withColumn("object_ids", F.reverse("source_object_ids"))
+    return documents.chunk_texts(chunks, rows.where("ord % 9 <> 4").select("file_id", name.alias("object_id"), F.col("line").alias("text")))
+
+
+@query(
+    f"WITH {OBJS} SELECT object_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY CASE kind WHEN 'table' THEN 1 WHEN 'figure' THEN 2 ELSE 0 END, page_index, order_index, object_id) - 1 AS INT) AS order_index FROM objects"
+)
+def objects_in_one_order(spark, sf_dir):
+    made = _objects(spark, sf_dir)
+    kinds = (made.where("kind in ('line', 'para')"), made.where("kind = 'table'"), made.where("kind = 'figure'"))
+    return documents.in_one_order(*kinds).select("object_id", "order_index")
+
+
+@query(f"WITH {ATOMS} SELECT section_id AS section_number, '' AS section_name, coalesce(spec_text, '') AS specification, category AS domain FROM atoms")
+def renamed_specs(spark, sf_dir):
+    """Specs under the names that a table of them shows, from whichever names their columns have."""
+    made = spec_atomize(spark, sf_dir).withColumnRenamed("section_id", "section")
+    return documents.renamed(made)
+
+
+@query("SELECT doc_id, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars, doc_id LIMIT 40 OFFSET 40")
+def paginate_with_total(spark, sf_dir):
+    """The second page of forty and the number of all rows: the limit is the feature."""
+    return documents.page_with_total(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], 2, 40)
+
+
+@query(
+    f"WITH RECURSIVE {TREE} SELECT t.file_id, CAST(t.position AS INT) AS place, t.section_number, t.section_name, c.section_no AS page_number, c.line_idx AS line_number, t.section_name AS chunk_text FROM tree0 t JOIN corpus c ON c.file_id = t.file_id AND c.ord = t.ord"
+)
+def flat_headers(spark, sf_dir):
+    at = corpus.spec_corpus(spark, sf_dir).select("file_id", "ord", (F.col("section_no") - 1).alias("page"), F.col("line_idx").alias("line"))
+    return documents.flat_headers(_tree(spark, sf_dir).join(at, ["file_id", "ord"]))
+
+
+_NATURAL = "list_aggregate(list_transform(regexp_extract_all({0}, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE lower(x) END), 'string_agg', '')"
+
+
+@query(
+    f"WITH {HEADERS}, p AS (SELECT *, CASE WHEN contains(section_number, '.') THEN regexp_replace(section_number, '\\.[^.]*$', '') END AS parent_number FROM headers) "
+    f"SELECT file_id, position, parent_number, CAST(row_number() OVER (PARTITION BY file_id, parent_number ORDER BY {_NATURAL.format('section_number')}, position) AS INT) AS child_place FROM p"
+)
+def children_in_order(spark, sf_dir):
+    return documents.children_in_order(matching.by_dotted_number(_headers(spark, sf_dir))).select("file_id", "position", "parent_number", "child_place")
+
+
+@query(
+    f"""WITH {HEADERS}, {PAGES.removeprefix(CORPUS + ", ")},
+real0 AS (SELECT file_id, page, line_idx, line FROM pages0 ANTI JOIN toc_pages USING (file_id, page) WHERE NOT entry),
+kept AS (SELECT * FROM real0 UNION ALL SELECT file_id, page, line_idx, line FROM pages0 ANTI JOIN real0 USING (file_id)),
+body AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY page, line_idx) - 1 AS INT) AS ord FROM kept),
+met AS (SELECT h.file_id, h.position, c.ord, CASE WHEN starts_with(l, {_fold("concat_ws(' ', section_number, section_name)")}) THEN 1
+    WHEN starts_with(l, {_fold('section_number')}) AND contains(l, {_fold('section_name')}) THEN 2 WHEN contains(l, {_fold('section_name')}) THEN 3 END AS rule
+  FROM headers h JOIN (SELECT file_id, ord, {_fold('line')} AS l FROM body) c ON c.file_id = h.file_id),
+located AS (SELECT file_id, position, arg_min(ord, rule * 100000 + ord) AS start FROM met WHERE rule IS NOT NULL GROUP BY file_id, position),
+sizes AS (SELECT file_id, max(ord) + 1 AS n FROM body GROUP BY file_id),
+bounds AS (SELECT a.file_id, a.position, a.start, coalesce((SELECT min(b.start) FROM located b WHERE b.file_id = a.file_id AND b.position > a.position AND b.start > a.start), s.n) AS stop FROM located a JOIN sizes s USING (file_id)),
+texts AS (SELECT b.file_id, b.position, string_agg(c.line, chr(10) ORDER BY c.ord) AS t FROM bounds b JOIN body c ON c.file_id = b.file_id AND c.ord >= b.start AND c.ord < b.stop GROUP BY ALL)
+SELECT h.file_id, h.position, c.page + 1 AS page_number, CAST(c.line_idx + 1 AS INT) AS line_number, coalesce(nullif({_strip('t')}, ''), trim(concat_ws(' ', section_number, section_name))) AS chunk_text
+FROM headers h LEFT JOIN bounds b USING (file_id, position) LEFT JOIN body c ON c.file_id = b.file_id AND c.ord = b.start LEFT JOIN texts x ON x.file_id = h.file_id AND x.position = h.position"""
+)
+def header_records(spark, sf_dir):
+    """Headers with the page, the line and the text of their sections, contents left out."""
+    rows = corpus.spec_corpus(spark, sf_dir).withColumn("page", F.col("section_no") - 1)
+    return documents.header_records(_headers(spark, sf_dir), rows, likeness=False).withColumn("line_number", F.col("line_number").cast("int"))
+
+
+@query(
+    f"""WITH {CORPUS}, w AS (SELECT file_id, section_no - 1 AS page_no, line_idx AS block, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS pos FROM corpus)
+SELECT file_id, page_no, CAST(row_number() OVER (PARTITION BY file_id, page_no ORDER BY min(400 - 90 * block + pos % 3), min(pos)) - 1 AS INT) AS line_no, trim(string_agg(text, ' ' ORDER BY pos)) AS text,
+  min(40 * pos) / 2.0::DOUBLE AS x0, max(40 * pos + 30) / 2.0::DOUBLE AS x1, (max(18 + pos % 5)) / 2.0::DOUBLE AS font_size, regexp_matches(trim(string_agg(text, ' ' ORDER BY pos)), '\\p{{L}}') AND upper(trim(string_agg(text, ' ' ORDER BY pos))) = trim(string_agg(text, ' ' ORDER BY pos)) AS is_caps
+FROM w WHERE trim(text) <> '' GROUP BY file_id, page_no, block"""
+)
+def recognized_lines(spark, sf_dir):
+    """Lines from recognized words, twice as large in pixels as in points."""
+    words = corpus.spec_corpus(spark, sf_dir).select("file_id", (F.col("section_no") - 1).alias("page_no"), F.col("line_idx").alias("block"), F.lit(1).alias("line"), F.posexplode(F.split("line", " ")).alias("at", "text"))
+    placed = words.withColumns({"left": 40 * F.col("at"), "top": 400 - 90 * F.col("block") + F.col("at") % 3, "width": F.lit(30), "height": 18 + F.col("at") % 5})
+    found = documents.recognized_lines(placed, F.lit(0.5), F.lit(0.5))
+    return found.select("file_id", "page_no", "line_no", "text", F.col("bbox")[0].alias("x0"), F.col("bbox")[2].alias("x1"), "font_size", "is_caps")

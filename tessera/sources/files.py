@@ -173,7 +173,7 @@ def block_objects(blocks: DataFrame) -> DataFrame:
         F.nullif(T.strip(F.coalesce("text", F.lit(""))), F.lit("")).alias("text"),
         F.when(page > 0, page - 1).otherwise(page).alias("page_index"),
         F.when(F.size("bbox") == 4, F.col("bbox").cast("array<double>")).alias("bbox"),
-        F.create_map(F.lit("type"), F.coalesce("type", F.lit(""))).alias("metadata"),
+        F.create_map(F.lit("type"), F.coalesce("type", F.lit("")), F.lit("block_kind"), kind).alias("metadata"),
     ).withColumns({"object_id": identity.numbered(F.col("file_id"), "block", F.col("order_index")), "line_index": F.lit(None).cast("int"), "is_blank": F.col("text").isNull()})
 
 
@@ -183,11 +183,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = OBJECT) -> DataFram
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """section_id, header_path, depth, object_ids from a JSON map of ids by section."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("section_id", "object_ids")).select(
-        "section_id", F.col("section_id").alias("header_path"), F.lit(0).alias("depth"), "object_ids"
-    )
+    """section_id, header_path, depth, object_ids from a JSON map of ids by section, or from a list of such records; ids may be numbers."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    listed = F.col("value").startswith("[")
+    ids = F.col("object_ids")
+    by_section = whole.where(~listed).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("section_id", "object_ids"))
+    plain = by_section.select("section_id", F.col("section_id").alias("header_path"), F.lit(0).alias("depth"), ids)
+    record = "array<struct<section_id:string,header_path:string,depth:int,object_ids:array<string>>>"
+    records = whole.where(listed).select(F.inline(F.from_json("value", record))).where("section_id is not null")
+    told = records.select("section_id", F.coalesce("header_path", "section_id").alias("header_path"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce(ids, F.array().cast("array<string>")).alias("object_ids"))
+    return plain.unionByName(told)
 
 
 def pdf_objects(files: DataFrame, parser: Callable[[bytes], list[dict]] | None = None) -> DataFrame:

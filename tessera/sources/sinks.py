@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import redacted
+
 
 def write_table(df: DataFrame, path: str, *keys: str) -> None:
     """Parquet in folders by ``keys`` (file ids, say)."""
@@ -15,6 +17,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_traces(rows: DataFrame, path: str) -> None:
+    """Debug traces as JSON lines, a folder for each document; secrets in their values are hidden, long ones cut."""
+    shown = [redacted(F.lit(c), F.col(c)).alias(c) if kind == "string" and c != "file_id" else F.col(c) for c, kind in rows.dtypes]
+    rows.select(*shown).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("file_id").json(path)
+
+
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
     df.write.mode("overwrite").option("header", "true").option("sep", separator).option("escape", '"').csv(path)
 
