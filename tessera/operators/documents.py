@@ -78,10 +78,10 @@ def header_records(headers: DataFrame, lines: DataFrame, likeness: bool = True)
     among those that count. The text is that of the section; without any, the header's number and name. Without ``likeness`` headers that no line has stay
     unplaced.
     """
-    real = toc.real_header_lines(lines.where("page is not null")).unionByName(lines.where(F.col("page").isNull() & ~T.is_toc_entry(F.col("line"))))
-    bare = lines.join(real.select("file_id").distinct(), "file_id", "left_anti")
-    place = F.row_number().over(W.partitionBy("file_id").orderBy("ord")) - 1
-    counted = real.select(*lines.columns).unionByName(bare).withColumn("ord", place)
+    pages = toc.toc_pages(lines.where("page is not null")).withColumn("_toc", F.lit(True))
+    flagged = lines.join(pages, ["file_id", "page"], "left").withColumn("_real", F.col("_toc").isNull() & ~F.coalesce(T.is_toc_entry(F.col("line")), F.lit(False)))
+    kept = flagged.withColumn("_any", F.max("_real").over(W.partitionBy("file_id"))).where("_real or not _any")
+    counted = kept.select(*lines.columns).withColumn("ord", F.row_number().over(W.partitionBy("file_id").orderBy("ord")) - 1)
     found = H.located(headers, counted)
     bounds = H.bounded(H.located_by_likeness(found, counted) if likeness else found)
     texts = H.section_texts(bounds, counted)

@@ -109,15 +109,16 @@ def section_texts(bounds: DataFrame, lines: DataFrame) -> DataFrame:
 
     All starts and stops cut a document into stretches; each line belongs to the last cut before it, and a section is a row of stretches.
     """
-    spans = bounds.where("start is not null").select("file_id", "position", "start", "stop")
-    cuts = spans.select("file_id", F.col("start").alias("ord")).unionByName(spans.select("file_id", F.col("stop").alias("ord"))).distinct()
-    both = cuts.withColumns({"kind": F.lit(0), "line": F.lit(None).cast("string")}).unionByName(lines.select("file_id", "ord", F.lit(1).alias("kind"), "line"))
-    order = W.partitionBy("file_id").orderBy("ord", "kind").rowsBetween(W.unboundedPreceding, 0)
-    marked = both.withColumn("stretch", F.sum(1 - F.col("kind")).over(order))
-    at = marked.where("kind = 0").select("file_id", "ord", "stretch")
-    first, last = (at.select("file_id", F.col("ord").alias(c), F.col("stretch").alias(f"_{c}")) for c in ("start", "stop"))
-    each = spans.join(first, ["file_id", "start"]).join(last, ["file_id", "stop"]).where("_start < _stop")
-    rows = each.select("file_id", "position", F.explode(F.sequence("_start", F.col("_stop") - 1)).alias("stretch"))
+    ends = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("ord")) for k, c in enumerate(("start", "stop"))))
+    cuts = bounds.where("start is not null").select("file_id", "position", F.inline(ends)).select("file_id", "ord", F.lit(0).alias("kind"), "position", "side", F.lit(None).cast("string").alias("line"))
+    both = cuts.unionByName(lines.select("file_id", "ord", F.lit(1).alias("kind"), "line"), allowMissingColumns=True)
+    order = W.partitionBy("file_id").orderBy("ord", "kind")
+    repeated = (F.lag("ord").over(order) == F.col("ord")) & (F.lag("kind").over(order) == 0)
+    new = both.withColumn("new", ((F.col("kind") == 0) & ~F.coalesce(repeated, F.lit(False))).cast("int"))
+    marked = new.withColumn("stretch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first, last = (F.max(F.when(F.col("side") == k, F.col("stretch"))) for k in (0, 1))
+    each = marked.where("kind = 0").groupBy("file_id", "position").agg(first.alias("first"), last.alias("last")).where("first < last")
+    rows = each.select("file_id", "position", F.explode(F.sequence("first", F.col("last") - 1)).alias("stretch"))
     texts = marked.where("kind = 1 and stretch > 0").groupBy("file_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("rows"))
     parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "rows"))), lambda x: x["rows"]))
     return rows.join(texts, ["file_id", "stretch"]).groupBy("file_id", "position").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("section_text"))

@@ -52,27 +52,24 @@ def closest(names: DataFrame, lines: DataFrame) -> DataFrame:
     def words(df: DataFrame, c: str) -> DataFrame:
         return df.withColumn("word", F.explode(F.array_distinct(F.split(c, r"\W+")))).where("word <> ''")
 
-    shared = words(asked, "name").join(words(texts.select("file_id", "line"), "line"), ["file_id", "word"])
+    shared = words(asked, "name").join(words(texts, "line"), ["file_id", "word"])
     weight = F.sum(F.char_length("word")) / (F.char_length("name") + F.char_length("line"))
-    seeds = shared.groupBy(*PAIR, "name", "line").agg(weight.alias("w")).groupBy(*PAIR, "name").agg(F.max(F.struct("w", "line")).alias("best"))
-    started = seeds.select(*PAIR, "name", F.col("best.line").alias("line")).withColumn("ratio", exact("name", "line", F.lit(0.0)))
-    low = asked.join(started.select(*PAIR, "line", "ratio"), PAIR, "left").withColumn("low", F.coalesce("ratio", F.lit(0.0)))
+    seeds = shared.groupBy(*PAIR, "name", "line", "ord").agg(weight.alias("w")).groupBy(*PAIR, "name").agg(F.max(F.struct("w", "line", "ord")).alias("best"))
+    started = seeds.select(*PAIR, F.struct(exact("name", "best.line", F.lit(0.0)).alias("ratio"), F.col("best.line").alias("line"), F.col("best.ord").alias("ord")).alias("seed"))
+    # What shares no character has the ratio 0: the file's greatest line stands for all of these. Two empty texts are alike.
+    whole = texts.groupBy("file_id").agg(F.max(F.struct("line", "ord")).alias("last"), F.max(F.when(F.col("line") == "", F.col("ord"))).alias("blank"))
+    alike = (F.col("name") == "") & F.col("blank").isNotNull()
+    none = F.when(alike, F.struct(F.lit(1.0).alias("ratio"), F.lit("").alias("line"), F.col("blank").alias("ord"))).otherwise(F.struct(F.lit(0.0).alias("ratio"), F.col("last.line").alias("line"), F.col("last.ord").alias("ord")))
+    known = asked.join(whole, "file_id").join(started, PAIR, "left").select(*PAIR, "name", F.greatest(none, F.coalesce("seed", none)).alias("low"))
 
-    index = texts.select("file_id", "line", F.explode(_marks(F.col("line"))).alias("mark"))
+    index = texts.select("file_id", "line", "ord", F.explode(_marks(F.col("line"))).alias("mark"))
     spread = index.groupBy("file_id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    length = F.char_length("name")
-    needed = F.ceil(length * F.col("low") / (2 - F.col("low")) - 1e-9)
-    probes = (
-        low.select(*PAIR, "name", "low", (length - needed + 1).alias("most"), F.explode(_marks(F.col("name"))).alias("mark"))
-        .join(spread, ["file_id", "mark"], "left")
-        .withColumn("k", F.row_number().over(W.partitionBy(*PAIR).orderBy(F.coalesce("n", F.lit(0)), "mark")))
-        .where("k <= most and n is not null")
-    )
-    met = probes.select(*PAIR, "name", "low", "mark").join(index, ["file_id", "mark"]).select(*PAIR, "name", "low", "line").distinct()
-    found = met.withColumn("ratio", exact("name", "line", "low")).where("ratio is not null").select(*PAIR, "ratio", "line")
-    # What shares no character has the ratio 0: the file's greatest line stands for all of these.
-    none = asked.select(*PAIR).join(texts.groupBy("file_id").agg(F.max("line").alias("line")), "file_id").select(*PAIR, F.lit(0.0).alias("ratio"), "line")
-    blank = asked.where("name = ''").join(texts.where("line = ''"), "file_id").select(*PAIR, F.lit(1.0).alias("ratio"), "line")
-    everything = found.unionByName(none).unionByName(blank).unionByName(started.select(*PAIR, "ratio", "line"))
-    best = everything.groupBy(*PAIR).agg(F.max(F.struct("ratio", "line")).alias("best"))
-    return best.select(*PAIR, "best.ratio", "best.line").join(texts, ["file_id", "line"]).select(*PAIR, "ord", "ratio", "line")
+    length, ratio = F.char_length("name"), F.col("low.ratio")
+    needed = F.ceil(length * ratio / (2 - ratio) - 1e-9)
+    rows = known.select(*PAIR, "name", "low", (length - needed + 1).alias("most"), F.explode_outer(_marks(F.col("name"))).alias("mark")).join(spread, ["file_id", "mark"], "left")
+    probes = rows.withColumn("k", F.row_number().over(W.partitionBy(*PAIR).orderBy(F.coalesce("n", F.lit(0)), "mark"))).where("k <= most or k = 1")
+    met = probes.join(index, ["file_id", "mark"], "left").select(*PAIR, "name", "low", "line", "ord").distinct()
+    found = met.withColumn("ratio", exact("name", F.coalesce("line", F.lit("")), ratio))
+    better = F.when(F.col("line").isNotNull() & F.col("ratio").isNotNull(), F.struct("ratio", "line", "ord"))
+    best = found.groupBy(*PAIR).agg(F.max(better).alias("best"), F.max("low").alias("low")).select(*PAIR, F.greatest("low", F.coalesce("best", "low")).alias("best"))
+    return best.select(*PAIR, "best.ord", "best.ratio", "best.line")
