@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, language_model, licenses, mixing, prefix_trie, quality, repeats, secrets, sharding, simhash, sketches, toxicity
+from . import bpe, conversations, language_model, licenses, mixing, oracles, prefix_trie, quality, repeats, secrets, sharding, simhash, sketches, toxicity
 from .common import WORD, documents, materialize
 
 
@@ -180,4 +180,10 @@ SELECT doc_id, n_words, len(starts) AS n_base, starts[1] AS first_word, starts[-
 
 
 #: The other queries rest on hashes, samples or models that SQL hasn't: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_scan_licenses": _op5_sql(), "op10_quality_rules": _op10_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_scan_licenses": _op5_sql(),
+    "op10_quality_rules": _op10_sql(),
+    "op11_remove_repeats": oracles.OP11,
+    "op12_repair_conversations": oracles.OP12,
+    "op13_prefix_trie": oracles.OP13,
+}
