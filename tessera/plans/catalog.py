@@ -554,12 +554,23 @@ def export_csv_b(spark, sf_dir):
     return export.csv_rows(_specs(spark, sf_dir), ",")
 
 
-@query()
+_ITEM = "concat('{\"spec_id\":\"', spec_id, '\",\"file_id\":\"', file_id, '\",\"section_id\":\"', section_id, '\",\"section_number\":\"', section_number, '\",\"section_title\":\"', section_title, '\",\"spec_text\":\"', spec_text, '\",\"confidence\":', confidence, ',\"source_object_ids\":', source_object_ids, '}')"
+_LISTED = _export("'[\"' || replace(ids, ',', '\",\"') || '\"]'", "CAST(confidence AS VARCHAR)")
+
+
+@query(f"SELECT file_id, concat('{{\"file_id\":\"', file_id, '\",\"specs\":[', string_agg({_ITEM}, ',' ORDER BY section_title, spec_id), ']}}') AS payload FROM ({_LISTED}) GROUP BY file_id")
 def export_json(spark, sf_dir):
     return export.json_payloads(_specs(spark, sf_dir))
 
 
-@query()
+_WHOLE = (
+    "concat('{\"file_id\":\"', file_id, '\",\"section_id\":\"', section_id, '\",\"spec_id\":\"', spec_id, '\",\"spec_text\":\"', spec_text, '\"', ',\"raw_value\":\"' || raw_value || '\"', ',\"normalized_value\":' || CAST(normalized_value AS VARCHAR), "
+    "',\"normalized_unit\":\"' || normalized_unit || '\"', ',\"category\":\"', category, '\",\"confidence\":', confidence, ',\"source_object_ids\":[\"', replace(ids, ',', '\",\"'), '\"],\"section_number\":\"', "
+    "regexp_extract(section_id, '\\d+'), '\",\"section_title\":\"Section ', regexp_extract(section_id, '\\d+'), '\"}')"
+)
+
+
+@query(f"WITH {ATOMS}, {_SOURCES} SELECT file_id, sha256(concat('[', string_agg({_WHOLE}, ',' ORDER BY spec_id), ']')) AS sha256 FROM atoms JOIN sources USING (file_id, section_id) GROUP BY file_id")
 def qa_determinism(spark, sf_dir):
     return quality.fingerprints(_specs(spark, sf_dir), "spec_id")
 
@@ -674,13 +685,30 @@ def answers_known(spark, sf_dir):
     return answers.known(events.unionByName(events)).select("file_id", "state", "message", "requested", "processed", "n_events", F.array_join("specs", "|").alias("specs"))
 
 
-@query()
+_KEY = "lower(trim(regexp_replace({0}, '[^0-9A-Za-z]+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH RECURSIVE {HEADERS}, keyed AS (SELECT file_id, ord, {_KEY.format('line')} AS l FROM corpus), heads AS (SELECT file_id, position, {_KEY.format('section_name')} AS t FROM headers),
+walk AS (SELECT DISTINCT file_id, 0::INT AS position, 0::INT AS next, NULL::INT AS anchor FROM heads
+  UNION ALL SELECT file_id, position, coalesce(met + 1, next)::INT, met::INT FROM (SELECT w.file_id, h.position, w.next, min(k.ord) AS met FROM walk w JOIN heads h ON h.file_id = w.file_id AND h.position = w.position + 1
+    LEFT JOIN keyed k ON k.file_id = w.file_id AND k.ord >= w.next AND k.l <> '' AND h.t <> '' AND (starts_with(k.l, h.t) OR starts_with(h.t, k.l)) GROUP BY w.file_id, h.position, w.next))
+SELECT file_id, position, anchor FROM walk WHERE position > 0"""
+)
 def anchor_monotone(spark, sf_dir):
     """Titles of rule headers anchored in document order."""
     return sequences.anchored(_headers(spark, sf_dir), corpus.spec_corpus(spark, sf_dir))
 
 
-@query()
+_BARE = "regexp_replace(regexp_replace(token, '^[()]+|[()]+$', '', 'g'), '[.]+$', '')"
+NESTED_LIST = f"""{HEADERS}, said AS (SELECT file_id, position, trim(concat_ws(' ', section_number, section_name)) AS l FROM headers),
+tokens AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY position) - 1 AS INT) AS place, l, split_part(l, ' ', 1) AS token, trim(substr(l, length(split_part(l, ' ', 1)) + 2)) AS rest FROM said),
+listed AS (SELECT *, rest <> '' AND regexp_matches(replace({_BARE}, '.', ''), '^[\\p{{L}}\\p{{N}}]+$') AS is_listed FROM tokens),
+items AS (SELECT file_id, place, CASE WHEN is_listed THEN length(regexp_replace(token, '[.)]+$', '')) - length(replace(regexp_replace(token, '[.)]+$', ''), '.', '')) ELSE 0 END AS depth,
+  CASE WHEN is_listed THEN token ELSE '' END AS number, CASE WHEN is_listed THEN rest ELSE l END AS title FROM listed)"""
+
+
+@query(f"WITH {NESTED_LIST} SELECT file_id, place AS \"at\", CAST(depth AS INT) AS depth, number, title FROM items")
 def nested_list_parse(spark, sf_dir):
     return sequences.nested(headers.header_block(_headers(spark, sf_dir)))
 
@@ -722,7 +750,10 @@ def clean_documents(spark, sf_dir):
     return matching.cleaned(lines.joined(corpus.spec_corpus(spark, sf_dir), "file_id", "ord", "line"))
 
 
-@query()
+@query(
+    f"""WITH {NESTED_LIST}, stepped AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY place) - 1 AS k FROM items), least0 AS (SELECT *, min(depth - k) OVER (PARTITION BY file_id ORDER BY place) AS low FROM stepped)
+SELECT file_id, place AS "at", number, title, concat(file_id, '-sec-', lpad(CAST(k + 1 AS VARCHAR), 4, '0')) AS section_id, CAST(least(low, 0) + k AS INT) AS depth FROM least0"""
+)
 def outline_tree(spark, sf_dir):
     return matching.outline(nested_list_parse(spark, sf_dir))
 
@@ -752,7 +783,16 @@ def header_locations(spark, sf_dir):
     return matching.with_locations(found, rows).select("file_id", "position", "page_number", F.col("line_number").cast("int").alias("line_number"))
 
 
-@query()
+_TITLE = _NORMAL.replace("line", "section_name")
+
+
+@query(
+    f"""WITH RECURSIVE {TREE}, leaves AS (SELECT file_id, position, section_name, CASE WHEN position % 2 = 1 THEN ord END AS start FROM tree0 WHERE last = position),
+heads AS (SELECT l.file_id, l.position, min(c.ord) AS found FROM (SELECT *, lower({_TITLE}) AS t FROM leaves WHERE start IS NULL) l JOIN (SELECT file_id, ord, lower({_NORMAL}) AS t FROM corpus) c ON c.file_id = l.file_id AND c.t = l.t WHERE l.t <> '' GROUP BY ALL),
+starts AS (SELECT l.file_id, l.position, coalesce(start, found) AS first, start IS NULL AS bare FROM leaves l LEFT JOIN heads h USING (file_id, position) WHERE coalesce(start, found) IS NOT NULL),
+ends AS (SELECT file_id, max(ord) AS n FROM corpus GROUP BY file_id)
+SELECT s.file_id, s.position, s.first, greatest(coalesce((SELECT min(x.first) FROM starts x WHERE x.file_id = s.file_id AND x.first > s.first) - 1, n), s.first) AS last FROM starts s JOIN ends USING (file_id) WHERE bare"""
+)
 def leaf_fallback_ranges(spark, sf_dir):
     """Leaves of the section tree; those at even positions have lost their chunks."""
     leaves = _tree(spark, sf_dir).where("last = position").select("file_id", "position", "section_name", F.when(F.col("position") % 2 == 1, F.col("ord")).alias("start"))
