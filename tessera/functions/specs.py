@@ -53,7 +53,11 @@ def is_fallback_candidate(line: Column) -> Column:
 
 def measured(line: Column) -> Column:
     """struct(raw_value, normalized_value, normalized_unit) of the line's first value with a unit; nulls without one."""
-    raw, unit = F.regexp_extract(line, VALUE_UNIT, 1), F.regexp_extract(line, VALUE_UNIT, 2)
+    return converted(F.regexp_extract(line, VALUE_UNIT, 1), F.regexp_extract(line, VALUE_UNIT, 2))
+
+
+def converted(raw: Column, unit: Column) -> Column:
+    """The same of a value and a unit that were read already; an empty unit is none."""
     token = F.lower(F.replace(unit, F.lit(" "), F.lit("")))
     value = raw.cast("double")
     table = F.create_map(*(F.lit(x) for k, (u, f) in CONVERSIONS.items() for x in (k, f"{u}|{f!r}")))
@@ -81,11 +85,12 @@ def category(line: Column, unit: Column) -> Column:
 
 
 def confidence(line: Column, has_value: Column, group: Column) -> Column:
+    """By the line's words, whether it has a value with a unit, and whether its category is known."""
     low = F.lower(line)
     base = (
         F.when(low.rlike("shall|must|required"), 0.9)
         .when(low.rlike("should|ensure|include"), 0.75)
-        .when(line.rlike(VALUE_UNIT), 0.65)
+        .when(has_value, 0.65)
         .otherwise(0.5)
     )
     more = F.when(has_value, 0.05).otherwise(0.0) + F.when(group != "unknown", 0.05).otherwise(0.0)

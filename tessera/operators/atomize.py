@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,14 +12,22 @@ from ..functions import identity, specs, text
 FALLBACK_LIMIT = 5
 
 
+def bound(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once for each row: what reads them, filters too, doesn't ask their patterns again."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def atomize(lines: DataFrame) -> DataFrame:
     """A row for each candidate line of ``lines`` (file_id, section_id, line): the rule atomizer.
 
     Expressions only: no shuffle. Equal lines of a section share a spec_id; null lines give none.
     """
-    found = lines.withColumn("spec_text", text.clean_spec_line(F.col("line"))).where(specs.is_candidate(F.col("spec_text")))
-    value = found.withColumn("v", specs.measured(F.col("spec_text")))
-    group = value.withColumn("category", specs.category(F.col("spec_text"), F.col("v.normalized_unit")))
+    cleaned = bound(lines.select("file_id", "section_id", "line"), spec_text=text.clean_spec_line(F.col("line"))).where("spec_text <> ''")
+    read = bound(cleaned, _low=F.lower("spec_text"), _unit=F.regexp_extract("spec_text", specs.VALUE_UNIT, 2))
+    found = read.where((F.col("_unit") != "") | F.col("_low").rlike("|".join(specs.TRIGGERS)))
+    raw = F.when(F.col("_unit") != "", F.regexp_extract("spec_text", specs.VALUE_UNIT, 1))
+    value = bound(bound(found, _raw=raw), v=specs.converted(F.col("_raw"), F.col("_unit")))
+    group = bound(value, category=specs.category(F.col("spec_text"), F.col("v.normalized_unit")))
     return group.select(
         identity.spec_id(F.col("file_id"), F.col("section_id"), F.col("spec_text")).alias("spec_id"),
         "file_id",
@@ -37,10 +45,9 @@ def fallback_specs(lines: DataFrame) -> DataFrame:
     ``spec_index`` counts from 0 in the section and is part of the id, as candidates are numbered before duplicates go.
     """
     in_section = W.partitionBy("file_id", "section_id").orderBy("ord")
+    stripped = lines.withColumn("raw", text.strip(F.col("line")))
     return (
-        lines.withColumn("raw", text.strip(F.col("line")))
-        .where((F.col("raw") != "") & specs.is_fallback_candidate(F.col("raw")))
-        .withColumn("spec_text", text.normalize_spec_line(F.col("raw")))
+        bound(stripped.where((F.col("raw") != "") & specs.is_fallback_candidate(F.col("raw"))), spec_text=text.normalize_spec_line(F.col("raw")))
         .where("spec_text <> ''")
         .withColumn("spec_index", F.row_number().over(in_section) - 1)
         .where(F.col("spec_index") < FALLBACK_LIMIT)
