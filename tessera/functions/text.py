@@ -83,6 +83,16 @@ def is_toc_line(c: Column) -> Column:
     return s.rlike(TOC_DOT_LEADER) | s.rlike(TOC_GLYPHS_PAGE) | s.rlike(TOC_ROMAN_END)
 
 
+#: Contents lines as the page that shows sections knows them.
+SHOWN_TOC = (r"(?:\. ?){4,}", r"(?:[_\-·•]\s?){3,}", r"(?i)(?:[._\-·•]\s?){4,}(?:\d{1,4}|[IVXLCDM]{1,6})\s*$")
+
+
+def is_shown_toc(c: Column) -> Column:
+    """A line with a row of leaders, whether or not a page follows."""
+    s = strip(F.coalesce(c, F.lit("")))
+    return s.rlike(SHOWN_TOC[0]) | s.rlike(SHOWN_TOC[1]) | s.rlike(SHOWN_TOC[2])
+
+
 def is_probable_table(c: Column) -> Column:
     """A caption, or more digits than letters with a letter at least."""
     low = F.lower(c)

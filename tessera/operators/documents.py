@@ -22,6 +22,14 @@ ALIASES = {
 SECTION_LIMIT = 10_000
 
 
+TEXTUAL = ("line", "para")
+
+
+def textual(objects: DataFrame) -> DataFrame:
+    """Objects of the kinds that hold running text."""
+    return objects.where(F.col("kind").isin(*TEXTUAL))
+
+
 def chunk_objects(chunks: DataFrame, objects: DataFrame) -> DataFrame:
     """The objects of each chunk (file_id, section_id, object_ids), ``at`` their places in it; ids of no object are skipped, null lists are empty."""
     each = chunks.select("file_id", "section_id", F.posexplode("object_ids").alias("at", "object_id"))

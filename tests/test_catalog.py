@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, scans  # noqa: F401  (registers its queries)
 
 SOURCE = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings benchmark lineitem part".split()
