@@ -310,7 +310,8 @@ def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet/*.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
     found = con.sql(queries.ORACLE_SQL[name])
     expected = [dict(zip(found.columns, r, strict=True)) for r in found.fetchall()]
     same(run(spark, sf_dir, name), expected, found.columns)
