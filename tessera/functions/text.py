@@ -139,9 +139,14 @@ def heading_alike(a: Column, b: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A sort key by which digits compare as numbers."""
+    """A sort key by which runs of digits compare as numbers, however long: their length without leading zeros is in front of them."""
     runs = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(F.lower(x))), "")
+
+    def number(x: Column) -> Column:
+        bare = F.ltrim(x, F.lit("0"))
+        return F.concat(F.lpad(F.char_length(bare).cast("string"), 10, "0"), bare)
+
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(F.lower(x))), "")
 
 
 def slug(c: Column) -> Column:

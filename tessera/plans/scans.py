@@ -10,7 +10,8 @@ from ..functions import identity, text
 from ..operators import corpus, documents, headers, quality
 from ..sources import files, sinks, tolerant
 from ..streaming import progress
-from .catalog import _RAW, CORPUS, HEADERS, OBJS, _fold, _headers, _objects, _strip, query, table
+from . import sequences
+from .catalog import _LISTED, _RAW, CORPUS, HEADERS, OBJS, _fold, _headers, _objects, _specs, _strip, query, table
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -206,3 +207,9 @@ def shown_anchors(spark, sf_dir):
 def section_ids(spark, sf_dir):
     made = _headers(spark, sf_dir).withColumn("section_id", identity.header_section_id(F.col("file_id"), F.col("section_number"), F.col("section_name")))
     return made.select("file_id", "position", "section_id", identity.section_line_id(F.col("section_id"), F.col("section_name")).alias("line_id"))
+
+
+@query(f"SELECT file_id, spec_id, CAST(row_number() OVER (ORDER BY section_title, spec_id, file_id) AS INT) AS place FROM ({_LISTED})")
+def export_places(spark, sf_dir):
+    """Each item's place in the order of exports, over all documents."""
+    return sequences.placed(_specs(spark, sf_dir).select("file_id", "section_title", "spec_id"), ["section_title", "spec_id", "file_id"]).select("file_id", "spec_id", "place")

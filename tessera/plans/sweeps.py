@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -143,3 +144,25 @@ def depths_below(nodes: DataFrame, name: str) -> DataFrame:
             yield (*row, path[-1][1])
 
     return streamed(ordered, ["file_id"], ["position"], fold, schema).select(*nodes.columns, name)
+
+
+def paced(requests: DataFrame, spacing: float, most: int) -> DataFrame:
+    """Adds ``start`` to requests (key, at, takes, in seconds): the earliest time that is ``spacing`` after the start before it and at which fewer than
+    ``most`` of its key's requests are under way.
+
+    Requests of a key start in the order they came, equal ones in any; a null ``takes`` is none. What is remembered is the ends of ``most`` requests.
+    """
+    ordered, schema = _with(requests, ["key", "at", "takes"], "start", T.DoubleType())
+
+    def fold(_: tuple, group: Iterable[tuple]) -> Iterator[tuple]:
+        ends: list[float] = []
+        last = float("-inf")
+        for row in group:
+            start = max(row[1], last + spacing)
+            if len(ends) == most:
+                start = max(start, heapq.heappop(ends))
+            heapq.heappush(ends, start + (row[2] or 0.0))
+            last = start
+            yield (*row, start)
+
+    return streamed(ordered, ["key"], ["at", "takes"], fold, schema).select(*requests.columns, "start")

@@ -98,7 +98,7 @@ def _docx(content: bytes, joined: bool) -> list[tuple[str, str, dict]]:
                 rows = [r for r in rows if any(r)]
                 text = "\n".join(", ".join(c for c in r if c) for r in rows)
             if text.strip():
-                tables.append(("table", text, {"n_rows": str(len(rows)), "n_cols": str(max(map(len, rows), default=0))}))
+                tables.append(("table", text, {"n_rows": str(len(rows)), "n_cols": str(max(map(len, rows), default=0)), "rows": json.dumps(rows, ensure_ascii=False)}))
     return out + tables
 
 

@@ -70,6 +70,13 @@ def test_cleaning(spark):
     assert values(spark, text.natural_key, "a2", "a10", "A1")[0] < values(spark, text.natural_key, "a2", "a10", "A1")[1]
 
 
+def test_natural_order(spark):
+    """Numbers of any length, leading zeros, none at all."""
+    texts = ["a" + "9" * 30, "a1" + "0" * 30, "a007", "a7", "a10", "a", "a0", "B2", "b10"]
+    keys = dict(zip(texts, values(spark, text.natural_key, *texts), strict=True))
+    assert sorted(texts, key=lambda x: (keys[x], x)) == ["a", "a0", "a007", "a7", "a10", "a" + "9" * 30, "a1" + "0" * 30, "B2", "b10"]
+
+
 def test_sections(spark):
     rows = [("f", 0, "1 Intro"), ("f", 1, "text a"), ("f", 2, "1.1 Scope"), ("f", 3, "text b"), ("f", 4, "1.2 Goals"), ("f", 5, "2 Methods"), ("f", 6, "text c")]
     body = spark.createDataFrame(rows, "file_id string, ord int, line string")

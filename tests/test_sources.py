@@ -38,6 +38,7 @@ def test_files(spark, folder):
     docx = found.where("extension = 'docx'")
     assert [(r.kind, r.text) for r in files.docx_objects(docx).orderBy("order_index").collect()] == [("para", "First"), ("para", "Second"), ("table", "a\tb\nc\t")]
     assert files.docx_objects(docx, joined=False).orderBy("order_index").collect()[2].text == "a, b\nc"
+    assert json.loads(files.docx_objects(docx, joined=False).orderBy("order_index").collect()[2].metadata["rows"]) == [["a", "b"], ["c", ""]]
     with pytest.raises(NotImplementedError):
         files.pdf_objects(found)
     assert files.pdf_objects(txt, lambda b: [{"text": "page", "page_index": 0}]).first().text == "page"
