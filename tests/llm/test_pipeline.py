@@ -6,7 +6,8 @@ from collections import Counter
 import corpus_pipeline
 from tessera.llm import queries
 
-from .test_queries import brute_components, brute_secrets, brute_simhash, sha, words
+from .test_near import brute_sets, similarity
+from .test_queries import brute_secrets, sha, words
 
 
 def stage(spark, docs, sf_dir, k, place):
@@ -15,6 +16,29 @@ def stage(spark, docs, sf_dir, k, place):
     return spark.read.parquet(out)
 
 
+def first_of_groups(docs):
+    """The smallest doc_id of each group of texts that a chain of similarities of 0.8 or more links, by all pairs."""
+    sets = {}
+    for doc_id, text in docs:
+        sets.setdefault(frozenset(brute_sets(text)), []).append(doc_id)
+    parent = {s: s for s in sets}
+
+    def root(s):
+        while parent[s] is not s:
+            s = parent[s]
+        return s
+
+    distinct = list(sets)
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if similarity(a, b) >= 0.8:
+                parent[root(a)] = root(b)
+    groups = {}
+    for s, ids in sets.items():
+        groups.setdefault(root(s), []).extend(ids)
+    return [min(ids) for ids in groups.values()]
+
+
 def test_stages(spark, sf_dir, tmp_path, rows):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
@@ -26,8 +50,7 @@ def test_stages(spark, sf_dir, tmp_path, rows):
 
     alone = stage(spark, kept, sf_dir, 1, tmp_path)
     before = kept.collect()
-    parts = brute_components([r.doc_id for r in before], [brute_simhash(r.text) for r in before], 4)
-    assert sorted(r.doc_id for r in alone.collect()) == sorted(set(parts))
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(first_of_groups([(r.doc_id, r.text) for r in before]))
 
     clean = stage(spark, alone, sf_dir, 2, tmp_path)
     for old, new in zip(sorted(alone.collect(), key=key), sorted(clean.collect(), key=key), strict=True):
