@@ -45,8 +45,11 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 
 def _scores(hits: DataFrame, terms: DataFrame, n: Column, avg_len: Column) -> DataFrame:
-    """query_id, doc_id, bm25 from the postings of the asked terms."""
-    idf = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    """query_id, doc_id, bm25 from the postings of the asked terms.
+
+    Documents are counted by their term frequencies, so that this reads the same columns as the scores do: one exchange serves both.
+    """
+    idf = hits.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = terms.join(idf, "term")
     s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
     return hits.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(s * F.col("qtf")).alias("bm25"))
@@ -62,11 +65,13 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("doc_len"), F.array_append("t", F.lit("")).alias("t"))
     counted = (
-        sized.select("doc_id", "doc_len", F.explode("t").alias("term")).join(wanted, "term").groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        sized.select("doc_id", "doc_len", F.explode_outer("t").alias("term")).join(wanted, "term").groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    every = counted.where("term = ''")
-    n, avg_len = every.select(F.count(F.lit(1))).scalar(), every.select(F.avg("doc_len")).scalar()
-    return _scores(counted.where("term <> ''"), terms, n, avg_len)
+    # No filters: what each use would push down on its own would be another scan. Nor does the outer explosion ask whether there are tokens, by
+    # tokenising for it; null texts end in the join.
+    every = F.when((F.col("term") == "") & (F.col("tf") > 0), F.col("doc_len"))
+    n, avg_len = counted.select(F.count(every)).scalar(), counted.select(F.avg(every)).scalar()
+    return _scores(counted, terms, n, avg_len)
 
 
 def bucket(term: Column, buckets: int) -> Column:
