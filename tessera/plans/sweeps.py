@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Different names of a file that are compared with each line by themselves.
+FEW = 16
+
 Fold = Callable[[tuple, Iterable[tuple]], Iterator[tuple]]
 
 
@@ -78,53 +81,59 @@ def next_start_of_other(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def first_fits(heads: DataFrame, lines: DataFrame, block: int) -> DataFrame:
-    """file_id, position, rule, ord, n: where each header fits first in each block of ``block`` lines, and the lines up to the block's end.
+    """file_id, id, head, rule, ord, n: where each header fits first in each block of ``block`` lines, and the lines up to the block's end.
 
-    ``heads``: file_id, position, key, number, name, and ``lines``: file_id, ord, line, all folded. By rule: a line begins with the key (1); it begins with
-    the number and has the name (2); it has the name (3). The names of a file are one automaton, through which its lines pass in order. A long
-    file's blocks are read apart; its headers are copied to each.
+    ``heads``: file_id, id, key, number, name, head (a struct that goes along), and ``lines``: file_id, ord, line, all folded. By rule: a line begins with the
+    key (1); it begins with the number and has the name (2); it has the name (3). Up to ``FEW`` different names of a file are asked of each of its lines;
+    more are one automaton, through which its lines pass in order. A long file's blocks are read apart; its headers are copied to each.
     """
     import ahocorasick
 
     at = (F.col("ord") / block).cast("long")
-    far = lines.where(F.col("ord") >= block).select("file_id", at.alias("block")).distinct()
-    told = heads.select("file_id", F.lit(0).alias("kind"), F.col("position").cast("long").alias("at"), "key", "number", "name")
-    parts = told.withColumn("block", F.lit(0).cast("long")).unionByName(told.join(far, "file_id"))
-    body = lines.select("file_id", at.alias("block"), F.lit(1).alias("kind"), F.col("ord").cast("long").alias("at"), F.col("line").alias("key"))
-    columns = ["file_id", "block", "kind", "at", "key", "number", "name"]
-    both = parts.unionByName(body, allowMissingColumns=True).select(*columns)
-    schema = T.StructType([heads.schema["file_id"], *(T.StructField(c, T.LongType()) for c in ("position", "rule", "ord", "n"))])
+    far = lines.where(F.col("ord") >= block).groupBy("file_id").agg(F.collect_set(at).alias("blocks"))
+    blocks = F.array_union(F.array(F.lit(0).cast("long")), F.coalesce("blocks", F.array().cast("array<long>")))
+    parts = heads.join(far, "file_id", "left").select("file_id", F.explode(blocks).alias("block"), F.lit(-1).cast("long").alias("at"), "key", "number", "name", "id", "head")
+    body = lines.select("file_id", at.alias("block"), F.col("ord").cast("long").alias("at"), F.col("line").alias("key"))
+    both = parts.unionByName(body, allowMissingColumns=True)
+    long = T.LongType()
+    schema = T.StructType([heads.schema["file_id"], T.StructField("id", long), heads.schema["head"], *(T.StructField(c, long) for c in ("rule", "ord", "n"))])
 
     def fold(key: tuple, group: Iterable[tuple]) -> Iterator[tuple]:
         names: dict[str, list[int]] = {}
-        heads: list[tuple[int, str, str]] = []
+        heads: list[tuple] = []
         best: list[tuple[int, int] | None] = []
         bare: list[int] = []
         automaton, end = None, 0
-        for _, _, kind, place, text, number, name in group:
-            if not kind:
+        for _, _, place, text, number, name, own, head in group:
+            if own is not None:
                 (names.setdefault(name, []) if name else bare).append(len(heads))
-                heads.append((place, text, number))
+                heads.append((text, number, own, head))
                 best.append(None)
                 continue
             end = place + 1
             if text is None or not heads:
                 continue
-            if automaton is None and names:
-                automaton = ahocorasick.Automaton()
-                for said, which in names.items():
-                    automaton.add_word(said, which)
-                automaton.make_automaton()
-            found = {i for _, which in automaton.iter(text) for i in which} if automaton else set()
-            for i in itertools.chain(found, bare):
-                _, whole, first = heads[i]
-                rule = 1 if text.startswith(whole) else 2 if first and text.startswith(first) and i in found else 3 if i in found else None
-                if rule and (best[i] is None or rule < best[i][0]):
+            if len(names) <= FEW:
+                found = [i for said, which in names.items() if said in text for i in which]
+            else:
+                if automaton is None:
+                    automaton = ahocorasick.Automaton()
+                    for said, which in names.items():
+                        automaton.add_word(said, which)
+                    automaton.make_automaton()
+                found = {i for _, which in automaton.iter(text) for i in which}
+            for i in found:
+                whole, first = heads[i][:2]
+                rule = 1 if text.startswith(whole) else 2 if first and text.startswith(first) else 3
+                if best[i] is None or rule < best[i][0]:
                     best[i] = rule, place
-        for (place, _, _), fit in zip(heads, best, strict=True):
-            yield (key[0], place, *(fit or (None, None)), end)
+            for i in bare:
+                if best[i] is None and text.startswith(heads[i][0]):
+                    best[i] = 1, place
+        for (_, _, own, head), fit in zip(heads, best, strict=True):
+            yield (key[0], own, head, *(fit or (None, None)), end)
 
-    return streamed(both, ["file_id", "block"], ["kind", "at"], fold, schema)
+    return streamed(both, ["file_id", "block"], ["at"], fold, schema)
 
 
 def depths_below(nodes: DataFrame, name: str) -> DataFrame:
