@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Mapped, give_back_driver, let, materialize, most_frequent, slices, small_batches, tidy
+from .common import Mapped, give_back_driver, let, materialize, most_frequent, short_plans, slices, small_batches, tidy
 
 #: Frequent words whose ids are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
@@ -224,7 +224,8 @@ def encode(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...] =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = head.repartition(n).select("word", codec.encode_words(F.array(codec.pieces(F.col("word"))))[0].alias("ids"))
     of_bytes = codec.bytes_to_pieces
-    shared = Head.shared(coded)
+    with short_plans(spark):
+        shared = Head.shared(coded)
     ranks = spark.sparkContext.broadcast(codec.ranks)  # as large as the vocabulary
     schema = docs.select(*keep).schema.add("ids", "string").add("rest", T.ArrayType(T.StringType()))
 
@@ -292,5 +293,5 @@ def round_trip(docs: DataFrame, codec: Codec, pattern: str, keep: tuple[str, ...
             )
 
     made = encode(docs, codec, pattern, keep).mapInArrow(tidy(run), schema)
-    with small_batches(docs.sparkSession, SLICE, 8 << 20):
+    with small_batches(docs.sparkSession, SLICE, 8 << 20), short_plans(docs.sparkSession):
         return materialize(made if with_ids else made.drop("ids"))

@@ -165,6 +165,20 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+@contextlib.contextmanager
+def short_plans(spark: SparkSession, most: int = 20_000):
+    """While it is open, descriptions of plans have so many characters at most: of a plan with a large literal they are larger than the literal,
+    and the driver makes one at the start of each execution and whenever its plan adapts.
+    """
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Returns what this process holds but doesn't use."""
     gc.collect()
@@ -178,10 +192,12 @@ def give_back() -> None:
 def give_back_driver(spark: SparkSession) -> None:
     """The same in the driver, its JVM included: what compilers of plans and code have freed stays in the C library's arenas else.
 
-    A JVM without that command (before 17.0.9, or not on Linux) keeps it.
+    A collection comes first: the heap grows with what nothing refers to any more, and a full one gives it back. A JVM without that
+    command (before 17.0.9, or not on Linux) keeps what is in the arenas.
     """
     give_back()
     context = spark.sparkContext
+    context._jvm.java.lang.System.gc()
     jvm, array = context._jvm, context._gateway.new_array
     find, command = jvm.java.lang.Class.forName, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
     types, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
