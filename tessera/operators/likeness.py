@@ -1,43 +1,61 @@
-"""The line most alike a title: a similarity join by the ratio of matching blocks, without comparing all pairs.
+"""The line most alike a title, by the ratio of matching blocks, without comparing all pairs.
 
 The ratio of two texts is twice their matching characters by their characters, so it can't be more than what their characters, as multisets, allow.
-A first candidate, of most shared words, gives each title a ratio to beat; how many characters a better line must share follows
-from it. Of the title's characters, numbered when they repeat, all but that many are asked of an inverted index of the file's lines, those that fewest
-lines have first: a better line has one of them. Only lines that the multisets allow are compared exactly.
+A file's lines, in blocks, meet its titles in one exchange. How often a character stands in each line is counted once for all titles of a block;
+from that follow a title's bounds, and only lines whose bound is not below the best ratio so far are compared exactly, those of the highest bound first.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans import sweeps
 
 PAIR = ["file_id", "position"]
+#: Lines of a file that are held at once; titles are copied to each block of a longer one.
+BLOCK = 1 << 12
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def ratio(line: str, name: str) -> float:
+    """The name's side is the second sequence, whose frequent characters may be ignored."""
+    return difflib.SequenceMatcher(None, line, name).ratio()
 
 
-def _marks(c: Column) -> Column:
-    """A text's characters, each numbered among its equals: a set of what the multiset has."""
-    return F.flatten(F.transform(F.filter(F.array_distinct(F.split(c, "")), lambda x: x != ""), lambda x: F.transform(F.sequence(F.lit(1), (F.char_length(c) - F.char_length(F.replace(c, x))).cast("int")), lambda k: F.concat(x, k.cast("string")))))
+class Lines:
+    """Some different lines, and how often each character that was asked for stands in each."""
 
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+        self.counts: dict[str, np.ndarray] = {}
 
-def _exact(names: pd.Series, lines: pd.Series, least: pd.Series) -> pd.Series:
-    """The ratios, null where the characters allow less than ``least``. The names' side is the second sequence, whose frequent characters may be ignored."""
-    out, last, matcher, counts = [], None, difflib.SequenceMatcher(), Counter()
-    for name, line, low in zip(names, lines, least, strict=True):
-        if name != last:
-            matcher.set_seq2(name)
-            last, counts = name, Counter(name)
-        most = 2 * (counts & Counter(line)).total() / (len(name) + len(line)) if name or line else 1.0
-        if most < low:
-            out.append(None)
-        else:
-            matcher.set_seq1(line)
-            out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+    def count(self, c: str) -> np.ndarray:
+        if c not in self.counts:
+            self.counts[c] = np.fromiter((line.count(c) for line in self.lines), dtype=np.int64, count=len(self.lines))
+        return self.counts[c]
+
+    def closest(self, name: str) -> tuple[float, str]:
+        """The highest ratio, however low, and the greatest line that has it."""
+        shared = np.zeros(len(self.lines), dtype=np.int64)
+        for c, n in Counter(name).items():
+            shared += np.minimum(self.count(c), n)
+        whole = self.sizes + len(name)
+        bounds = np.where(whole > 0, 2.0 * shared / np.maximum(whole, 1), 1.0)
+        best = (-1.0, "")
+        for i in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[i] < best[0]:
+                break
+            best = max(best, (ratio(self.lines[i], name) if bounds[i] else 0.0, self.lines[i]))
+        return best
 
 
 def closest(names: DataFrame, lines: DataFrame) -> DataFrame:
@@ -45,31 +63,31 @@ def closest(names: DataFrame, lines: DataFrame) -> DataFrame:
 
     The highest ratio, however low; of equals the greatest line, and its first place. A null name is empty; null lines are none. A file without lines has no row.
     """
-    exact = F.pandas_udf(_exact, "double")
-    asked = names.select(*PAIR, F.coalesce("name", F.lit("")).alias("name"))
-    texts = lines.where("line is not null").join(asked.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id", "line").agg(F.min("ord").alias("ord"))
-
-    def words(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("word", F.explode(F.array_distinct(F.split(c, r"\W+")))).where("word <> ''")
-
-    shared = words(asked, "name").join(words(texts, "line"), ["file_id", "word"])
-    weight = F.sum(F.char_length("word")) / (F.char_length("name") + F.char_length("line"))
-    seeds = shared.groupBy(*PAIR, "name", "line", "ord").agg(weight.alias("w")).groupBy(*PAIR, "name").agg(F.max(F.struct("w", "line", "ord")).alias("best"))
-    started = seeds.select(*PAIR, F.struct(exact("name", "best.line", F.lit(0.0)).alias("ratio"), F.col("best.line").alias("line"), F.col("best.ord").alias("ord")).alias("seed"))
-    # What shares no character has the ratio 0: the file's greatest line stands for all of these. Two empty texts are alike.
-    whole = texts.groupBy("file_id").agg(F.max(F.struct("line", "ord")).alias("last"), F.max(F.when(F.col("line") == "", F.col("ord"))).alias("blank"))
-    alike = (F.col("name") == "") & F.col("blank").isNotNull()
-    none = F.when(alike, F.struct(F.lit(1.0).alias("ratio"), F.lit("").alias("line"), F.col("blank").alias("ord"))).otherwise(F.struct(F.lit(0.0).alias("ratio"), F.col("last.line").alias("line"), F.col("last.ord").alias("ord")))
-    known = asked.join(whole, "file_id").join(started, PAIR, "left").select(*PAIR, "name", F.greatest(none, F.coalesce("seed", none)).alias("low"))
-
-    index = texts.select("file_id", "line", "ord", F.explode(_marks(F.col("line"))).alias("mark"))
-    spread = index.groupBy("file_id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    length, ratio = F.char_length("name"), F.col("low.ratio")
-    needed = F.ceil(length * ratio / (2 - ratio) - 1e-9)
-    rows = known.select(*PAIR, "name", "low", (length - needed + 1).alias("most"), F.explode_outer(_marks(F.col("name"))).alias("mark")).join(spread, ["file_id", "mark"], "left")
-    probes = rows.withColumn("k", F.row_number().over(W.partitionBy(*PAIR).orderBy(F.coalesce("n", F.lit(0)), "mark"))).where("k <= most or k = 1")
-    met = probes.join(index, ["file_id", "mark"], "left").select(*PAIR, "name", "low", "line", "ord").distinct()
-    found = met.withColumn("ratio", exact("name", F.coalesce("line", F.lit("")), ratio))
-    better = F.when(F.col("line").isNotNull() & F.col("ratio").isNotNull(), F.struct("ratio", "line", "ord"))
-    best = found.groupBy(*PAIR).agg(F.max(better).alias("best"), F.max("low").alias("low")).select(*PAIR, F.greatest("low", F.coalesce("best", "low")).alias("best"))
-    return best.select(*PAIR, "best.ord", "best.ratio", "best.line")
+    long, at = T.LongType(), (F.col("ord") / BLOCK).cast("long")
+    said = lines.where("line is not null")
+    far = said.where(F.col("ord") >= BLOCK).groupBy("file_id").agg(F.collect_set(at).alias("blocks"))
+    blocks = F.array_union(F.array(F.lit(0).cast("long")), F.coalesce("blocks", F.array().cast("array<long>")))
+    asked = names.where("file_id is not null").join(far, "file_id", "left").select(
+        "file_id", F.explode(blocks).alias("block"), F.lit(-1).cast("long").alias("at"), F.coalesce("name", F.lit("")).alias("text"), F.col("position").cast("long").alias("position")
+    )
+    body = said.select("file_id", at.alias("block"), F.col("ord").cast("long").alias("at"), F.col("line").alias("text"))
+    schema = T.StructType([names.schema["file_id"], T.StructField("position", long), T.StructField("ratio", T.DoubleType()), T.StructField("line", T.StringType()), T.StructField("ord", long)])
+
+    def fold(key: tuple, group: Iterable[tuple]) -> Iterator[tuple]:
+        titles: dict[str, list[int]] = {}
+        firsts: dict[str, int] = {}
+        for _, _, place, text, position in group:
+            if position is not None:
+                titles.setdefault(text, []).append(position)
+            elif titles:
+                firsts.setdefault(text, place)
+        if firsts:
+            held = Lines(list(firsts))
+            for name, positions in titles.items():
+                likeness, line = held.closest(name)
+                yield from ((key[0], position, likeness, line, firsts[line]) for position in positions)
+
+    found = sweeps.streamed(asked.unionByName(body, allowMissingColumns=True), ["file_id", "block"], ["at"], fold, schema)
+    best = found.groupBy(*PAIR).agg(F.max(F.struct("ratio", "line", (-F.col("ord")).alias("back"))).alias("best"))
+    place, kind = names.schema["position"].dataType, lines.schema["ord"].dataType
+    return best.select("file_id", F.col("position").cast(place).alias("position"), (-F.col("best.back")).cast(kind).alias("ord"), "best.ratio", "best.line")
