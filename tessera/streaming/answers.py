@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,28 +31,35 @@ def events_of(answers: DataFrame) -> DataFrame:
     number, name = (F.coalesce(c, F.lit("")) for c in ("section_number", "section_name"))
     said = F.filter(F.transform(T.lines(F.regexp_extract("response", FENCED, 1)), T.strip), lambda x: (x != "") & (F.upper(x) != "NONE"))
     bare = F.filter(F.transform(said, lambda x: F.when(x.startswith("-"), T.strip(F.substr(x, F.lit(2)))).otherwise(x)), lambda x: x != "")
-    read = answers.select(
-        "file_id", "position", "section_number", "section_name", F.coalesce(F.col("response").rlike(FENCED), F.lit(False)).alias("good"),
-        identity.header_section_id(F.col("file_id"), number, name).alias("section_id"), bare.alias("lines"),
-    )
-    document = W.partitionBy("file_id")
-    ended = read.withColumn("failed", F.min(F.when(~F.col("good"), F.col("position"))).over(document)).where("failed is null or position <= failed")
+    # Generators: what is read of an answer is made once, however often the events name it.
+    bound = answers.select("file_id", "position", "section_number", "section_name", F.explode(F.array("response")).alias("response"))
+    facts = F.struct(
+        F.coalesce(F.col("response").rlike(FENCED), F.lit(False)).alias("good"), identity.header_section_id(F.col("file_id"), number, name).alias("section_id"), bare.alias("lines")
+    )
+    read = bound.select("file_id", "position", "section_number", "section_name", F.inline(F.array(facts)))
     spec = F.transform("lines", lambda x: F.struct(identity.section_line_id(F.col("section_id"), x).alias("spec_id"), F.col("section_id").alias("section_id"), x.alias("spec_text")))
-    made = ended.withColumns({"specs": F.when(F.col("good"), spec).otherwise(F.array().cast(SPECS)), "last": F.max("position").over(document)})
-    none, no_specs = F.lit(None).cast("string"), F.lit(None).cast(SPECS)
-
-    def event(step: int, kind: str, specs=no_specs, status=None, message=none):
-        return F.struct(
-            (F.col("position").cast("long") * STEPS + step).alias("seq"), F.lit(kind).alias("event"), specs.alias("specs"), F.lit(status).cast("int").alias("status"), message.alias("message")
-        )
-
-    third = F.when(F.col("good"), event(2, "processed", F.col("specs"))).otherwise(event(2, "error", no_specs, BAD_STATUS, F.concat(F.lit(BAD_MESSAGE), number)))
-    each = made.select("file_id", "section_number", "section_name", F.explode(F.array(event(0, "request"), event(1, "response"), third)).alias("e"))
-    told = each.select("file_id", "e.seq", "e.event", F.when(F.col("e.event") != "error", F.col("section_number")).alias("section_number"), F.when(F.col("e.event") != "error", F.col("section_name")).alias("section_name"), "e.specs", "e.status", "e.message")
-    rows = F.array_sort(F.collect_list(F.struct("position", "specs")))
-    ends = made.where("failed is null").groupBy("file_id").agg(F.max("last").alias("position"), F.flatten(F.transform(rows, lambda x: x["specs"])).alias("specs"))
-    done = ends.select("file_id", ((F.col("position").cast("long") + 1) * STEPS).alias("seq"), F.lit("complete").alias("event"), none.alias("section_number"), none.alias("section_name"), "specs", F.lit(None).cast("int").alias("status"), none.alias("message"))
-    return told.unionByName(done)
+    specs = F.when(F.col("good"), spec).otherwise(F.array().cast(SPECS))
+    row = F.struct("position", specs.alias("specs"), "section_number", "section_name", "good")
+    documents = read.groupBy("file_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min(F.when(~F.col("good"), F.col("position"))).alias("failed"))
+    # A document's answers are made once: its last event, which has all specs, comes from the same row as the others.
+    told = documents.select("file_id", "failed", F.filter("rows", lambda x: F.col("failed").isNull() | (x["position"] <= F.col("failed"))).alias("rows"))
+    none = F.lit(None).cast("string")
+
+    def event(seq, kind, number=none, name=none, specs=F.lit(None).cast(SPECS), status=None, message=none):
+        values = {"seq": seq, "event": kind, "section_number": number, "section_name": name, "specs": specs, "status": F.lit(status).cast("int"), "message": message}
+        return F.struct(*(v.alias(c) for c, v in values.items()))
+
+    def steps(x):
+        at = x["position"].cast("long") * STEPS
+        of_section = (x["section_number"], x["section_name"])
+        done = event(at + 2, F.lit("processed"), *of_section, x["specs"])
+        bad = event(at + 2, F.lit("error"), status=BAD_STATUS, message=F.concat(F.lit(BAD_MESSAGE), F.coalesce(x["section_number"], F.lit(""))))
+        return F.array(event(at, F.lit("request"), *of_section), event(at + 1, F.lit("response"), *of_section), F.when(x["good"], done).otherwise(bad))
+
+    last = F.array_max(F.transform("rows", lambda x: x["position"])).cast("long")
+    complete = event((last + 1) * STEPS, F.lit("complete"), specs=F.flatten(F.transform("rows", lambda x: x["specs"])))
+    each = F.concat(F.flatten(F.transform("rows", steps)), F.filter(F.array(complete), lambda _: F.col("failed").isNull()))
+    return told.select("file_id", F.inline(each))
 
 
 def known(events: DataFrame) -> DataFrame:
@@ -61,18 +67,23 @@ def known(events: DataFrame) -> DataFrame:
 
     A section's first event of each kind counts, repeats change nothing. Processed specs are gathered in order; those of complete take their place.
     """
-    of_section = events.where("section_number is not null and event in ('request', 'response', 'processed')")
-    firsts = of_section.groupBy("file_id", "event", "section_number").agg(F.min_by(F.struct("seq", "specs"), "seq").alias("first"))
-    rows = F.array_sort(F.collect_list(F.when((F.col("event") == "processed") & F.col("first.specs").isNotNull(), F.struct("first.seq", "first.specs"))))
-    counts = firsts.groupBy("file_id").agg(
-        *(F.count_if(F.col("event") == kind).alias(name) for kind, name in (("request", "requested"), ("response", "responded"), ("processed", "processed"))),
+    closing = F.col("event").isin("complete", "error")
+    kinds = (("request", "requested"), ("response", "responded"), ("processed", "processed"))
+    firsts = events.groupBy("file_id", "event", "section_number").agg(
+        F.min_by(F.struct("seq", "specs"), "seq").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.when(closing, F.struct("seq", "event", "message", "specs"))).alias("end")
+    )
+    of_section = F.col("section_number").isNotNull()
+    processed = of_section & (F.col("event") == "processed") & F.col("first.specs").isNotNull()
+    rows = F.array_sort(F.collect_list(F.when(processed, F.struct("first.seq", "first.specs"))))
+    ends = firsts.groupBy("file_id").agg(
+        *(F.count_if(of_section & (F.col("event") == kind)).alias(name) for kind, name in kinds),
         F.flatten(F.transform(rows, lambda x: F.transform(x["specs"], lambda s: s["spec_text"]))).alias("gathered"),
+        F.sum("n").alias("n_events"),
+        F.min("end").alias("end"),
     )
-    closing = F.col("event").isin("complete", "error")
-    ends = events.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_events"), F.min(F.when(closing, F.struct("seq", "event", "message", "specs"))).alias("end"))
     final = F.when(F.col("end.event") == "complete", F.transform("end.specs", lambda s: s["spec_text"]))
     zero = F.lit(0).cast("long")
-    return ends.join(counts, "file_id", "left").select(
+    return ends.select(
         "file_id",
         F.when(F.col("end.event") == "complete", "complete").when(F.col("end.event") == "error", "failed").otherwise("running").alias("state"),
         F.col("end.message").alias("message"),
