@@ -44,6 +44,15 @@ def repeated_lines(lines: DataFrame, key: str, parts: int = 8, least: int = 10)
     return each.withColumn("size", size).where(F.col("n") > F.greatest(F.floor(F.col("size") / parts), F.lit(least))).drop("size")
 
 
+def marked_repeated(lines: DataFrame, key: str, parts: int = 8, least: int = 10) -> DataFrame:
+    """``lines`` (key, line, ...) with ``repeated``, whether a line is one of ``repeated_lines`` of those that aren't blank; by windows over a document."""
+    real = F.when(F.col("line") != "", 1)
+    document = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = lines.withColumn("_size", F.count(real).over(document)).withColumn("_n", F.count(real).over(W.partitionBy(key, "line")))
+    many = F.col("_n") > F.greatest(F.floor(F.col("_size") / parts), F.lit(least))
+    return counted.withColumn("repeated", many & F.col(key).isNotNull()).drop("_size", "_n")
+
+
 def without_repeated(lines: DataFrame, key: str) -> DataFrame:
     return lines.join(repeated_lines(lines, key).select(key, "line"), [key, "line"], "left_anti")
 
