@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def coverage(objects: DataFrame, leaves: DataFrame, specs: DataFrame) -> DataFrame:
-    """file_id, objects, leaves, specs, ratio of leaves that have a spec; 0 without leaves."""
-    counts = objects.groupBy("file_id").agg(F.count(F.lit(1)).alias("parsed_object_count"))
-    made = specs.groupBy("file_id").agg(F.count(F.lit(1)).alias("specs_count"))
-    has = specs.select("file_id", "section_id").distinct().withColumn("has", F.lit(1))
-    of = leaves.join(has, ["file_id", "section_id"], "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("leaf_section_count"), F.sum(F.coalesce("has", F.lit(0))).alias("with"))
-    zero = F.lit(0).cast("long")
-    return counts.join(of, "file_id", "left").join(made, "file_id", "left").select(
+    """file_id, objects, leaves, specs, ratio of leaves that have a spec; 0 without leaves.
+
+    All three are counted by section and then by document: sums that tasks make before they exchange any.
+    """
+    kinds = {"o": objects.select("file_id", F.lit(None).cast("string").alias("section_id")), "l": leaves.select("file_id", "section_id"), "s": specs.select("file_id", "section_id")}
+    one = [df.select("*", *(F.lit(int(k == c)).alias(c) for c in kinds)) for k, df in kinds.items()]
+    sections = reduce(DataFrame.unionByName, one).groupBy("file_id", "section_id").agg(*(F.sum(c).alias(c) for c in kinds))
+    has = (F.col("s") > 0) & F.col("section_id").isNotNull() & F.col("file_id").isNotNull()
+    found = sections.groupBy("file_id").agg(*(F.sum(c).alias(c) for c in kinds), F.sum(F.when(has, F.col("l")).otherwise(0)).alias("with")).where("o > 0")
+    known = F.col("file_id").isNotNull()
+    number = {c: F.when(known, F.col(c)).otherwise(F.lit(0)) for c in ("l", "s")}
+    return found.select(
         "file_id",
-        "parsed_object_count",
-        F.coalesce("leaf_section_count", zero).alias("leaf_section_count"),
-        F.coalesce("specs_count", zero).alias("specs_count"),
-        F.when(F.col("leaf_section_count") > 0, F.round(F.col("with") / F.col("leaf_section_count"), 6)).otherwise(0.0).alias("leaf_spec_ratio"),
+        F.col("o").alias("parsed_object_count"),
+        number["l"].alias("leaf_section_count"),
+        number["s"].alias("specs_count"),
+        F.when(number["l"] > 0, F.round(F.col("with") / F.col("l"), 6)).otherwise(0.0).alias("leaf_spec_ratio"),
     )
 
 
