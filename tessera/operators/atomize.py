@@ -17,12 +17,12 @@ def bound(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
-def atomize(lines: DataFrame) -> DataFrame:
-    """A row for each candidate line of ``lines`` (file_id, section_id, line): the rule atomizer.
+def atomize(lines: DataFrame, *kept: str) -> DataFrame:
+    """A row for each candidate line of ``lines`` (file_id, section_id, line), with the columns ``kept``: the rule atomizer.
 
     Expressions only: no shuffle. Equal lines of a section share a spec_id; null lines give none.
     """
-    cleaned = bound(lines.select("file_id", "section_id", "line"), spec_text=text.clean_spec_line(F.col("line"))).where("spec_text <> ''")
+    cleaned = bound(lines.select("file_id", "section_id", "line", *kept), spec_text=text.clean_spec_line(F.col("line"))).where("spec_text <> ''")
     read = bound(cleaned, _low=F.lower("spec_text"), _unit=F.regexp_extract("spec_text", specs.VALUE_UNIT, 2))
     found = read.where((F.col("_unit") != "") | F.col("_low").rlike("|".join(specs.TRIGGERS)))
     raw = F.when(F.col("_unit") != "", F.regexp_extract("spec_text", specs.VALUE_UNIT, 1))
@@ -36,6 +36,7 @@ def atomize(lines: DataFrame) -> DataFrame:
         "v.*",
         "category",
         specs.confidence(F.col("spec_text"), F.col("v.raw_value").isNotNull(), F.col("category")).alias("confidence"),
+        *kept,
     )
 
 
@@ -45,7 +46,7 @@ def fallback_specs(lines: DataFrame) -> DataFrame:
     ``spec_index`` counts from 0 in the section and is part of the id, as candidates are numbered before duplicates go.
     """
     in_section = W.partitionBy("file_id", "section_id").orderBy("ord")
-    stripped = lines.withColumn("raw", text.strip(F.col("line")))
+    stripped = bound(lines, raw=text.strip(F.col("line")))
     return (
         bound(stripped.where((F.col("raw") != "") & specs.is_fallback_candidate(F.col("raw"))), spec_text=text.normalize_spec_line(F.col("raw")))
         .where("spec_text <> ''")
@@ -81,3 +82,10 @@ def section_sources(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file_id", "section_id").agg(
         F.sort_array(F.collect_list(identity.numbered(F.col("file_id"), "txt", F.col("ord")))).alias("source_object_ids")
     )
+
+
+def with_sources(lines: DataFrame) -> DataFrame:
+    """``lines`` of known sections with ``source_object_ids``, those of ``section_sources``: a window over a section in place of a join."""
+    section = W.partitionBy("file_id", "section_id").orderBy("_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    named = lines.where("file_id is not null and section_id is not null").select("*", F.explode(F.array(identity.numbered(F.col("file_id"), "txt", F.col("ord")))).alias("_id"))
+    return named.withColumn("source_object_ids", F.collect_list("_id").over(section)).drop("_id")
