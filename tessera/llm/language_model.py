@@ -4,7 +4,7 @@ Counts of all words and of all pairs of neighbouring words of the training texts
 quantised to a power of two; an n-gram of level q is put into the filter q times, once for each level, and a reader finds
 its level by probing level 1, 2, ... until one is missing. Each entry lies in one segment of fixed size, and the number of
 segments grows with the entries, so that no count is left out. The filter is broadcast up to ``BROADCAST_BYTES``; beyond, it
-stays a table, and blocks of documents ask its segments by a join.
+stays a table, and blocks of documents ask its segments by a join: keys go packed to the segments and levels, a byte each, come back.
 
 Probabilities: P(w|c) = (q(c,w) + m(c) P(w)) / (Z(c) + m(c)), where q is what the filter says of a pair, Z(c) the sum of
 what it says of all pairs that c begins, and P(w) = (q(w) + 0.1) / (sum of all q + 0.1 (V + 1)). They sum to one over the vocabulary
@@ -20,8 +20,9 @@ the other words of each document meet their counts in a join.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,15 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Mapped, materialize, most_frequent, packed, scalar, slices, small_batches, text_lengths, tidy
+from .common import Mapped, discard, give_back_driver, materialize, most_frequent, packed, scalar, slices, small_batches, text_lengths, tidy
 
 #: Probes, in threes, of a word's first level and of any entry's further levels; a pair's first level has as many as follow from the
 #: logarithm of the words that can follow, and ``SPARE`` more.
 WORD_PROBES, LEVEL_PROBES, SPARE = 3, 1, 7
 #: The largest filter that is broadcast.
 BROADCAST_BYTES = 256 << 20
-#: Documents that ask a filter's table together.
-BLOCK = 256
+#: Documents, and bytes of text, that ask a filter's table together, and training tokens for each part of the table, on the average.
+BLOCK, BLOCK_BYTES, ASKED = 1_500, 4 << 20, 1 << 20
+#: Rounds in which blocks ask, so that the exchanges of one round only are on the disks at once.
+ROUNDS = 3
 #: Words whose exact counts are broadcast. Words of more bytes than ``LONG`` go by a 128-bit hash.
 HEAD_WORDS, LONG = 1 << 18, 64
 #: Texts, and bytes of text, that are scored at once.
@@ -363,6 +366,11 @@ class Numbers:
     pair_probes: int
 
 
+def sum_digits(said: np.ndarray) -> np.ndarray:
+    """The most digits of a context's sum, ``said``: of its word. A sum has at most two digits more than it."""
+    return np.where(said > 1, np.minimum(np.ceil(np.log2(np.maximum(said, 1) + 1)) + 2, LEVELS), 0).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Lookup:
     """What the filter says, of ids: by its own data, a filter of words and pairs and one of contexts."""
@@ -380,9 +388,7 @@ class Lookup:
         return np.where(level > 0, value(level + 1), 0)
 
     def sums(self, ids: np.ndarray, said: np.ndarray) -> np.ndarray:
-        """``said``: of ``words``. A sum has at most two digits more than it."""
-        digits = np.where(said > 1, np.ceil(np.log2(np.maximum(said, 1) + 1)) + 2, 0).astype(np.int64)
-        return self.contexts.number(key_of(OF_CONTEXT, ids), self.probes, digits)
+        return self.contexts.number(key_of(OF_CONTEXT, ids), self.probes, sum_digits(said))
 
 
 @dataclass(frozen=True)
@@ -405,7 +411,8 @@ class Answers:
         return self._find(OF_PAIR, pair_key(first, second))
 
     def sums(self, ids: np.ndarray, said: np.ndarray) -> np.ndarray:
-        return np.where(said > 1, self._find(OF_CONTEXT, key_of(OF_CONTEXT, ids)), 0)
+        """As many digits as a reader of the filter asks for: further ones are false hits."""
+        return self._find(OF_CONTEXT, key_of(OF_CONTEXT, ids)) & ((np.int64(1) << sum_digits(said)) - 1)
 
 
 def log10_probabilities(words: np.ndarray, at: np.ndarray, lookup: Lookup | Answers, numbers: Numbers) -> np.ndarray:
@@ -457,6 +464,7 @@ def train(texts: DataFrame) -> Trained:
     single = vocabulary.select("word", level.alias("level")).mapInArrow(tidy(words), ENTRY)
     double = repeated.select("first", "second", (level - 1).alias("level")).mapInArrow(tidy(pairs), ENTRY)
     counts = build(single.unionByName(double), segments, probes)
+    discard(repeated)
     sums = counts[0].where("id is not null").groupBy("id").agg(F.sum("q").alias("level"))
     said = scalar(sums.where("id = -1").agg(F.sum("level")))[0] or 0
     totals = materialize(sums.where("id <> -1"))
@@ -478,7 +486,7 @@ def whole_filter(table: DataFrame, segments: int) -> bytes:
     return bytes(data)
 
 
-_RESULT = "place long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,tf:long>>"
+_RESULT = "n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,tf:long>>"
 
 
 class Head:
@@ -537,7 +545,7 @@ def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
     spark = placed.sparkSession
     shared = spark.sparkContext.broadcast(head)
     filters = [(Mapped(spark, whole_filter(*x)), x[1]) for x in (model.counts, model.contexts)]
-    schema = _schema(placed)
+    schema, kept = _schema(placed), placed.drop("text").columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Head(shared.value)
@@ -545,74 +553,130 @@ def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
         for whole in batches:
             for start, end in slices(text_lengths(whole.column("text")), SLICE, SLICE_BYTES):  # bounded memory
                 batch = whole.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "place", "held_out")), *own.scored(batch.column("text"), lookup, numbers)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.scored(batch.column("text"), lookup, numbers)], names=schema.names)
 
     return placed.mapInArrow(tidy(run), schema)
 
 
-def _parts_by_block(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
-    """The same where the filter stays a table: each block of documents asks for its different words and pairs, once each."""
+@dataclass(frozen=True)
+class Parts:
+    """How a filter's table is cut for joins: ``per`` segments a part, those of the contexts after those of the counts."""
+
+    segments: dict[int, int]
+    per: int
+
+    @property
+    def shift(self) -> int:
+        return math.ceil(self.segments[OF_PAIR] / self.per)
+
+    def questions(self, texts: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """What some texts ask, whatever their order: for each kind the parts and keys, by part and then by key, each key once."""
+        _, words, at = coded(texts)
+        ids = word_ids(words)
+        pairs = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(words)) + at)
+        keys = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs // len(words)], ids[pairs % len(words)])}
+        out = {}
+        for kind, own in keys.items():
+            own = np.unique(own)
+            part = (segment_of(own, self.segments[kind]) // np.uint64(self.per)).astype(np.int64) + (self.shift if kind == OF_CONTEXT else 0)
+            order = np.argsort(part, kind="stable")
+            out[kind] = part[order], own[order]
+        return out
+
+    def filter(self, part: int, kind: int, rows: pa.Table) -> Filter:
+        """A part's own segments from ``rows`` (segment, data); segments without entries have no row."""
+        first = (part - self.shift if kind == OF_CONTEXT else part) * self.per
+        data = np.zeros(self.per * SEGMENT, dtype=np.uint64)
+        for segment, own in zip(rows.column("segment").to_pylist(), rows.column("data"), strict=True):
+            data[(segment - first) * SEGMENT : (segment - first + 1) * SEGMENT] = np.frombuffer(own.as_buffer(), dtype=np.uint64)
+        return Filter(data, self.segments[kind], first)
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that are consecutive stretches of an array, which end at ``ends`` (numbers of its items)."""
+    offsets = pa.array(np.concatenate([[0], ends]) * data.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _parts_by_block(docs: DataFrame, model: Trained, head: bytes) -> DataFrame:
+    """The same, written, where the filter stays a table: each block of documents asks for its different words and pairs, once each.
+
+    Texts are exchanged once, by block; a block's keys for a part of the table travel as one row, and so do the answers, in the keys' order,
+    which the block makes again from its texts. Blocks are dealt out to rounds; what a round exchanged goes before the next.
+    """
     numbers = model.numbers
-    shared = placed.sparkSession.sparkContext.broadcast(head)
-    schema = _schema(placed)
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+    schema, kept = _schema(docs), docs.drop("text").columns
     sizes = {OF_WORD: model.counts[1], OF_PAIR: model.counts[1], OF_CONTEXT: model.contexts[1]}
-    shift = model.counts[1]  # contexts' segments come after those of the counts
-    blocks = placed.withColumn("block", F.floor(F.col("place") / BLOCK))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of_rows = batch.column("block").to_numpy()
-            for block in np.unique(of_rows):
-                texts = batch.column("text").filter(pa.array(of_rows == block))
-                _, words, at = coded(texts)
-                ids = word_ids(words)
-                pairs_ = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(words)) + at)
-                asked = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs_ // len(words)], ids[pairs_ % len(words)])}
-                for kind, keys in asked.items():
-                    segment = segment_of(keys, sizes[kind]).astype(np.int64) + (shift if kind == OF_CONTEXT else 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(segment)], names=["block", "kind", "key", "segment"]
-                    )
-
-    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        kind, keys = asked.column("kind").to_numpy(), asked.column("key").to_numpy().view(np.uint64)
-        out = np.zeros(len(keys), dtype=np.int64)
-        if segment.num_rows:
-            data, at = np.frombuffer(segment.column("data")[0].as_py(), dtype=np.uint64), segment.column("segment")[0].as_py()
-            if at < shift:
-                own = Filter(data, sizes[OF_PAIR], at)
-                for k, probes, more in ((OF_WORD, WORD_PROBES, 0), (OF_PAIR, numbers.pair_probes, 1)):
-                    level = own.levels(keys[kind == k], probes)
-                    out[kind == k] = np.where(level > 0, value(np.maximum(level + more, 1)), 0)
+    parts = Parts(sizes, max(1, (model.counts[1] + model.contexts[1]) * ASKED // max(1, numbers.tokens)))
+    rows, size = scalar(docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))))
+    n_blocks = max(1, math.ceil(rows / BLOCK), math.ceil((size or 0) / BLOCK_BYTES))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    packed_schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+    in_spark = "block long, part long, kind int, data binary"
+
+    def ask(docs: pa.Table) -> pa.Table:
+        block, out = docs.column("block")[0], []
+        for kind, (part, keys) in parts.questions(docs.column("text").combine_chunks()).items():
+            starts = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
+            n = len(starts)
+            out.append(pa.table([pa.array([block.as_py()] * n, pa.int64()), pa.array(part[starts]), pa.array([kind] * n, pa.int32()), _binaries(keys, np.append(starts[1:], len(keys)))], schema=packed_schema))
+        return pa.concat_tables(out)
+
+    def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
+        out = []
+        for kind in sorted(set(asked.column("kind").to_pylist())):
+            rows = asked.filter(pc.equal(asked.column("kind"), kind))
+            own = parts.filter(rows.column("part")[0].as_py(), kind, segments)
+            data = rows.column("data").to_pylist()
+            keys = np.frombuffer(b"".join(data), dtype=np.uint64)
+            if kind == OF_CONTEXT:
+                said = own.number(keys, numbers.pair_probes, np.full(len(keys), LEVELS))
             else:
-                out = Filter(data, sizes[OF_CONTEXT], at - shift).number(keys, numbers.pair_probes, np.full(len(keys), LEVELS))
-        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "key": asked.column("key"), "q": pa.array(out)})
+                said = own.levels(keys, WORD_PROBES if kind == OF_WORD else numbers.pair_probes).astype(np.uint8)
+            given = _binaries(said, np.cumsum([len(d) // 8 for d in data]))
+            out.append(pa.table([*(rows.column(c) for c in ("block", "part", "kind")), given], schema=packed_schema))
+        return pa.concat_tables(out) if out else packed_schema.empty_table()
 
     def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema_arrow(docs.schema.field("doc_id").type).empty_table()
-        kind, keys, q = (answers.column(c).to_numpy() for c in ("kind", "key", "q"))
-        given = {}
-        for k in (OF_WORD, OF_PAIR, OF_CONTEXT):
-            own = keys[kind == k].view(np.uint64)
-            order = np.argsort(own)
-            given[k] = own[order], q[kind == k][order]
-        columns = Head(shared.value).scored(docs.column("text").combine_chunks(), Answers(given), numbers)
-        return pa.table([*(docs.column(c) for c in ("doc_id", "place", "held_out")), *columns], names=schema.names)
-
-    def schema_arrow(of_id: pa.DataType) -> pa.Schema:
-        rest = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-        return pa.schema(list(zip(schema.names, [of_id, pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest], strict=True)))
-
-    table = model.counts[0].where("data is not null").select(F.col("segment").cast("long").alias("segment"), "data").unionByName(
-        model.contexts[0].where("data is not null").select((F.col("segment") + shift).cast("long").alias("segment"), "data")
-    )
-    answers = blocks.select("block", "text").mapInArrow(tidy(ask), "block long, kind int, key long, segment long").distinct().groupBy("segment").cogroup(table.groupBy("segment")).applyInArrow(answer, "block long, kind int, key long, q long")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+        texts, answers, given = docs.column("text").combine_chunks(), answers.sort_by("part"), {}
+        for kind, (_, keys) in parts.questions(texts).items():
+            data = b"".join(answers.filter(pc.equal(answers.column("kind"), kind)).column("data").to_pylist())
+            if kind == OF_CONTEXT:
+                q = np.frombuffer(data, dtype=np.int64)
+            else:
+                level = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+                q = np.where(level > 0, value(np.maximum(level + (kind == OF_PAIR), 1)), 0)
+            order = np.argsort(keys)
+            given[kind] = keys[order], q[order]
+        columns = Head(shared.value).scored(texts, Answers(given), numbers)
+        return pa.table([*(docs.column(c) for c in kept), *columns], names=schema.names)
+
+    def cut(table: DataFrame, shift: int) -> DataFrame:
+        return table.where("data is not null").select((F.floor(F.col("segment") / parts.per) + shift).cast("long").alias("part"), "segment", "data")
+
+    table = cut(model.counts[0], 0).unionByName(cut(model.contexts[0], parts.shift))
+
+    def made(own: DataFrame, k: int) -> DataFrame:
+        asked = own.groupBy("block").applyInArrow(lambda docs: tidied(ask, docs), in_spark)
+        answers = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(lambda asked, segments: tidied(answer, asked, segments), in_spark)
+        given = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda docs, answers: tidied(scored, docs, answers), schema)
+        return materialize(given.withColumn("place", F.monotonically_increasing_id() + F.lit(k << 58)))
+
+    out = []
+    for k in range(min(ROUNDS, n_blocks)):
+        give_back_driver(docs.sparkSession)  # exchanges go with what refers to them, those of the counts first
+        out.append(made(blocks.where(F.col("block") % ROUNDS == k), k))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def tidied(made: Callable, *groups: pa.Table) -> pa.Table:
+    """What ``made`` makes of one or two groups, with ``tidy``'s bounds for a worker's memory."""
+    return next(tidy(lambda given: iter([made(*given)]))(groups))
 
 
 def _schema(placed: DataFrame):
-    schema = placed.select("doc_id").schema
+    schema = placed.drop("text").schema
     for field in placed.sparkSession.createDataFrame([], _RESULT).schema:
         schema = schema.add(field)
     return schema
@@ -625,12 +689,13 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
     word has the probability of one symbol, ``P`` of a count of 0.
     """
     head = Head.packed(model.vocabulary)
-    placed = docs.select("doc_id", F.monotonically_increasing_id().alias("place"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     size = (model.counts[1] + model.contexts[1]) * SEGMENT * 8
-    if size > BROADCAST_BYTES:
-        placed = materialize(placed)  # it is read twice, and its places must be the same
     with small_batches(docs.sparkSession, SLICE, SLICE_BYTES):
-        part = materialize((_parts if size <= BROADCAST_BYTES else _parts_by_block)(placed, model, head))
+        if size <= BROADCAST_BYTES:
+            part = materialize(_parts(marked.withColumn("place", F.monotonically_increasing_id()), model, head))
+        else:
+            part = _parts_by_block(marked, model, head)
     numbers = model.numbers
     rare = part.select("place", F.inline("rest")).join(model.vocabulary, "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))

@@ -97,3 +97,28 @@ def test_scores(spark, monkeypatch, bound):
     found = {r.doc_id: r.score for r in lm.score(docs, m).collect()}
     expected = brute(train, texts)
     assert len(found) == len(texts) and all(math.isclose(found[i], x, rel_tol=1e-9) for i, x in enumerate(expected))
+
+
+def test_keys_travel_packed(spark, monkeypatch):
+    """A filter that stays a table gives the scores of one that is broadcast; a block's keys for a part of it are one row, not a row each."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(200)) for _ in range(1_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts, None, ""])], "doc_id long, text string").repartition(3)
+    m = lm.train(docs.select("text"))
+    expected = sorted(map(tuple, lm.score(docs, m).collect()))
+    for name, value in (("BROADCAST_BYTES", 0), ("BLOCK", 150), ("ASKED", 1)):
+        monkeypatch.setattr(lm, name, value)
+    assert m.counts[1] > 3
+    exchanged, whole = [], lm.materialize
+
+    def watched(df):
+        out = whole(df)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanged.append(("HashAggregate" in plan, plan.count("FlatMapCoGroupsInArrow")))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", watched)
+    found = sorted(map(tuple, lm.score(docs, m).collect()))
+    assert [x[:5] for x in found] == [x[:5] for x in expected]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for x, y in zip(found, expected, strict=True) for a, b in zip(x[5:], y[5:], strict=True))
+    assert len(exchanged) == lm.ROUNDS and not any(aggregated for aggregated, n in exchanged if n)
