@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, placed, small_batches, tidy
+from .common import materialize, small_batches, tidy
 
 #: The base kinds, in their order; a match counts if the part named has so many characters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -169,18 +169,20 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the value of each secret that is no example replaced by ``[kind]``, and n_chars brought up to date.
 
     Examples stay, whatever their kind. ``docs``: doc_id, source, text and any others, of any names; null sources own nothing.
-    Texts without such a secret stay as they are, nulls included; repeated rows are each cut; an empty table stays empty.
+    Texts without such a secret stay as they are, nulls included; repeated rows are each cut; an empty table stays empty. Rows are
+    written once, with their candidates: only those that have any meet their cuts in an exchange.
     """
-    all_ = placed(docs)
+    placed = docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("place"))
     with small_batches(docs.sparkSession):
-        rows = materialize(scanned(all_.select("_row.doc_id", "_row.source", "_row.text", F.col("_place").alias("place")), ("doc_id", "source")))
+        rows = materialize(scanned(placed.select("_row", "_row.doc_id", "_row.source", "_row.text", "place"), ("doc_id", "source", "_row")))
     cuts = (
         classified(rows, "source", "doc_id")
         .where(~F.col("example"))
         .groupBy("place")
         .agg(F.array_sort(F.collect_list(F.struct("at", "end", "kind"))).alias("cuts"))
     )
-    whole = all_.withColumnRenamed("_place", "place").join(cuts, "place", "left")
+    some = rows.where(F.size("found") > 0).select("_row", "place").join(cuts, "place", "left").select("_row", "cuts")
+    whole = some.unionByName(rows.where(F.size("found") == 0).select("_row", F.lit(None).cast(some.schema["cuts"].dataType).alias("cuts")))
     names = F.array(*map(F.lit, KINDS))
     text = F.col("_row.text")
 

@@ -74,3 +74,22 @@ def test_query_names_further_kinds_and_leaves_shared_ones(spark, tmp_path):
     assert all(found[10 + k] == "" for k in range(4))
     assert all(found[20 + k] == f"github:4:{4 + len(few)}" for k in range(7))
     assert all(found[40 + k] == "assign:0:21" for k in range(9))
+
+
+def test_texts_without_candidates_are_not_exchanged(spark):
+    """Without broadcasts a row that has no candidate passes no join, and rows are written once."""
+    from tessera.llm.common import collected
+
+    docs = spark.createDataFrame([(i, "plain words" if i % 10 else f"password = {'xyz' * 3}{i}", f"s{i % 3}", 11) for i in range(500)], "doc_id long, text string, source string, n_chars long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = []
+        with collected(made):
+            clean = secrets.redacted(docs)
+        rows = clean.collect()
+        plan = clean._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(made) == 1 and "Union" in plan
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in rows) == sorted((i, "plain words", 11) if i % 10 else (i, "password = [assign]", 19) for i in range(500))
