@@ -67,6 +67,8 @@ LEVELS = 62
 OF_WORD, OF_PAIR, OF_CONTEXT = 0, 1, 2
 
 _SALT = {OF_WORD: np.uint64(0x9AE16A3B2F90404F), OF_PAIR: np.uint64(0xD6E8FEB86659FD93), OF_CONTEXT: np.uint64(0xC949D7C7509E6557)}
+#: XXH64's primes, from 1.
+_XXH = np.array([0, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 _SEGMENT, _GOLDEN = np.uint64(0xFF51AFD7ED558CCD), 0x9E3779B97F4A7C15
 
 
@@ -84,8 +86,17 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return sums[ends] - sums[ends - n], pc.filter(words, full, memory_pool=pool)
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Of some texts: where the tokens of each end, the names of the different tokens, the end last, and each token's place among these."""
+@dataclass(frozen=True)
+class Coded:
+    """Of some texts: where the tokens of each end, the names and ids of the different tokens, the end last, and each token's place among these."""
+
+    ends: np.ndarray
+    names: pa.Array
+    ids: np.ndarray
+    at: np.ndarray
+
+
+def coded(texts: pa.Array) -> Coded:
     n, words = split(texts)
     found = pc.dictionary_encode(words, memory_pool=pa.system_memory_pool())
     names = named(found.dictionary)
@@ -94,7 +105,7 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     inside = np.ones(len(at), dtype=bool)
     inside[ends - 1] = False
     at[inside] = found.indices.to_numpy()
-    return ends, names, at
+    return Coded(ends, names, word_ids(names), at)
 
 
 def named(words: pa.Array) -> pa.Array:
@@ -132,7 +143,37 @@ def word_id(word: bytes) -> int:
 
 
 def word_ids(names: pa.Array) -> np.ndarray:
-    return np.fromiter(map(word_id, names.to_pylist()), dtype=np.uint64, count=len(names))
+    """The same of many names: those of less than 32 bytes go at once, by the steps of XXH64 for short inputs."""
+    names = names.cast(pa.binary())
+    if not len(names):
+        return np.zeros(0, dtype=np.uint64)
+    _, ends, data = names.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[names.offset : names.offset + len(names) + 1]
+    data = np.concatenate([np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]], np.zeros(8, dtype=np.uint8)])
+    at, n = (ends[:-1] - ends[0]).astype(np.int64), np.diff(ends)
+    eights, fours = (np.ndarray(len(data) - 7, dtype=t, buffer=data, strides=(1,)) for t in ("<u8", "<u4"))
+    h = n.astype(np.uint64) + _XXH[5]
+    short = n < 32
+    for k in (1, 2, 3):
+        i = np.nonzero((n >= 8 * k) & short)[0]
+        h[i] = _rotated(h[i] ^ _rotated(eights[at[i]] * _XXH[2], 31) * _XXH[1], 27) * _XXH[1] + _XXH[4]
+        at[i] += 8
+    i = np.nonzero(n & 4)[0]
+    h[i] = _rotated(h[i] ^ fours[at[i]].astype(np.uint64) * _XXH[1], 23) * _XXH[2] + _XXH[3]
+    at[i] += 4
+    for k in (1, 2, 3):
+        i = np.nonzero(n & 3 >= k)[0]
+        h[i] = _rotated(h[i] ^ data[at[i]].astype(np.uint64) * _XXH[5], 11) * _XXH[1]
+        at[i] += 1
+    h = (h ^ h >> np.uint64(33)) * _XXH[2]
+    h = (h ^ h >> np.uint64(29)) * _XXH[3]
+    h = (h ^ h >> np.uint64(32)) & np.uint64(0xFFFFFFFFFFFF)
+    h[~short] = np.fromiter(map(word_id, names.filter(pa.array(~short)).to_pylist()), dtype=np.uint64)
+    return h
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
 
 
 def key_of(kind: int, ids: np.ndarray) -> np.ndarray:
@@ -259,10 +300,10 @@ def repeated_pairs(texts: DataFrame, size: int) -> DataFrame:
                 yield counted(whole.column("text").slice(a, b - a))
 
     def counted(texts: pa.Array) -> pa.RecordBatch:
-        _, names, at = coded(texts)
-        found, n = np.unique(np.concatenate([[len(names) - 1], at[:-1]]) * np.int64(len(names)) + at, return_counts=True)
-        ids = word_ids(names)
-        first, second = ids[found // len(names)], ids[found % len(names)]
+        tokens = coded(texts)
+        ids, at = tokens.ids, tokens.at
+        found, n = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(ids)) + at, return_counts=True)
+        first, second = ids[found // len(ids)], ids[found % len(ids)]
         own = segment_of(pair_key(first, second), parts)
         order = np.argsort(own)
         own, first, second, n = own[order], first[order], second[order], n[order]
@@ -415,11 +456,18 @@ class Answers:
         return self._find(OF_CONTEXT, key_of(OF_CONTEXT, ids)) & ((np.int64(1) << sum_digits(said)) - 1)
 
 
-def log10_probabilities(words: np.ndarray, at: np.ndarray, lookup: Lookup | Answers, numbers: Numbers) -> np.ndarray:
-    """log10 P(token | token before it) for tokens of whole texts: ``words`` are different words' ids, the end's last, ``at`` their places."""
+def weights(words: np.ndarray, lookup: Lookup | Answers) -> tuple[np.ndarray, np.ndarray]:
+    """What the filter says of words and, as contexts, of all their pairs."""
     said = lookup.words(words)
+    return said, lookup.sums(words, said)
+
+
+def log10_probabilities(words: np.ndarray, at: np.ndarray, lookup: Lookup | Answers, numbers: Numbers, known: tuple | None = None) -> np.ndarray:
+    """log10 P(token | token before it) for tokens of whole texts: ``words`` are different words' ids, the end's last, ``at`` their places,
+    ``known`` their ``weights``, where the caller has them.
+    """
+    said, total = known or weights(words, lookup)
     single = (said + 0.1) / (numbers.said + 0.1 * (numbers.words + 1))
-    total = lookup.sums(words, said)
     free = BETA + np.maximum(said - total, 0)
     first, second = np.concatenate([[len(words) - 1], at[:-1]]), at
     pair = np.zeros(len(first), dtype=np.int64)
@@ -453,7 +501,7 @@ def train(texts: DataFrame) -> Trained:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.fromiter((word_id(w) for w in batch.column("word").to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            ids = word_ids(batch.column("word"))
             yield entry(OF_WORD, key_of(OF_WORD, ids), ids, batch.column("level"), segments)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,20 +538,25 @@ _RESULT = "n_tokens long, n_known long, logs double, score double, rest array<st
 
 
 class Head:
-    """Exact counts of the most frequent words, found by binary search over their ids, as logarithms for the base score."""
+    """Exact counts of the most frequent words, found by binary search over their ids, as logarithms for the base score.
+
+    What the filter says of these words is asked once by each reader, when it first meets them: most words of any text are among them.
+    """
 
     def __init__(self, data: bytes):
         with pa.ipc.open_stream(data) as source:
             table = source.read_all()
         self.ids, self.words = table.column("id").to_numpy().astype(np.uint64), table.column("word").combine_chunks()
         self.logs = np.log10(np.append(table.column("n").to_numpy(), 0) + 0.1)
+        self.said, self.total = np.full((2, len(self.logs)), -1)  # the last is no word's, and stays unknown
 
     @staticmethod
     def packed(vocabulary: DataFrame) -> bytes:
         with pa.ipc.open_stream(packed(most_frequent(vocabulary, HEAD_WORDS).select("word", "n"))) as source:
             table = source.read_all()
-        ids = pa.array([word_id(w.as_py()) for w in table.column("word")], pa.uint64())
-        sink, table = pa.BufferOutputStream(), table.append_column("id", ids).sort_by("id").combine_chunks()
+        table = table.combine_chunks()
+        ids = word_ids(table.column("word").combine_chunks())
+        sink, table = pa.BufferOutputStream(), table.append_column("id", pa.array(ids)).sort_by("id").combine_chunks()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         return sink.getvalue().to_pybytes()
@@ -517,15 +570,23 @@ class Head:
         hit[hit] = pc.equal(self.words.take(pa.array(at[hit])), words.filter(pa.array(hit))).to_numpy(zero_copy_only=False)
         return np.where(hit, at, -1)
 
-    def scored(self, texts: pa.Array, lookup: Lookup | Answers, numbers: Numbers) -> list[pa.Array]:
+    def weights(self, ids: np.ndarray, place: np.ndarray, lookup: Lookup | Answers) -> tuple[np.ndarray, np.ndarray]:
+        said, total = self.said[place], self.total[place]
+        new = np.nonzero(said < 0)[0]
+        said[new], total[new] = weights(ids[new], lookup)
+        kept = new[place[new] >= 0]
+        self.said[place[kept]], self.total[place[kept]] = said[kept], total[kept]
+        return said, total
+
+    def scored(self, texts: Coded, lookup: Lookup | Answers, numbers: Numbers) -> list[pa.Array]:
         """n_tokens, n_known, logs, score, rest of some texts: their different words are looked up once."""
-        ends, words, at = coded(texts)
+        ends, words, ids, at = texts.ends, texts.names, texts.ids, texts.at
         n = np.diff(ends, prepend=0)
-        starts, ids = ends - n, word_ids(words)
+        starts = ends - n
         place = self.places(ids, words)
         known = place >= 0
         of_word = np.where(known, self.logs[place], 0.0)
-        p = log10_probabilities(ids, at, lookup, numbers)
+        p = log10_probabilities(ids, at, lookup, numbers, self.weights(ids, place, lookup))
         rare = np.nonzero(~known[at])[0]
         pairs_, tf = np.unique(np.searchsorted(ends, rare, side="right") * len(words) + at[rare], return_counts=True)
         offsets = np.searchsorted(pairs_, np.arange(len(n) + 1) * len(words)).astype(np.int32)
@@ -553,7 +614,7 @@ def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
         for whole in batches:
             for start, end in slices(text_lengths(whole.column("text")), SLICE, SLICE_BYTES):  # bounded memory
                 batch = whole.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.scored(batch.column("text"), lookup, numbers)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.scored(coded(batch.column("text")), lookup, numbers)], names=schema.names)
 
     return placed.mapInArrow(tidy(run), schema)
 
@@ -569,12 +630,11 @@ class Parts:
     def shift(self) -> int:
         return math.ceil(self.segments[OF_PAIR] / self.per)
 
-    def questions(self, texts: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    def questions(self, texts: Coded) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """What some texts ask, whatever their order: for each kind the parts and keys, by part and then by key, each key once."""
-        _, words, at = coded(texts)
-        ids = word_ids(words)
-        pairs = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(words)) + at)
-        keys = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs // len(words)], ids[pairs % len(words)])}
+        ids, at = texts.ids, texts.at
+        pairs = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(ids)) + at)
+        keys = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs // len(ids)], ids[pairs % len(ids)])}
         out = {}
         for kind, own in keys.items():
             own = np.unique(own)
@@ -617,7 +677,7 @@ def _parts_by_block(docs: DataFrame, model: Trained, head: bytes) -> DataFrame:
 
     def ask(docs: pa.Table) -> pa.Table:
         block, out = docs.column("block")[0], []
-        for kind, (part, keys) in parts.questions(docs.column("text").combine_chunks()).items():
+        for kind, (part, keys) in parts.questions(coded(docs.column("text").combine_chunks())).items():
             starts = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
             n = len(starts)
             out.append(pa.table([pa.array([block.as_py()] * n, pa.int64()), pa.array(part[starts]), pa.array([kind] * n, pa.int32()), _binaries(keys, np.append(starts[1:], len(keys)))], schema=packed_schema))
@@ -639,7 +699,7 @@ def _parts_by_block(docs: DataFrame, model: Trained, head: bytes) -> DataFrame:
         return pa.concat_tables(out) if out else packed_schema.empty_table()
 
     def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, answers, given = docs.column("text").combine_chunks(), answers.sort_by("part"), {}
+        texts, answers, given = coded(docs.column("text").combine_chunks()), answers.sort_by("part"), {}
         for kind, (_, keys) in parts.questions(texts).items():
             data = b"".join(answers.filter(pc.equal(answers.column("kind"), kind)).column("data").to_pylist())
             if kind == OF_CONTEXT:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import language_model as lm
@@ -122,3 +123,32 @@ def test_keys_travel_packed(spark, monkeypatch):
     assert [x[:5] for x in found] == [x[:5] for x in expected]
     assert all(math.isclose(a, b, rel_tol=1e-9) for x, y in zip(found, expected, strict=True) for a, b in zip(x[5:], y[5:], strict=True))
     assert len(exchanged) == lm.ROUNDS and not any(aggregated for aggregated, n in exchanged if n)
+
+
+def test_ids_are_made_at_once(monkeypatch):
+    """Short names' ids are XXH64's, made without a call for each name."""
+    rng = random.Random(6)
+    names = [b"", *(rng.randbytes(n) for n in range(66) for _ in range(5))]
+    expected, one = [lm.word_id(x) for x in names], lm.word_id
+    called = []
+    monkeypatch.setattr(lm, "word_id", lambda x: called.append(x) or one(x))
+    whole = pa.array([b"before", *names, b"after"], pa.binary())
+    assert lm.word_ids(whole.slice(1, len(names))).tolist() == expected
+    assert called and all(len(x) >= 32 for x in called)
+    assert len(lm.word_ids(pa.array([], pa.binary()))) == 0 and lm.word_ids(pa.array([b""], pa.binary())).tolist() == expected[:1]
+
+
+def test_frequent_words_are_asked_once(spark, monkeypatch):
+    """A reader asks the filter about a frequent word once, about others each time; scores are those of a reader that knows none."""
+    m = model(spark, TEXTS)
+    lookup = lm.Lookup(*(lm.Filter(np.frombuffer(lm.whole_filter(*x), dtype=np.uint64), x[1]) for x in (m.counts, m.contexts)), m.numbers.pair_probes)
+    asked, words = [], lm.Lookup.words
+    monkeypatch.setattr(lm.Lookup, "words", lambda self, ids: asked.append(len(ids)) or words(self, ids))
+    texts = lm.coded(pa.array([*TEXTS, "never seen"], pa.string()))
+    head = lm.Head(lm.Head.packed(m.vocabulary))
+    first, again = (head.scored(texts, lookup, m.numbers) for _ in range(2))
+    monkeypatch.setattr(lm, "HEAD_WORDS", 0)
+    empty = lm.Head(lm.Head.packed(m.vocabulary))
+    whole = empty.scored(texts, lookup, m.numbers)
+    assert asked == [len(texts.ids), 2, len(texts.ids)] and len(texts.ids) == len(head.ids) + 2
+    assert first[3].equals(again[3]) and first[3].equals(whole[3])
