@@ -399,12 +399,15 @@ def build(entries: DataFrame, segments: int, pair_probes: int) -> tuple[DataFram
 
 @dataclass(frozen=True)
 class Numbers:
-    """What the probabilities need besides the filter: training tokens, different words, the sum of what the filter says of them."""
+    """What the probabilities need besides the filter: training tokens, different words, the sum of what the filter says of them,
+    and the binary digits of the largest context's sum.
+    """
 
     tokens: int
     words: int
     said: int
     pair_probes: int
+    digits: int
 
 
 def sum_digits(said: np.ndarray) -> np.ndarray:
@@ -516,14 +519,15 @@ def train(texts: DataFrame) -> Trained:
     sums = counts[0].where("id is not null").groupBy("id").agg(F.sum("q").alias("level"))
     said = scalar(sums.where("id = -1").agg(F.sum("level")))[0] or 0
     totals = materialize(sums.where("id <> -1"))
-    own = segments_for(3 * probes * (scalar(totals.agg(F.sum(F.bit_count("level"))))[0] or 0))
+    ones, largest = scalar(totals.agg(F.sum(F.bit_count("level")), F.max("level")))
+    own = segments_for(3 * probes * (ones or 0))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy().view(np.uint64)
             yield entry(OF_CONTEXT, key_of(OF_CONTEXT, ids), ids, batch.column("level"), own)
 
-    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), ENTRY), own, probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes))
+    return Trained(vocabulary, counts, build(totals.mapInArrow(tidy(contexts), ENTRY), own, probes), Numbers(of_words["n"] or 0, of_words["words"] or 0, said, probes, (largest or 0).bit_length()))
 
 
 def whole_filter(table: DataFrame, segments: int) -> bytes:
@@ -619,6 +623,12 @@ def _parts(placed: DataFrame, model: Trained, head: bytes) -> DataFrame:
     return placed.mapInArrow(tidy(run), schema)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers, ascending: numpy's own (2.3) takes a hash table, which cost as much as twenty sorts."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 @dataclass(frozen=True)
 class Parts:
     """How a filter's table is cut for joins: ``per`` segments a part, those of the contexts after those of the counts."""
@@ -633,11 +643,11 @@ class Parts:
     def questions(self, texts: Coded) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """What some texts ask, whatever their order: for each kind the parts and keys, by part and then by key, each key once."""
         ids, at = texts.ids, texts.at
-        pairs = np.unique(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(ids)) + at)
+        pairs = distinct(np.concatenate([[len(ids) - 1], at[:-1]]) * np.int64(len(ids)) + at)
         keys = {OF_WORD: key_of(OF_WORD, ids), OF_CONTEXT: key_of(OF_CONTEXT, ids), OF_PAIR: pair_key(ids[pairs // len(ids)], ids[pairs % len(ids)])}
         out = {}
         for kind, own in keys.items():
-            own = np.unique(own)
+            own = distinct(own)
             part = (segment_of(own, self.segments[kind]) // np.uint64(self.per)).astype(np.int64) + (self.shift if kind == OF_CONTEXT else 0)
             order = np.argsort(part, kind="stable")
             out[kind] = part[order], own[order]
@@ -691,7 +701,7 @@ def _parts_by_block(docs: DataFrame, model: Trained, head: bytes) -> DataFrame:
             data = rows.column("data").to_pylist()
             keys = np.frombuffer(b"".join(data), dtype=np.uint64)
             if kind == OF_CONTEXT:
-                said = own.number(keys, numbers.pair_probes, np.full(len(keys), LEVELS))
+                said = own.number(keys, numbers.pair_probes, np.full(len(keys), numbers.digits))
             else:
                 said = own.levels(keys, WORD_PROBES if kind == OF_WORD else numbers.pair_probes).astype(np.uint8)
             given = _binaries(said, np.cumsum([len(d) // 8 for d in data]))

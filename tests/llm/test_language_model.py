@@ -152,3 +152,24 @@ def test_frequent_words_are_asked_once(spark, monkeypatch):
     whole = empty.scored(texts, lookup, m.numbers)
     assert asked == [len(texts.ids), 2, len(texts.ids)] and len(texts.ids) == len(head.ids) + 2
     assert first[3].equals(again[3]) and first[3].equals(whole[3])
+
+
+def test_questions_are_found_by_sorting(spark, monkeypatch):
+    """Without ``np.unique``, whose hash table took most of a block's time; and no digit is asked for that no context's sum has."""
+    m = model(spark, TEXTS)
+    sums = [r["q"] for r in m.counts[0].where("id <> -1").groupBy("id").sum("q").toDF("id", "q").collect()]
+    assert m.numbers.digits == max(sums).bit_length() < lm.LEVELS
+    rng = random.Random(7)
+    texts = pa.array([*TEXTS, *(" ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(50)) for _ in range(40))], pa.string())
+    tokens = lm.coded(texts)
+    ids, at = tokens.ids, tokens.at
+    before = np.concatenate([[len(ids) - 1], at[:-1]])
+    expected = {lm.OF_WORD: lm.key_of(lm.OF_WORD, ids), lm.OF_CONTEXT: lm.key_of(lm.OF_CONTEXT, ids), lm.OF_PAIR: lm.pair_key(ids[before], ids[at])}
+    expected = {kind: sorted(set(keys.tolist())) for kind, keys in expected.items()}
+    monkeypatch.delattr(np, "unique")
+    found = lm.Parts({kind: 9 for kind in expected}, 2).questions(tokens)
+    for kind, (part, keys) in found.items():
+        assert sorted(keys.tolist()) == expected[kind]
+        rows = list(zip(part.tolist(), keys.tolist(), strict=True))
+        assert rows == sorted(rows) and len(set(part.tolist())) > 1
+    assert len(lm.distinct(np.zeros(0, dtype=np.uint64))) == 0
