@@ -86,20 +86,15 @@ def header_records(headers: DataFrame, lines: DataFrame, likeness: bool = True)
     among those that count. The text is that of the section; without any, the header's number and name. Without ``likeness`` headers that no line has stay
     unplaced.
     """
-    pages = toc.toc_pages(lines.where("page is not null")).withColumn("_toc", F.lit(True))
-    flagged = lines.join(pages, ["file_id", "page"], "left").withColumn("_real", F.col("_toc").isNull() & ~F.coalesce(T.is_toc_entry(F.col("line")), F.lit(False)))
+    flagged = toc.marked_pages(lines).withColumn("_real", ~F.col("contents") & ~F.col("entry"))
     kept = flagged.withColumn("_any", F.max("_real").over(W.partitionBy("file_id"))).where("_real or not _any")
     counted = kept.select(*lines.columns).withColumn("ord", F.row_number().over(W.partitionBy("file_id").orderBy("ord")) - 1)
-    found = H.located(headers, counted)
-    bounds = H.bounded(H.located_by_likeness(found, counted) if likeness else found)
-    texts = H.section_texts(bounds, counted)
-    at = counted.select("file_id", F.col("ord").alias("start"), (F.col("page") + 1).alias("page_number"), (F.coalesce("line_idx", "ord") + 1).alias("line_number"))
+    made = H.sections(headers, counted, "page", "line_idx", texts=True, alike=likeness, sizes=lines)
     name = T.strip(F.concat_ws(" ", "section_number", "section_name"))
-    return (
-        bounds.join(at, ["file_id", "start"], "left")
-        .join(texts, ["file_id", "position"], "left")
-        .select("file_id", "position", "page_number", "line_number", F.coalesce(F.nullif(T.strip(F.col("section_text")), F.lit("")), name).alias("chunk_text"))
-    )
+    return made.select(
+        "file_id", "position", (F.col("page") + 1).alias("page_number"), F.when(F.col("start").isNotNull(), F.coalesce("line_idx", "start") + 1).alias("line_number"),
+        F.coalesce(F.nullif(T.strip(F.col("section_text")), F.lit("")), name).alias("chunk_text"),
+    )
 
 
 def recognized_lines(words: DataFrame, scale_x: Column, scale_y: Column) -> DataFrame:

@@ -58,6 +58,17 @@ class Lines:
         return best
 
 
+def nearest(names: Iterable[str], lines: list[str]) -> dict[str, tuple[float, str]]:
+    """The highest ratio and the greatest line that has it, for each name; of no lines nothing. ``BLOCK`` lines are counted at once."""
+    best: dict[str, tuple[float, str]] = {}
+    for k in range(0, len(lines), BLOCK):
+        held = Lines(lines[k : k + BLOCK])
+        for name in names:
+            found = held.closest(name)
+            best[name] = max(best.get(name, found), found)
+    return best
+
+
 def closest(names: DataFrame, lines: DataFrame) -> DataFrame:
     """file_id, position, ord, ratio, line: of ``lines`` (file_id, ord, line), the one most alike each of ``names`` (file_id, position, name).
 
