@@ -51,6 +51,6 @@ def exchanged(spark, name):
     return [x for x in ran.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x and "hashpartitioning(l_" not in x and "hashpartitioning(p_" not in x]
 
 
-@pytest.mark.parametrize("name", ["header_records", "header_locations", "section_bounds"])
+@pytest.mark.parametrize("name", ["header_records", "header_locations", "section_bounds", "section_bounds_by_likeness"])
 def test_lines_are_not_exchanged(spark, name):
     assert exchanged(spark, name) == []
