@@ -22,12 +22,21 @@ from ..plans import sweeps
 PAIR = ["file_id", "position"]
 #: Lines of a file that are held at once; titles are copied to each block of a longer one.
 BLOCK = 1 << 12
+#: Up to so many lines of ASCII are counted in one table; SequenceMatcher ignores no character of a text shorter than ``LONG``.
+TABLE, LONG = 256, 200
+
+
+@functools.lru_cache(maxsize=64)
+def _against(name: str) -> difflib.SequenceMatcher:
+    return difflib.SequenceMatcher(None, "", name)
 
 
 @functools.lru_cache(maxsize=1 << 16)
 def ratio(line: str, name: str) -> float:
     """The name's side is the second sequence, whose frequent characters may be ignored."""
-    return difflib.SequenceMatcher(None, line, name).ratio()
+    matcher = _against(name)
+    matcher.set_seq1(line)
+    return matcher.ratio()
 
 
 class Lines:
@@ -37,6 +46,10 @@ class Lines:
         self.lines = lines
         self.sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
         self.counts: dict[str, np.ndarray] = {}
+        self.table, whole = None, "".join(lines)
+        if len(lines) <= TABLE and whole.isascii():
+            codes = np.repeat(np.arange(len(lines)) * 128, self.sizes) + np.frombuffer(whole.encode(), dtype=np.uint8)
+            self.table = np.bincount(codes, minlength=len(lines) * 128).reshape(-1, 128)
 
     def count(self, c: str) -> np.ndarray:
         if c not in self.counts:
@@ -45,9 +58,15 @@ class Lines:
 
     def closest(self, name: str) -> tuple[float, str]:
         """The highest ratio, however low, and the greatest line that has it."""
-        shared = np.zeros(len(self.lines), dtype=np.int64)
-        for c, n in Counter(name).items():
-            shared += np.minimum(self.count(c), n)
+        if len(name) < LONG and name in self.lines:
+            return 1.0, name
+        if self.table is not None:
+            own = np.bincount(np.frombuffer(name.encode("ascii", "ignore"), dtype=np.uint8), minlength=128)
+            shared = np.minimum(self.table, own).sum(axis=1)
+        else:
+            shared = np.zeros(len(self.lines), dtype=np.int64)
+            for c, n in Counter(name).items():
+                shared += np.minimum(self.count(c), n)
         whole = self.sizes + len(name)
         bounds = np.where(whole > 0, 2.0 * shared / np.maximum(whole, 1), 1.0)
         best = (-1.0, "")

@@ -1,5 +1,6 @@
 """Sections in one pass through each document: what headers located, bounded and given texts one after another have, without an exchange of lines."""
 
+import difflib
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from test_sections import make, tables
 
-from tessera.operators import headers, toc
+from tessera.operators import headers, likeness, toc
 from tessera.plans import catalog
 
 
@@ -43,6 +44,19 @@ def test_marked_pages_are_the_contents_pages(spark):
     assert pages and {(r.file_id, r.page) for r in marked if not r.contents}.isdisjoint(pages)
 
 
+def test_closest_counts_lines_at_once_and_asks_no_equal_one(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abc 12", k=rng.randint(0, 9))) for _ in range(80)] + ["e" * 230, "ab" * 120]
+    names = [*texts[::3], "zz", "", "ébc", "e" * 230, "ab" * 120]
+    plain = {n: max((difflib.SequenceMatcher(None, t, n).ratio(), t) for t in texts) for n in names}
+    assert likeness.nearest(names, texts) == plain
+    assert likeness.nearest(names, [*texts, "é"]).keys() == plain.keys()
+    monkeypatch.setattr(likeness, "TABLE", 0)
+    assert likeness.nearest(names, texts) == plain
+    monkeypatch.setattr(likeness, "ratio", None)
+    assert likeness.Lines(["a pump", "pump"]).closest("pump") == (1.0, "pump")
+
+
 def exchanged(spark, name):
     """Keys by which rows went to others, but for the corpus's own."""
     made = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
