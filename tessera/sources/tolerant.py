@@ -40,17 +40,19 @@ def _kind(v: Column) -> Column:
 def _field(v: Column, name: str, kind: str) -> Column:
     """A field of a JSON value by its type, and where it came as a text or number of another type, what that can be cast to."""
     direct = F.try_variant_get(v, f"$.{name}", kind)
-    return direct if kind.startswith("array") else F.coalesce(direct, F.try_variant_get(v, f"$.{name}", "string").try_cast(kind))
+    return direct if kind == "string" or kind.startswith("array") else F.coalesce(direct, F.try_variant_get(v, f"$.{name}", "string").try_cast(kind))
 
 
 def checked(records: DataFrame) -> DataFrame:
     """Adds the fields of ``FIELDS``, metadata and problem to ``records`` (with json, a text): problem is null, 'malformed', 'not an object' or 'missing ...'."""
-    v = F.col("_v")
-    parsed = records.withColumn("_v", F.try_parse_json("json"))
-    fields = {name: F.when(_kind(v) == "OBJECT", _field(v, name, kind)) for name, kind in FIELDS.items()}
+    v, whole = F.col("_v"), F.col("_object")
+    # What parses is an object if it begins as one: no schema is made of each record. Both are bound once, whatever asks for them.
+    begins = F.startswith(F.ltrim(F.col("json"), F.lit(" \t\r\n")), F.lit("{"))
+    parsed = records.withColumn("_v", F.try_parse_json("json")).withColumn("_object", v.isNotNull() & begins)
+    fields = {name: F.when(whole, _field(v, name, kind)) for name, kind in FIELDS.items()}
     lacking = [F.when(F.col(name).isNull(), F.lit(f"missing {name}")) for name in REQUIRED]
-    problem = F.when(v.isNull(), "malformed").when(_kind(v) != "OBJECT", "not an object").otherwise(F.coalesce(*lacking))
-    return parsed.withColumns(fields).withColumns({"metadata": F.when(_kind(v) == "OBJECT", F.try_variant_get(v, "$.metadata", "map<string,string>")), "problem": problem}).drop("_v")
+    problem = F.when(v.isNull(), "malformed").when(~whole, "not an object").otherwise(F.coalesce(*lacking))
+    return parsed.withColumns(fields).withColumns({"metadata": F.when(whole, F.try_variant_get(v, "$.metadata", "map<string,string>")), "problem": problem}).drop("_v", "_object")
 
 
 def read_object_lines(spark: SparkSession, path: str) -> DataFrame:

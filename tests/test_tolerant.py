@@ -102,3 +102,12 @@ def test_reasoning(spark):
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "p string")
     found = {r.p: r.t for r in rows.select("p", tolerant.reasoning_text(F.col("p")).alias("t")).collect()}
     assert found == cases | {None: ""}
+
+
+def test_checked_makes_no_schema_of_a_record(spark):
+    rows = [' \t\n{"object_id": "a", "file_id": "f", "kind": "line", "page_index": "3"}', "[1]", '"{"', '{"object_id": 7, "file_id": "f"}', "{", "7", "null", None, "\u00a0{}", " {}"]
+    made = tolerant.checked(spark.createDataFrame([(x,) for x in rows], "json string"))
+    assert "schema_of_variant" not in made._jdf.queryExecution().optimizedPlan().toString().lower() and made.columns[-2:] == ["metadata", "problem"]
+    found = [(r.object_id, r.page_index, r.problem) for r in made.collect()]
+    assert found[:4] == [("a", 3, None), (None, None, "not an object"), (None, None, "not an object"), ("7", None, "missing kind")]
+    assert [x[2] for x in found[4:]] == ["malformed", "not an object", "not an object", "malformed", "malformed", "missing object_id"]
